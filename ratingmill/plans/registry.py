@@ -18,9 +18,15 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
         _SQL[name] = sql
 
 
+def _load() -> None:
+    from ratingmill.plans import games  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
