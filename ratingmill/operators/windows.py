@@ -81,7 +81,7 @@ def welo(gl: DataFrame, ratings: DataFrame | None = None, n: int = 4, decay: flo
 def rest(gl: DataFrame, b2b: float = 46, one_day: float = 15) -> DataFrame:
     """Rest days since the row before, with penalty and category; the first game has -1."""
     gap = F.datediff("date", F.lag("date").over(_team()))
-    days = F.coalesce(F.greatest(F.lit(0), gap - 1), F.lit(-1))
+    days = F.when(gap.isNull(), -1).otherwise(F.greatest(F.lit(0), gap - 1))
     out = gl.withColumn("rest_days", days)
     kind = F.when(F.col("rest_days") < 0, "first_game").when(F.col("rest_days") == 0, "back_to_back").when(F.col("rest_days") == 1, "one_day").otherwise("rested")
     penalty = F.when(F.col("rest_days") == 0, -float(b2b)).when(F.col("rest_days") == 1, -float(one_day)).otherwise(0.0)
@@ -97,7 +97,7 @@ def rest_fatigue(gl: DataFrame) -> DataFrame:
     by_day = Window.partitionBy("team_id").orderBy("day")
     out = gl.withColumn("day", _day())
     last = F.max("day").over(by_day.rangeBetween(Window.unboundedPreceding, -1))
-    out = out.withColumn("fatigue_rest", F.coalesce(F.greatest(F.lit(0), F.col("day") - last - 1), F.lit(7)))
+    out = out.withColumn("fatigue_rest", F.when(last.isNull(), 7).otherwise(F.greatest(F.lit(0), F.col("day") - last - 1)))
     for n in (1, 4, 5):
         out = out.withColumn(f"in_{n}", F.count("*").over(by_day.rangeBetween(-n, -1)))
     density = F.when(F.col("in_4") >= 3, -30.0).when(F.col("in_5") >= 4, -40.0).when(F.col("in_5") + 1 >= 4, -20.0).otherwise(0.0)

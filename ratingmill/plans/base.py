@@ -23,5 +23,6 @@ def query(name: str, run: Callable[[Frames], DataFrame], uses: str = "", sql: st
     register(name, lambda spark, sf_dir: run(Frames(spark, sf_dir)), None if sql is None else (with_(*names) + "\n" if names else "") + sql)
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Rounded columns; ``nudge`` lifts exact halves off the edge, where two engines may part."""
+    return df.withColumns({c: F.round(F.col(c) + nudge, digits) for c in columns})

@@ -19,7 +19,7 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 
 def _load() -> None:
-    from ratingmill.plans import games  # noqa: F401  registers its queries
+    from ratingmill.plans import feeds, games, ratings, windows  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

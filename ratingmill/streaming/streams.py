@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ratingmill.operators.ratings import HISTORY, Fold, _fold_games
+from ratingmill.operators.ratings import HISTORY, Fold, _fold_games, _usable
 from ratingmill.sources.tables import append_predictions
 
 
@@ -47,7 +47,7 @@ def stream_ratings(stream: DataFrame, k: float = 20, home_advantage: float = 20,
             state.update(([int(t) for t in teams], [float(fold.rating[t]) for t in teams], [int(fold.games[t]) for t in teams], int(fold.season), days.max().date()))
             yield out
 
-    return stream.groupBy("pool").applyInPandasWithState(run, HISTORY, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return _usable(stream).groupBy("pool").applyInPandasWithState(run, HISTORY, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_predictions(path: str):
