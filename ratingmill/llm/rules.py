@@ -39,7 +39,7 @@ CUTOFF = 52.0
 #: Consistency factor of the covariance of the most compact three quarters, five dimensions.
 CONSISTENCY = 1.52
 #: Smallest standard deviations of the transformed values, in their order below.
-FLOORS = (0.5, 0.15, 0.03, 0.03, 0.03)
+FLOORS = (0.5, 0.15, 0.03, 0.06, 0.08)
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
