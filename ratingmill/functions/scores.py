@@ -44,7 +44,7 @@ def confidence_cap(diff: Column) -> Column:
 def capped_probability(p: Column, diff: Column) -> Column:
     """Home probability whose favourite is capped."""
     cap = confidence_cap(diff)
-    return F.when(p > 0.5, F.least(p, cap)).otherwise(1 - F.least(1 - p, cap))
+    return F.when(p > 0.5, F.least(p, cap)).when(p.isNotNull(), 1 - F.least(1 - p, cap))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:

@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratingmill.functions import parse
-from ratingmill.plans.base import AS_OF, query, rounded
-from ratingmill.sources import feeds
+from ratingmill.plans import ratings as _ratings  # noqa: F401  its SQL is used below
+from ratingmill.plans.base import AS_OF, BODIES, query, rounded
+from ratingmill.sources import feeds, schemas, tables
 from ratingmill.streaming import streams
 
 
@@ -84,3 +85,75 @@ select s as start, s + interval {w} as "end", count(*) as games, round(avg(cast(
 from events, (select unnest(range(0, {n})) as k), lateral (select time_bucket(interval {d}, ts::timestamp, timestamp '1970-01-01') - k * interval {d} as s) group by 1, 2"""
 query("k2_trailing_accuracy", lambda f: rounded(streams.stream_accuracy(_stream_rows(f)), "accuracy"), "", _SLIDES.format(w="7 days", d="1 day", n=7))
 query("k2_daily_accuracy", lambda f: rounded(streams.stream_accuracy(_stream_rows(f), "1 day", None), "accuracy"), "", _SLIDES.format(w="1 day", d="1 day", n=1))
+
+
+def _shared(spark) -> str:
+    """A new folder beside the checkpoints, which every executor reaches."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def _drained(stream, path: str):
+    """What a stream has written when it has read all that there is."""
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _written_games(f, path: str):
+    tables.write_table(parse_season(f.games), f"{path}/games", ["season"])
+    return f.spark.readStream.schema(parse_season(f.games).schema).parquet(f"{path}/games").drop("season")
+
+
+def parse_season(games):
+    return games.withColumn("season", parse.season_start(F.col("date")))
+
+
+def _round_trip(f):
+    path = _shared(f.spark)
+    for fmt in ("parquet", "csv"):
+        tables.write_table(f.games.select([c.name for c in schemas.GAMES if c.name in f.games.columns]), f"{path}/{fmt}", fmt=fmt)
+    kept = [c for c in schemas.GAMES if c.name in f.games.columns]
+    a, b = (tables.read_table(f.spark, f"{path}/{fmt}", type(schemas.GAMES)(kept), fmt) for fmt in ("parquet", "csv"))
+    return a.intersectAll(b.select(a.columns)).select("game_id", "date", "home_score", "season_type")
+
+
+def _appended(f):
+    path = _shared(f.spark)
+    for part in ("game_id % 2 = 0", "game_id % 3 = 0"):
+        tables.append_predictions(f.pred.where(part).select("game_id", "home_win_prob"), path)
+    return f.spark.read.parquet(path)
+
+
+query("io1_io2_round_trip", _round_trip, "games", "select game_id, date, home_score, season_type from games")
+query("io10_append", _appended, "pred", "select game_id, home_win_prob from pred where game_id % 2 = 0 or game_id % 3 = 0")
+
+
+def _once(f):
+    path = _shared(f.spark)
+    rows = f.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows.unionAll(rows.where("event_id % 3 = 0")).write.parquet(f"{path}/in")
+    stream = f.spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    return _drained(streams.stream_games(stream, "3650 days", "event_id"), path).select("event_id")
+
+
+def _stream_ratings(f):
+    path = _shared(f.spark)
+    out = _drained(streams.stream_ratings(_written_games(f, path)), path)
+    return rounded(out.select("game_id", "team_id", "rating_before", "rating_after"), "rating_before", "rating_after", digits=4)
+
+
+def _upserted(f):
+    path = _shared(f.spark)
+    stream = _written_games(f, path).select("game_id", "pool")
+    for _ in range(2):
+        stream.writeStream.foreachBatch(streams.upsert_predictions(f"{path}/log")).trigger(availableNow=True).start().awaitTermination()
+    return f.spark.read.parquet(f"{path}/log")
+
+
+query("k1_stream_once", _once, "", "select distinct event_id from events")
+query("k3_stream_ratings", _stream_ratings, "done", BODIES["r1_team_elo"])
+query("k4_upsert", _upserted, "games", "select game_id, pool from games")

@@ -11,7 +11,9 @@ from ratingmill.operators import games as G
 from ratingmill.operators import predict as P
 from ratingmill.operators import ratings as R
 from ratingmill.operators import windows as W
-from ratingmill.plans.base import AS_OF, DAY, EXP, SEASON, query, rounded
+from ratingmill.plans import games as _games  # noqa: F401  its SQL is used below
+from ratingmill.plans import windows as _windows  # noqa: F401
+from ratingmill.plans.base import AS_OF, DAY, EXP, SEASON, part, query, rounded
 
 _INJURED = "(select player_name from injuries where status in ('out', 'doubtful'))"
 
@@ -49,7 +51,7 @@ def _increment(f):
     return rounded(R.team_elo_increment(R.state_of(hist), f.games.where(F.col("date") > F.lit(AS_OF)), seasons=seasons).select("game_id", "team_id", "rating_after"), "rating_after", digits=4)
 
 
-query("r2_team_elo_increment", _increment)
+query("r2_team_elo_increment", _increment, "done", part("x", "r1_team_elo") + f" select x.game_id, team_id, round(rating_after, 4) as rating_after from x join done d on d.game_id = x.game_id and d.date > {DAY}")
 _R3 = """
 , y as (select yr, dense_rank() over (order by yr) - 1 as c from (select distinct year(date) as yr from box)),
 d as (select b.*, c, yr, 20 * least(1, minutes / 48) * ((greatest(-30, least(30, plus_minus / minutes * 48)) + 30) / 60 - 0.5) as delta from box b join y on yr = year(b.date) where minutes > 0 and not didNotPlay),
@@ -82,26 +84,57 @@ select team_id, t as top_player_elo, s as second_player_elo, round(bonus, 6) as
 query("r10_apply_concentration", lambda f: rounded(R.apply_concentration(f.pred.withColumn("home_rating", 1500 + F.col("elo_diff")).withColumn("away_rating", F.lit(1500.0)), R.concentration(f.roster, f.ratings)).select("game_id", "home_adjusted", "away_adjusted", "adjusted_confidence"), "home_adjusted", "away_adjusted", "adjusted_confidence"), "pred ratings", _CON + """
 select game_id, round(1500 + elo_diff + coalesce(h.bonus + 0.1 * h.depth, 0), 6) as home_adjusted, round(1500 + coalesce(a.bonus + 0.1 * a.depth, 0), 6) as away_adjusted,
  round(confidence * (1 - 0.2 * coalesce(case when home_win_prob > 0.5 then h.risk else a.risk end, 0)), 6) as adjusted_confidence from pred p left join q h on h.team_id = home_team_id left join q a on a.team_id = away_team_id""")
-query("r11_predict_team", lambda f: rounded(P.predict_team(f.done, _team_hist(f), f.done).select("game_id", "home_final", "away_final", "home_win_prob", "confidence", "reason"), "home_final", "away_final", "home_win_prob", "confidence", digits=5))
+_CAP = "case when {p} > 0.5 then least({p}, {c}) else 1 - least(1 - {p}, {c}) end"
+_CAPS = "case when abs({d}) < 50 then 0.55 when abs({d}) < 100 then 0.65 when abs({d}) < 150 then 0.75 when abs({d}) < 200 then 0.82 else 0.9 end"
+query("r11_predict_team", lambda f: rounded(P.predict_team(f.done, f.hist, f.done).select("game_id", "home_final", "away_final", "home_win_prob", "confidence", "reason"), "home_final", "away_final", "home_win_prob", "confidence", digits=5, nudge=1e-8), "long hist", part("rated", "j3_asof_ratings", "coalesce(x.r, 1500)", "x.r") + part("form", "w1_form") + part("rest", "w5_rest") + f"""
+, t as (select d.game_id, home_rating + hf.form + hr.rest_penalty as h, away_rating + af.form + ar.rest_penalty as a from done d join rated using (game_id)
+  join form hf on hf.game_id = d.game_id and hf.team_id = home_team_id join form af on af.game_id = d.game_id and af.team_id = away_team_id
+  join rest hr on hr.game_id = d.game_id and hr.team_id = home_team_id join rest ar on ar.game_id = d.game_id and ar.team_id = away_team_id),
+p as (select *, {EXP.format(a='h', b='a', ha=20)} as p, {_CAPS.format(d='(h - a)')} as c from t), q as (select *, case when p is not null then {_CAP.format(p='p', c='c')} end as w from p)
+select game_id, round(h + 1e-8, 5) as home_final, round(a + 1e-8, 5) as away_final, round(w + 1e-8, 5) as home_win_prob, case when w is not null then round(greatest(w, 1 - w) + 1e-8, 5) end as confidence, case when w is null then 'no rating' end as reason from q""")
 
 
 def _hybrid(f):
     return P.predict_hybrid(f.done, f.hist, f.done, R.roster_elo(f.roster, f.ratings, _out(f)), R.injury_adjustment(f.roster, f.ratings, _out(f)), f.arenas)
 
 
-query("r12_predict_hybrid", lambda f: rounded(_hybrid(f).select("game_id", "home_final", "away_final", "p", "confidence", "upset_probability", "pred_home_score", "pred_away_score", "context.confidence_penalty", "confidence_score.overall_confidence"), "home_final", "away_final", "p", "confidence", "overall_confidence", digits=5))
+query("r12_predict_hybrid", lambda f: rounded(_hybrid(f).select("game_id", "home_final", "away_final", "p", "confidence", "upset_probability", "pred_home_score", "pred_away_score", "context.confidence_penalty", "confidence_score.overall_confidence"), "home_final", "away_final", "p", "confidence", "overall_confidence", digits=5, nudge=1e-8), "long hist ratings injuries arenas", part("rated", "j3_asof_ratings") + part("welo", "w4_welo") + part("tired", "w7_rest_fatigue") + part("trip", "w15_travel_fatigue") + part("mom", "w2_momentum") + part("played", "w20_games_before") + part("relo", "r5_roster_elo") + part("hurt", "r7_injury_adjustment") + part("meet", "w9_h2h_recency") + f"""
+, s as (select l.game_id, l.team_id, is_home, welo, fatigue_rest as r, b2b_penalty + density_penalty as tired, travel_fatigue as trip, wins, games, games_before as n, coalesce(roster_elo, 1500) as e, coalesce(injury_adjustment, 0) as i
+  from long l join welo using (game_id, team_id) join tired using (game_id, team_id) join trip using (game_id, team_id) join mom using (game_id, team_id) join played using (game_id, team_id) left join relo on relo.team_id = l.team_id left join hurt on hurt.team_id = l.team_id),
+g as (select d.game_id, d.date, h2h_recency as m, 0.75 * home_rating + 0.25 * h.e as hh, 0.75 * away_rating + 0.25 * a.e as ah, h.welo as hw, a.welo as aw, h.r as hr, a.r as ar, h.tired as ht, a.tired as at_, h.trip as htr, a.trip as atr, h.i as hi, a.i as ai, h.wins as hwins, a.wins as awins, h.games as hg, a.games as ag, h.n as hn, a.n as an
+  from done d join rated using (game_id) join meet using (game_id) join s h on h.game_id = d.game_id and h.is_home join s a on a.game_id = d.game_id and not a.is_home),
+m as (select *, hh - ah as raw, case when hr >= 3 and ar <= 1 then 30 when hr >= 2 and ar = 0 then 15 else 0 end as mh, case when ar >= 3 and hr <= 1 then 30 when ar >= 2 and hr = 0 then 15 else 0 end as ma from g),
+t as (select *, hh + case when abs(raw) < 50 then 0.15 * m + htr else 0 end + ht + mh + hw * least(1, abs(raw) / 30) + hi as h, ah + case when abs(raw) < 50 then -0.15 * m + atr else 0 end + at_ + case when mh > 0 then 0 else ma end + aw * least(1, abs(raw) / 30) + ai as a from m),
+e as (select *, {EXP.format(a='h', b='a', ha=60)} as x, h - a as d from t),
+p as (select *, case when abs(raw) < 30 then 0.5 + (x - 0.5) * abs(raw) / 30 else x end as p, date_diff('day', make_date(year(date), 12, 25), date) between 1 and 3 as c1, hn < 5 or an < 5 as c4, 82 - greatest(hn, an) <= 15 as c5 from e),
+k as (select *, greatest(p, 1 - p) as c, case when p > 0.5 then hwins else awins end as fw, case when p > 0.5 then awins else hwins end as uw from p)
+select game_id, round(h + 1e-8, 5) as home_final, round(a + 1e-8, 5) as away_final, round(p + 1e-8, 5) as p, round(case when c >= 0.7 and c < 0.8 then c * 0.9 when c < 0.6 then least(c * 1.05, 0.65) else c end + 1e-8, 5) as confidence,
+ least(0.55, case when abs(d) < 50 then 0.45::double when abs(d) < 100 then 0.35 when abs(d) < 150 then 0.28 when abs(d) < 200 then 0.2 else 0.12 end + case when c < 0.6 then 0.1::double else 0 end + case when hg >= 3 and ag >= 3 and fw <= 2 and uw >= 4 then 0.15::double when hg >= 3 and ag >= 3 and fw <= 2 and uw >= 3 then 0.1 else 0 end) as upset_probability,
+ cast(greatest(70, round_even(114.15 + (2.8437 + 0.034507 * d) / 2, 0)) as int) as pred_home_score, cast(greatest(70, round_even(114.15 - (2.8437 + 0.034507 * d) / 2, 0)) as int) as pred_away_score,
+ least(50, case when c1 then 30 else 0 end + case when month(date) = 2 and day(date) between 20 and 23 then 15 else 0 end + case when date_diff('day', make_date(year(date), 11, 28), date) between 1 and 3 then 10 else 0 end + case when c4 then 20 else 0 end + case when c5 then 10 else 0 end)::double as confidence_penalty,
+ round(0.35 * least(100, 50 + 40 * (1 - exp(-abs(d) / 75)) / (1 + exp(-abs(d) / 75))) + 0.15 * case abs(hr - ar) when 0 then 100 when 1 then 85 when 2 then 70 else 60 end + 0.25 * case when abs(hi) + abs(ai) = 0 then 100 when abs(hi) + abs(ai) <= 30 then 85 when abs(hi) + abs(ai) <= 60 then 70 when abs(hi) + abs(ai) <= 100 then 60 else 50 end
+  + 0.15 * case when abs(hw) + abs(aw) <= 20 then 95 when abs(hw) + abs(aw) <= 40 then 80 when abs(hw) + abs(aw) <= 60 then 65 else 50 end + 0.1 * greatest(40, 100 - case when c1 then 30 else 0 end - case when c4 then 20 else 0 end - case when c5 then 10 else 0 end) + 1e-8, 5) as overall_confidence from k""")
 
 
 def _adaptive(f):
     g = G.asof_ratings(f.done, f.hist).join(P.sides(W.form(f.long), ["form"]), "game_id").join(W.h2h(f.done).select("game_id", "h2h_adjustment"), "game_id")
     for s in ("home", "away"):
         g = g.join(R.roster_elo(f.roster, f.ratings).select(F.col("team_id").alias(f"{s}_team_id"), F.col("roster_elo").alias(f"{s}_roster")), f"{s}_team_id", "left").fillna(1500.0, [f"{s}_roster"])
-    return rounded(P.predict_adaptive(g).select("game_id", "home_final", "away_final", "home_win_prob"), "home_final", "away_final", "home_win_prob", digits=5)
-
-
-query("r13_predict_adaptive", _adaptive)
-query("r14_predict_light", lambda f: rounded(P.predict_light(f.done, f.hist, f.done).select("game_id", "home_final", "home_win_prob"), "home_final", "home_win_prob", digits=5))
-query("r15_backtest", lambda f: P.backtest(P.predict_light(f.done, _team_hist(f), f.done)).agg(F.count("*").alias("games"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy")))
+    return rounded(P.predict_adaptive(g).select("game_id", "home_final", "away_final", "home_win_prob"), "home_final", "away_final", "home_win_prob", digits=5, nudge=1e-8)
+
+
+query("r13_predict_adaptive", _adaptive, "long hist ratings", part("rated", "j3_asof_ratings") + part("form", "w1_form") + part("meet", "w8_h2h") + _RANKED + f""", relo as ({_ROSTER_ELO.format(w='')})
+, g as (select d.game_id, home_rating as hr, away_rating as ar, coalesce(h.e, 1500) as he, coalesce(a.e, 1500) as ae, hf.form as hf, af.form as af, h2h_adjustment as m from done d join rated using (game_id) join meet using (game_id)
+  join form hf on hf.game_id = d.game_id and hf.team_id = home_team_id join form af on af.game_id = d.game_id and af.team_id = away_team_id left join relo h on h.team_id = home_team_id left join relo a on a.team_id = away_team_id),
+t as (select game_id, case when abs(hr - ar) < 100 then 0.5 * hr + 0.2 * he + 0.2 * (1500 + hf) + 0.1 * (1500 + m) else 0.7 * hr + 0.3 * he end as h, case when abs(hr - ar) < 100 then 0.5 * ar + 0.2 * ae + 0.2 * (1500 + af) + 0.1 * (1500 - m) else 0.7 * ar + 0.3 * ae end as a from g),
+p as (select *, {EXP.format(a='h', b='a', ha=60)} as p, {_CAPS.format(d='(h - a)')} as c from t)
+select game_id, round(h + 1e-8, 5) as home_final, round(a + 1e-8, 5) as away_final, round({_CAP.format(p='p', c='c')} + 1e-8, 5) as home_win_prob from p""")
+_LIGHT = part("rated", "j3_asof_ratings") + part("tier", "w3_momentum_tiers") + part("meet", "w10_h2h_margin") + f"""
+, t as (select d.game_id, home_score > away_score as hw, home_rating + 0.07 * h2h_margin + 0.05 * h.tier_points as h, away_rating - 0.07 * h2h_margin + 0.05 * a.tier_points as a from done d join rated using (game_id) join meet using (game_id)
+  join tier h on h.game_id = d.game_id and h.team_id = home_team_id join tier a on a.game_id = d.game_id and a.team_id = away_team_id), p as (select *, {EXP.format(a='h', b='a', ha=60)} as p from t)
+"""
+query("r14_predict_light", lambda f: rounded(P.predict_light(f.done, f.hist, f.done).select("game_id", "home_final", "home_win_prob"), "home_final", "home_win_prob", digits=5, nudge=1e-8), "long hist", _LIGHT + "select game_id, round(h + 1e-8, 5) as home_final, round(p + 1e-8, 5) as home_win_prob from p")
+query("r15_backtest", lambda f: P.backtest(P.predict_light(f.done, f.hist, f.done)).agg(F.count("*").alias("games"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy")), "long hist", _LIGHT + "select count(*) as games, round(avg(cast((p > 0.5) = hw as int)), 6) as accuracy from p")
 query("r16_track", lambda f: P.track(f.pred.drop("correct"), f.pred.where("game_id % 3 = 0"), AS_OF, 30).select("game_id", "correct"), "pred", f"select game_id, (home_win_prob > 0.5) = (home_score > away_score) as correct from pred where game_id % 3 <> 0 and date between {DAY} - 30 and {DAY}")
 
 
