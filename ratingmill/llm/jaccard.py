@@ -5,13 +5,17 @@
    number of shingles, so among enough groups at least one holds the same shingles in both:
    each set sends one row for each group, keyed by what the group holds, and sets that meet
    under no key cannot link. Rows grow with the text, never with the square of anything.
-3. Sets that meet, directly or through others, form a candidate block. Within it a
-   count-vector R-tree finds partners: points are the numbers of shingles in each group, a
-   box's summed coordinate minima with the query bound the overlap from above, and the pairs
-   that survive are verified on the sets themselves. Pairs that are connected already are
-   not verified again. Blocks are cut by set size into chunks of a bounded size, and only
-   chunks whose sizes can link are put together.
-4. Links are joined into components; the smallest ``doc_id`` names each.
+3. Sets that meet under a key are looked up in a count-vector R-tree: points are numbers of
+   shingles in ``POINT`` groups, and a box's summed coordinate minima with the query bound the
+   overlap from above. Of a key's sets only those stay together that bounds that reach the
+   threshold connect; so a shared passage alone doesn't join documents. A key with more than
+   ``MOST`` sets keeps them all together.
+4. Sets that stay together, directly or through others, form a block. There the R-tree (with
+   points of more groups for larger sets) finds each set's possible partners, and the surviving
+   pairs are verified on the sets themselves, but for pairs that are connected already. Blocks
+   are cut by set size into chunks of a bounded size, and only chunks whose sizes can link are
+   put together.
+5. Links are joined into components; the smallest ``doc_id`` names each.
 
 Shingles that a bounded sample of documents shows to be common are left out of the keys of sets
 that keep enough others. Leaving out a fixed list of shingles never adds differences, so that
@@ -43,6 +47,9 @@ COMMON_IN = 4
 COMMON_MOST = 200_000
 #: Shingles of the sets that one chunk of a block holds.
 CHUNK = 1 << 20
+#: Groups of the point that every set carries to its keys, and sets that one key bounds.
+POINT = 64
+MOST = 8192
 #: Candidate ids up to which their table is broadcast.
 BROADCAST_ROWS = 1_000_000
 LEAF = 32
@@ -162,6 +169,29 @@ class CountTree:
         return np.concatenate(found), np.concatenate(bounds)
 
 
+def step(size: int) -> int:
+    """What one unit of a carried point's coordinates stands for; 1 up to a million shingles."""
+    return 1 << max(0, size.bit_length() - 20)
+
+
+def point(names: np.ndarray) -> bytes:
+    counts = np.bincount((names >> np.uint64(58)).astype(np.int64), minlength=POINT)
+    return (-(-counts // step(len(names)))).astype("<u2").tobytes()
+
+
+def together(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the number of the first one that bounds connect it with."""
+    label = np.arange(len(sizes))
+    tree = CountTree(counts, sizes, percent)
+    for x in range(len(sizes) - 1):
+        near, _ = tree.search(counts[x], int(sizes[x]))
+        met = label[near[near > x]]
+        if len(met) and (met != label[x]).any():
+            met = np.append(np.unique(met), label[x])
+            label[np.isin(label, met)] = met.min()
+    return label
+
+
 def links(members: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
     """For each set of a block the number of the first set that links connect it with.
     Sets of chunk 0 and 1 are compared across, and within where all are of chunk 0."""
@@ -188,11 +218,13 @@ def links(members: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarr
 def _profiles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, node = [], []
+            size, node, counts = [], [], []
             for s in sets(batch.column(1), width):
                 size.append(len(s))
                 node.append(name(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
+                counts.append(point(s) if len(s) else None)
+            new = [pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], ["doc_id", "n_shingles", "node", "point"])
 
     return run
 
@@ -255,6 +287,53 @@ def _members(width: int):
     return run
 
 
+def _bounded(percent: int):
+    """Rows ``key, node, n, point`` sorted by key and n; edges of what stays together out."""
+
+    def solve(nodes: list[int], sizes: list[int], points: list[bytes]) -> Iterator[tuple[int, int]]:
+        n = np.array(sizes)
+        counts = np.frombuffer(b"".join(points), "<u2").reshape(-1, POINT).astype(np.int64) * np.array([[step(x)] for x in sizes])
+        if len(n) == 2:
+            p = percent
+            if np.minimum(counts[0], counts[1]).sum() * (100 + p) >= p * n.sum() and p * n.max() <= 100 * n.min():
+                yield nodes[1], nodes[0]
+            return
+        for x, first in enumerate(together(counts, n, percent).tolist()):
+            if x != first:
+                yield nodes[x], nodes[first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        held, of, head = ([], [], []), None, None
+        for batch in batches:
+            for key, node, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != of:
+                    if len(held[0]) > 1:
+                        found.update(solve(*held))
+                    held, of, head = ([], [], []), key, None
+                if head is None and len(held[0]) == MOST:
+                    head = held[0][0]
+                    found.update((x, head) for x in held[0][1:])
+                    held = ([], [], [])
+                if head is not None:
+                    found.add((node, head))
+                else:
+                    for values, v in zip(held, (node, n, counts), strict=True):
+                        values.append(v)
+            if len(found) > 20_000:
+                yield _edges(found)
+                found = set()
+        if len(held[0]) > 1:
+            found.update(solve(*held))
+        yield _edges(found)
+
+    return run
+
+
+def _edges(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+
 def _blocks(percent: int):
     """Rows ``block, i, j, side, node, set`` sorted by the first three; edges out."""
 
@@ -300,17 +379,21 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     times the union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    profiles = settle(docs.mapInArrow(_profiles(width), "doc_id long, n_shingles long, node long"))
+    profiles = settle(docs.mapInArrow(_profiles(width), "doc_id long, n_shingles long, node long, point binary"))
+    sized = profiles.where("node is not null").groupBy("node")
+    sized = settle(sized.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     rows = docs.select("text").mapInArrow(_signatures(width, percent, common), "key long, node long")
     first = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    meet = components(rows.withColumn("to", first).where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
+    shared = rows.withColumn("to", first).where("node <> to").select("key", F.explode(F.array("node", "to")).alias("node")).distinct()
+    shared = shared.join(sized.select("node", "n", "point"), "node").select("key", "node", "n", "point")
+    shared = shared.repartition("key").sortWithinPartitions("key", "n", "node")
+    meet = components(shared.mapInArrow(_bounded(percent), "a long, b long"))
 
     # one document for each node that meets others, and these sets' chunks
-    sized = profiles.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     running = Window.partitionBy("label").orderBy("n", "node")
     nodes = settle(
-        meet.join(sized, "node").withColumn("chunk", F.floor(F.sum("n").over(running) / CHUNK)).select("node", "label", "chunk", "n", "doc_id")
+        meet.join(sized.drop("point"), "node").withColumn("chunk", F.floor(F.sum("n").over(running) / CHUNK)).select("node", "label", "chunk", "n", "doc_id")
     )
     chunks = nodes.groupBy("label", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("many"))
     left, right = chunks.alias("x"), chunks.alias("y")
