@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.base import settle, small
+from ratingmill.llm.base import settle
 
 #: Verdict, host, path prefix; fixed by the task.
 RULES = (
@@ -38,7 +38,6 @@ DIFFERS = 9.0
 #: Pages of the common share of bad ones that smoothing adds.
 SMOOTHING = 10.0
 REJECT = 0.5
-BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,7 +68,8 @@ def basic(path_) -> "F.Column":
 def generalise(counts: DataFrame) -> DataFrame:
     """``host, template`` with its ``final`` form, in which rare segments are wildcards too."""
     now = counts.withColumn("part", F.split("template", "/")).withColumn("final", F.lit(""))
-    for k in range(1, DEPTH + 2):
+    deepest = counts.agg(F.max(F.size(F.split("template", "/")))).first()[0] or 1
+    for k in range(1, min(deepest, DEPTH + 2)):
         has = F.size("part") > k
         now = now.withColumn("own", F.when(has, F.get("part", F.lit(k))))
         kids = now.where(has).groupBy("host", "final", "own").agg(F.sum("n").alias("many"))
@@ -77,7 +77,7 @@ def generalise(counts: DataFrame) -> DataFrame:
         rare = kids.join(nodes.where(F.col("kids") > SIBLINGS), ["host", "final"]).where(F.col("many") * RARE < F.col("total")).select("host", "final", "own", F.lit(True).alias("rare"))
         now = now.join(rare, ["host", "final", "own"], "left")
         step = F.concat("final", F.lit("/"), F.when(F.col("rare"), F.lit("*")).otherwise(F.col("own")))
-        now = now.withColumn("final", F.when(has, step).otherwise(F.col("final"))).drop("rare")
+        now = settle(now.withColumn("final", F.when(has, step).otherwise(F.col("final"))).drop("rare"))
     return now.select("host", "template", "final")
 
 
@@ -95,7 +95,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
         )
     )
     finals = settle(counts.join(generalise(counts.select("host", "template", "n")), ["host", "template"]).select("host", "template", "final", "known", "bad"))
-    total = finals.agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
+    all_known, all_bad = (float(x or 0) for x in finals.agg(F.sum("known"), F.sum("bad")).first())
+    common = all_bad / all_known if all_known else 0.0
     # nodes on the way from the root: the host itself is level 0
     by = finals.groupBy("host", "final").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
     levels = F.explode(F.sequence(F.lit(0), F.size(F.split("final", "/")) - 1)).alias("level")
@@ -104,16 +105,16 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     ways = by.select("host", "final", "known", "bad", levels).select("*", node.alias("node"), parent.alias("parent"))
     nodes = settle(ways.groupBy("host", "level", "node", "parent").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")))
     up = nodes.select("host", F.col("node").alias("parent"), (F.col("level") + 1).alias("level"), F.col("known").alias("up_known"), F.col("bad").alias("up_bad"))
-    against = nodes.join(up, ["host", "parent", "level"], "left").crossJoin(F.broadcast(total))  # one row
-    top_known, top_bad = F.coalesce("up_known", "all_known").cast("double"), F.coalesce("up_bad", "all_bad").cast("double")
+    against = nodes.join(up, ["host", "parent", "level"], "left")
+    top_known, top_bad = F.coalesce("up_known", F.lit(all_known)), F.coalesce("up_bad", F.lit(all_bad))
     known, bad_ = F.col("known").cast("double"), F.col("bad").cast("double")
     p = top_bad / top_known
     stands_out = (known > 0) & (F.pow(bad_ / known - p, F.lit(2.0)) * known > DIFFERS * p * (1 - p))
-    share = (bad_ + SMOOTHING * F.col("all_bad") / F.col("all_known")) / (known + SMOOTHING)
+    share = (bad_ + SMOOTHING * common) / (known + SMOOTHING)
     out = against.where(stands_out).select("host", "level", "node", share.alias("share"))
     best = ways.select("host", "final", "level", "node").join(out, ["host", "level", "node"]).groupBy("host", "final").agg(F.max_by("share", "level").alias("share"))
-    result = finals.join(best, ["host", "final"], "left").select("host", "template", "final", "share")
-    joined = base.join(small(result, BROADCAST_ROWS), ["host", "template"], "left")
+    result = settle(finals.join(best, ["host", "final"], "left").select("host", "template", "final", "share"))
+    joined = base.join(result, ["host", "template"], "left")
     own = F.when(F.coalesce("share", F.lit(0.0)) >= REJECT, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.col("final").alias("template"), F.round("share", 6).alias("bad_share"))
 
