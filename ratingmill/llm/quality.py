@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingmill.llm.base import held_out
-from ratingmill.llm.text import SPACED, mix, words
+from ratingmill.llm.text import SLICE, SPACED, mix, words
 
 #: Labelled documents of each class that training takes at most, and characters of each.
 SAMPLE_DOCS = 1500
@@ -36,11 +36,11 @@ GRAMS = (3, 4)
 _SAME = 7
 
 
-def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def features(column: pa.Array, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """For parts of a batch: rows of the table, the documents they are of, and how many
     documents the part has. Repeated features come repeatedly."""
     mask = np.uint64(BUCKETS - 1)
-    for w in words(column, SPACED, fold=False):
+    for w in words(column, SPACED, fold=False, size=size):
         n = w.high - w.low
         doc_of_byte = np.repeat(np.arange(n), np.diff(w.text))
         doc_of_word = np.repeat(np.arange(n), np.diff(w.first))
@@ -89,11 +89,11 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 1) -> M
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     docs = []
-    for rows, of, n in features(pa.array(texts, pa.large_string())):
+    for rows, of, n in features(pa.array(texts, pa.large_string()), SLICE >> 2):
         order = np.argsort(of, kind="stable")
         for part in np.split(rows[order], np.searchsorted(of[order], np.arange(1, n))):
             ids, many = np.unique(part, return_counts=True)
-            docs.append((ids, (many / max(1, len(part))).astype(np.float32)[:, None]))
+            docs.append((ids.astype(np.int32), (many / max(1, len(part))).astype(np.float32)[:, None]))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
     top, bias = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -126,15 +126,17 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 1) -> M
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Model:
     """A model of ``labels.quality`` from rows that aren't held out, at most about ``most`` of
     each class, chosen by a hash of their ids."""
-    known = docs.where(~held_out(F.col("doc_id"))).join(
+    known = docs.select("doc_id").where(~held_out(F.col("doc_id"))).join(
         labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label")), "doc_id"
     )
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for label, n in count.items():
         share = F.when(F.col("label") == label, min(1.0, most / n)).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = picked.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * most).collect()
+    # ids first, so that texts are read where they lie and only the sample's move
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).distinct().limit(4 * most)
+    texts = docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), "label")
+    rows = sorted(texts.limit(8 * most).collect(), key=lambda r: (r["doc_id"], r["text"]))
     total = sum(count.values())
     return train([r["text"] for r in rows], [r["label"] for r in rows], count.get(1, 0) / total if total else 1.0)
 
