@@ -202,6 +202,12 @@ def injury_impact(roster: DataFrame, ratings: DataFrame, injured: DataFrame) ->
     return out.withColumn("impact", F.col("injured_elo") - F.col("full_elo"))
 
 
+def player_impact(injured: DataFrame, ratings: DataFrame, share: float = 0.3, default: float = BASE) -> DataFrame:
+    """What each injured player's absence costs by rating alone."""
+    out = injured.join(ratings.select("player_id", "rating"), "player_id", "left").withColumn("rating", F.coalesce("rating", F.lit(default)))
+    return out.withColumn("player_impact", (F.col("rating") - BASE) * share)
+
+
 def concentration(roster: DataFrame, ratings: DataFrame) -> DataFrame:
     """How much a team leans on its best player."""
     r = roster.join(ratings.select("player_id", "rating"), "player_id")

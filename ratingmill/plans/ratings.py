@@ -63,6 +63,10 @@ select player_id, round(1500 + (r - 1500) * pow(0.67, (select max(c) from p) - c
 query("r4_player_ratings", lambda f: rounded(R.player_ratings(R.player_elo(f.box), f.roster.where("position = 'C'").select("player_id", F.lit(1.08).alias("position_multiplier"))).select("player_id", "raw_rating", "rating", "last_season"), "raw_rating", "rating", digits=5), "box roster", _R3 + """
 , l as (select player_id, arg_max(after, (date, game_id)) as r, arg_max(c, (date, game_id)) as c, arg_max(yr, (date, game_id)) as last_season from p group by 1), x as (select player_id, 1500 + (r - 1500) * pow(0.67, (select max(c) from p) - c) as raw, last_season from l)
 select player_id, round(raw, 5) as raw_rating, round(raw * case when player_id in (select player_id from roster where position = 'C') then 1.08 else 1 end, 5) as rating, last_season from x""")
+query("w18_player_change_days", lambda f: rounded(W.elo_change_days(R.player_elo(f.box), AS_OF, 30, "player_id"), "now", "then", "change", nudge=1e-8), "box", _R3 + f"""
+, n as (select player_id, arg_max(after, (date, game_id)) as n from p where date <= {DAY} group by 1), t as (select player_id, arg_max(after, (date, game_id)) as t from p where date <= {DAY} - 30 group by 1)
+select player_id, round(n + 1e-8, 6) as now, round(t + 1e-8, 6) as "then", round(n - t + 1e-8, 6) as change from n join t using (player_id)""")
+query("r3_by_bpm", lambda f: rounded(R.player_elo(S.bpm(f.box), metric="bpm").groupBy("player_id").agg(F.sum("rating_change").alias("total"), F.count("*").alias("games")), "total", digits=4))
 query("f21_bpm", lambda f: rounded(S.bpm(f.box).select("game_id", "player_id", "bpm", "obpm", "dbpm"), "bpm", "obpm", "dbpm", digits=5, nudge=1e-8), "box", """
 , o as (select *, (points / minutes * 36 - 15) * 0.12 + (case when fg_attempted + 0.44 * ft_attempted > 0 then points / (2 * (fg_attempted + 0.44 * ft_attempted)) else 0.55 end - 0.55) * 15 + (assists / minutes * 36 - 3) * 0.6 + (rebounds / minutes * 36 - 7) * 0.3 - (turnovers / minutes * 36 - 2) * 0.8 as o from box),
 d as (select *, (steals / minutes * 36 - 1.2) * 1.2 + (blocks / minutes * 36 - 0.8) + (defensive_rebounds / minutes * 36 - 5) * 0.2 + (plus_minus / minutes * 36 - o) * 0.3 as d from o)
@@ -76,6 +80,7 @@ j as (select k.team_id, rk, greatest(-80, -(rating - m) / 10 * case when rk <= 3
 s as (select team_id, greatest(-150, sum(v)) as adj, count(*) filter (rk <= 3) as a, count(*) filter (rk between 4 and 7) as b, count(*) filter (rk between 8 and 10) as c, count(*) filter (rk > 10) as d from j group by 1)"""
 query("r7_injury_adjustment", lambda f: rounded(R.injury_adjustment(f.roster, f.ratings, _out(f)), "injury_adjustment"), "ratings injuries", _INJ + " select t.team_id, round(coalesce(adj, 0), 6) as injury_adjustment, coalesce(a, 0) as stars_out, coalesce(b, 0) as starters_out, coalesce(c, 0) as rotation_out, coalesce(d, 0) as bench_out from (select distinct team_id from roster) t left join s using (team_id)")
 query("r8_injury_impact", lambda f: rounded(R.injury_impact(f.roster, f.ratings, _out(f)), "full_elo", "injured_elo", "impact"), "ratings injuries", _RANKED + f", a as ({_ROSTER_ELO.format(w='')}), b as ({_ROSTER_ELO.format(w=f'where player_name not in {_INJURED}')}) select a.team_id, round(a.e, 6) as full_elo, round(coalesce(b.e, 1500), 6) as injured_elo, round(coalesce(b.e, 1500) - a.e, 6) as impact from a left join b using (team_id)")
+query("r8_player_impact", lambda f: rounded(R.player_impact(_out(f), f.ratings.where("player_id % 2 = 0")).select("player_id", "team_id", "player_impact"), "player_impact"), "ratings injuries", "select i.player_id, team_id, round((coalesce(rating, 1500) - 1500) * 0.3, 6) as player_impact from injuries i left join ratings r on r.player_id = i.player_id and r.player_id % 2 = 0 where status in ('out', 'doubtful')")
 _CON = _RANKED + """, c as (select team_id, max(rating) as t, coalesce(max(rating) filter (rk = 2), 1500) as s, avg(rating) as m, avg(rating) filter (rk <= 5) as v from k group by 1),
 q as (select *, (t - m) * case when t >= 2000 then 0.4 when t >= 1900 then 0.3 else 0.2 end as bonus, least((t - s) / 200, 1) as risk, v - 1500 as depth from c)"""
 query("r9_concentration", lambda f: rounded(R.concentration(f.roster, f.ratings), "top_player_bonus", "concentration_risk", "top_5_depth", "concentration_ratio"), "ratings", _CON + """
