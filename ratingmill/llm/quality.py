@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Model:
         share = F.when(F.col("label") == label, min(1.0, most / n)).otherwise(share)
     # ids first, so that texts are read where they lie and only the sample's move
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).distinct().limit(4 * most)
-    texts = docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), "label")
+    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")
     rows = sorted(texts.limit(8 * most).collect(), key=lambda r: (r["doc_id"], r["text"]))
     total = sum(count.values())
     return train([r["text"] for r in rows], [r["label"] for r in rows], count.get(1, 0) / total if total else 1.0)

@@ -87,7 +87,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     base = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     base = base.select("*", name.alias("rule"), verdict.alias("ruled"), basic(F.col("path")).alias("template"))
-    marked = base.join(labelled, "page_id", "left")
+    marked = base.join(labelled.select("page_id", "bad"), "page_id", "left")
     bad = F.when(F.col("bad"), 1).otherwise(0)
     counts = settle(
         marked.groupBy("host", "template").agg(

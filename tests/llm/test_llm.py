@@ -393,3 +393,25 @@ def test_pipeline(spark, sf_dir, docs, public):
             want[doc] = public.encode_ordinary(clean)
     assert {r.doc_id: r.ids for r in c.run(spark, sf_dir).collect()} == want
     assert len(want) > 50
+
+
+def test_clashing_columns(spark, odd):
+    from pyspark.sql import functions as F
+
+    names = "score predicted label node n_words hash bytes depth kept group x host bad count key spans n_tokens set chunk component_id".split()
+    docs = frame(spark, odd).withColumns({c: F.lit(1) for c in names})
+    pages = docs.select("*", F.col("doc_id").alias("page_id"), F.lit("http://a.b/c/1").alias("url"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"), "label", "count")
+    benchmark = docs.select(F.lit(1).alias("item_id"), F.lit("one two").alias("text"), "n_words")
+    results = [
+        pii.find(docs, ["doc_id"]),
+        jaccard.join(docs),
+        sharding.shard(docs),
+        urls.judge(pages, urls.page_labels(pages, labels).withColumn("host", F.lit("h"))),
+        decontam.search(docs, ["doc_id"], benchmark),
+        langid.predict(docs, ["doc_id"], langid.fit(docs)),
+        quality.score(docs, ["doc_id"], quality.fit(docs, labels)),
+        rules.judge(docs),
+        bpe.encode(docs, ["doc_id"], *bpe.vocabulary()),
+    ]
+    assert [r.count() for r in results] == [len(odd)] * len(results)
