@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BITS = 64
 #: Entries of a worker's memory of encoded words; its size changes speed, never results.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 REMEMBERED_BYTES = 64
 #: Characters of text encoded together.
-GROUP = 2 << 20
+GROUP = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -252,15 +252,18 @@ def encode(docs: DataFrame, keep: list[str], path: str, pattern: str, ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         for batch in batches:
-            coded = [c for group in groups(batch.column(batch.num_columns - 1).to_pylist(), GROUP) for c in coder.encode(group)]
-            out = [*batch.columns[:-1], pa.array([len(c) // 4 for c in coded], pa.int64())]
-            out.append(pa.array([hashlib.sha256(c).hexdigest() for c in coded]))
-            if decode:
-                out.append(pa.array([hashlib.sha256(coder.decode(c)).hexdigest() for c in coded]))
-            if ids:
-                at = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), "<i4"))))
-            names = [*keep, "n_tokens", "ids_sha256", *["decoded_sha256"] * decode, *["ids"] * ids]
-            yield pa.RecordBatch.from_arrays(out, names)
+            low = 0
+            for group in groups(batch.column(batch.num_columns - 1).to_pylist(), GROUP):
+                coded = coder.encode(group)
+                out = [c.slice(low, len(group)) for c in batch.columns[:-1]]
+                low += len(group)
+                out.append(pa.array([len(c) // 4 for c in coded], pa.int64()))
+                out.append(pa.array([hashlib.sha256(c).hexdigest() for c in coded]))
+                if decode:
+                    out.append(pa.array([hashlib.sha256(coder.decode(c)).hexdigest() for c in coded]))
+                if ids:
+                    at = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), "<i4"))))
+                yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens", "ids_sha256", *["decoded_sha256"] * decode, *["ids"] * ids])
 
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
