@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingmill.llm import bpe, decontam, jaccard, pii, quality
-from ratingmill.llm.base import settle, table
+from ratingmill.llm.base import settle, small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: five-word shingles, similarity of 0.8 or more.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
+#: Ids up to which their table is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,9 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps of each group of near copies the document that names it. Documents without words
     have no group and stay; rows that repeat a ``doc_id`` stay or go together."""
     groups = jaccard.join(docs, NEAR_WIDTH, NEAR_PERCENT)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = settle(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    # texts stay where they lie as long as the ids are few
+    return docs.join(small(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
