@@ -9,8 +9,9 @@ others. Documents beyond ``CUTOFF`` in squared Mahalanobis distance are rejected
 
 Results: null and empty texts have zero statistics and fail the base rule for few words. A null
 language or source is a group of its own. Documents that fail the base take no part in the
-estimates. Groups of fewer than ``LEAST`` documents reject none. Variances have floors, so that
-documents that all agree in a statistic don't reject one that differs a little.
+estimates. A group of fewer than ``LEAST`` documents is judged by the estimate over its language,
+and by that over all documents, however few, where the language has fewer too. Variances have
+floors, so that documents that all agree in a statistic don't reject one that differs a little.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.base import settle
+from ratingmill.llm.base import settle, small
 from ratingmill.llm.text import SPACED, runs, words
 
 WINDOW = 8
@@ -33,7 +34,12 @@ SYMBOLS = b"#*$%&|<>"
 DIMENSIONS = 5
 CORE = 0.75
 STEPS = 4
+#: Documents from which a group or a language has an estimate of its own.
 LEAST = 50
+#: The pool of all documents; names of other pools start with their kind and end in JSON.
+ALL = "all"
+#: Groups up to which their tables are broadcast.
+BROADCAST_ROWS = 10_000
 #: Squared distance; for normal data one in 10^9 lies beyond.
 CUTOFF = 52.0
 #: Consistency factor of the covariance of the most compact three quarters, five dimensions.
@@ -136,36 +142,52 @@ def distance(x: "F.Column", centre: "F.Column", inverse: "F.Column") -> "F.Colum
     return total
 
 
+def pools(counts: DataFrame) -> DataFrame:
+    """``group``, the ``own`` pool whose estimate judges it, and the ``pools`` it is part of, for the groups
+    of ``counts`` (``group, language, many``): the group, its language or ``ALL``."""
+    language = counts.groupBy("language").agg(F.sum("many").alias("of_language"))
+    own = F.when(F.col("many") >= LEAST, F.col("group")).when(F.col("of_language") >= LEAST, F.col("language")).otherwise(F.lit(ALL))
+    named = counts.join(language, "language").select("group", own.alias("own"), F.array("group", "language", F.lit(ALL)).alias("pools"))
+    # pools that judge no group need no estimate
+    used = named.select("own").distinct()
+    parts = named.select("group", F.explode("pools").alias("pool")).join(used, F.col("pool") == F.col("own"), "left_semi")
+    return named.drop("pools").join(parts.groupBy("group").agg(F.collect_list("pool").alias("pools")), "group", "left")
+
+
 def estimate(points: DataFrame) -> DataFrame:
-    """``group, n, centre, inverse`` for the groups of ``points`` (``group``, ``x``) that have
-    ``LEAST`` rows or more."""
+    """``group, n, centre, inverse`` for the groups of ``points`` (``group``, ``x``)."""
     x = [F.col("x")[k] for k in range(DIMENSIONS)]
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    start = points.groupBy("group").agg(F.count("*").alias("many"), F.array(*[middle(c) for c in x]).alias("centre")).where(F.col("many") >= LEAST)
+    near = lambda df: small(settle(df), BROADCAST_ROWS)
+    start = near(points.groupBy("group").agg(F.array(*[middle(c) for c in x]).alias("centre")))
     spread = points.join(start, "group").select("group", "centre", *[F.abs(c - F.col("centre")[k]).alias(f"d{k}") for k, c in enumerate(x)])
     spread = spread.groupBy("group").agg(F.first("centre").alias("centre"), F.array(*[middle(f"d{k}") for k in range(DIMENSIONS)]).alias("mad"))
     scale = lambda k: 1 / (F.pow(1.4826 * F.col("mad")[k], F.lit(2.0)) + FLOORS[k] ** 2)
     cells = [scale(i) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)]
-    now = settle(spread.select("group", "centre", F.array(*cells).alias("inverse")))
+    now = near(spread.select("group", "centre", F.array(*cells).alias("inverse")))
     moments = [F.count("*").alias("n"), F.array(*[F.sum(c) for c in x]).alias("sums")]
     moments.append(F.array(*[F.sum(x[i] * x[j]) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]).alias("products"))
     for _ in range(STEPS):
         far = points.join(now, "group").select("group", "x", distance(F.col("x"), F.col("centre"), F.col("inverse")).alias("far"))
-        edge = far.groupBy("group").agg(F.percentile_approx("far", CORE, 1000).alias("edge"))
+        edge = near(far.groupBy("group").agg(F.percentile_approx("far", CORE, 1000).alias("edge")))
         core = far.join(edge, "group").where("far <= edge").groupBy("group").agg(*moments)
-        now = settle(core.mapInArrow(_invert, "group string, n long, centre array<double>, inverse array<double>"))
+        now = near(core.mapInArrow(_invert, "group string, n long, centre array<double>, inverse array<double>"))
     return now
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (``doc_id, text, lang, source``) its statistics, ``base_failed``, ``kept``
-    and ``distance`` (squared; null where the group has no estimate)."""
+    and ``distance`` (squared; null only where all documents fail the base)."""
     measured = settle(measure(docs.select("doc_id", "text", "lang", "source"), ["doc_id", "lang", "source"]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    group = F.to_json(F.struct("lang", "source"))
-    measured = measured.select("doc_id", *NAMES, failed.alias("base_failed"), group.alias("group"), F.array(*vector()).alias("x"))
-    known = estimate(measured.where("not base_failed").select("group", "x"))
-    out = measured.join(known.select("group", "centre", "inverse"), "group", "left")
+    group = F.concat(F.lit("group "), F.to_json(F.struct("lang", "source"))).alias("group")
+    language = F.concat(F.lit("language "), F.to_json(F.struct("lang"))).alias("language")
+    measured = measured.select("doc_id", *NAMES, failed.alias("base_failed"), group, language, F.array(*vector()).alias("x"))
+    counts = measured.groupBy("group", "language").agg(F.count_if(~F.col("base_failed")).alias("many"))
+    judged = small(settle(pools(counts)), BROADCAST_ROWS)
+    points = measured.where("not base_failed").join(judged, "group").select(F.explode("pools").alias("group"), "x")
+    known = estimate(points).select(F.col("group").alias("own"), "centre", "inverse")
+    out = measured.join(judged.drop("pools"), "group", "left").join(known, "own", "left")
     out = out.withColumn("distance", distance(F.col("x"), F.col("centre"), F.col("inverse")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return out.select("doc_id", *NAMES, "base_failed", kept.alias("kept"), F.round("distance", 3).alias("distance"))

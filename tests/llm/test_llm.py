@@ -319,6 +319,18 @@ def test_rules_outliers(spark, odd):
     assert rules.judge(frame(spark, odd).limit(0)).count() == 0
 
 
+def test_rules_small_groups(spark):
+    """An outlier in a group too small for an estimate of its own: its language's judges it, or that of all."""
+    rng = random.Random(7)
+    text = lambda n, sym: " ".join(rng.choice(["tree", "river", "mountain", "of", "the"]) + str(rng.random())[2:4] + ("#" * sym) for _ in range(n))
+    rows = [(k, text(rng.randint(60, 200), 0), "en", f"s{k % 12}", 0) for k in range(120)]
+    rows += [(500 + k, text(rng.randint(60, 200), 0), lang, None, 0) for k, lang in enumerate(["fr", "fr", None, "de"])]
+    rows += [(1000, text(100, 9), "en", "s3", 0), (1001, text(100, 9), "en", "alone", 0), (1002, text(100, 9), "fr", None, 0), (1003, text(100, 9), None, None, 0)]
+    out = {r.doc_id: r for r in rules.judge(frame(spark, rows)).collect()}
+    assert len(out) == len(rows) and all(r.distance is not None for r in out.values())
+    assert {k for k, r in out.items() if not r.kept} == {1000, 1001, 1002, 1003}
+
+
 # tokens
 
 
