@@ -174,7 +174,7 @@ def _sims(f):
 
     table = standings(f.games, AS_OF)
     left = G.remaining(f.games, AS_OF, keep_played=True).select("game_id", "home_team_id", "away_team_id", (0.3 + (F.col("game_id") % 41) / 100).alias("p"))
-    return P.project(table, left, table.select("team_id", F.floor(F.col("team_id") / 100).alias("conference")), 200)
+    return P.project(table, left, table.select("team_id", F.floor(F.col("team_id") / 100).alias("conference")), 10_000)
 
 
 query("r20_project", lambda f: _sims(f).groupBy("team_id").agg(F.sum("wins").alias("wins"), F.count_if("playoffs").alias("playoffs")))
