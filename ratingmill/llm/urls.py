@@ -10,8 +10,8 @@ All of it is SQL. Pages are reduced to counts for each host and template, with p
 before the tree is built; the result is joined back by host and template.
 
 Results: a null url, or one without ``://``, has an empty host and path, matches no rule and is
-judged like any other host without segments. Templates have at most ``DEPTH`` segments; the rest of a
-longer path is one more wildcard. Repeated rows each keep their row and each count.
+judged like any other host without segments. Templates are as deep as their paths, and each level
+of the deepest one takes a round of jobs. Repeated rows each keep their row and each count.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DEPTH = 4
 #: A segment is variable if it has over SIBLINGS siblings and less than one in RARE of their pages.
 SIBLINGS = 20
 RARE = 20
@@ -60,16 +59,15 @@ def rule(host_, path_, rules=RULES) -> tuple["F.Column", "F.Column"]:
 
 
 def basic(path_) -> "F.Column":
-    """The path with segments that carry a digit as wildcards, at most DEPTH of its own."""
-    bare = F.regexp_replace(F.regexp_replace(path_, r"[^/]*[0-9][^/]*", "*"), r"/+$", "")
-    return F.regexp_replace(bare, rf"(?s)^((?:/[^/]*){{{DEPTH}}})/.*$", "$1/*")
+    """The path with segments that carry a digit as wildcards."""
+    return F.regexp_replace(F.regexp_replace(path_, r"[^/]*[0-9][^/]*", "*"), r"/+$", "")
 
 
 def generalise(counts: DataFrame) -> DataFrame:
     """``host, template`` with its ``final`` form, in which rare segments are wildcards too."""
     now = counts.withColumn("part", F.split("template", "/")).withColumn("final", F.lit(""))
     deepest = counts.agg(F.max(F.size(F.split("template", "/")))).first()[0] or 1
-    for k in range(1, min(deepest, DEPTH + 2)):
+    for k in range(1, deepest):
         has = F.size("part") > k
         now = now.withColumn("own", F.when(has, F.get("part", F.lit(k))))
         kids = now.where(has).groupBy("host", "final", "own").agg(F.sum("n").alias("many"))

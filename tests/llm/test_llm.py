@@ -219,6 +219,15 @@ def test_url_tree(spark):
     assert urls.judge(pages.limit(0), labels).count() == 0
 
 
+def test_url_tree_below_four_segments(spark):
+    rows = [(k, f"http://h.net/a/b/c/d/{'spam' if k % 2 else 'news'}/e/{k}") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2 == 1) for k in range(100)], "page_id long, bad boolean")
+    out = {r.page_id: r for r in urls.judge(pages, labels).collect()}
+    assert all(out[k].verdict == ("block" if k % 2 else "allow") for k in range(200))
+    assert out[1].template == "/a/b/c/d/spam/e/*" and out[2].template == "/a/b/c/d/news/e/*"
+
+
 # decontamination
 
 
