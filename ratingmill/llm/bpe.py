@@ -2,10 +2,15 @@
 
 A pre-token is a doubly linked list of byte runs. Every mergeable pair waits, by the place
 of its left run, in the bucket of its merge rank. A bitmap over ranks, with summary bitmaps
-above it, gives the lowest rank in use by find-first-set. Within a bucket the leftmost place
-goes first. A merge may spoil entries of its neighbours; they stay, and are skipped when met.
+above it, gives the lowest rank in use by find-first-set. Within a bucket places go from left to
+right. A merge may spoil entries of its neighbours; they stay, and are skipped when met.
 A pre-token of n bytes takes O(n log n) time, where scanning all pairs again after each merge
-takes O(n^2).
+takes O(n^2). All new pre-tokens of a slice of text share one queue; a bucket with many places is
+merged by numpy at once, where no such merge can make a pair of a lower rank.
+
+Texts are cut into stretches before each space that no white space precedes; the pattern's
+pre-tokens never reach over such a cut. Within a slice short stretches are told apart by 64-bit
+names, so that each is looked up once, and a worker remembers the ids of those it met.
 
 Results: null text counts as empty; an empty text has no ids. Texts of any length are encoded
 whole, one pre-token at a time.
@@ -15,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +28,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ratingmill.llm.text import hashed, slices, utf8
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BITS = 64
-#: Entries of a worker's memory of encoded words; its size changes speed, never results.
-REMEMBERED = 100_000
-REMEMBERED_BYTES = 64
-#: Characters of text encoded together.
-GROUP = 1 << 19
+#: Bytes of each of the two generations of a worker's memory of stretches, what one takes besides
+#: its text and ids, and the longest one remembered. They change speed, never results.
+REMEMBERED = 40 << 20
+ENTRY = 200
+LONGEST = 64
+#: Bytes of text that are encoded together; a longer text stands alone.
+GROUP = 2 << 20
+#: Places from which numpy merges a bucket.
+MANY = 24
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -77,15 +90,34 @@ class RankQueue:
         return rank, places
 
 
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin[k] .. begin[k] + size[k] - 1 for all k in a row."""
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - size), size)
+
+
+def after_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the byte before each place ends a white-space character."""
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    wide |= (three == 0xE1) & (two == 0x9A) & (one == 0x80)
+    wide |= (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    wide |= (three == 0xE2) & (two == 0x81) & (one == 0x9F)
+    return _SPACES[one] | wide | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+
+
 class Encoder:
     """Encodes and decodes by a table of ranks, as public tokenizers for it do."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.wall = max(ranks.values(), default=-1) + 1
-        self.tokens = [b""] * self.wall
+        tokens = [b""] * self.wall
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+        self.raw = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
         self.width = self.wall + 1
         self.pairs = {
             ranks[token[:k]] * self.width + ranks[token[k:]]: rank
@@ -93,44 +125,82 @@ class Encoder:
             for k in range(1, len(token))
             if token[:k] in ranks and token[k:] in ranks
         }
+        self.keys = np.array(sorted(self.pairs) or [-1], np.int64)
+        self.made = np.array([self.pairs.get(k, -1) for k in self.keys.tolist()], np.int64)
+        left, right = np.divmod(self.keys, self.width)
+        #: Ranks after which a merge may give a pair of a lower rank.
+        self.falls = set(left[self.made < left].tolist()) | set(right[self.made < right].tolist())
         self.byte = np.array([ranks.get(bytes([b]), self.wall) for b in range(256)])
         self.first = np.array([[self.pairs.get(a * self.width + b, -1) for b in self.byte.tolist()] for a in self.byte.tolist()])
         self.queue = RankQueue(max(1, self.wall))
         self.split = regex.compile(pattern).findall
-        self.heads, self.young, self.old = {}, {}, {}
-        self.pieces: dict[str, bytes] = {}
+        self.young, self.old, self.held = {}, {}, 0
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge ranks of pairs of tokens, -1 without one."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], -1)
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each pre-token as little-endian 32-bit integers. All pre-tokens go through
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens in a row, and how many each has. All pre-tokens go through
         one queue; a wall that pairs with nothing stands before, between and after them."""
-        whole = [self.ranks.get(p) for p in pieces]
-        open_ = [p for p, rank in zip(pieces, whole, strict=True) if rank is None]
-        sizes = np.array([len(p) for p in open_], np.int64)
+        sizes = np.array([len(p) for p in pieces], np.int64)
         begin = np.cumsum(sizes + 1) - sizes
-        n = int(sizes.sum()) + len(open_) + 1
+        n = int(sizes.sum()) + len(pieces) + 1
         inside = np.ones(n, bool)
         inside[np.append(0, begin + sizes)] = False
         raw = np.zeros(n, np.uint8)
-        raw[inside] = np.frombuffer(b"".join(open_), np.uint8)
-        token = np.where(inside, self.byte[raw], self.wall)
-        pair = np.full(n, -1)
-        pair[:-1] = np.where(inside[:-1] & inside[1:], self.first[raw[:-1], raw[1:]], -1)
-        order = np.flatnonzero(pair >= 0)
-        order = order[np.argsort(pair[order], kind="stable")]
-        used, at = np.unique(pair[order], return_index=True)
-        queue, known, width = self.queue, self.pairs.get, self.width
+        raw[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        # the same memory as quick Python arrays and as numpy ones
+        lists = [array("q", bytes(8 * n)) for _ in range(4)]
+        token, pair, after, before = lists
+        tokens, pairs, afters, befores = (np.frombuffer(x, np.int64) for x in lists)
+        tokens[:] = np.where(inside, self.byte[raw], self.wall)
+        pairs[:] = -1
+        pairs[:-1] = np.where(inside[:-1] & inside[1:], self.first[raw[:-1], raw[1:]], -1)
+        afters[:], befores[:] = np.arange(1, n + 1), np.arange(-1, n - 1)
+        gone = np.zeros(n, bool)
+        order = np.flatnonzero(pairs >= 0)
+        order = order[np.argsort(pairs[order], kind="stable")]
+        used, at = np.unique(pairs[order], return_index=True)
+        queue, known, width, falls = self.queue, self.pairs.get, self.width, self.falls
         for rank, places in zip(used.tolist(), np.split(order, at[1:]), strict=True) if len(used) else ():
             queue.open(rank, places.tolist())
-        token, pair, after, before = token.tolist(), pair.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
         buckets = queue.buckets
+        dead = []
         while buckets:
             rank, places = queue.take()
+            if len(places) > MANY and rank not in falls:
+                place = np.array(places)
+                place = place[(pairs[place] == rank) & np.append(True, place[1:] != place[:-1])]  # not stale
+                if not len(place):
+                    continue
+                # of a chain of places that overlap, the first, third and so on
+                spot = np.arange(len(place))
+                chained = np.append(False, afters[place[:-1]] == place[1:])
+                place = place[(spot - np.maximum.accumulate(np.where(chained, 0, spot))) % 2 == 0]
+                right = afters[place]
+                follow = afters[right]
+                tokens[place], pairs[right], afters[place], befores[follow], gone[right] = rank, -1, follow, place, True
+                left = befores[place]
+                low, made = self.rank_of(tokens[left], tokens[place]), self.rank_of(tokens[place], tokens[follow])
+                pairs[left], pairs[place] = low, made
+                for new, where in ((low, left), (made, place)):
+                    fits = new >= 0
+                    for x, place_ in zip(new[fits].tolist(), where[fits].tolist(), strict=True):
+                        if x in buckets:
+                            buckets[x].append(place_)
+                        else:
+                            queue.open(x, [place_])
+                continue
             for k, place in enumerate(places):
                 if pair[place] != rank:  # stale
                     continue
                 right = after[place]
                 follow = after[right]
                 token[place], pair[right], after[place], before[follow] = rank, -1, follow, place
+                dead.append(right)
                 left = before[place]
                 low = pair[left] = known(token[left] * width + rank, -1)
                 if low >= 0:
@@ -148,82 +218,106 @@ class Encoder:
                     if rest := places[k + 1 :]:
                         queue.open(rank, rest) if rank not in buckets else buckets[rank].extend(rest)
                     break
-        follow, spots = np.array(after), np.arange(n)
-        alive = follow[np.maximum(before, 0)] == spots  # the left neighbour still leads to it
-        keep = np.flatnonzero(alive & inside)
-        ids = np.array(token, dtype="<u4")[keep]
-        cut = np.searchsorted(keep, begin)
-        made = iter(p.tobytes() for p in np.split(ids, cut[1:])) if len(begin) else iter(())
-        return [next(made) if rank is None else np.array([rank], "<u4").tobytes() for rank in whole]
-
-    def learn(self, parts: list[str]) -> list[bytes]:
+        gone[dead] = True
+        keep = np.flatnonzero(inside & ~gone)
+        many = np.searchsorted(keep, begin + sizes) - np.searchsorted(keep, begin)
+        return tokens[keep].astype("<u4"), many
+
+    def learn(self, stretches: list[bytes]) -> list[bytes]:
         """Ids of stretches of text that are split on their own."""
-        split = [self.split(p) for p in parts]
-        new = list({x for pieces in split for x in pieces}.difference(self.pieces))
-        if len(self.pieces) + len(new) > 2 * REMEMBERED:
-            self.pieces = {}
-            new = list({x for pieces in split for x in pieces})
-        self.pieces.update(zip(new, self.merge([x.encode() for x in new]), strict=True))
-        of = self.pieces.__getitem__
-        out = [of(pieces[0]) if len(pieces) == 1 else b"".join(map(of, pieces)) for pieces in split]
-        for x in new:
-            if len(x) > REMEMBERED_BYTES:
-                del self.pieces[x]
+        if not stretches:
+            return []
+        # those that begin with a space and end without white space can be split in a row
+        plain = [s[:1] == b" " and (s[-1] < 128 and not _SPACES[s[-1]]) for s in stretches]
+        row = iter(self.split(b"".join(s for s, p in zip(stretches, plain, strict=True) if p).decode()))
+        pieces, ends = [], []
+        for s, p in zip(stretches, plain, strict=True):
+            if p:
+                left = len(s)
+                while left:
+                    pieces.append(next(row).encode())
+                    left -= len(pieces[-1])
+            else:
+                pieces += [x.encode() for x in self.split(s.decode())]
+            ends.append(len(pieces))
+        number = {}
+        for x in pieces:
+            number.setdefault(x, len(number))
+        own = list(number)
+        whole = [self.ranks.get(x, -1) for x in own]
+        ids, many = self.merge([x for x, rank in zip(own, whole, strict=True) if rank < 0])
+        raw, at = ids.tobytes(), (4 * np.cumsum(many)).tolist()
+        made, low = [], 0
+        rest = iter(at)
+        for rank in whole:
+            if rank < 0:
+                high = next(rest)
+                made.append(raw[low:high])
+                low = high
+            else:
+                made.append(rank.to_bytes(4, "little"))
+        out, low = [], 0
+        for high in ends:
+            out.append(made[number[pieces[low]]] if high - low == 1 else b"".join([made[number[x]] for x in pieces[low:high]]))
+            low = high
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text as little-endian 32-bit integers.
-
-        Pre-tokens never reach from a character that isn't white space over a space, so
-        a text can be cut before each space unless white space stands before one."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        if len(self.heads) > REMEMBERED:
-            self.heads = {}
-        crowded = [bool(_CROWDED(t)) for t in texts]
-        cut = [None if c else t.split(" ") for t, c in zip(texts, crowded, strict=True)]
-        heads = list({c[0] for c in cut if c}.difference(self.heads))
-        self.heads.update(zip(heads, self.learn(heads), strict=True))
+    def look_up(self, stretches: list[bytes]) -> list[bytes]:
+        """Ids of stretches, from memory where it has them."""
         young, old = self.young, self.old
-        wanted = set()
-        for c in cut:
-            if c:
-                wanted.update(c[1:])
-        wanted.difference_update(young)
-        new = []
-        for w in wanted:
-            if (ids := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = ids
-        young.update(zip(new, self.learn([" " + w for w in new]), strict=True))
-        of = young.__getitem__
-        rest = iter(self.learn([t for t, c in zip(texts, crowded, strict=True) if c]))
-        out = [next(rest) if c is None else self.heads[c[0]] + b"".join(map(of, c[1:])) for c in cut]
-        for seen, names in ((self.heads, heads), (young, new)):
-            for w in names:
-                if len(w) > REMEMBERED_BYTES:
-                    del seen[w]
+        out = [young.get(s) for s in stretches]
+        fresh = [s for s, ids in zip(stretches, out, strict=True) if ids is None]
+        if fresh:
+            fresh = list(dict.fromkeys(fresh))
+            found = {s: old.get(s) for s in fresh}
+            new = [s for s, ids in found.items() if ids is None]
+            found.update(zip(new, self.learn(new), strict=True))
+            out = [found[s] if ids is None else ids for s, ids in zip(stretches, out, strict=True)]
+            for s, ids in found.items():
+                if len(s) <= LONGEST:
+                    young[s] = ids
+                    self.held += len(s) + len(ids) + ENTRY
+            if self.held > REMEMBERED:
+                self.old, self.young, self.held = young, {}, 0
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-def groups(texts: list[str | None], size: int) -> Iterator[list[str]]:
-    """Texts in groups of about ``size`` characters; null counts as empty."""
-    group, held = [], 0
-    for text in texts:
-        group.append(text or "")
-        held += len(group[-1])
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For ranges of a column's texts: the first, the one behind the last, the ids of all
+        in a row, and where each text's begin (one more entry than texts)."""
+        data, at = utf8(column)
+        for low, high in slices(at, GROUP):
+            part, text = data[at[low] : at[high]], at[low : high + 1] - at[low]
+            space = np.flatnonzero(part == 32)
+            start = np.union1d(space[~after_space(part, space)], text[:-1][np.diff(text) > 0])
+            size = np.diff(start, append=len(part))
+            name = stretch_names(part, start, size)
+            short = np.flatnonzero(size <= LONGEST)
+            _, pick, back = np.unique(name[short], return_index=True, return_inverse=True)
+            long = np.flatnonzero(size > LONGEST)
+            shown = np.concatenate([short[pick], long])
+            raw = part.tobytes()
+            ids = self.look_up([raw[a:b] for a, b in zip(start[shown].tolist(), (start + size)[shown].tolist(), strict=True)])
+            of = np.empty(len(start), np.int64)
+            of[short], of[long] = back, len(pick) + np.arange(len(long))
+            many = np.array([len(x) for x in ids], np.int64) >> 2
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            total = np.concatenate([np.zeros(1, np.int64), np.cumsum(many[of])])
+            yield low, high, flat[ragged((np.cumsum(many) - many)[of], many[of])], total[np.searchsorted(start, text)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.raw[ragged(self.begin[ids], self.size[ids])].tobytes()
+
+
+def stretch_names(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """A 64-bit name for each stretch; ``step`` of them are named at a time."""
+    out = [np.zeros(0, np.uint64)]
+    for k in range(0, len(start), step):
+        low, own = start[k], start[k : k + step]
+        high = own[-1] + size[k : k + step][-1]
+        out.append(hashed(data[low:high], None, own - low, own - low + size[k : k + step]))
+    return np.concatenate(out)
 
 
-_CROWDED = re.compile(r"\s ").search
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
@@ -251,19 +345,16 @@ def encode(docs: DataFrame, keep: list[str], path: str, pattern: str, ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
+        sha = lambda raw, at: pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
         for batch in batches:
-            low = 0
-            for group in groups(batch.column(batch.num_columns - 1).to_pylist(), GROUP):
-                coded = coder.encode(group)
-                out = [c.slice(low, len(group)) for c in batch.columns[:-1]]
-                low += len(group)
-                out.append(pa.array([len(c) // 4 for c in coded], pa.int64()))
-                out.append(pa.array([hashlib.sha256(c).hexdigest() for c in coded]))
+            for low, high, coded, at in coder.encode(batch.column(batch.num_columns - 1)):
+                out = [c.slice(low, high - low) for c in batch.columns[:-1]]
+                out += [pa.array(np.diff(at)), sha(coded.tobytes(), 4 * at)]
                 if decode:
-                    out.append(pa.array([hashlib.sha256(coder.decode(c)).hexdigest() for c in coded]))
+                    size = np.concatenate([np.zeros(1, np.int64), np.cumsum(coder.size[coded])])
+                    out.append(sha(coder.decode(coded), size[at]))
                 if ids:
-                    at = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), "<i4"))))
+                    out.append(pa.LargeListArray.from_arrays(pa.array(at), pa.array(coded.view("<i4"))).cast(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens", "ids_sha256", *["decoded_sha256"] * decode, *["ids"] * ids])
 
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)

@@ -4,9 +4,11 @@ Documents are encoded and counted by their number of tokens, with partial counts
 shuffle. Suffix sums over the lengths then answer, for every context limit L that is some
 document's length, how many documents reach it, how many tokens remain if each is cut to L, and
 at which rank the length stands; between two lengths all of these are linear. Suffix sums are made
-in two levels, over blocks of lengths and within each, so that no task needs all lengths.
+in three levels, over zones of blocks, blocks of lengths and within each, so that no task needs all
+lengths; zones are few, since a text has under 2^31 tokens.
 
-Results: null and empty texts have length 0. An empty table has an empty histogram.
+Results: null and empty texts have length 0. An empty table has an empty histogram. Repeated rows
+each count; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingmill.llm import bpe
+from ratingmill.llm.base import settle
 
+#: Lengths in a block, and blocks in a zone.
 BLOCK = 512
 
 
@@ -30,9 +34,8 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str, pattern: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.encoder(path, pattern)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            sizes = [len(ids) // 4 for group in bpe.groups(texts, bpe.GROUP) for ids in coder.encode(group)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(sizes, np.int64))], [*keep, "n_tokens"])
+            sizes = [np.diff(at) for *_, at in coder.encode(batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))], [*keep, "n_tokens"])
 
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, ", ".join(x for x in (types, "n_tokens long") if x))
 
@@ -40,16 +43,24 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str, pattern: str) -> D
 def histogram(lengths: DataFrame) -> DataFrame:
     """From a column ``n_tokens``: ``n_tokens, n_docs, docs_at_least, tokens_at_least, total_if_cut,
     rank`` (documents up to this length) for each length that occurs."""
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
-    counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("own", F.col("n_tokens") * F.col("n_docs"))
-    blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("own").alias("t"))
-    later = blocks.alias("x").join(blocks.alias("y"), F.col("y.block") > F.col("x.block"), "left").groupBy("x.block")
-    later = later.agg(F.coalesce(F.sum("y.d"), F.lit(0)).alias("later_docs"), F.coalesce(F.sum("y.t"), F.lit(0)).alias("later_tokens"))
-    total = blocks.agg(F.sum("d").alias("all_docs"), F.sum("t").alias("all_tokens"))
-    up = Window.partitionBy("block").orderBy(F.col("n_tokens").desc())
-    out = counts.withColumn("d", F.sum("n_docs").over(up)).withColumn("t", F.sum("own").over(up))
-    out = out.join(later, "block").crossJoin(F.broadcast(total))  # one row
-    docs, tokens = F.col("d") + F.col("later_docs"), F.col("t") + F.col("later_tokens")
+    block, zone = F.floor(F.col("n_tokens") / BLOCK), F.floor(F.col("block") / BLOCK)
+    # kept, so that texts are encoded once
+    counts = settle(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))).withColumn("block", block).withColumn("zone", zone)
+    counts = counts.select("*", F.col("n_docs").alias("d"), (F.col("n_tokens") * F.col("n_docs")).alias("t"))
+    sums = [F.sum("d").alias("d"), F.sum("t").alias("t")]
+    blocks = counts.groupBy("zone", "block").agg(*sums)
+    zones = blocks.groupBy("zone").agg(*sums).withColumn("top", F.lit(0))
+
+    def later(df: DataFrame, part: str, order: str) -> list["F.Column"]:
+        """Sums over what is longer within ``part``."""
+        up = Window.partitionBy(part).orderBy(F.col(order).desc())
+        return [(F.sum(c).over(up) - F.col(c)).alias(f"{order}_{c}") for c in "dt"]
+
+    every = Window.partitionBy("top")
+    zones = zones.select("zone", *later(zones, "top", "zone"), F.sum("d").over(every).alias("all_docs"), F.sum("t").over(every).alias("all_tokens"))
+    blocks = blocks.select("zone", "block", *later(blocks, "zone", "block")).join(zones, "zone").drop("zone")
+    out = counts.select("n_tokens", "n_docs", "block", "d", "t", *later(counts, "block", "n_tokens")).join(blocks, "block")
+    docs, tokens = (F.col(c) + F.col(f"n_tokens_{c}") + F.col(f"block_{c}") + F.col(f"zone_{c}") for c in "dt")
     return out.select(
         "n_tokens",
         "n_docs",

@@ -106,12 +106,15 @@ def words(column: pa.Array, kept: np.ndarray, fold: bool = True, size: int = SLI
         yield Words(low, high, part, text, start, end, np.searchsorted(start, text), hashed(part, on, start, end))
 
 
-def hashed(data: np.ndarray, on: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashed(data: np.ndarray, on: np.ndarray | None, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of the words at ``start`` to ``end``; only bytes marked in ``on`` count, without it all."""
     if not len(start):
         return np.zeros(0, np.uint64)
     gap = np.diff(start, append=len(data))
     place = np.arange(start[0], len(data)) - np.repeat(start, gap)
-    value = np.where(on[start[0] :], _BYTE[data[start[0] :]] * _PLACE[place & (_POSITIONS - 1)], np.uint64(0))
+    value = _BYTE[data[start[0] :]] * _PLACE[place & (_POSITIONS - 1)]
+    if on is not None:
+        value = np.where(on[start[0] :], value, np.uint64(0))
     return mix(np.add.reduceat(value, start - start[0]) + (end - start).astype(np.uint64))
 
 

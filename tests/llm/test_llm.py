@@ -357,10 +357,23 @@ def test_bpe_equals_public_encoder(coder, public, docs):
     random.seed(1)
     parts = ["a", "b", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "é", "ß", "1", "23", "²", "Ⅷ", "!", "\x1c", "\x85", "\xa0", "　", "日本", "👍", "the", "tion", "A", "_", "<|endoftext|>"]
     texts = [d[1] for d in docs] + ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(5000)] + ["ab" * 50_000, "x" * 5000, " " * 3000 + "y"]
-    for group in bpe.groups(texts, 50_000):
-        for text, ids in zip(group, coder.encode(group), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == public.encode_ordinary(text)
-            assert coder.decode(ids) == text.encode()
+    random.shuffle(texts)
+    for low, high, ids, at in coder.encode(pa.array(texts)):
+        for k in range(low, high):
+            own = ids[at[k - low] : at[k - low + 1]]
+            assert own.tolist() == public.encode_ordinary(texts[k])
+            assert coder.decode(own) == texts[k].encode()
+
+
+@pytest.mark.parametrize("many", [0, 3, 1 << 40])
+def test_bpe_long_pre_tokens(coder, public, monkeypatch, many):
+    """Buckets merged at once and place by place."""
+    monkeypatch.setattr(bpe, "MANY", many)
+    random.seed(many)
+    texts = ["".join(random.choices("abehnorst", k=30_000)), "aaab" * 3000, "a" * 9001, "the" * 5000, "".join(random.choices("éèàñü\U0001f44d", k=3000))]
+    for low, _, ids, at in coder.encode(pa.array(texts)):
+        for k in range(len(at) - 1):
+            assert ids[at[k] : at[k + 1]].tolist() == public.encode_ordinary(texts[low + k])
 
 
 def test_bpe_rows(spark, public, odd, monkeypatch):
@@ -384,6 +397,18 @@ def test_length_histogram(spark):
     assert lengths.histogram(spark.createDataFrame([], "n_tokens long")).count() == 0
 
 
+def test_token_counts_odd_rows(spark, odd, public):
+    from pyspark.sql import functions as F
+
+    rows = frame(spark, odd).withColumns({c: F.lit(1) for c in ("n_tokens", "block", "n_docs")})
+    counted = lengths.count_tokens(rows, [], *bpe.vocabulary())
+    sizes = [len(public.encode_ordinary(o[1] or "")) for o in odd]
+    hist = lengths.histogram(counted)
+    assert {r.n_tokens: r.n_docs for r in hist.collect()} == {s: sizes.count(s) for s in sizes}
+    assert "PythonMapInArrow" not in hist._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in hist._jdf.queryExecution().executedPlan().toString()
+    assert lengths.histogram(lengths.count_tokens(rows.limit(0), [], *bpe.vocabulary())).count() == 0
+
+
 def test_token_counts(spark, sf_dir, docs, public):
     sizes = [len(public.encode_ordinary(d[1])) for d in docs]
     got = {r.n_tokens: r.n_docs for r in queries.op9_token_counts(spark, sf_dir).collect()}
