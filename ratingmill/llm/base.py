@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOLD_OUT = 5
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,14 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share, named in ``spark.checkpoint.dir``. Only a local
+    session, whose executors see the driver's files, may go without; it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a reliable checkpoint, so that later jobs
-    neither recompute it nor depend on one executor's disk. The folder is the one
-    named in ``spark.checkpoint.dir``; one of our own is made only where none is set."""
+    """``df`` computed once and kept as a table in the shared folder, so that later jobs
+    neither recompute it nor depend on one executor's disk. Shuffle files of plans that nothing
+    refers to any more are freed."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    folder = f"{shared(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    spark.sparkContext._jvm.System.gc()
+    kept = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[kept] = folder
+    return kept
+
+
+def drop(*kept: DataFrame) -> None:
+    """Deletes tables of settle() that nothing reads any more."""
+    for df in kept:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id) -> "F.Column":

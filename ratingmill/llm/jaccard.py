@@ -5,16 +5,16 @@
    number of shingles, so among enough groups at least one holds the same shingles in both:
    each set sends one row for each group, keyed by what the group holds, and sets that meet
    under no key cannot link. Rows grow with the text, never with the square of anything.
-3. Sets that meet under a key are looked up in a count-vector R-tree: points are numbers of
-   shingles in ``POINT`` groups, and a box's summed coordinate minima with the query bound the
-   overlap from above. Of a key's sets only those stay together that bounds that reach the
-   threshold connect; so a shared passage alone doesn't join documents. A key with more than
-   ``MOST`` sets keeps them all together.
-4. Sets that stay together, directly or through others, form a block. There the R-tree (with
-   points of more groups for larger sets) finds each set's possible partners, and the surviving
-   pairs are verified on the sets themselves, but for pairs that are connected already. Blocks
-   are cut by set size into chunks of a bounded size, and only chunks whose sizes can link are
-   put together.
+3. Keys under which the same sets meet count once. The sets of each such meeting are put into
+   a count-vector R-tree: points are numbers of shingles in groups (about ``A_GROUP`` shingles each, so that
+   larger sets have more coordinates), and a box's summed coordinate minima with the query
+   bound the overlap from above. Only sets stay together that bounds that reach the threshold
+   connect; so a shared passage alone doesn't join documents. A key with more than ``MOST``
+   sets keeps them all together.
+4. Sets that stay together, directly or through others, form a block, dealt to chunks of a
+   bounded size. In a chunk the R-tree finds each set's possible partners, and the surviving
+   pairs are verified on the sets themselves, but for pairs that are connected already.
+   verified() tells how the chunks of one block are compared.
 5. Links are joined into components; the smallest ``doc_id`` names each.
 
 Shingles that a bounded sample of documents shows to be common are left out of the keys of sets
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingmill.llm.base import settle, small
+from ratingmill.llm.base import drop, settle, small
 from ratingmill.llm.text import SPACED, mix, runs, whole, words
 
 #: Documents in the sample that shows common shingles, and in how many of them these occur.
@@ -47,9 +47,13 @@ COMMON_IN = 4
 COMMON_MOST = 200_000
 #: Shingles of the sets that one chunk of a block holds.
 CHUNK = 1 << 20
-#: Groups of the point that every set carries to its keys, and sets that one key bounds.
-POINT = 64
+#: Shingles that a group of a count vector holds on average, and least and most bits that name groups.
+A_GROUP = 4
+BITS = (3, 13)
+#: Sets of a key whose bounds are looked at; more are kept together.
 MOST = 8192
+#: Sets that a task remembers, so that their exact copies send no keys.
+SEEN = 1_000_000
 #: Candidate ids up to which their table is broadcast.
 BROADCAST_ROWS = 1_000_000
 LEAF = 32
@@ -118,10 +122,13 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        least = F.min("b").over(Window.partitionBy("a"))
-        large = both.withColumn("m", F.least("a", least)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-        edges = settle(low.select("a", F.col("m").alias("b")).union(low.where("b <> m").select("b", "m")).where("a <> b").distinct())
+        # the smallest neighbour by partial sums, so that a node with very many of them is no single task's
+        least = both.groupBy("a").agg(F.min("b").alias("least"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        new = lower.select("a", F.col("m").alias("b")).union(large.join(lower, "a").where("b <> m").select("b", "m"))
+        before, edges = edges, settle(new.where("a <> b").distinct())
+        drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == state:
             break
@@ -169,22 +176,40 @@ class CountTree:
         return np.concatenate(found), np.concatenate(bounds)
 
 
-def step(size: int) -> int:
-    """What one unit of a carried point's coordinates stands for; 1 up to a million shingles."""
-    return 1 << max(0, size.bit_length() - 20)
+def point(names: np.ndarray) -> bytes:
+    """A set's count vector: numbers of its shingles in groups by the leading bits of their names,
+    about ``A_GROUP`` in each. The first byte is the logarithm of the groups, the second that of
+    a count's unit; counts are rounded up, so that bounds hold."""
+    bits = int(np.clip(math.ceil(math.log2(max(1, len(names) / A_GROUP))), *BITS))
+    counts = np.bincount((names >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    unit = max(0, int(counts.max()).bit_length() - 8)
+    if -(-int(counts.max()) >> unit) > 255:
+        unit += 1
+    return bytes([bits, unit]) + (-(-counts >> unit)).astype(np.uint8).tobytes()
 
 
-def point(names: np.ndarray) -> bytes:
-    counts = np.bincount((names >> np.uint64(58)).astype(np.int64), minlength=POINT)
-    return (-(-counts // step(len(names)))).astype("<u2").tobytes()
+def vectors(points: list[bytes]) -> np.ndarray:
+    """Points as rows of one matrix, in as many groups as the coarsest has."""
+    bits = min(p[0] for p in points)
+    rows = [(np.frombuffer(p, np.uint8, offset=2).astype(np.int32) << p[1]).reshape(1 << bits, -1).sum(1) for p in points]
+    return np.stack(rows).astype(np.int32)
 
 
 def together(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """For each set the number of the first one that bounds connect it with."""
     label = np.arange(len(sizes))
-    tree = CountTree(counts, sizes, percent)
+    if len(sizes) <= LEAF:  # one leaf: all its bounds at once
+        bound = np.minimum(counts[:, None], counts[None]).sum(2)
+        low, high = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+        fits = (bound * (100 + percent) >= percent * (low + high)) & (percent * high <= 100 * low)
+        search = lambda x: np.flatnonzero(fits[x])
+    else:
+        tree = CountTree(counts, sizes, percent)
+        search = lambda x: tree.search(counts[x], int(sizes[x]))[0]
     for x in range(len(sizes) - 1):
-        near, _ = tree.search(counts[x], int(sizes[x]))
+        if not label.any():
+            break
+        near = search(x)
         met = label[near[near > x]]
         if len(met) and (met != label[x]).any():
             met = np.append(np.unique(met), label[x])
@@ -192,18 +217,23 @@ def together(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return label
 
 
-def links(members: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
-    """For each set of a block the number of the first set that links connect it with.
-    Sets of chunk 0 and 1 are compared across, and within where all are of chunk 0."""
+def links(members: list[np.ndarray], percent: int, asks: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
+    """For each set of a block the number of the first set that links connect it with, by the
+    count-vector tree and a comparison of the pairs it leaves. With ``asks``, those sets are compared
+    with the others only; ``label`` has what is connected already."""
     sizes = np.array([len(m) for m in members])
-    bits = int(np.clip(math.log2(max(1.0, sizes.mean() / 6)), 3, 8))
-    counts = np.stack([np.bincount(m >> np.uint64(64 - bits), minlength=1 << bits) for m in members]).astype(np.int32)
-    tree = CountTree(counts, sizes, percent)
-    label = np.arange(len(members))
-    across = side.any()
-    for x in range(len(members)):
+    counts = vectors([point(m) for m in members])
+    label = np.arange(len(members)) if label is None else label
+    held = np.arange(len(members)) if asks is None else np.flatnonzero(~asks)
+    tree = CountTree(counts[held], sizes[held], percent)
+    for x in range(len(members)) if asks is None else np.flatnonzero(asks).tolist():
+        if (label == label[0]).all():
+            break
         near, bound = tree.search(counts[x], int(sizes[x]))
-        fits = (label[near] != label[x]) & ((side[near] != side[x]) if across else True) & (near > x)
+        near = held[near]
+        fits = label[near] != label[x]
+        if asks is None:
+            fits &= near > x
         near = near[fits][np.argsort(-bound[fits], kind="stable")]
         while len(near):
             y, near = near[0], near[1:]
@@ -219,12 +249,12 @@ def _profiles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, node, counts = [], [], []
-            for s in sets(batch.column(1), width):
+            for s in sets(batch.column(0), width):
                 size.append(len(s))
                 node.append(name(s) if len(s) else None)
                 counts.append(point(s) if len(s) else None)
             new = [pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new], ["doc_id", "n_shingles", "node", "point"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*batch.schema.names[1:], "n_shingles", "node", "point"])
 
     return run
 
@@ -244,18 +274,22 @@ def _signatures(width: int, percent: int, common):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
+        seen: set[int] = set()
         for batch in batches:
             out, of, held = [], [], 0
             for s in sets(batch.column(0), width):
-                if not len(s):
+                if not len(s) or (own := name(s)) in seen:  # an exact copy
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(own)
                 rare = s[known[np.minimum(np.searchsorted(known, s), len(known) - 1)] != s] if len(known) else s
                 share = len(rare) / len(s)
                 made = keys(rare, len(s), percent, 1) if share >= least else []
                 if share < UNCOMMON:
                     made += keys(s, len(s), percent, 0)
                 out += made
-                of.append((name(s), n := sum(map(len, made))))
+                of.append((own, n := sum(map(len, made))))
                 held += n
                 if held > 200_000:
                     yield _rows(out, of)
@@ -268,58 +302,80 @@ def _signatures(width: int, percent: int, common):
 
 def _rows(keys_: list[np.ndarray], of: list[tuple[int, int]]) -> pa.RecordBatch:
     nodes, n = (np.array(x, np.int64) for x in zip(*of, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_).view(np.int64)), pa.array(np.repeat(nodes, n))], ["key", "node"])
-
-
-def _members(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, held = [], 0
-            for s in sets(batch.column(0), width):
-                if len(s):
-                    rows.append((name(s), s.tobytes()))
-                    held += len(s)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "set"])
-                    rows, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "set"])
-
-    return run
+    # 48 bits: keys that agree by chance cost a bound, and the shuffle is smaller
+    made = (np.concatenate(keys_) >> np.uint64(16)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(made), pa.array(np.repeat(nodes, n))], ["key", "node"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, node`` sorted by both; the sets that meet under a key out. They are ``node``s with one
+    ``meeting``, named by all of them, so that the same sets meet once; and where they are
+    more than ``MOST``, edges from each to the first, the ``head``."""
+
+    def out(meeting, node, head) -> pa.RecordBatch:
+        none = pa.nulls(len(node), pa.int64())
+        return pa.RecordBatch.from_arrays([none if meeting is None else pa.array(meeting), pa.array(node), none if head is None else pa.array(head)], ["meeting", "node", "head"])
+
+    def runs_of(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All sets of some keys."""
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        many = np.diff(start, append=len(key))
+        named = np.add.reduceat(mix(node.view(np.uint64)), start).view(np.int64)
+        on = np.repeat((many > 1) & (many <= MOST), many)
+        yield out(np.repeat(named, many)[on], node[on], None)
+        on = np.repeat(many > MOST, many)
+        if on.any():
+            yield out(None, node[on], np.repeat(node[start], many)[on])
+
+    key, node, head = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # rows of a key that may go on
+    for batch in batches:
+        key, node = (np.append(a, c) for a, c in zip((key, node), batch.columns, strict=True))
+        if not len(key):
+            continue
+        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node = key[fresh], node[fresh]
+        end = int(np.searchsorted(key, head[0], "right")) if head else 0
+        if end:  # more of a very common key
+            yield out(None, node[:end], np.full(end, head[1]))
+        last = max(end, int(np.searchsorted(key, key[-1])))
+        if last > end:
+            yield from runs_of(key[end:last], node[end:last])
+        key, node = key[last:], node[last:]
+        if len(key) > MOST:
+            head = key[0], node[0]
+            yield out(None, node, np.full(len(node), head[1]))
+            key, node = key[:0], node[:0]
+    if len(key):
+        yield from runs_of(key, node)
 
 
 def _bounded(percent: int):
-    """Rows ``key, node, n, point`` sorted by key and n; edges of what stays together out."""
+    """Rows ``meeting, node, n, point`` sorted by the first and n; edges of what stays together out."""
 
     def solve(nodes: list[int], sizes: list[int], points: list[bytes]) -> Iterator[tuple[int, int]]:
         n = np.array(sizes)
-        counts = np.frombuffer(b"".join(points), "<u2").reshape(-1, POINT).astype(np.int64) * np.array([[step(x)] for x in sizes])
         if len(n) == 2:
-            p = percent
-            if np.minimum(counts[0], counts[1]).sum() * (100 + p) >= p * n.sum() and p * n.max() <= 100 * n.min():
+            if percent * n.max() > 100 * n.min():
+                return
+            counts = vectors(points)
+            if np.minimum(counts[0], counts[1]).sum() * (100 + percent) >= percent * n.sum():
                 yield nodes[1], nodes[0]
             return
-        for x, first in enumerate(together(counts, n, percent).tolist()):
+        for x, first in enumerate(together(vectors(points), n, percent).tolist()):
             if x != first:
                 yield nodes[x], nodes[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        held, of, head = ([], [], []), None, None
+        held, of = ([], [], []), None
         for batch in batches:
-            for key, node, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != of:
+            for meeting, node, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if meeting != of:
                     if len(held[0]) > 1:
                         found.update(solve(*held))
-                    held, of, head = ([], [], []), key, None
-                if head is None and len(held[0]) == MOST:
-                    head = held[0][0]
-                    found.update((x, head) for x in held[0][1:])
-                    held = ([], [], [])
-                if head is not None:
-                    found.add((node, head))
-                else:
-                    for values, v in zip(held, (node, n, counts), strict=True):
-                        values.append(v)
+                    held, of = ([], [], []), meeting
+                for values, v in zip(held, (node, n, counts), strict=True):
+                    values.append(v)
             if len(found) > 20_000:
                 yield _edges(found)
                 found = set()
@@ -334,32 +390,71 @@ def _edges(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
+def _placed(width: int):
+    """Rows ``text, node, label, chunk, large``; the set beside the others out, one row for each text
+    that is the node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            picked, made, held = [], [], 0
+            for k, s in enumerate(sets(batch.column(0), width)):
+                if len(s) and name(s) == names[k]:
+                    picked.append(k)
+                    made.append(s.tobytes())
+                    held += len(s)
+                if held > 500_000 or k == batch.num_rows - 1:
+                    part = batch.take(pa.array(picked, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(made, pa.binary())], ["node", "label", "chunk", "large", "set"])
+                    picked, made, held = [], [], 0
+
+    return run
+
+
 def _blocks(percent: int):
-    """Rows ``block, i, j, side, node, set`` sorted by the first three; edges out."""
+    """Rows ``label, chunk, node, large, set`` sorted by the first three; each node with the first one that links
+    connect it with in its chunk (``rep``). Only of large labels are the nodes without links
+    given, and the sets."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({r[2]: r for r in rows}.values())
+        label = links([np.frombuffer(r[4], np.uint64) for r in rows], percent).tolist()
+        kept = [k for k, r in enumerate(rows) if r[3] or label[k] != k]
+        values = [[rows[k][0] for k in kept], [rows[k][1] for k in kept], [rows[k][2] for k in kept], [rows[label[k]][2] for k in kept]]
+        held = pa.array([rows[k][4] if rows[k][3] else None for k in kept], pa.binary())
+        return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in values), held], ["label", "chunk", "node", "rep", "set"])
+
+    return _by_block(solve, 2, lambda rows: len(rows) > 1 or rows[0][3])
+
 
-    def solve(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        label = links([np.frombuffer(r[5], np.uint64) for r in rows], np.array([r[3] for r in rows]), percent)
-        nodes = [r[4] for r in rows]
-        linked = [k for k in range(len(rows)) if label[k] != k]
-        return [nodes[k] for k in linked], [nodes[label[k]] for k in linked]
+def _strays(percent: int):
+    """Rows ``label, chunk, piece, stray, node, comp, set`` sorted by the first three: strays are compared
+    with the chunk's sets; edges out."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        asks = np.array([r[3] for r in rows])
+        _, first, back = np.unique(np.array([r[5] for r in rows]), return_index=True, return_inverse=True)
+        before = first[back]
+        after = links([np.frombuffer(r[6], np.uint64) for r in rows], percent, asks, before.copy())
+        return _edges({(rows[k][4], rows[after[k]][4]) for k in np.flatnonzero(after != before).tolist()})
+
+    return _by_block(solve, 3, lambda rows: len({r[3] for r in rows}) > 1)
+
+
+def _by_block(solve, width: int, worth):
+    """Runs ``solve`` over the rows of each block, named by the first ``width`` columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of, a, b = [], None, [], []
+        held, of = [], None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != of:
-                    if len(held) > 1:
-                        x, y = solve(held)
-                        a, b = a + x, b + y
-                    held, of = [], row[:3]
+                if row[:width] != of:
+                    if held and worth(held):
+                        yield solve(held)
+                    held, of = [], row[:width]
                 held.append(row)
-            if len(a) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if len(held) > 1:
-            x, y = solve(held)
-            a, b = a + x, b + y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if held and worth(held):
+            yield solve(held)
 
     return run
 
@@ -369,54 +464,88 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     counts = picked.select("text").mapInArrow(_shingles(width), "shingle long").groupBy("shingle").count()
-    rows = counts.where(F.col("count") >= COMMON_IN).select("shingle").limit(COMMON_MOST).collect()
+    rows = counts.where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "shingle").select("shingle").limit(COMMON_MOST).collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (``doc_id``, ``text``): sets
-    of ``width``-word shingles link where 100 times the intersection is at least ``percent``
-    times the union."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def verified(docs: DataFrame, meet: DataFrame, sized: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (``a``, ``b``) that connect what links connect among the sets of each label of ``meet``.
+
+    A label's sets are dealt to chunks of about ``CHUNK`` shingles. Chunks are solved each; then the first
+    sets of the connected parts of all chunks; then what still isn't in the label's largest part
+    (its strays) is compared with all of its chunks. In a group of near copies strays are few,
+    so that work follows the group's size."""
+    meet = settle(meet)
+    members = meet.join(sized.select("node", "n", "doc_id"), "node")
+    large = members.groupBy("label").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks")).where("chunks > 1")
+    large = settle(large)
+    members = members.join(small(large, BROADCAST_ROWS), "label", "left")
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1)))
+    nodes = settle(members.select(F.col("doc_id").alias("wanted"), "node", "label", chunk.alias("chunk"), F.col("chunks").isNotNull().alias("large")))
+    # one document for each node that meets others
+    texts = docs.join(small(nodes, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("wanted")))
+    held = texts.select("text", "node", "label", "chunk", "large").mapInArrow(_placed(width), "node long, label long, chunk long, large boolean, set binary")
+
+    def solved(rows: DataFrame) -> DataFrame:
+        rows = rows.select("label", "chunk", "node", "large", "set").repartition("label", "chunk").sortWithinPartitions("label", "chunk", "node")
+        return settle(rows.mapInArrow(_blocks(percent), "label long, chunk long, node long, rep long, set binary"))
+
+    first = solved(held)
+    edges = first.where("node <> rep").select("node", "rep").toDF("a", "b")
+    drop(meet, nodes)
+    if large.isEmpty():
+        return edges
+    parts = first.where("set is not null")
+    reps = parts.where("node = rep").drop("chunk")
+    many = reps.groupBy("label").agg(F.ceil(F.sum(F.octet_length("set")) / 8 / CHUNK).alias("chunks"))
+    reps = reps.join(small(many, BROADCAST_ROWS), "label").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("large", F.lit(False))
+    second = solved(reps)
+    edges = settle(edges.union(second.where("node <> rep").select("node", "rep")))
+    comps = settle(parts.select("label", "node").join(components(edges).withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    main = comps.groupBy("label", "comp").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    named = parts.join(comps.drop("label"), "node").join(main, "label")
+    strays = named.where("comp <> main")
+    pieces = strays.groupBy("label").agg(F.ceil(F.sum(F.octet_length("set")) / 8 / CHUNK).alias("pieces"))
+    pieces = settle(pieces.join(large, "label"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    near = small(pieces, BROADCAST_ROWS)
+    side = ["label", "chunk", "piece", "stray", "node", "comp", "set"]
+    own = named.join(near, "label").withColumn("piece", each("pieces")).withColumn("stray", F.lit(False)).select(*side)
+    asks = strays.drop("chunk").join(near, "label").withColumn("piece", F.pmod(F.xxhash64("node"), "pieces")).withColumn("chunk", each("chunks")).withColumn("stray", F.lit(True)).select(*side)
+    rows = own.union(asks).repartition("label", "chunk", "piece").sortWithinPartitions("label", "chunk", "piece", "stray")
+    return edges.union(rows.mapInArrow(_strays(percent), "a long, b long"))
+
+
+def groups(docs: DataFrame, width: int = 4, percent: int = 85, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``n_shingles, group, component_id`` for each row of ``docs`` (``doc_id``,
+    ``text``): sets of ``width``-word shingles link where 100 times the intersection is at least
+    ``percent`` times the union. ``group`` names what links connect, null for an empty set."""
+    kept = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
+    types = "".join(f"keep_{k} {docs.schema[c].dataType.simpleString()}, " for k, c in enumerate(keep))
+    docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *kept)
     spark = docs.sparkSession
-    profiles = settle(docs.mapInArrow(_profiles(width), "doc_id long, n_shingles long, node long, point binary"))
+    profiles = settle(docs.mapInArrow(_profiles(width), f"doc_id long, {types}n_shingles long, node long, point binary"))
     sized = profiles.where("node is not null").groupBy("node")
     sized = settle(sized.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     rows = docs.select("text").mapInArrow(_signatures(width, percent, common), "key long, node long")
-    first = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    shared = rows.withColumn("to", first).where("node <> to").select("key", F.explode(F.array("node", "to")).alias("node")).distinct()
-    shared = shared.join(sized.select("node", "n", "point"), "node").select("key", "node", "n", "point")
-    shared = shared.repartition("key").sortWithinPartitions("key", "n", "node")
-    meet = components(shared.mapInArrow(_bounded(percent), "a long, b long"))
-
-    # one document for each node that meets others, and these sets' chunks
-    running = Window.partitionBy("label").orderBy("n", "node")
-    nodes = settle(
-        meet.join(sized.drop("point"), "node").withColumn("chunk", F.floor(F.sum("n").over(running) / CHUNK)).select("node", "label", "chunk", "n", "doc_id")
-    )
-    chunks = nodes.groupBy("label", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("many"))
-    left, right = chunks.alias("x"), chunks.alias("y")
-    pairs = left.join(
-        right,
-        (F.col("x.label") == F.col("y.label"))
-        & (F.col("x.chunk") <= F.col("y.chunk"))
-        & (F.col("x.high") * 100 >= F.col("y.low") * percent)
-        & ((F.col("x.chunk") < F.col("y.chunk")) | (F.col("x.many") > 1)),
-    ).select(F.col("x.label").alias("label"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
-    sides = pairs.select("label", "i", "j", F.lit(0).alias("side"), F.col("i").alias("chunk")).union(
-        pairs.where("i < j").select("label", "i", "j", F.lit(1), F.col("j"))
-    )
-    wanted = small(nodes.select("doc_id"), BROADCAST_ROWS).withColumnRenamed("doc_id", "wanted")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    held = texts.select("text").mapInArrow(_members(width), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    held = held.join(nodes.select("node", "label", "chunk"), "node")
-    blocks = held.join(sides, ["label", "chunk"]).select("label", "i", "j", "side", "node", "set")
-    blocks = blocks.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "side", F.octet_length("set"), "node")
-    found = components(blocks.mapInArrow(_blocks(percent), "a long, b long"))
-
-    labelled = profiles.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(names, "label", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "meeting long, node long, head long")
+    met = settle(met.distinct())
+    shared = met.where("meeting is not null").join(sized.select("node", "n", "point"), "node").select("meeting", "node", "n", "point")
+    shared = shared.repartition("meeting").sortWithinPartitions("meeting", "n", "node")
+    bounded = settle(shared.mapInArrow(_bounded(percent), "a long, b long").union(met.where("head is not null").select("node", "head")))
+    edges = settle(verified(docs, components(bounded), sized, width, percent))
+    drop(met, bounded)
+    found = components(edges)
+    # the smallest id of each component, by node; sets without links are their own component
+    named = sized.select("node", "doc_id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.where("label <> node").select("label").distinct().join(named, "label").groupBy("label").agg(F.min("doc_id").alias("least"))
+    named = named.join(small(settle(least), BROADCAST_ROWS), "label", "left").select("node", "label", F.coalesce("least", "doc_id").alias("least"))
+    out = profiles.join(small(settle(named), BROADCAST_ROWS), "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "n_shingles", F.col("label").alias("group"), component.alias("component_id"))
+
 
+def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``, as groups() finds them."""
+    return groups(docs, width, percent).select("doc_id", "n_shingles", "component_id")

@@ -441,6 +441,20 @@ def test_pipeline(spark, sf_dir, docs, public):
     assert len(want) > 50
 
 
+def test_pipeline_near_copies_odd_rows(spark, odd):
+    """Null and repeated ids, repeated rows, texts without words."""
+    import corpus_pipeline as c
+
+    text = " ".join(f"q{k}" for k in range(30))
+    rows = [*odd, (None, text, "en", "s", 1), (None, text, "en", "s", 1), (20, "alone on its own with some words", "en", "s", 1), (None, "another text that nobody else has here", "en", "s", 1)]
+    rows += [(20, text + " more", None, None, None), (21, text, "en", "s", 1), (21, text, "en", "s", 1)]
+    out = sorted(((r.doc_id, r.text) for r in c.near_copies_stage(spark, frame(spark, rows), "").collect()), key=repr)
+    long = odd[5][1]
+    want = [(1, None), (2, ""), (3, " \n\t "), (4, "One two three"), (6, long), (9, odd[9][1]), (10, odd[10][1]), (20, "alone on its own with some words"), (20, text + " more"), (None, "another text that nobody else has here")]
+    assert out == sorted(want, key=repr)
+    assert c.near_copies_stage(spark, frame(spark, rows).limit(0), "").count() == 0
+
+
 def test_clashing_columns(spark, odd):
     from pyspark.sql import functions as F
 
