@@ -26,12 +26,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document that names it. Documents without words
-    have no group and stay; rows that repeat a ``doc_id`` stay or go together."""
-    groups = jaccard.join(docs, NEAR_WIDTH, NEAR_PERCENT)
-    gone = settle(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    """Keeps one row of each group of near copies: that of the smallest ``doc_id`` (null last), then of
+    the smallest hash of the text. Rows without words have no group and stay. Drops go by ``doc_id``
+    and text together, so that repeated and null ids don't take other texts along."""
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
+    found = settle(jaccard.groups(docs, NEAR_WIDTH, NEAR_PERCENT, keep=("mark",)).where("group is not null"))
+    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")
+    first = found.groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    held = settle(found.join(small(settle(first), BROADCAST_ROWS), "group").select("doc_id", "mark", (row == F.col("first")).alias("stays")))
+    same = lambda other: F.col("doc_id").eqNullSafe(other["gone_id"]) & (F.col("mark") == other["gone_mark"])
+    ids = lambda df: df.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    gone = small(settle(ids(held.where("not stays")).distinct()), BROADCAST_ROWS)
     # texts stay where they lie as long as the ids are few
-    return docs.join(small(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(gone, same(gone), "left_anti")
+    again = settle(ids(held.where("stays").groupBy("doc_id", "mark").count().where("count > 1")))
+    if not again.isEmpty():  # rows that repeat the one that stays
+        few = small(again, BROADCAST_ROWS)
+        kept = kept.join(few, same(few), "left_anti").unionByName(kept.join(few, same(few), "left_semi").dropDuplicates(["doc_id", "mark"]))
+    return kept.select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
