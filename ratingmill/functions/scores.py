@@ -31,6 +31,15 @@ def score_split(diff: Column, average: float = 114.15, intercept: float = 2.8437
     return side(1), side(-1)
 
 
+#: Lines of the home margin of quarters 1 to 4 on the rating difference, and mean points; fixed values.
+QUARTER_MODELS = (
+    {"intercept": -0.5825, "slope": 0.013153, "average": 28.531},
+    {"intercept": -0.3412, "slope": 0.010222, "average": 28.3485},
+    {"intercept": -0.636, "slope": 0.00939, "average": 28.443},
+    {"intercept": -0.1658, "slope": 0.00546, "average": 27.2341},
+)
+
+
 def quarter_points(diff: Column, average: float, intercept: float, slope: float) -> tuple[Column, Column]:
     margin = lit(intercept) + slope * diff
     side = lambda s: F.greatest(lit(15.0), F.bround(lit(average) + s * margin / 2)).cast("int")
@@ -55,8 +64,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
 
 
 def travel_penalty(miles: Column, zones: Column, road_streak: Column) -> Column:
-    """Long trips beyond 2000 miles, time zones crossed, and long road streaks."""
-    far = F.when(miles > 2000, -20.0).otherwise(0.0)
+    """Trips beyond 2000 miles (5 to 15 points), time zones crossed, and long road streaks."""
+    far = F.when(miles > 2000, -F.least(lit(15.0), 5.0 + (miles - 2000) / 500)).otherwise(lit(0.0))
     road = F.when(road_streak > 4, -F.least((road_streak - 4) * 10.0, lit(30.0))).otherwise(0.0)
     return far - zones * 8.0 + road
 
@@ -70,7 +79,8 @@ def american_to_decimal(price: Column) -> Column:
 
 
 def probability_to_american(p: Column) -> Column:
-    return F.when(p >= 0.5, -100 * p / (1 - p)).otherwise(100 * (1 - p) / p)
+    """Whole American odds, cut towards zero."""
+    return F.when(p >= 0.5, -(p / (1 - p)) * 100).otherwise((1 - p) / p * 100).cast("int")
 
 
 def parlay(probabilities: Column) -> Column:
@@ -126,12 +136,16 @@ def confidence_score(diff: Column, rest_home: Column, rest_away: Column, injury_
 
 
 def risk_level(confidence: Column) -> Column:
-    return F.when(confidence >= 0.65, "low").when(confidence >= 0.55, "medium").otherwise("high")
+    return F.when(confidence >= 0.75, "VERY LOW RISK").when(confidence >= 0.65, "LOW RISK").when(confidence >= 0.55, "MODERATE RISK").otherwise("HIGH RISK")
 
 
-def game_category(p: Column) -> Column:
-    spread = F.abs(p - 0.5) * 2
-    return F.when(spread >= 0.30, "blowout").when(spread <= 0.10, "competitive").otherwise("moderate")
+def game_category(confidence: Column) -> Column:
+    """By the favourite's probability."""
+    steps = [(0.80, "Blowout"), (0.70, "Strong Favorite"), (0.60, "Moderate Favorite"), (0.55, "Slight Favorite")]
+    out = lit("Toss-up")
+    for edge, name in reversed(steps):
+        out = F.when(confidence >= edge, name).otherwise(out)
+    return out
 
 
 def market_blend(model: Column, home: Column, away: Column, weight: float = 0.15) -> Column:
@@ -139,13 +153,14 @@ def market_blend(model: Column, home: Column, away: Column, weight: float = 0.15
     market = home / (home + away)
     gap = model - market
     level = F.when(F.abs(gap) < 0.05, "high").when(F.abs(gap) < 0.10, "medium").otherwise("low")
-    alert = ((model > 0.5) != (market > 0.5)) & (F.abs(gap) >= 0.10)
-    return F.struct((model + weight * (market - model)).alias("blended"), gap.alias("divergence"), level.alias("agreement"), alert.alias("upset_alert"))
+    alert = F.abs(gap) >= 0.10
+    reason = F.when(alert & ((model > 0.5) != (market > 0.5)), "different favorites").when(alert, "same favorite").otherwise("")
+    return F.struct((model + weight * (market - model)).alias("blended"), gap.alias("divergence"), level.alias("agreement"), alert.alias("upset_alert"), reason.alias("alert_reason"))
 
 
 def injury_severity(status: Column, days: Column) -> Column:
     s = F.lower(status)
-    base = F.when(s == "out", 1.0).when(s == "doubtful", 0.8).when(s == "questionable", 0.5).when(s == "probable", 0.2).otherwise(0.0)
+    base = F.when(s == "out", 1.0).when(s == "doubtful", 0.8).when(s == "questionable", 0.5).when(s == "probable", 0.2).when(s == "available", 0.0).otherwise(0.5)
     return base * F.when(days > 7, 0.9).otherwise(1.0)
 
 
@@ -168,11 +183,18 @@ def toss_up(p: Column, raw_diff: Column) -> Column:
 
 
 def pace_style(points: Column, allowed: Column) -> tuple[Column, Column]:
-    pace = F.when(points + allowed >= 235, "fast").when(points + allowed >= 220, "average").otherwise("slow")
-    defence = F.when(allowed < 108, "elite").when(allowed < 114, "solid").otherwise("weak")
+    """Pace by mean points, defence by mean points allowed."""
+    pace = F.when(points > 115, "Fast-paced").when(points > 108, "Moderate").otherwise("Slow-paced")
+    defence = F.when(allowed < 111, "Elite defense").when(allowed < 116, "Average defense").otherwise("Weak defense")
     return pace, defence
 
 
+def tempo_note(home: Column, away: Column) -> Column:
+    """How two sides' paces meet, by their mean points."""
+    note = F.when((home > 115) & (away > 115), "HIGH-SCORING POTENTIAL").when((home < 108) & (away < 108), "LOW-SCORING GAME")
+    return note.when(F.abs(home - away) > 10, "PACE CLASH").otherwise("BALANCED MATCHUP")
+
+
 def probability_to_diff(p: Column) -> Column:
     q = F.greatest(lit(1e-6), F.least(lit(1 - 1e-6), p))
     return -400 * F.log10(1 / q - 1)

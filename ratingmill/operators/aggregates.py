@@ -49,7 +49,8 @@ def team_from_players(box: DataFrame, ratings: DataFrame, default: float = 1500.
 
 
 def performance_summary(pred: DataFrame, start: date | None = None, end: date | None = None, min_games: int = 10, as_of: date | None = None) -> DataFrame:
-    """Accuracy of every cut in one pass; null below ``min_games``."""
+    """Accuracy of every cut in one pass; null below ``min_games``, for all, large differences and the
+    last week only without games (A6). An upset is any miss."""
     if start is not None:
         pred = pred.where(F.col("date") >= F.lit(start))
     if end is not None:
@@ -61,18 +62,22 @@ def performance_summary(pred: DataFrame, start: date | None = None, end: date |
         "away_pick": ~F.col("picked_home"),
         "close": d < 100,
         "toss_up": d < 50,
-        "large": d >= 200,
+        "large": d >= 100,
         "enhanced": F.col("enhanced"),
-        "b2b": F.col("is_b2b"),
-        "high_confidence": c >= 0.65,
-        "low_confidence": c < 0.55,
+        "home_b2b": F.col("home_b2b"),
+        "away_b2b": F.col("away_b2b"),
+        "high_confidence": c >= 0.70,
+        "low_confidence": c < 0.60,
     }
     if as_of is not None:
-        cuts["recent"] = F.col("date") > F.date_sub(F.lit(as_of), 7)
+        cuts["recent"] = F.col("date") >= F.date_sub(F.lit(as_of), 7)
     aggs = []
     for name, on in cuts.items():
-        aggs += [F.count_if(on).alias(f"{name}_games"), F.when(F.count_if(on) >= min_games, _share(F.col("correct"), on)).alias(f"{name}_accuracy")]
-    return pred.agg(*aggs, F.count_if(~F.col("correct") & (c > 0.6)).alias("upsets"))
+        least = 1 if name in ("overall", "large", "recent") else min_games
+        aggs += [F.count_if(on).alias(f"{name}_games"), F.when(F.count_if(on) >= least, _share(F.col("correct"), on)).alias(f"{name}_accuracy")]
+    home_won = F.col("home_score") > F.col("away_score")
+    aggs += [_share(home_won).alias("home_win_rate"), F.count_if(F.col("picked_home") & home_won).alias("home_predicted_correct"), F.count_if(~F.col("picked_home") & ~home_won).alias("away_predicted_correct")]
+    return pred.agg(*aggs, F.avg(c).alias("avg_confidence"), F.count_if(~F.col("correct")).alias("upsets"), _share(~F.col("correct")).alias("upset_rate"))
 
 
 def daily_stats(pred: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def by_week(pred: DataFrame, as_of: date, last: int = 4, days: int = 30) -> Data
 
 def recent_vs_all(pred: DataFrame, days: int = 5) -> DataFrame:
     last = pred.agg(F.max("date").alias("last_date"))
-    on = F.col("date") > F.date_sub("last_date", days)
+    on = F.col("date") >= F.date_sub("last_date", days)
     return pred.crossJoin(F.broadcast(last)).agg(F.count_if(on).alias("recent_games"), _share(F.col("correct"), on).alias("recent_accuracy"), F.count("*").alias("games"), _share(F.col("correct")).alias("accuracy"))  # one row
 
 
@@ -131,12 +136,25 @@ def rating_stats(df: DataFrame, column: str = "rating") -> DataFrame:
     return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"))
 
 
-def tier_counts(df: DataFrame, edges: dict[str, float], column: str = "rating") -> DataFrame:
-    """Rows by the highest tier whose edge they reach; ``edges`` from high to low."""
-    tier = F.lit("below")
+#: Tiers of ratings, box plus-minus and experience, from high to low; fixed by the reports that show them.
+RATING_TIERS = {"MVP candidates": 1700, "All-Stars": 1650, "Above Average": 1600}
+BPM_TIERS = {"Elite": 8, "Excellent": 5, "Good": 2, "Average": -2, "Below": -5}
+EXPERIENCE_TIERS = {"Veterans": 600, "Prime": 300, "Developing": 100}
+
+
+def tier_counts(df: DataFrame, edges: dict[str, float], column: str = "rating", below: str = "below") -> DataFrame:
+    """Rows by the highest tier whose edge they reach, with their share; ``edges`` from high to low."""
+    tier = F.lit(below)
     for name, edge in sorted(edges.items(), key=lambda x: x[1]):
         tier = F.when(F.col(column) >= edge, name).otherwise(tier)
-    return df.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+    t = df.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+    return t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # a row for each tier
+
+
+def tiers_reached(df: DataFrame, edges: dict[str, float] = RATING_TIERS, column: str = "rating") -> DataFrame:
+    """How many rows reach each edge."""
+    counts = df.agg(*[F.count_if(F.col(column) >= edge).alias(name) for name, edge in edges.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("tier"), F.col(f"`{name}`").alias("n")) for name in edges])).alias("x")).select("x.*")
 
 
 def entity_counts(box: DataFrame, approximate: bool = False) -> DataFrame:
@@ -267,12 +285,37 @@ def hot_cold(changes: DataFrame, n: int = 5) -> DataFrame:
     return hot.unionByName(changes.orderBy("change", "team_id").limit(n).withColumn("kind", F.lit("cold")))
 
 
+#: First and last season of each era.
+ERAS = {"2000s Era": (2000, 2009), "2010s Era": (2010, 2019), "2020s Era (Current)": (2020, 2025)}
+
+
+def top_by_era(ratings: DataFrame, eras: dict[str, tuple[int, int]] = ERAS, n: int = 10, min_games: int = 100) -> DataFrame:
+    """The best of each era by ``last_season``, among players of ``min_games`` games."""
+    era = F.lit(None).cast("string")
+    for name, (first, last) in eras.items():
+        era = F.when(F.col("last_season").between(first, last), name).otherwise(era)
+    return top_by(ratings.where(F.col("games_played") >= min_games).withColumn("era", era).where("era is not null"), ["era"], n)
+
+
+def did_not_play(box: DataFrame) -> DataFrame:
+    """Players of each game and team who did not play (T4)."""
+    return box.where("didNotPlay").groupBy("game_id", "team_id").agg(F.array_sort(F.collect_list("player_id")).alias("did_not_play"))
+
+
+def key_injuries(injuries: DataFrame, ratings: DataFrame, n: int = 3) -> DataFrame:
+    """Each team's injured players of the highest ratings; unknown ones rate 0."""
+    hurt = injuries.join(ratings.select("player_id", "rating"), "player_id", "left").withColumn("rating", F.coalesce("rating", F.lit(0.0)))
+    impact = F.when(F.col("rating") > 1600, "star").when(F.col("rating") > 1400, "starter").otherwise("role")
+    return top_by(hurt.withColumn("impact", impact), ["team_id"], n)
+
+
 def closest_games(pred: DataFrame, n: int = 5) -> DataFrame:
     return pred.orderBy(F.abs(F.col("home_win_prob") - 0.5), "game_id").limit(n)
 
 
 def featured(pred: DataFrame, n: int = 3) -> DataFrame:
-    spread = F.round(F.abs(F.col("home_win_prob") - 0.5) * 2, 9)
+    """The most lopsided games of at least 80 % for a side, and the closest within 60 to 40."""
+    spread = F.round(F.abs(F.col("home_win_prob") - 0.5), 9)
     p = pred.withColumn("spread", spread).withColumn("kind", F.when(spread >= 0.30, "blowout").when(spread <= 0.10, "competitive")).where("kind is not null")
     key = F.when(F.col("kind") == "blowout", -F.col("spread")).otherwise(F.col("spread"))
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(key, "game_id"))).where(F.col("rank") <= n)
@@ -318,19 +361,25 @@ def season_counts(games: DataFrame, expected: int = 1230) -> DataFrame:
 
 def status(games: DataFrame, as_of: date) -> DataFrame:
     done = (F.col("home_score") > 0) | (F.col("away_score") > 0)
-    t = games.agg(F.count("*").alias("games"), F.count_if(done).alias("completed"), F.count_if(~done).alias("scheduled"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max(F.when(done, F.col("date"))).alias("latest_completed"))
+    t = games.agg(F.count("*").alias("games"), F.count_if(done).alias("completed"), F.count_if(~done).alias("scheduled"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max(F.when(done, F.col("date"))).alias("latest_completed"), F.min(F.when(~done, F.col("date"))).alias("first_scheduled"), F.max(F.when(~done, F.col("date"))).alias("last_scheduled"))
     behind = F.datediff(F.lit(as_of), "latest_completed")
-    return t.withColumn("days_behind", behind).withColumn("state", F.when(behind <= 1, "current").when(behind <= 3, "recent").otherwise("stale"))
+    state = F.when(behind == 0, "UP TO DATE").when(behind == 1, "CURRENT").when(behind <= 3, "MOSTLY CURRENT").when(behind.isNotNull(), "OUTDATED")
+    return t.withColumn("days_behind", behind).withColumn("state", state)
 
 
 def verdict(box: DataFrame, games: DataFrame) -> DataFrame:
-    """One word for the state of the player data: coverage and plausible minutes."""
+    """One word for the state of the player data: coverage, mean minutes of a team's game, and, for the
+    best, no missing values; without statistics it is incomplete (Q5)."""
     from ratingmill.operators.games import coverage
 
-    both = coverage(box, games).crossJoin(minutes_check(box))  # one row each
-    good = (F.col("low") + F.col("high")) / F.col("team_games")
-    word = F.when((F.col("share") >= 0.95) & (good <= 0.05), "EXCELLENT").when((F.col("share") >= 0.80) & (good <= 0.20), "GOOD").otherwise("NEEDS ATTENTION")
-    return both.select("n_games", "n_covered", "share", "low", "high", word.alias("verdict"))
+    if not {"plus_minus", "points", "rebounds", "assists"} <= set(box.columns):
+        return coverage(box, games).withColumn("verdict", F.lit("INCOMPLETE"))
+    missing = box.agg(F.sum(sum((F.col(c).isNull().cast("long") for c in box.columns), F.lit(0))).alias("missing"))
+    both = coverage(box, games).crossJoin(minutes_check(box)).crossJoin(missing)  # one row each
+    covered, mean = F.col("share"), F.col("mean_minutes")
+    best = (covered >= 0.95) & mean.between(235, 245) & (F.col("missing") == 0)
+    word = F.when(best, "EXCELLENT").when((covered >= 0.90) & mean.between(230, 250), "GOOD").otherwise("NEEDS ATTENTION")
+    return both.select("n_games", "n_covered", "share", "mean_minutes", "missing", word.alias("verdict"))
 
 
 def freshness(tables: dict[str, DataFrame], as_of: date, days: int = 3) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Predictions, tracking, betting, drift and projection."""
+"""Predictions, tracking, betting and drift."""
 
 from __future__ import annotations
 
@@ -110,9 +110,11 @@ def track(pred: DataFrame, stored: DataFrame, as_of: date, days: int = 7) -> Dat
 
 def player_h2h(games: DataFrame, box: DataFrame, tops: DataFrame, n: int = 10, cap: float = 30, least: int = 3) -> DataFrame:
     """Adjustment of team pairs by how their top players did against each other (R17). ``tops`` (``player_id,
-    team_id, rating``) keeps the self-join to a few players of each team."""
+    team_id, rating``) keeps the self-join to a few players of each team; both teams need two."""
     from ratingmill.operators.games import player_pairs
 
+    tops = tops.withColumn("known", F.count("*").over(Window.partitionBy("team_id"))).where("known >= 2").drop("known")
+
     pairs = player_pairs(box, tops)
     w = Window.partitionBy("player_id1", "player_id2").orderBy(F.desc("game_id"))
     last = pairs.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
@@ -129,8 +131,8 @@ def player_h2h(games: DataFrame, box: DataFrame, tops: DataFrame, n: int = 10, c
 def betting_report(pred: DataFrame) -> DataFrame:
     """Risk, fair price and recommendation of each game."""
     c = F.col("confidence")
-    p = pred.withColumn("risk", S.risk_level(c)).withColumn("fair_price", S.probability_to_american(c)).withColumn("category", S.game_category(F.col("home_win_prob")))
-    return p.withColumn("recommended", (c >= 0.60) & (F.col("risk") == "low"))
+    p = pred.withColumn("risk", S.risk_level(c)).withColumn("fair_price", S.probability_to_american(c)).withColumn("category", S.game_category(c))
+    return p.withColumn("recommended", (c >= 0.60) & F.col("risk").isin("VERY LOW RISK", "LOW RISK"))
 
 
 def parlays(report: DataFrame, legs: int = 2, n: int = 5) -> DataFrame:
@@ -146,7 +148,7 @@ def parlays(report: DataFrame, legs: int = 2, n: int = 5) -> DataFrame:
 
 def drift(pred: DataFrame, as_of: date, drop: float = 0.05, wrong: int = 3, least: tuple[int, int] = (5, 10)) -> DataFrame:
     """Trailing accuracies and whether they call for an alert."""
-    on = lambda d: F.col("date") > F.date_sub(F.lit(as_of), d)
+    on = lambda d: F.col("date") >= F.date_sub(F.lit(as_of), d)
     season = F.when(F.month("date") >= 10, F.year("date")).otherwise(F.year("date") - 1) == (as_of.year if as_of.month >= 10 else as_of.year - 1)
     hit, at = F.col("correct").cast("double"), F.struct("date", "game_id")
     seen = pred.where(F.col("date") <= F.lit(as_of))
@@ -159,42 +161,13 @@ def drift(pred: DataFrame, as_of: date, drop: float = 0.05, wrong: int = 3, leas
     return streak.withColumn("accuracy_drop", F.coalesce(fell, F.lit(False))).withColumn("alert", F.col("accuracy_drop") | (F.col("wrong_streak") >= wrong))
 
 
-def project(standings: DataFrame, schedule_p: DataFrame, conferences: DataFrame, n_sims: int = 1000, seed: int = 7, top: int = 10) -> DataFrame:
-    """Simulated final standings (R20): wins of each team in each of ``n_sims`` seasons, and its seed.
-
-    A game is won at home where a hash of seed, season and game falls below its probability, so results don't
-    depend on partitions. Wins are summed by season and team before anything is joined."""
-    sims = standings.sparkSession.range(n_sims).withColumnRenamed("id", "sim_id")
-    g = schedule_p.select("game_id", "home_team_id", "away_team_id", "p").crossJoin(F.broadcast(sims))  # n_sims is a parameter
-    u = F.pmod(F.xxhash64(F.lit(seed), "sim_id", "game_id"), F.lit(1 << 40)) / float(1 << 40)
-    g = g.withColumn("winner", F.when(u < F.col("p"), F.col("home_team_id")).otherwise(F.col("away_team_id")))
-    new = g.groupBy("sim_id", F.col("winner").alias("team_id")).agg(F.count("*").alias("new_wins"))
-    base = standings.select("team_id", "wins").join(F.broadcast(conferences), "team_id").crossJoin(F.broadcast(sims))
-    t = base.join(new, ["sim_id", "team_id"], "left").withColumn("wins", F.col("wins") + F.coalesce("new_wins", F.lit(0))).drop("new_wins")
-    w = Window.partitionBy("sim_id", "conference").orderBy(F.desc("wins"), "team_id")
-    t = t.withColumn("seed", F.row_number().over(w))
-    return t.withColumn("playoffs", F.col("seed") <= top)
-
-
-def projection_summary(sims: DataFrame) -> DataFrame:
-    """Distribution of each team's wins and seeds."""
-    q = lambda x: F.percentile("wins", F.lit(x))
-    t = sims.groupBy("team_id", "conference").agg(
-        F.avg("wins").alias("mean_wins"), q(0.5).cast("int").alias("median_wins"), q(0.05).alias("p5"), q(0.95).alias("p95"),
-        F.avg(F.col("playoffs").cast("double")).alias("playoff_probability"), F.avg((F.col("seed") == 1).cast("double")).alias("top_seed_probability"),
-    )
-    p = F.col("playoff_probability")
-    return t.withColumn("race", F.when(p > 0.99, "lock").when(p < 0.01, "out").when(p.between(0.10, 0.90), "race").otherwise("likely"))
-
-
-def win_distribution(sims: DataFrame) -> DataFrame:
-    counts = sims.groupBy("team_id", "wins").agg(F.count("*").alias("n"))
-    return counts.groupBy("team_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("wins", "n")))).alias("distribution"))
-
-
-def add_scores(pred: DataFrame, column: str = "elo_diff") -> DataFrame:
+def add_scores(pred: DataFrame, column: str = "elo_diff", quarters: bool = False) -> DataFrame:
+    """Predicted points of both sides (R23), and with ``quarters`` those of each quarter."""
     home, away = S.score_split(F.col(column))
-    return pred.withColumn("pred_home_score", home).withColumn("pred_away_score", away)
+    new = {"pred_home_score": home, "pred_away_score": away}
+    for k, model in enumerate(S.QUARTER_MODELS if quarters else (), 1):
+        new[f"pred_home_q{k}"], new[f"pred_away_q{k}"] = S.quarter_points(F.col(column), **model)
+    return pred.withColumns(new)
 
 
 def prob_to_diff(pred: DataFrame) -> DataFrame:

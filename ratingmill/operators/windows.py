@@ -25,7 +25,8 @@ def form(gl: DataFrame, n: int = 5, weight: float = 0.1) -> DataFrame:
     """Mean margin of the ``n`` rows before, scaled; 1.2 times for an unbroken run of three or more."""
     w = _before(n)
     wins, games = F.sum(F.col("won").cast("int")).over(w), F.count("*").over(w)
-    unbroken = (F.col("form_games") >= 3) & ((F.col("form_wins") == F.col("form_games")) | (F.col("form_wins") == 0))
+    beaten = F.coalesce(F.max("margin").over(w) < 0, F.lit(False))  # a tie breaks a run of losses
+    unbroken = (F.col("form_games") >= 3) & ((F.col("form_wins") == F.col("form_games")) | beaten)
     out = gl.withColumn("form_games", games).withColumn("form_wins", F.coalesce(wins, F.lit(0))).withColumn("form_margin", F.coalesce(F.avg("margin").over(w), F.lit(0.0)))
     kind = F.when(~unbroken, "mixed").when(F.col("form_wins") == 0, "losing").otherwise("winning")
     return out.withColumn("form", F.col("form_margin") * weight * 50 * F.when(unbroken, 1.2).otherwise(1.0)).withColumn("streak_type", kind)
@@ -138,8 +139,11 @@ def h2h(games: DataFrame, n: int = 5, cap: float = 50, min_games: int = 3) -> Da
     g = _pairs(games, n).withColumn("h2h_games", F.size("meetings")).withColumn("h2h_wins", _wins())
     raw = (F.col("h2h_wins") / F.col("h2h_games") - 0.5) * 2 * 50 * F.least(F.col("h2h_games") / 5, F.lit(1.0))
     adjustment = F.when(F.col("h2h_games") >= min_games, F.greatest(F.lit(-float(cap)), F.least(F.lit(float(cap)), raw))).otherwise(0.0)
-    rival = F.when(F.col("h2h_games") < min_games, "unknown").when(F.abs(F.col("h2h_wins") / F.col("h2h_games") - 0.5) <= 0.1, "even").when(F.col("h2h_wins") * 2 > F.col("h2h_games"), "home_dominates").otherwise("away_dominates")
-    return g.withColumn("h2h_adjustment", adjustment).withColumn("h2h_class", rival).drop("meetings")
+    games, rate = F.col("h2h_games"), F.col("h2h_wins") / F.col("h2h_games")
+    rival = F.when(games < 3, "insufficient_data").when((games >= 5) & ((rate >= 0.8) | (rate <= 0.2)), "strong_dominance")
+    rival = rival.when((rate >= 0.7) | (rate <= 0.3), "moderate_dominance").otherwise("balanced")
+    sure = F.when(games == 0, "none").when(games < 3, "low").when(games < 5, "medium").otherwise("high")
+    return g.withColumn("h2h_adjustment", adjustment).withColumn("h2h_class", rival).withColumn("h2h_confidence", sure).drop("meetings")
 
 
 def h2h_recency(games: DataFrame, n: int = 5, cap: float = 15) -> DataFrame:
@@ -212,7 +216,7 @@ def travel(gl: DataFrame, arenas: DataFrame, long_km: float = 1500, mode: str =
 
 def travel_fatigue(gl: DataFrame, arenas: DataFrame, days: int = 7) -> DataFrame:
     """Penalty for the miles of the away games in the ``days`` days before a game, the first trip
-    from home (W15): none below 1000 miles, -30 from 3000 on."""
+    from home (W15): none below 1000 miles, up to -15 before 3000, -30 from there on."""
     place = lambda k, c: F.broadcast(arenas.select(F.col("team_id").alias(c), F.col("latitude").alias(f"{k}_lat"), F.col("longitude").alias(f"{k}_lon")))
     miles = lambda a, b: haversine(F.col(f"{a}_lat"), F.col(f"{a}_lon"), F.col(f"{b}_lat"), F.col(f"{b}_lon"), 3956.0)
     away = gl.where(~F.col("is_home")).withColumn("from_id", F.lag("opponent_id").over(_team()))
@@ -225,7 +229,7 @@ def travel_fatigue(gl: DataFrame, arenas: DataFrame, days: int = 7) -> DataFrame
     rows = rows.withColumn("f", first).withColumn("all", F.sum("hop").over(w))
     total = F.when(F.col("f").isNull(), 0.0).otherwise(F.col("all") - F.col("f.hop") + F.col("f.base_hop"))
     rows = rows.withColumn("travel_miles", total)
-    penalty = F.when(F.col("travel_miles") < 1000, 0.0).otherwise(-F.least(F.lit(30.0), (F.col("travel_miles") - 1000) / 2000 * 30))
+    penalty = F.when(F.col("travel_miles") < 1000, 0.0).when(F.col("travel_miles") < 3000, -15.0 * (F.col("travel_miles") - 1000) / 2000).otherwise(-30.0)
     return rows.select("team_id", "game_id", "travel_miles", penalty.alias("travel_fatigue"))
 
 

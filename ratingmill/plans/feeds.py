@@ -123,13 +123,13 @@ def _round_trip(f):
 
 def _appended(f):
     path = _shared(f.spark)
-    for part in ("game_id % 2 = 0", "game_id % 3 = 0"):
+    for part in ("game_id % 2 = 0", "true"):  # known games are not appended again
         tables.append_predictions(f.pred.where(part).select("game_id", "home_win_prob"), path)
     return f.spark.read.parquet(path)
 
 
 query("io1_io2_round_trip", _round_trip, "games", "select game_id, date, home_score, season_type from games")
-query("io10_append", _appended, "pred", "select game_id, home_win_prob from pred where game_id % 2 = 0 or game_id % 3 = 0")
+query("io10_append", _appended, "pred", "select game_id, home_win_prob from pred")
 
 
 def _once(f):

@@ -40,7 +40,7 @@ o as (select g.game_id, g.side, coalesce(x.r, 1500) as r from (
   select game_id, date, home_team_id as team_id, 'h' as side from done union all select game_id, date, away_team_id, 'a' from done) g
   asof left join x on x.team_id = g.team_id and g.date {'>' if op == '<' else '>='} x.date)
 select game_id, max(r) filter (side = 'h') as home_rating, max(r) filter (side = 'a') as away_rating from o group by 1""")  # noqa: S608
-query("j4_name_join", lambda f: G.name_join(f.ratings.where("player_id % 7 = 0").select("player_name", "rating"), f.roster.select("player_name", "team_id").withColumn("player_name", F.concat(F.upper("player_name"), F.lit(".")))).select("name_key", "rating", "team_id"), "ratings", "select lower(player_name) as name_key, x.rating, r.team_id from ratings x join roster r using (player_name) where x.player_id % 7 = 0")
+query("j4_name_join", lambda f: G.name_join(f.ratings.select("player_name", "rating"), f.roster.select("player_name", "team_id").withColumn("player_name", F.concat(F.upper("player_name"), F.lit(".")))).select("name_key", "rating", "team_id"), "ratings", "select lower(player_name) as name_key, x.rating, r.team_id from ratings x join roster r using (player_name)")
 query("j5_map_codes", lambda f: G.map_codes(f.long.select("game_id", F.concat(F.lit("T"), F.col("team_id")).alias("code")), f.arenas.where("team_id % 5 <> 0").select(F.concat(F.lit("T"), F.col("team_id")).alias("code"), "team_id")).groupBy("team_id").agg(F.count("game_id").alias("n")), "long", "select team_id, count(*) as n from long where team_id % 5 <> 0 group by 1")
 query("j6_lookup_by_date", lambda f: G.lookup_by_date(f.quarters.select("game_id", "team_id", "date", "q1"), f.hist).select("game_id", "team_id", "q1", "rating_before"), "quarters hist", """
 , x as (select team_id, date, min_by(rating_before, game_id) as rating_before from hist group by 1, 2)
@@ -73,17 +73,22 @@ window w as (partition by team_id order by date range between unbounded precedin
 query("a4_latest_per", lambda f: A.latest_per(f.hist.select("team_id", "date", "game_id", "rating_after", F.when(F.col("game_id") % 2 == 0, F.col("team_score")).alias("even_score")), "team_id").select("team_id", "game_id", "rating_after", "even_score"), "hist", "select team_id, arg_max(game_id, (date, game_id)) as game_id, arg_max(rating_after, (date, game_id)) as rating_after, arg_max(team_score, (date, game_id)) filter (game_id % 2 = 0) as even_score from hist group by 1")
 query("a5_team_from_players", lambda f: rounded(A.team_from_players(f.box, f.ratings), "team_rating"), "box ratings", "select game_id, b.team_id, round(sum(rating * minutes) / sum(minutes), 6) as team_rating from box b join ratings using (player_id) where minutes > 0 group by 1, 2")
 
-_CUTS = {"overall": "true", "home_pick": "picked_home", "away_pick": "not picked_home", "close": "abs(elo_diff) < 100", "toss_up": "abs(elo_diff) < 50", "large": "abs(elo_diff) >= 200", "enhanced": "enhanced", "b2b": "is_b2b", "high_confidence": "confidence >= 0.65", "low_confidence": "confidence < 0.55", "recent": f"date > {DAY} - 7"}
-query("a6_performance", lambda f: rounded(A.performance_summary(f.pred, end=AS_OF, as_of=AS_OF), *[f"{k}_accuracy" for k in _CUTS]), "pred", "select " + ", ".join(f"count(*) filter ({c}) as {k}_games, case when count(*) filter ({c}) >= 10 then round(avg(cast(correct as int)) filter ({c}), 6) end as {k}_accuracy" for k, c in _CUTS.items()) + f", count(*) filter (not correct and confidence > 0.6) as upsets from pred where date <= {DAY}")
+_CUTS = {"overall": "true", "home_pick": "picked_home", "away_pick": "not picked_home", "close": "abs(elo_diff) < 100", "toss_up": "abs(elo_diff) < 50", "large": "abs(elo_diff) >= 100", "enhanced": "enhanced", "home_b2b": "home_b2b", "away_b2b": "away_b2b", "high_confidence": "confidence >= 0.70", "low_confidence": "confidence < 0.60", "recent": f"date >= {DAY} - 7"}
+query("a6_performance", lambda f: rounded(A.performance_summary(f.pred, end=AS_OF, as_of=AS_OF), *[f"{k}_accuracy" for k in _CUTS], "home_win_rate", "avg_confidence", "upset_rate"), "pred", "select " + ", ".join(f"count(*) filter ({c}) as {k}_games, case when count(*) filter ({c}) >= {1 if k in ('overall', 'large', 'recent') else 10} then round(avg(cast(correct as int)) filter ({c}), 6) end as {k}_accuracy" for k, c in _CUTS.items()) + f""",
+ round(avg(cast(home_score > away_score as int)), 6) as home_win_rate, count(*) filter (picked_home and home_score > away_score) as home_predicted_correct, count(*) filter (not picked_home and home_score <= away_score) as away_predicted_correct,
+ round(avg(confidence), 6) as avg_confidence, count(*) filter (not correct) as upsets, round(avg(cast(not correct as int)), 6) as upset_rate from pred where date <= {DAY}""")
 query("a7_daily", lambda f: rounded(A.daily_stats(f.pred), "accuracy", "avg_confidence"), "pred", "select date, count(*) as games, count(*) filter (correct) as correct, round(avg(cast(correct as int)), 6) as accuracy, round(avg(confidence), 6) as avg_confidence from pred group by 1")
 query("a8_by_confidence", lambda f: rounded(A.by_confidence(f.pred, [0.5, 0.55, 0.6, 0.7, 0.8, 1.0]), "accuracy", "avg_confidence"), "pred", "select case when confidence < 0.55 then 0.5 when confidence < 0.6 then 0.55 when confidence < 0.7 then 0.6 when confidence < 0.8 then 0.7 else 0.8 end::double as bin, count(*) as games, round(avg(cast(correct as int)), 6) as accuracy, round(avg(confidence), 6) as avg_confidence from pred where confidence < 1 group by 1")
 query("a8_by_confidence_closed", lambda f: rounded(A.by_confidence(f.pred, [k / 20 for k in range(10, 21)], True), "accuracy", "avg_confidence"), "pred", """
 select greatest(0.5, (cast(ceil(round(confidence * 100) / 5) as int) - 1) * 5 / 100)::double as bin, count(*) as games, round(avg(cast(correct as int)), 6) as accuracy, round(avg(confidence), 6) as avg_confidence from pred group by 1""")
 query("a9_by_season", lambda f: rounded(A.by_season(f.pred), "accuracy"), "pred", f"select {SEASON} as season, count(*) as games, round(avg(cast(correct as int)), 6) as accuracy from pred group by 1 order by 1 desc limit 5")
 query("a10_by_week", lambda f: rounded(A.by_week(f.pred, AS_OF), "accuracy"), "pred", f"select cast(date_trunc('week', date) as date) as week, count(*) as games, round(avg(cast(correct as int)), 6) as accuracy from pred where date between {DAY} - 30 and {DAY} group by 1 order by 1 desc limit 4")
-query("a11_recent_vs_all", lambda f: rounded(A.recent_vs_all(f.pred), "recent_accuracy", "accuracy"), "pred", "select count(*) filter (date > m - 5) as recent_games, round(avg(cast(correct as int)) filter (date > m - 5), 6) as recent_accuracy, count(*) as games, round(avg(cast(correct as int)), 6) as accuracy from pred, (select max(date) as m from pred)")
+query("a11_recent_vs_all", lambda f: rounded(A.recent_vs_all(f.pred), "recent_accuracy", "accuracy"), "pred", "select count(*) filter (date >= m - 5) as recent_games, round(avg(cast(correct as int)) filter (date >= m - 5), 6) as recent_accuracy, count(*) as games, round(avg(cast(correct as int)), 6) as accuracy from pred, (select max(date) as m from pred)")
 query("a15_rating_stats", lambda f: rounded(A.rating_stats(f.ratings), "mean", "std"), "ratings", "select count(rating) as n, round(avg(rating), 6) as mean, quantile_cont(rating, 0.5) as median, round(stddev_samp(rating), 6) as std, min(rating) as low, max(rating) as high from ratings")
-query("a16_tiers", lambda f: A.tier_counts(f.ratings, {"superstar": 2000, "star": 1800, "starter": 1600}), "ratings", "select case when rating >= 2000 then 'superstar' when rating >= 1800 then 'star' when rating >= 1600 then 'starter' else 'below' end as tier, count(*) as n from ratings group by 1")
+query("a16_tiers", lambda f: A.tiers_reached(f.ratings), "ratings", "select unnest(['MVP candidates', 'All-Stars', 'Above Average']) as tier, unnest([count(*) filter (rating >= 1700), count(*) filter (rating >= 1650), count(*) filter (rating >= 1600)]) as n from ratings")
+query("a16_experience_tiers", lambda f: rounded(A.tier_counts(f.box.groupBy("player_id").agg(F.count("*").alias("games_played")), A.EXPERIENCE_TIERS, "games_played", "Rookies/Young"), "share"), "box", """
+, g as (select player_id, count(*) as n from box group by 1)
+select case when n >= 600 then 'Veterans' when n >= 300 then 'Prime' when n >= 100 then 'Developing' else 'Rookies/Young' end as tier, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from g group by 1""")
 query("a17_entities", lambda f: A.entity_counts(f.box), "box", "select count(*) as rows, count(distinct game_id) as games, count(distinct player_id) as players, count(distinct team_id) as teams from box")
 query("a18_minutes", lambda f: rounded(A.minutes_check(f.box), "mean_minutes"), "box", "select count(*) as team_games, round(avg(m), 6) as mean_minutes, count(*) filter (m < 200) as low, count(*) filter (m > 280) as high, avg(m) between 235 and 245 as plausible from (select sum(minutes) as m from box group by game_id, team_id)")
 query("a19_score_model", lambda f: rounded(A.fit_score_model(G.elo_training_set(f.done, f.hist), AS_OF), "slope", "intercept", "train_r2", "train_mae", "holdout_r2", "holdout_mae", digits=5), "hist", f"""
@@ -117,17 +122,29 @@ select game_id, date, round(p, 6) as p, (p > 0.5) = (home_score > away_score) as
 
 # T: rankings
 query("t1_top_players", lambda f: A.top_players(f.ratings).select("player_id", "rating"), "ratings", "select player_id, rating from ratings where games_played >= 10 order by rating desc, player_id limit 20")
-query("t2_top_by_era", lambda f: A.top_by(f.ratings.withColumn("era", F.col("games_played") % 4), ["era"], 5).select("era", "player_id", "rank"), "ratings", "select * from (select games_played % 4 as era, player_id, row_number() over (partition by games_played % 4 order by rating desc, player_id) as rank from ratings) where rank <= 5")
+_ERAS = {"1990s Era": (1990, 1999), **A.ERAS}
+
+
+def _last_seasons(f):
+    seasons = f.box.groupBy("player_id").agg(F.count("*").alias("games_played"), F.max(F.when(F.month("date") >= 10, F.year("date")).otherwise(F.year("date") - 1)).alias("last_season"))
+    return f.ratings.drop("games_played").join(seasons, "player_id")
+
+
+query("t2_top_by_era", lambda f: A.top_by_era(_last_seasons(f), _ERAS, min_games=10).select("era", "player_id", "rank"), "box ratings", f"""
+, s as (select player_id, max({SEASON}) as last_season from box group by 1 having count(*) >= 10),
+e as (select player_id, rating, case when last_season between 1990 and 1999 then '1990s Era' when last_season between 2000 and 2009 then '2000s Era' end as era from ratings join s using (player_id))
+select * from (select era, player_id, row_number() over (partition by era order by rating desc, player_id) as rank from e where era is not null) where rank <= 10""")
 query("t3_contributors", lambda f: A.top_contributors(f.box, f.ratings).select("game_id", "team_id", "player_id", "rank"), "box ratings", "select * from (select game_id, b.team_id, player_id, row_number() over (partition by game_id, b.team_id order by rating * minutes desc, player_id) as rank from box b join ratings using (player_id) where minutes > 0) where rank <= 3")
 query("t4_scorers", lambda f: A.top_by(f.box.where("not didNotPlay"), ["game_id", "team_id"], 3, "points").select("game_id", "team_id", "player_id", "points", "rank"), "box", "select * from (select game_id, team_id, player_id, points, row_number() over (partition by game_id, team_id order by points desc, player_id) as rank from box where not didNotPlay) where rank <= 3")
+query("t4_did_not_play", lambda f: A.did_not_play(f.box).select("game_id", "team_id", F.array_join(F.col("did_not_play").cast("array<string>"), ",").alias("did_not_play")), "box", "select game_id, team_id, string_agg(cast(player_id as varchar), ',' order by player_id) as did_not_play from box where didNotPlay group by 1, 2")
 query("t6_closest", lambda f: A.closest_games(f.pred).select("game_id", "home_win_prob"), "pred", "select game_id, home_win_prob from pred order by abs(home_win_prob - 0.5), game_id limit 5")
 query("t7_featured", lambda f: A.featured(f.pred).select("game_id", "kind", "rank"), "pred", """
-, s as (select game_id, round(abs(home_win_prob - 0.5) * 2, 9) as s from pred),
+, s as (select game_id, round(abs(home_win_prob - 0.5), 9) as s from pred),
 k as (select game_id, s, case when s >= 0.30 then 'blowout' when s <= 0.10 then 'competitive' end as kind from s)
 select * from (select game_id, kind, row_number() over (partition by kind order by case when kind = 'blowout' then -s else s end, game_id) as rank from k where kind is not null) where rank <= 3""")
 query("t8_upsets", lambda f: A.upset_candidates(f.pred).select("game_id", "confidence"), "pred", "select game_id, confidence from pred where confidence between 0.5 and 0.65")
 query("t9_current_top", lambda f: A.top_by(f.roster.join(G.recent_players(f.box, 60, AS_OF), ["player_id", "team_id"], "left_semi").join(f.ratings.select("player_id", "rating"), "player_id"), ["team_id"], 3).select("team_id", "player_id", "rank"), "box ratings", f"select * from (select r.team_id, r.player_id, row_number() over (partition by r.team_id order by rating desc, r.player_id) as rank from roster r join ratings x using (player_id) where (r.player_id, r.team_id) in (select player_id, team_id from box where date between {DAY} - 60 and {DAY})) where rank <= 3")
-query("t10_key_injuries", lambda f: A.top_by(f.injuries.join(f.ratings.select("player_id", "rating"), "player_id"), ["team_id"], 3).select("team_id", "player_id", "status", "rank", F.when(F.col("rating") >= 1900, "star").when(F.col("rating") >= 1600, "starter").otherwise("role").alias("role")), "injuries ratings", "select * from (select i.team_id, i.player_id, status, row_number() over (partition by i.team_id order by rating desc, i.player_id) as rank, case when rating >= 1900 then 'star' when rating >= 1600 then 'starter' else 'role' end as role from injuries i join ratings using (player_id)) where rank <= 3")
+query("t10_key_injuries", lambda f: A.key_injuries(f.injuries, f.ratings).select("team_id", "player_id", "status", "rank", "impact"), "injuries ratings", "select * from (select i.team_id, i.player_id, status, row_number() over (partition by i.team_id order by rating desc, i.player_id) as rank, case when rating > 1600 then 'star' when rating > 1400 then 'starter' else 'role' end as impact from injuries i join ratings using (player_id)) where rank <= 3")
 query("t11_ranking", lambda f: A.ranking(f.hist, AS_OF), "hist", f"select team_id, rating, row_number() over (order by rating desc, team_id) as rank from (select team_id, arg_max(rating_after, (date, game_id)) as rating from hist where date <= {DAY} group by 1)")
 query("t12_slate", lambda f: A.slate(f.pred.where(F.col("date") == F.lit(date(2000, 1, 15)))).select("game_id", "status"), "pred", "select game_id, 2 as status from pred where date = date '2000-01-15'")
 
@@ -140,13 +157,17 @@ query("io11_new_since", lambda f: T.new_since(f.games.where(F.col("date") <= F.l
 
 # Q: data quality
 query("q1_nulls", lambda f: A.nulls(f.long.select("game_id", F.when(F.col("margin") != 0, F.col("margin")).alias("margin"))), "long", "select unnest(['game_id', 'margin']) as column, unnest([0, count(*) filter (margin = 0)]) as nulls, count(*) as rows from long")
+query("q1_check_schema", lambda f: A.check_schema(f.games, ["game_id", "date", "home_team_id", "winner_team_id", "arena"]), "games", "select unnest(['game_id', 'date', 'home_team_id', 'winner_team_id', 'arena']) as column, unnest([true, true, true, false, false]) as present from (select 1 from games limit 1)")
 query("q2_duplicates", lambda f: A.duplicates(f.long, "team_id").orderBy("team_id"), "long", "select team_id, count(*) as n from long group by 1 having count(*) > 1")
 query("q3_season_counts", lambda f: A.season_counts(f.done), "done", f"select {SEASON} as season, count(*) as games, count(*) - 1230 as difference from done group by 1")
-query("q4_status", lambda f: A.status(f.games, date(2001, 8, 3)), "games", "select games, completed, scheduled, first_date, last_date, latest_completed, b as days_behind, case when b <= 1 then 'current' when b <= 3 then 'recent' else 'stale' end as state from (select *, date_diff('day', latest_completed, date '2001-08-03') as b from (select count(*) as games, count(*) filter (home_score > 0 or away_score > 0) as completed, count(*) filter (home_score = 0 and away_score = 0) as scheduled, min(date) as first_date, max(date) as last_date, max(date) filter (home_score > 0 or away_score > 0) as latest_completed from games))")
-query("q5_verdict", lambda f: rounded(A.verdict(f.box, f.games), "share"), "box", """
-, m as (select sum(minutes) as m from box group by game_id, team_id),
-x as (select (select count(*) from done) as n_games, (select count(distinct game_id) from box) as n_covered, count(*) filter (m < 200) as low, count(*) filter (m > 280) as high, count(*) as t from m)
-select n_games, n_covered, round(n_covered / n_games, 6) as share, low, high, case when n_covered / n_games >= 0.95 and (low + high) / t <= 0.05 then 'EXCELLENT' when n_covered / n_games >= 0.8 and (low + high) / t <= 0.2 then 'GOOD' else 'NEEDS ATTENTION' end as verdict from x""")
+query("q4_status", lambda f: A.status(f.games, date(2001, 8, 3)), "games", """
+, s as (select count(*) as games, count(*) filter (home_score > 0 or away_score > 0) as completed, count(*) filter (home_score = 0 and away_score = 0) as scheduled, min(date) as first_date, max(date) as last_date, max(date) filter (home_score > 0 or away_score > 0) as latest_completed,
+ min(date) filter (home_score = 0 and away_score = 0) as first_scheduled, max(date) filter (home_score = 0 and away_score = 0) as last_scheduled from games)
+select *, date_diff('day', latest_completed, date '2001-08-03') as days_behind, case date_diff('day', latest_completed, date '2001-08-03') when 0 then 'UP TO DATE' when 1 then 'CURRENT' when 2 then 'MOSTLY CURRENT' when 3 then 'MOSTLY CURRENT' else 'OUTDATED' end as state from s""")
+query("q5_verdict", lambda f: rounded(A.verdict(f.box, f.games), "share", "mean_minutes"), "box", """
+, m as (select avg(m) as m from (select sum(minutes) as m from box group by game_id, team_id)),
+x as (select (select count(*) from done) as n_games, (select count(distinct game_id) from box) as n_covered, m from m)
+select n_games, n_covered, round(n_covered / n_games, 6) as share, round(m, 6) as mean_minutes, 0::bigint as missing, case when n_covered / n_games >= 0.95 and m between 235 and 245 then 'EXCELLENT' when n_covered / n_games >= 0.9 and m between 230 and 250 then 'GOOD' else 'NEEDS ATTENTION' end as verdict from x""")
 query("q6_freshness", lambda f: A.freshness({"games": f.done, "box": f.box}, date(2001, 8, 3)), "box", "select *, age > 3 as stale from (select 'games' as \"table\", max(date) as last_date, date_diff('day', max(date), date '2001-08-03') as age from done union all select 'box', max(date), date_diff('day', max(date), date '2001-08-03') from box)")
 query("q7_extent", lambda f: A.extent(f.done, f.box), "box", "select first_a, last_a, first_b, last_b, first_a = first_b and last_a = last_b as same from (select min(date) as first_a, max(date) as last_a from done), (select min(date) as first_b, max(date) as last_b from box)")
 query("q8_plausible", lambda f: rounded(A.plausible(f.games), "plausible_share"), "games", "select count(*) as games, count(*) filter (home_score is null or away_score is null) as null_scores, round(avg(cast(home_score > 50 and away_score > 50 as int)), 6) as plausible_share from games")

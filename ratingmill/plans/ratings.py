@@ -11,6 +11,7 @@ from ratingmill.operators import games as G
 from ratingmill.operators import predict as P
 from ratingmill.operators import ratings as R
 from ratingmill.operators import windows as W
+from ratingmill.operators.aggregates import BPM_TIERS, tier_counts
 from ratingmill.plans import games as _games  # noqa: F401  its SQL is used below
 from ratingmill.plans import windows as _windows  # noqa: F401
 from ratingmill.plans.base import AS_OF, DAY, EXP, SEASON, part, query, rounded
@@ -71,6 +72,8 @@ query("f21_bpm", lambda f: rounded(S.bpm(f.box).select("game_id", "player_id", "
 , o as (select *, (points / minutes * 36 - 15) * 0.12 + (case when fg_attempted + 0.44 * ft_attempted > 0 then points / (2 * (fg_attempted + 0.44 * ft_attempted)) else 0.55 end - 0.55) * 15 + (assists / minutes * 36 - 3) * 0.6 + (rebounds / minutes * 36 - 7) * 0.3 - (turnovers / minutes * 36 - 2) * 0.8 as o from box),
 d as (select *, (steals / minutes * 36 - 1.2) * 1.2 + (blocks / minutes * 36 - 0.8) + (defensive_rebounds / minutes * 36 - 5) * 0.2 + (plus_minus / minutes * 36 - o) * 0.3 as d from o)
 select game_id, player_id, round(greatest(-12, least(15, o + d)) + 1e-8, 5) as bpm, round(greatest(-10, least(12, o)) + 1e-8, 5) as obpm, round(greatest(-8, least(8, d)) + 1e-8, 5) as dbpm from d""")
+query("a16_bpm_tiers", lambda f: rounded(tier_counts(S.bpm(f.box).where("minutes >= 10"), BPM_TIERS, "bpm", "Poor"), "share"), "box", part("b", "f21_bpm").rstrip() + """, t as (select b.bpm from b join box using (game_id, player_id) where minutes >= 10)
+select case when bpm >= 8 then 'Elite' when bpm >= 5 then 'Excellent' when bpm >= 2 then 'Good' when bpm >= -2 then 'Average' when bpm >= -5 then 'Below' else 'Poor' end as tier, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from t group by 1""")
 _RANKED = ", k as (select r.*, x.rating, row_number() over (partition by r.team_id order by x.rating desc, r.player_id) as rk from roster r join ratings x using (player_id))"
 _ROSTER_ELO = "select team_id, sum(rating * (1 - 0.05 * (rk - 1))) / sum(1 - 0.05 * (rk - 1)) as e from (select team_id, rating, row_number() over (partition by team_id order by rating desc, player_id) as rk from k {w}) where rk <= 10 group by 1"
 query("r5_roster_elo", lambda f: rounded(R.roster_elo(f.roster, f.ratings, _out(f)), "roster_elo"), "ratings injuries", _RANKED + f", e as ({_ROSTER_ELO.format(w=f'where player_name not in {_INJURED}')}) select t.team_id, round(coalesce(e, 1500), 6) as roster_elo from (select distinct team_id from roster) t left join e using (team_id)")
@@ -156,31 +159,23 @@ m as (select x.player_id as p1, y.player_id as p2, x.plus_minus - y.plus_minus a
 a as (select p1, p2, avg(d) as d from m where n <= 10 group by 1, 2 having count(*) >= 3),
 v as (select least(t1.team_id, t2.team_id) as team_a, greatest(t1.team_id, t2.team_id) as team_b, case when t1.team_id < t2.team_id then d else -d end / 5 * 10 as v, (t1.rating + t2.rating) / 4000 as w from a join t t1 on t1.player_id = p1 join t t2 on t2.player_id = p2 where t1.team_id <> t2.team_id)
 select team_a, team_b, count(*) as matchups, round(greatest(-30, least(30, sum(v * w) / sum(w))), 5) as player_h2h from v group by 1, 2""")
-query("r18_betting", lambda f: rounded(P.betting_report(f.pred).select("game_id", "risk", "fair_price", "category", "recommended"), "fair_price", digits=5), "pred", """
-select game_id, case when confidence >= 0.65 then 'low' when confidence >= 0.55 then 'medium' else 'high' end as risk, round(case when confidence >= 0.5 then -100 * confidence / (1 - confidence) else 100 * (1 - confidence) / confidence end, 5) as fair_price,
- case when abs(home_win_prob - 0.5) * 2 >= 0.30 then 'blowout' when abs(home_win_prob - 0.5) * 2 <= 0.10 then 'competitive' else 'moderate' end as category, confidence >= 0.65 as recommended from pred""")
+query("r18_betting", lambda f: P.betting_report(f.pred).select("game_id", "risk", "fair_price", "category", "recommended"), "pred", """
+select game_id, case when confidence >= 0.75 then 'VERY LOW RISK' when confidence >= 0.65 then 'LOW RISK' when confidence >= 0.55 then 'MODERATE RISK' else 'HIGH RISK' end as risk,
+ cast(trunc(case when confidence >= 0.5 then -(confidence / (1 - confidence)) * 100 else (1 - confidence) / confidence * 100 end) as int) as fair_price,
+ case when confidence >= 0.80 then 'Blowout' when confidence >= 0.70 then 'Strong Favorite' when confidence >= 0.60 then 'Moderate Favorite' when confidence >= 0.55 then 'Slight Favorite' else 'Toss-up' end as category, confidence >= 0.65 as recommended from pred""")
 query("r18_parlays", lambda f: rounded(P.parlays(P.betting_report(f.pred)), "probability", "decimal_odds"), "pred", """
 , t as (select * from (select date, game_id, confidence as c, row_number() over (partition by date order by confidence desc, game_id) as k from pred where confidence >= 0.65) where k <= 5)
 select x.date, x.game_id || '+' || y.game_id as games, round(x.c * y.c, 6) as probability, round(1 / (x.c * y.c), 6) as decimal_odds from t x join t y on x.date = y.date and x.k < y.k""")
 query("r19_drift", lambda f: rounded(P.drift(f.pred, AS_OF), "acc7", "acc30", "season_accuracy"), "pred", f"""
 , p as (select * from pred where date <= {DAY}),
-a as (select count(*) filter (date > {DAY} - 7) as n7, avg(cast(correct as int)) filter (date > {DAY} - 7) as a7, count(*) filter (date > {DAY} - 30) as n30, avg(cast(correct as int)) filter (date > {DAY} - 30) as a30, avg(cast(correct as int)) filter ({SEASON} = 1999) as s, max((date, game_id)) filter (correct) as l from p),
+a as (select count(*) filter (date >= {DAY} - 7) as n7, avg(cast(correct as int)) filter (date >= {DAY} - 7) as a7, count(*) filter (date >= {DAY} - 30) as n30, avg(cast(correct as int)) filter (date >= {DAY} - 30) as a30, avg(cast(correct as int)) filter ({SEASON} = 1999) as s, max((date, game_id)) filter (correct) as l from p),
 w as (select count(*) as w from p, a where (date, game_id) > l)
 select n7, round(a7, 6) as acc7, n30, round(a30, 6) as acc30, round(s, 6) as season_accuracy, w as wrong_streak, coalesce(n7 >= 5 and n30 >= 10 and a30 - a7 >= 0.05, false) as accuracy_drop, coalesce(n7 >= 5 and n30 >= 10 and a30 - a7 >= 0.05, false) or w >= 3 as alert from a, w""")
 
 
-def _sims(f):
-    from ratingmill.operators.aggregates import standings
-
-    table = standings(f.games, AS_OF)
-    left = G.remaining(f.games, AS_OF, keep_played=True).select("game_id", "home_team_id", "away_team_id", (0.3 + (F.col("game_id") % 41) / 100).alias("p"))
-    return P.project(table, left, table.select("team_id", F.floor(F.col("team_id") / 100).alias("conference")), 10_000)
-
-
-query("r20_project", lambda f: _sims(f).groupBy("team_id").agg(F.sum("wins").alias("wins"), F.count_if("playoffs").alias("playoffs")))
-query("r21_projection_summary", lambda f: rounded(P.projection_summary(_sims(f)), "mean_wins", "p5", "p95", "playoff_probability", "top_seed_probability"))
 query("r22_infer_roster", lambda f: R.infer_roster(f.box, 60), "box", "select distinct b.player_id, b.team_id from box b join (select team_id, max(date) as m from box group by 1) l using (team_id) where b.date >= m - 60")
-query("r23_add_scores", lambda f: P.add_scores(f.pred.select("game_id", "elo_diff")).select("game_id", "pred_home_score", "pred_away_score"), "pred", "select game_id, cast(greatest(70, round_even(114.15 + (2.8437 + 0.034507 * elo_diff) / 2, 0)) as int) as pred_home_score, cast(greatest(70, round_even(114.15 - (2.8437 + 0.034507 * elo_diff) / 2, 0)) as int) as pred_away_score from pred")
+_QUARTERS = [(k, side, "+" if side == "home" else "-", m) for k, m in enumerate(S.QUARTER_MODELS, 1) for side in ("home", "away")]
+query("r23_add_scores", lambda f: P.add_scores(f.pred.select("game_id", "elo_diff"), quarters=True).drop("elo_diff"), "pred", "select game_id, cast(greatest(70, round_even(114.15 + (2.8437 + 0.034507 * elo_diff) / 2, 0)) as int) as pred_home_score, cast(greatest(70, round_even(114.15 - (2.8437 + 0.034507 * elo_diff) / 2, 0)) as int) as pred_away_score, " + ", ".join(f"cast(greatest(15, round_even({m['average']} {sign} ({m['intercept']} + {m['slope']} * elo_diff) / 2, 0)) as int) as pred_{side}_q{k}" for k, side, sign, m in _QUARTERS) + " from pred")
 query("r24_prob_to_diff", lambda f: rounded(P.prob_to_diff(f.pred.select("game_id", "home_win_prob")).select("game_id", "implied_diff"), "implied_diff"), "pred", "select game_id, round(-400 * log10(1 / home_win_prob - 1), 6) as implied_diff from pred")
 
 # F: functions over whole tables
@@ -190,7 +185,7 @@ query("f7_caps", lambda f: rounded(f.pred.select("game_id", S.confidence_cap(F.c
 select game_id, cap, round(case when home_win_prob > 0.5 then least(home_win_prob, cap) else 1 - least(1 - home_win_prob, cap) end, 6) as p from c""")
 query("f8_f9_travel", lambda f: rounded(f.long.where("not is_home").join(f.arenas.select("team_id", F.col("latitude").alias("a1"), F.col("longitude").alias("o1"), F.col("timezone").alias("z1")), "team_id").join(f.arenas.select(F.col("team_id").alias("opponent_id"), F.col("latitude").alias("a2"), F.col("longitude").alias("o2"), F.col("timezone").alias("z2")), "opponent_id").withColumn("miles", S.haversine(F.col("a1"), F.col("o1"), F.col("a2"), F.col("o2"), 3956.0)).select("game_id", "miles", S.travel_penalty(F.col("miles"), F.abs(F.col("z1") - F.col("z2")), F.lit(6)).alias("penalty")), "miles", "penalty", digits=3), "long arenas", """
 , d as (select game_id, abs(a.timezone - b.timezone) as z, 2 * 3956 * asin(sqrt(least(1.0, pow(sin((radians(b.latitude) - radians(a.latitude)) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) as m from long l join arenas a on a.team_id = l.team_id join arenas b on b.team_id = l.opponent_id where not is_home)
-select game_id, round(m, 3) as miles, round(case when m > 2000 then -20 else 0 end - z * 8 - 20, 3) as penalty from d""")
+select game_id, round(m, 3) as miles, round(case when m > 2000 then -least(15, 5 + (m - 2000) / 500) else 0 end - z * 8 - 20, 3) as penalty from d""")
 query("f10_odds", lambda f: rounded(f.odds.select("game_id", "book", "is_home", S.american_to_probability(F.col("price")).alias("p"), S.american_to_decimal(F.col("price")).alias("d")), "p", "d"), "odds", "select game_id, book, is_home, round(case when price < 0 then -price / (100 - price) else 100 / (price + 100) end, 6) as p, round(case when price < 0 then 1 + 100 / -price else 1 + price / 100 end, 6) as d from odds")
 query("f11_season_calibration", lambda f: rounded(f.pred.select("game_id", S.estimated_games(F.col("date")).alias("n"), S.season_calibrated(F.col("home_win_prob"), S.estimated_games(F.col("date"))).alias("p")), "p"), "pred", f"""
 , n as (select *, greatest(0, cast(trunc(date_diff('day', make_date({SEASON}, 10, 20), date) * 0.5) as int)) as n from pred)
@@ -204,11 +199,46 @@ query("f13_confidence_score", lambda f: rounded(f.pred.select("game_id", S.confi
 , x as (select *, abs(game_id % 4 - game_id % 5) as g, game_id % 70 as i, game_id % 50 + 5 as v from pred),
 t as (select game_id, 0.35 * least(100, 50 + 40 * (1 - exp(-abs(elo_diff) / 75)) / (1 + exp(-abs(elo_diff) / 75))) + 0.15 * case g when 0 then 100 when 1 then 85 when 2 then 70 else 60 end + 0.25 * case when i = 0 then 100 when i <= 30 then 85 when i <= 60 then 70 when i <= 100 then 60 else 50 end + 0.15 * case when v <= 20 then 95 when v <= 40 then 80 when v <= 60 then 65 else 50 end + 0.1 * greatest(40, 100 - case when is_b2b then 30 else 0 end - case when enhanced then 20 else 0 end) as t from x)
 select game_id, round(t, 5) as overall_confidence, case when t >= 75 then 'High' when t >= 55 then 'Medium' else 'Low' end as confidence_level from t""")
-query("f15_market_blend", lambda f: rounded(f.pred.select("game_id", S.market_blend(F.col("home_win_prob"), 0.3 + (F.col("game_id") % 37) / 100, F.lit(0.5)).alias("m")).select("game_id", "m.*"), "blended", "divergence"), "pred", """
-, x as (select game_id, home_win_prob as p, (0.3 + (game_id % 37) / 100) / (0.8 + (game_id % 37) / 100) as m from pred)
-select game_id, round(p + 0.15 * (m - p), 6) as blended, round(p - m, 6) as divergence, case when abs(p - m) < 0.05 then 'high' when abs(p - m) < 0.1 then 'medium' else 'low' end as agreement, (p > 0.5) <> (m > 0.5) and abs(p - m) >= 0.1 as upset_alert from x""")
-query("f17_severity", lambda f: f.injuries.select("player_id", F.round(S.injury_severity(F.col("status"), F.col("player_id") % 14), 6).alias("severity")), "injuries", "select player_id, round(case status when 'out' then 1 when 'doubtful' then 0.8 when 'questionable' then 0.5 when 'probable' then 0.2 else 0 end * case when player_id % 14 > 7 then 0.9 else 1 end, 6)::double as severity from injuries")
+def _market(f):
+    from ratingmill.operators.aggregates import odds_consensus
+
+    side = odds_consensus(f.odds).groupBy("game_id").agg(*[F.max(F.when(F.col("is_home") == at, F.col("probability"))).alias(c) for at, c in ((True, "home"), (False, "away"))])
+    return rounded(f.pred.join(side, "game_id").select("game_id", S.market_blend(F.col("home_win_prob"), F.col("home"), F.col("away")).alias("m")).select("game_id", "m.*"), "blended", "divergence", nudge=1e-9)
+
+
+query("f15_market_blend", _market, "pred odds", """
+, o as (select game_id, avg(case when price < 0 then -price / (100 - price) else 100 / (price + 100) end) filter (is_home) as h, avg(case when price < 0 then -price / (100 - price) else 100 / (price + 100) end) filter (not is_home) as a from odds group by 1),
+x as (select game_id, home_win_prob as p, h / (h + a) as m from pred join o using (game_id))
+select game_id, round(p + 0.15 * (m - p) + 1e-9, 6) as blended, round(p - m + 1e-9, 6) as divergence, case when abs(p - m) < 0.05 then 'high' when abs(p - m) < 0.1 then 'medium' else 'low' end as agreement, abs(p - m) >= 0.1 as upset_alert,
+ case when abs(p - m) < 0.1 then '' when (p > 0.5) <> (m > 0.5) then 'different favorites' else 'same favorite' end as alert_reason from x""")
+
+
+def _severity(f):
+    last = f.box.where("not didNotPlay").groupBy("player_id").agg(F.datediff(F.lit(AS_OF), F.max("date")).alias("days"))
+    return f.injuries.join(last, "player_id", "left").select("player_id", F.round(S.injury_severity(F.col("status"), F.coalesce("days", F.lit(0))), 6).alias("severity"))
+
+
+query("f17_severity", _severity, "box injuries", f"""
+, l as (select player_id, date_diff('day', max(date), {DAY}) as days from box where not didNotPlay group by 1)
+select i.player_id, round(case status when 'out' then 1 when 'doubtful' then 0.8 when 'questionable' then 0.5 when 'probable' then 0.2 when 'available' then 0 else 0.5 end * case when coalesce(days, 0) > 7 then 0.9 else 1 end, 6)::double as severity from injuries i left join l using (player_id)""")
 query("f18_f19_upset", lambda f: rounded(f.pred.select("game_id", S.upset_probability(F.col("elo_diff"), F.col("home_win_prob"), F.col("game_id") % 6, F.col("game_id") % 5, F.lit(True)).alias("upset"), S.calibrated_confidence(F.col("confidence")).alias("c"), S.toss_up(F.col("home_win_prob"), F.col("elo_diff")).alias("t")), "upset", "c", "t"), "pred", """
 select game_id, round(least(0.55, case when abs(elo_diff) < 50 then 0.45 when abs(elo_diff) < 100 then 0.35 when abs(elo_diff) < 150 then 0.28 when abs(elo_diff) < 200 then 0.2 else 0.12 end + case when greatest(home_win_prob, 1 - home_win_prob) < 0.6 then 0.1 else 0 end + case when game_id % 6 <= 2 and game_id % 5 >= 4 then 0.15 when game_id % 6 <= 2 and game_id % 5 >= 3 then 0.1 else 0 end), 6)::double as upset,
  round(case when confidence >= 0.7 and confidence < 0.8 then confidence * 0.9 when confidence < 0.6 then least(confidence * 1.05, 0.65) else confidence end, 6) as c, round(case when abs(elo_diff) < 30 then 0.5 + (home_win_prob - 0.5) * abs(elo_diff) / 30 else home_win_prob end, 6) as t from pred""")
-query("f20_pace", lambda f: f.long.groupBy("team_id").agg(F.avg("team_score").alias("p"), F.avg("opponent_score").alias("a")).select("team_id", S.pace_style(F.col("p"), F.col("a"))[0].alias("pace"), S.pace_style(F.col("p"), F.col("a"))[1].alias("defence")), "long", "select team_id, case when avg(team_score) + avg(opponent_score) >= 235 then 'fast' when avg(team_score) + avg(opponent_score) >= 220 then 'average' else 'slow' end as pace, case when avg(opponent_score) < 108 then 'elite' when avg(opponent_score) < 114 then 'solid' else 'weak' end as defence from long group by 1")
+
+
+def _pace(f):
+    from pyspark.sql import Window
+
+    last = Window.partitionBy("team_id").orderBy("date", "game_id").rowsBetween(-10, -1)
+    means = f.long.select("game_id", "is_home", *[F.coalesce(F.avg(c).over(last), F.lit(0.0)).alias(k) for c, k in (("team_score", "points"), ("opponent_score", "allowed"))])
+    g = P.sides(means, ["points", "allowed"])
+    style = {f"{s}_{k}": S.pace_style(F.col(f"{s}_points"), F.col(f"{s}_allowed"))[n] for s in ("home", "away") for n, k in enumerate(("pace", "defence"))}
+    return g.withColumns(style).select("game_id", *style, S.tempo_note(F.col("home_points"), F.col("away_points")).alias("tempo_note"))
+
+
+_PACE = "case when {p} > 115 then 'Fast-paced' when {p} > 108 then 'Moderate' else 'Slow-paced' end as {s}_pace, case when {a} < 111 then 'Elite defense' when {a} < 116 then 'Average defense' else 'Weak defense' end as {s}_defence"
+query("f20_pace", _pace, "long", f"""
+, m as (select game_id, is_home, coalesce(avg(team_score) over w, 0) as p, coalesce(avg(opponent_score) over w, 0) as a from long window w as (partition by team_id order by date, game_id rows between 10 preceding and 1 preceding)),
+g as (select h.game_id, h.p as hp, h.a as ha, a.p as ap, a.a as aa from m h join m a on a.game_id = h.game_id and h.is_home and not a.is_home)
+select game_id, {_PACE.format(p='hp', a='ha', s='home')}, {_PACE.format(p='ap', a='aa', s='away')},
+ case when hp > 115 and ap > 115 then 'HIGH-SCORING POTENTIAL' when hp < 108 and ap < 108 then 'LOW-SCORING GAME' when abs(hp - ap) > 10 then 'PACE CLASH' else 'BALANCED MATCHUP' end as tempo_note from g""")

@@ -13,8 +13,8 @@ _EARLIER = "partition by team_id order by date range between unbounded preceding
 _DIST = "2 * {r} * asin(sqrt(least(1.0, pow(sin((radians({b}.latitude) - radians({a}.latitude)) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))"
 
 query("w1_form", lambda f: rounded(W.form(f.long).select("game_id", "team_id", "form_games", "form_wins", "form", "streak_type"), "form"), "long", f"""
-, x as (select game_id, team_id, count(*) over w as n, coalesce(sum(cast(won as int)) over w, 0) as wins, coalesce(avg(margin) over w, 0) as m from long window w as {_W5}),
-y as (select *, n >= 3 and (wins = n or wins = 0) as run from x)
+, x as (select game_id, team_id, count(*) over w as n, coalesce(sum(cast(won as int)) over w, 0) as wins, coalesce(avg(margin) over w, 0) as m, max(margin) over w as top from long window w as {_W5}),
+y as (select *, n >= 3 and (wins = n or top < 0) as run from x)
 select game_id, team_id, n as form_games, cast(wins as bigint) as form_wins, round(m * 0.1 * 50 * case when run then 1.2 else 1 end, 6) as form, case when not run then 'mixed' when wins = 0 then 'losing' else 'winning' end as streak_type from y""")
 _LAST_N = """
 , r as (select *, row_number() over (partition by team_id order by date, game_id) as rn from long),
@@ -46,10 +46,11 @@ n as (select *, row_number() over (partition by a, b order by date, game_id) as
 x as (select n.game_id, p.game_id as pg, case when p.home_team_id = n.home_team_id then p.m else -p.m end as m,
   case when p.home_team_id = n.home_team_id then p.home_score > p.away_score else p.home_score <= p.away_score end as won, date_diff('day', p.date, n.date) as age
   from n left join n p on p.a = n.a and p.b = n.b and p.rn between n.rn - 5 and n.rn - 1)"""
-query("w8_h2h", lambda f: rounded(W.h2h(f.done).select("game_id", "h2h_games", "h2h_wins", "h2h_adjustment", "h2h_class"), "h2h_adjustment"), "done", _MEET + """
+query("w8_h2h", lambda f: rounded(W.h2h(f.done).select("game_id", "h2h_games", "h2h_wins", "h2h_adjustment", "h2h_class", "h2h_confidence"), "h2h_adjustment"), "done", _MEET + """
 , c as (select game_id, count(pg) as n, count(*) filter (won) as w from x group by 1)
 select game_id, n as h2h_games, w as h2h_wins, case when n >= 3 then round(greatest(-50, least(50, (w / n - 0.5) * 100 * least(n / 5, 1))), 6) else 0 end as h2h_adjustment,
- case when n < 3 then 'unknown' when abs(w / n - 0.5) <= 0.1 then 'even' when w * 2 > n then 'home_dominates' else 'away_dominates' end as h2h_class from c""")
+ case when n < 3 then 'insufficient_data' when n >= 5 and (w / n >= 0.8 or w / n <= 0.2) then 'strong_dominance' when w / n >= 0.7 or w / n <= 0.3 then 'moderate_dominance' else 'balanced' end as h2h_class,
+ case when n = 0 then 'none' when n < 3 then 'low' when n < 5 then 'medium' else 'high' end as h2h_confidence from c""")
 query("w9_h2h_recency", lambda f: rounded(W.h2h_recency(f.done).select("game_id", "h2h_recency", "recent_blowout"), "h2h_recency"), "done", _MEET + """
 , v as (select *, case when age < 30 then 1.0 when age < 90 then 0.75 when age < 180 then 0.5 when age < 365 then 0.25 else 0.1 end::double as wt from x)
 select game_id, case when count(pg) = 0 then 0 else round(greatest(-15, least(15, sum(m * wt) / (sum(wt) filter (pg is not null)))), 6) end as h2h_recency, count(*) filter (age < 60 and abs(m) >= 15) > 0 as recent_blowout from v group by 1""")
@@ -76,7 +77,7 @@ query("w15_travel_fatigue", lambda f: rounded(W.travel_fatigue(f.long, f.arenas)
 p as (select g.team_id, g.game_id, w.date, w.game_id as wg, w.opponent_id as o, lag(w.opponent_id) over (partition by g.team_id, g.game_id order by w.date, w.game_id) as before from long g join w on w.team_id = g.team_id and w.date between g.date - 7 and g.date - 1),
 d as (select p.team_id, p.game_id, sum({_DIST.format(r='3956', a='a', b='b')}) as miles from p join arenas a on a.team_id = coalesce(before, p.team_id) join arenas b on b.team_id = o group by 1, 2),
 t as (select l.team_id, l.game_id, coalesce(miles, 0) as m from long l left join d using (team_id, game_id))
-select team_id, game_id, round(m, 3) as travel_miles, round(case when m < 1000 then 0 else -least(30, (m - 1000) / 2000 * 30) end, 3) as travel_fatigue from t""")
+select team_id, game_id, round(m, 3) as travel_miles, round(case when m < 1000 then 0 when m < 3000 then -15 * (m - 1000) / 2000 else -30 end, 3) as travel_fatigue from t""")
 query("w16_road_streak", lambda f: W.road_streak(f.long).select("game_id", "team_id", "venue_streak"), "long", """
 , x as (select *, row_number() over (partition by team_id order by date, game_id) - row_number() over (partition by team_id, is_home order by date, game_id) as island from long)
 select game_id, team_id, row_number() over (partition by team_id, is_home, island order by date, game_id) as venue_streak from x""")

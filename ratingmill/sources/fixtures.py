@@ -81,7 +81,7 @@ RECIPES = {
                (20 + (game_id * 7919) % 61) / 100.0e0 as home_win_prob,
                greatest((20 + (game_id * 7919) % 61) / 100.0e0, (80 - (game_id * 7919) % 61) / 100.0e0) as confidence,
                cast((game_id * 31) % 400 - 200 as double) as elo_diff,
-               game_id % 7 = 0 as is_b2b, game_id % 5 = 0 as enhanced,
+               game_id % 7 = 0 as is_b2b, game_id % 7 = 0 as home_b2b, game_id % 11 = 0 as away_b2b, game_id % 5 = 0 as enhanced,
                cast(90 + (game_id * 17) % 40 as double) as pred_home_score, cast(90 + (game_id * 19) % 40 as double) as pred_away_score,
                (20 + (game_id * 7919) % 61) >= 50 as picked_home,
                ((20 + (game_id * 7919) % 61) >= 50) = (home_score > away_score) as correct
