@@ -163,10 +163,21 @@ def player_pairs(box: DataFrame, players: DataFrame | None = None) -> DataFrame:
     return pairs.withColumnRenamed("date1", "date")
 
 
-def roster_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Players that moved, were added or removed."""
-    a, b = (df.select("player_id", F.col("team_id").alias(c)) for df, c in ((old, "old_team"), (new, "new_team")))
-    both = a.join(b, "player_id", "full_outer")
+def full_team_names(df: DataFrame, names: DataFrame, column: str = "team") -> DataFrame:
+    """``column`` with short codes (up to three characters, case aside) replaced by the name that ``names``
+    (``code, name``) has for them; others stay."""
+    known = names.select(F.upper("code").alias("_code"), F.col("name").alias("_name"))
+    key = F.when(F.length(column) <= 3, F.upper(column))
+    return df.withColumn("_key", key).join(known, F.col("_key") == F.col("_code"), "left").withColumn(column, F.coalesce("_name", F.col(column))).drop("_key", "_code", "_name")
+
+
+def roster_diff(old: DataFrame, new: DataFrame, key: str = "player_id", team: str = "team_id", names: DataFrame | None = None) -> DataFrame:
+    """Players that moved, were added or removed. With ``names`` teams are compared by their full names,
+    so that a code on one side is no move (J11)."""
+    if names is not None:
+        old, new = (full_team_names(df, names, team) for df in (old, new))
+    a, b = (df.select(key, F.col(team).alias(c)) for df, c in ((old, "old_team"), (new, "new_team")))
+    both = a.join(b, key, "full_outer")
     change = F.when(F.col("old_team").isNull(), "added").when(F.col("new_team").isNull(), "removed").when(F.col("old_team") != F.col("new_team"), "moved")
     return both.withColumn("change", change).where("change is not null")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
@@ -77,12 +78,19 @@ def _usable(games: DataFrame) -> DataFrame:
 
 def team_elo(games: DataFrame, k: float = 20, home_advantage: float = 20, use_mov: bool = True, reversion: float = 0.75, base: float = BASE) -> DataFrame:
     """Two history rows for each completed game (R1). The fold is sequential within a pool of teams
-    that play each other; pools run in parallel."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fold_games(Fold(k, home_advantage, use_mov, reversion, base), pdf)
-
-    return _usable(games).groupBy("pool").applyInPandas(run, HISTORY)
+    that play each other; pools run in parallel. Games without a pool are a pool of their own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, pool = None, None
+        for batch in batches:
+            for key, part in batch.groupby(batch["pool"].fillna(-1), sort=False):
+                if fold is None or key != pool:
+                    fold, pool = Fold(k, home_advantage, use_mov, reversion, base), key
+                yield _fold_games(fold, part)
+
+    # games stream by in order; a task holds the ratings of one pool and one batch of games
+    ordered = _usable(games).repartition("pool").sortWithinPartitions("pool", "date", "game_id")
+    return ordered.mapInPandas(run, HISTORY)
 
 
 def state_of(hist: DataFrame) -> DataFrame:

@@ -92,8 +92,10 @@ def _shared(spark) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or tempfile.gettempdir()).rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
 def _drained(stream, path: str):
@@ -143,7 +145,7 @@ def _once(f):
 def _stream_ratings(f):
     path = _shared(f.spark)
     out = _drained(streams.stream_ratings(_written_games(f, path)), path)
-    return rounded(out.select("game_id", "team_id", "rating_before", "rating_after"), "rating_before", "rating_after", digits=4)
+    return rounded(out.where("not late").select("game_id", "team_id", "rating_before", "rating_after"), "rating_before", "rating_after", digits=4)
 
 
 def _upserted(f):

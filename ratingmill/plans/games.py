@@ -57,6 +57,15 @@ query("j11_roster_diff", lambda f: G.roster_diff(f.roster.where("player_id % 5 <
   from (select * from roster where player_id % 5 <> 0) a full outer join (select * from roster where player_id % 7 <> 0) b on a.player_id = b.player_id)
 select coalesce(p, q) as player_id, old_team, new_team, case when p is null then 'added' when q is null then 'removed' else 'moved' end as change
 from d where p is null or q is null or old_team <> new_team""")
+def _named_rosters(f):
+    name = lambda t: F.concat(F.lit("Team "), t)
+    names = f.arenas.select(F.hex("team_id").alias("code"), name(F.col("team_id").cast("string")).alias("name"))
+    old = f.roster.select("player_name", F.when(F.col("player_id") % 2 == 0, F.lower(F.hex("team_id"))).otherwise(name(F.col("team_id").cast("string"))).alias("team"))
+    new = f.roster.select("player_name", name((F.col("team_id") + F.when(F.col("player_id") % 11 == 0, 1).otherwise(0)).cast("string")).alias("team"))
+    return G.roster_diff(old, new, "player_name", "team", names)
+
+
+query("j11_roster_diff_by_name", _named_rosters, "roster", "select player_name, 'Team ' || team_id as old_team, 'Team ' || (team_id + 1) as new_team, 'moved' as change from roster where player_id % 11 = 0")
 query("j12_match_odds", lambda f: G.match_odds(
     f.done.select("game_id", "date", F.concat(F.lit("Team "), F.col("home_team_id"), F.lit(" Stars")).alias("home_team_name"), F.concat(F.lit("Team "), F.col("away_team_id"), F.lit(" Stars")).alias("away_team_name")),
     f.done.select("date", F.concat(F.lit("TEAM "), F.col("home_team_id"), F.lit(" ")).alias("home_team"), F.concat(F.lit("team "), F.col("away_team_id"), F.lit(" ")).alias("away_team"), F.col("game_id").alias("odds_id"))).select("game_id", "odds_id"), "done",

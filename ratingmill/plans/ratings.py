@@ -67,11 +67,11 @@ select player_id, round(raw, 5) as raw_rating, round(raw * case when player_id i
 query("w18_player_change_days", lambda f: rounded(W.elo_change_days(R.player_elo(f.box), AS_OF, 30, "player_id"), "now", "then", "change", nudge=1e-8), "box", _R3 + f"""
 , n as (select player_id, arg_max(after, (date, game_id)) as n from p where date <= {DAY} group by 1), t as (select player_id, arg_max(after, (date, game_id)) as t from p where date <= {DAY} - 30 group by 1)
 select player_id, round(n + 1e-8, 6) as now, round(t + 1e-8, 6) as "then", round(n - t + 1e-8, 6) as change from n join t using (player_id)""")
-query("r3_by_bpm", lambda f: rounded(R.player_elo(S.bpm(f.box), metric="bpm").groupBy("player_id").agg(F.sum("rating_change").alias("total"), F.count("*").alias("games")), "total", digits=4))
 query("f21_bpm", lambda f: rounded(S.bpm(f.box).select("game_id", "player_id", "bpm", "obpm", "dbpm"), "bpm", "obpm", "dbpm", digits=5, nudge=1e-8), "box", """
 , o as (select *, (points / minutes * 36 - 15) * 0.12 + (case when fg_attempted + 0.44 * ft_attempted > 0 then points / (2 * (fg_attempted + 0.44 * ft_attempted)) else 0.55 end - 0.55) * 15 + (assists / minutes * 36 - 3) * 0.6 + (rebounds / minutes * 36 - 7) * 0.3 - (turnovers / minutes * 36 - 2) * 0.8 as o from box),
 d as (select *, (steals / minutes * 36 - 1.2) * 1.2 + (blocks / minutes * 36 - 0.8) + (defensive_rebounds / minutes * 36 - 5) * 0.2 + (plus_minus / minutes * 36 - o) * 0.3 as d from o)
 select game_id, player_id, round(greatest(-12, least(15, o + d)) + 1e-8, 5) as bpm, round(greatest(-10, least(12, o)) + 1e-8, 5) as obpm, round(greatest(-8, least(8, d)) + 1e-8, 5) as dbpm from d""")
+query("r3_by_bpm", lambda f: rounded(R.player_elo(S.bpm(f.box), metric="bpm").groupBy("player_id").agg(F.sum("rating_change").alias("total"), F.count("*").alias("games")), "total", digits=4, nudge=1e-7), "box", part("m", "f21_bpm").replace("1e-8", "0") + "select player_id, round(sum(20 * least(1, minutes / 48) * ((greatest(-10, least(10, m.bpm)) + 10) / 20 - 0.5)) + 1e-7, 4) as total, count(*) as games from box join m using (game_id, player_id) where minutes > 0 and not didNotPlay group by 1")
 query("a16_bpm_tiers", lambda f: rounded(tier_counts(S.bpm(f.box).where("minutes >= 10"), BPM_TIERS, "bpm", "Poor"), "share"), "box", part("b", "f21_bpm").rstrip() + """, t as (select b.bpm from b join box using (game_id, player_id) where minutes >= 10)
 select case when bpm >= 8 then 'Elite' when bpm >= 5 then 'Excellent' when bpm >= 2 then 'Good' when bpm >= -2 then 'Average' when bpm >= -5 then 'Below' else 'Poor' end as tier, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from t group by 1""")
 _RANKED = ", k as (select r.*, x.rating, row_number() over (partition by r.team_id order by x.rating desc, r.player_id) as rk from roster r join ratings x using (player_id))"
@@ -190,15 +190,39 @@ query("f10_odds", lambda f: rounded(f.odds.select("game_id", "book", "is_home",
 query("f11_season_calibration", lambda f: rounded(f.pred.select("game_id", S.estimated_games(F.col("date")).alias("n"), S.season_calibrated(F.col("home_win_prob"), S.estimated_games(F.col("date"))).alias("p")), "p"), "pred", f"""
 , n as (select *, greatest(0, cast(trunc(date_diff('day', make_date({SEASON}, 10, 20), date) * 0.5) as int)) as n from pred)
 select game_id, n, round(0.5 + (home_win_prob - 0.5) * least(1, 0.7 + 0.3 * n / 20), 6) as p from n""")
-query("f12_context", lambda f: f.pred.select("game_id", S.game_context(F.col("date"), F.col("game_id") % 90, F.col("game_id") % 83).alias("c")).select("game_id", "c.is_post_christmas", "c.is_season_opener", "c.is_playoff_push", "c.context_summary", "c.confidence_penalty"), "pred", """
-, x as (select game_id, date_diff('day', make_date(year(date), 12, 25), date) between 1 and 3 as a, month(date) = 2 and day(date) between 20 and 23 as b, date_diff('day', make_date(year(date), 11, 28), date) between 1 and 3 as c, game_id % 90 < 5 or game_id % 83 < 5 as d, 82 - greatest(game_id % 90, game_id % 83) <= 15 as e from pred),
+def _context(f):
+    played = P.sides(W.games_before(f.long), ["games_before"])
+    return f.pred.join(played, "game_id").select("game_id", S.game_context(F.col("date"), F.col("home_games_before"), F.col("away_games_before")).alias("c")).select("game_id", "c.is_post_christmas", "c.is_season_opener", "c.is_playoff_push", "c.context_summary", "c.confidence_penalty")
+
+
+_PLAYED = part("played", "w20_games_before")
+query("f12_context", _context, "pred long", _PLAYED + """
+, n as (select p.game_id, p.date, h.games_before as hn, a.games_before as an from pred p join played h on h.game_id = p.game_id and h.team_id = home_team_id join played a on a.game_id = p.game_id and a.team_id = away_team_id),
+x as (select game_id, date_diff('day', make_date(year(date), 12, 25), date) between 1 and 3 as a, month(date) = 2 and day(date) between 20 and 23 as b, date_diff('day', make_date(year(date), 11, 28), date) between 1 and 3 as c, hn < 5 or an < 5 as d, 82 - greatest(hn, an) <= 15 as e from n),
 y as (select *, concat_ws(', ', case when a then 'Post-Christmas' end, case when b then 'Post-All-Star' end, case when c then 'Post-Thanksgiving' end, case when d then 'Season Opener' end, case when e then 'Playoff Push' end) as s from x)
 select game_id, a as is_post_christmas, d as is_season_opener, e as is_playoff_push, case when s = '' then 'Normal game conditions' else 'Special circumstances: ' || s end as context_summary,
  least(50, case when a then 30 else 0 end + case when b then 15 else 0 end + case when c then 10 else 0 end + case when d then 20 else 0 end + case when e then 10 else 0 end)::double as confidence_penalty from y""")
-query("f13_confidence_score", lambda f: rounded(f.pred.select("game_id", S.confidence_score(F.col("elo_diff"), F.col("game_id") % 4, F.col("game_id") % 5, -(F.col("game_id") % 70), F.lit(0), F.col("game_id") % 50, F.lit(-5), F.col("is_b2b"), F.col("enhanced"), F.lit(False)).alias("s")).select("game_id", "s.overall_confidence", "s.confidence_level"), "overall_confidence", digits=5), "pred", """
-, x as (select *, abs(game_id % 4 - game_id % 5) as g, game_id % 70 as i, game_id % 50 + 5 as v from pred),
-t as (select game_id, 0.35 * least(100, 50 + 40 * (1 - exp(-abs(elo_diff) / 75)) / (1 + exp(-abs(elo_diff) / 75))) + 0.15 * case g when 0 then 100 when 1 then 85 when 2 then 70 else 60 end + 0.25 * case when i = 0 then 100 when i <= 30 then 85 when i <= 60 then 70 when i <= 100 then 60 else 50 end + 0.15 * case when v <= 20 then 95 when v <= 40 then 80 when v <= 60 then 65 else 50 end + 0.1 * greatest(40, 100 - case when is_b2b then 30 else 0 end - case when enhanced then 20 else 0 end) as t from x)
-select game_id, round(t, 5) as overall_confidence, case when t >= 75 then 'High' when t >= 55 then 'Medium' else 'Low' end as confidence_level from t""")
+
+
+def _confidence(f):
+    team = P.sides(W.form(W.rest_fatigue(f.long)).withColumn("form", F.round("form", 6)), ["fatigue_rest", "form"])
+    hurt = R.injury_adjustment(f.roster, f.ratings, _out(f)).select("team_id", "injury_adjustment")
+    g = f.pred.join(team, "game_id")
+    for s in ("home", "away"):
+        g = g.join(hurt.toDF(f"{s}_team_id", f"{s}_injury"), f"{s}_team_id", "left").fillna(0.0, [f"{s}_injury"])
+    c = S.game_context(F.col("date"), F.lit(40), F.lit(40))
+    score = S.confidence_score(F.col("elo_diff"), F.col("home_fatigue_rest"), F.col("away_fatigue_rest"), F.col("home_injury"), F.col("away_injury"), F.col("home_form"), F.col("away_form"), c["is_post_christmas"], c["is_season_opener"], c["is_playoff_push"])
+    return rounded(g.select("game_id", score.alias("s")).select("game_id", "s.overall_confidence", "s.confidence_level"), "overall_confidence", digits=5, nudge=1e-8)
+
+
+query("f13_confidence_score", _confidence, "pred long ratings injuries", part("tired", "w7_rest_fatigue") + part("form", "w1_form") + part("hurt", "r7_injury_adjustment") + """
+, x as (select p.game_id, elo_diff, abs(th.fatigue_rest - ta.fatigue_rest) as g, abs(coalesce(ih.injury_adjustment, 0)) + abs(coalesce(ia.injury_adjustment, 0)) as i, abs(round(fh.form, 6)) + abs(round(fa.form, 6)) as v, date_diff('day', make_date(year(date), 12, 25), date) between 1 and 3 as c from pred p
+  join tired th on th.game_id = p.game_id and th.team_id = home_team_id join tired ta on ta.game_id = p.game_id and ta.team_id = away_team_id join form fh on fh.game_id = p.game_id and fh.team_id = home_team_id join form fa on fa.game_id = p.game_id and fa.team_id = away_team_id
+  left join hurt ih on ih.team_id = home_team_id left join hurt ia on ia.team_id = away_team_id),
+t as (select game_id, 0.35 * least(100, 50 + 40 * (1 - exp(-abs(elo_diff) / 75)) / (1 + exp(-abs(elo_diff) / 75))) + 0.15 * case g when 0 then 100 when 1 then 85 when 2 then 70 else 60 end + 0.25 * case when i = 0 then 100 when i <= 30 then 85 when i <= 60 then 70 when i <= 100 then 60 else 50 end + 0.15 * case when v <= 20 then 95 when v <= 40 then 80 when v <= 60 then 65 else 50 end + 0.1 * greatest(40, 100 - case when c then 30 else 0 end) as t from x)
+select game_id, round(t + 1e-8, 5) as overall_confidence, case when t >= 75 then 'High' when t >= 55 then 'Medium' else 'Low' end as confidence_level from t""")
+
+
 def _market(f):
     from ratingmill.operators.aggregates import odds_consensus
 
@@ -221,9 +245,19 @@ def _severity(f):
 query("f17_severity", _severity, "box injuries", f"""
 , l as (select player_id, date_diff('day', max(date), {DAY}) as days from box where not didNotPlay group by 1)
 select i.player_id, round(case status when 'out' then 1 when 'doubtful' then 0.8 when 'questionable' then 0.5 when 'probable' then 0.2 when 'available' then 0 else 0.5 end * case when coalesce(days, 0) > 7 then 0.9 else 1 end, 6)::double as severity from injuries i left join l using (player_id)""")
-query("f18_f19_upset", lambda f: rounded(f.pred.select("game_id", S.upset_probability(F.col("elo_diff"), F.col("home_win_prob"), F.col("game_id") % 6, F.col("game_id") % 5, F.lit(True)).alias("upset"), S.calibrated_confidence(F.col("confidence")).alias("c"), S.toss_up(F.col("home_win_prob"), F.col("elo_diff")).alias("t")), "upset", "c", "t"), "pred", """
-select game_id, round(least(0.55, case when abs(elo_diff) < 50 then 0.45 when abs(elo_diff) < 100 then 0.35 when abs(elo_diff) < 150 then 0.28 when abs(elo_diff) < 200 then 0.2 else 0.12 end + case when greatest(home_win_prob, 1 - home_win_prob) < 0.6 then 0.1 else 0 end + case when game_id % 6 <= 2 and game_id % 5 >= 4 then 0.15 when game_id % 6 <= 2 and game_id % 5 >= 3 then 0.1 else 0 end), 6)::double as upset,
- round(case when confidence >= 0.7 and confidence < 0.8 then confidence * 0.9 when confidence < 0.6 then least(confidence * 1.05, 0.65) else confidence end, 6) as c, round(case when abs(elo_diff) < 30 then 0.5 + (home_win_prob - 0.5) * abs(elo_diff) / 30 else home_win_prob end, 6) as t from pred""")
+def _upset(f):
+    won = P.sides(W.momentum(f.long), ["wins", "games"])
+    home = F.col("home_win_prob") > 0.5
+    wins = [F.when(home, F.col(f"{a}_wins")).otherwise(F.col(f"{b}_wins")) for a, b in (("home", "away"), ("away", "home"))]
+    enough = (F.col("home_games") >= 3) & (F.col("away_games") >= 3)
+    upset = S.upset_probability(F.col("elo_diff"), F.col("home_win_prob"), *wins, enough)
+    return rounded(f.pred.join(won, "game_id").select("game_id", upset.alias("upset"), S.calibrated_confidence(F.col("confidence")).alias("c"), S.toss_up(F.col("home_win_prob"), F.col("elo_diff")).alias("t")), "upset", "c", "t")
+
+
+query("f18_f19_upset", _upset, "pred long", part("mom", "w2_momentum") + """
+, x as (select p.*, h.games >= 3 and a.games >= 3 as enough, case when home_win_prob > 0.5 then h.wins else a.wins end as fw, case when home_win_prob > 0.5 then a.wins else h.wins end as uw from pred p join mom h on h.game_id = p.game_id and h.team_id = home_team_id join mom a on a.game_id = p.game_id and a.team_id = away_team_id)
+select game_id, round(least(0.55, case when abs(elo_diff) < 50 then 0.45 when abs(elo_diff) < 100 then 0.35 when abs(elo_diff) < 150 then 0.28 when abs(elo_diff) < 200 then 0.2 else 0.12 end + case when greatest(home_win_prob, 1 - home_win_prob) < 0.6 then 0.1 else 0 end + case when enough and fw <= 2 and uw >= 4 then 0.15 when enough and fw <= 2 and uw >= 3 then 0.1 else 0 end), 6)::double as upset,
+ round(case when confidence >= 0.7 and confidence < 0.8 then confidence * 0.9 when confidence < 0.6 then least(confidence * 1.05, 0.65) else confidence end, 6) as c, round(case when abs(elo_diff) < 30 then 0.5 + (home_win_prob - 0.5) * abs(elo_diff) / 30 else home_win_prob end, 6) as t from x""")
 
 
 def _pace(f):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ratingmill.operators import aggregates as A
 from ratingmill.operators import windows as W
-from ratingmill.plans.base import AS_OF, DAY, SEASON, query, rounded
+from ratingmill.plans.base import AS_OF, DAY, SEASON, part, query, rounded
 
 _W5 = "(partition by team_id order by date, game_id rows between 5 preceding and 1 preceding)"
 _EARLIER = "partition by team_id order by date range between unbounded preceding and interval 1 day preceding"
@@ -93,7 +93,7 @@ query("w22_recovery", lambda f: rounded(W.recovery(f.box.where("didNotPlay").gro
 , r as (select player_id, min(date) as d from box where didNotPlay group by 1),
 x as (select b.player_id, b.game_id, rating, row_number() over (partition by b.player_id order by b.date, b.game_id) as since from box b join r using (player_id) join ratings using (player_id) where not didNotPlay and b.date >= d)
 select player_id, game_id, since, case since when 1 then 0.75 when 2 then 0.85 when 3 then 0.95 else 1 end::double as recovery, round((rating - 1500) / 10 * case since when 1 then 0.75 when 2 then 0.85 when 3 then 0.95 else 1 end, 6) as boost from x""")
-query("w_team_game_features", lambda f: rounded(W.team_game_features(f.long).select("game_id", "team_id", "form", "tier_points", "rest_days", "density_penalty", "games_before"), "form"))
+query("w_team_game_features", lambda f: rounded(W.team_game_features(f.long).select("game_id", "team_id", "form", "tier_points", "rest_days", "density_penalty", "games_before"), "form"), "long", part("f", "w1_form") + part("m", "w3_momentum_tiers") + part("r", "w5_rest") + part("d", "w7_rest_fatigue") + ", n as (select game_id, team_id, row_number() over (partition by team_id order by date, game_id) - 1 as games_before from long) select game_id, team_id, round(form, 6) as form, tier_points, rest_days, density_penalty, games_before from f join m using (game_id, team_id) join r using (game_id, team_id) join d using (game_id, team_id) join n using (game_id, team_id)")
 query("a12_rest_impact", lambda f: rounded(A.rest_impact(W.rest(f.long)), "home_win_rate"), "long", """
 , x as (select game_id, is_home, won, coalesce(greatest(0, date_diff('day', p, date) - 1), -1) as d, p from (select *, lag(date) over (partition by team_id order by date, game_id) as p from long)),
 y as (select game_id, is_home, won, case when p is null then -1 else d end as d from x),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,8 +30,9 @@ _STATE = "teams array<long>, ratings array<double>, games array<long>, season lo
 
 
 def stream_ratings(stream: DataFrame, k: float = 20, home_advantage: float = 20, use_mov: bool = True, reversion: float = 0.75, base: float = 1500.0) -> DataFrame:
-    """Team ratings with one state for each pool (K3). Games of one batch are folded in order; a game that
-    isn't later than the pool's last date is passed over (``late`` in batch: ``late_games``)."""
+    """Team ratings with one state for each pool (K3). Games of one batch are folded in order. A game that
+    isn't later than the pool's last date would need a replay; its rows come out as ``late``, without
+    ratings (in batch: ``late_games``)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fold, last = Fold(k, home_advantage, use_mov, reversion, base), None
@@ -40,14 +42,18 @@ def stream_ratings(stream: DataFrame, k: float = 20, home_advantage: float = 20,
         new = pd.concat(list(batches))
         days = pd.to_datetime(new["date"])
         if last is not None:
+            late = new[days <= pd.Timestamp(last)]
             new, days = new[days > pd.Timestamp(last)], days[days > pd.Timestamp(last)]
+            if len(late):
+                none = ["rating_before", "rating_after", "rating_change", "expected_score"]
+                yield _fold_games(Fold(k, home_advantage, use_mov, reversion, base), late).assign(**dict.fromkeys(none, math.nan), late=True)
         if len(new):
-            out = _fold_games(fold, new)
+            out = _fold_games(fold, new).assign(late=False)
             teams = list(fold.rating)
             state.update(([int(t) for t in teams], [float(fold.rating[t]) for t in teams], [int(fold.games[t]) for t in teams], int(fold.season), days.max().date()))
             yield out
 
-    return _usable(stream).groupBy("pool").applyInPandasWithState(run, HISTORY, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return _usable(stream).groupBy("pool").applyInPandasWithState(run, f"{HISTORY}, late boolean", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_predictions(path: str):

@@ -161,7 +161,7 @@ def test_streams(spark, frames, tmp_path):
     q = streams.stream_ratings(stream).writeStream.format("memory").queryName("rated").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    a, b = history(spark.table("rated")), history(R.team_elo(frames.games))
+    a, b = history(spark.table("rated").where("not late")), history(R.team_elo(frames.games))
     assert a.keys() == b.keys() and all(math.isclose(a[k].rating_after, b[k].rating_after) for k in a)
 
     events = str(tmp_path / "events")
@@ -177,3 +177,20 @@ def test_streams(spark, frames, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(log).count() == 2
+
+
+def test_stream_gives_late_games(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [game(1, "2000-01-01", 1, 2, 100, 90), game(2, "2000-01-05", 1, 2, 90, 100)]
+    spark.createDataFrame(rows, GAMES).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(spark.createDataFrame([], GAMES).schema).parquet(path)
+    q = streams.stream_ratings(stream).writeStream.format("memory").queryName("tardy").outputMode("append").start()
+    q.processAllAvailable()
+    spark.createDataFrame([game(3, "2000-01-05", 1, 2, 99, 98), game(4, "2000-01-06", 1, 2, 99, 98)], GAMES).coalesce(1).write.mode("append").parquet(path)
+    q.processAllAvailable()
+    q.stop()
+    out = spark.table("tardy").collect()
+    assert {r.game_id for r in out if r.late} == {3} and all(r.rating_after is None or math.isnan(r.rating_after) for r in out if r.late)
+    kept = spark.createDataFrame([*rows, game(4, "2000-01-06", 1, 2, 99, 98)], GAMES)
+    want = {(r.game_id, r.team_id): r.rating_after for r in R.team_elo(kept).collect()}
+    assert {(r.game_id, r.team_id): pytest.approx(r.rating_after) for r in out if not r.late} == want
