@@ -2,9 +2,9 @@
 
 1. Every document becomes the set of its shingles' 64-bit names; equal sets are one *node*.
 2. Shingle names fall into groups (ranges of the hash). Two sets that link differ in a limited
-   number of shingles, so among enough groups at least one holds the same shingles in both:
-   each set sends one row for each group, keyed by what the group holds, and sets that meet
-   under no key cannot link. Rows grow with the text, never with the square of anything.
+   number of shingles, so all groups but so many hold the same in both: each set sends one
+   row for each of its largest groups, one more than may differ, keyed by what the group holds, and sets
+   that meet under no key cannot link. Rows grow with the text, never with the square of anything.
 3. Keys under which the same sets meet count once. The sets of each such meeting are put into
    a count-vector R-tree: points are numbers of shingles in groups (about ``A_GROUP`` shingles each, so that
    larger sets have more coordinates), and a box's summed coordinate minima with the query
@@ -88,29 +88,39 @@ def bands(percent: int) -> np.ndarray:
 
 @lru_cache(None)
 def cuts(band: int, percent: int) -> tuple[np.ndarray, int]:
-    """Where groups begin, for pairs whose smaller set is of ``band``; and how many of the
-    groups are the same in two sets that link, at least."""
+    """Where groups begin, for pairs whose smaller set is of ``band``; and in how many groups two
+    sets that link may differ, at most.
+
+    All groups but those are the same in both. The more groups, the more of the smallest ones need
+    no key, but the smaller is the average; there are as many as leave out those of a
+    shingle or none."""
     small_ = int(bands(percent)[band + 1]) - 1
     differ = (small_ + small_ * 100 // percent) * (100 - percent) // (100 + percent)
-    spare = int(0.03 * differ + 3 * math.sqrt(0.03 * differ)) if differ >= 8 else 0
-    n = differ + 1 + spare
-    return np.array([(k << 64) // n for k in range(1, n)], np.uint64), n - differ
+    n = differ + 3
+    while n < 2 * differ:
+        mean = 0.92 * small_ / n
+        if n * math.exp(-mean) * (1 + mean) <= n - differ - 1:
+            break
+        n += max(1, differ // 50)
+    return np.array([(k << 64) // n for k in range(1, n)], np.uint64), differ
 
 
 def keys(names: np.ndarray, size: int, percent: int, family: int) -> list[np.ndarray]:
-    """Keys of a set of ``size`` shingles, of which ``names`` are used."""
+    """Keys of a set of ``size`` shingles, of which ``names`` are used: for each band, those of the
+    largest groups, one more than may differ. Two sets that link have all groups but these in
+    common, and order groups alike, so that one of those that they have in common has a key in both."""
     band = int(np.searchsorted(bands(percent), size, "right")) - 1
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(names))])
-    out = []
+    out = [np.zeros(0, np.uint64)]
     for b in (band, band - 1) if band else (band,):
-        edges, same = cuts(b, percent)
+        edges, differ = cuts(b, percent)
+        if not differ:  # only equal sets link
+            continue
         at = np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
         held = np.diff(at)
         key = total[at[1:]] - total[at[:-1]] + held.astype(np.uint64)
         key = mix(key + np.arange(len(held), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b << 8 | family))
-        tiny = held < 2
-        # with so few tiny groups, one that is larger is the same in any partner
-        out.append(key[~tiny] if np.count_nonzero(tiny) < same else key)
+        out.append(key[np.lexsort((key, -held))[: differ + 1]])
     return out
 
 
