@@ -10,7 +10,8 @@ a sequence of chains, all of which count.
 Training runs in numpy on the driver over a bounded sample of documents, whose language labels
 each of their words. Prediction is one pass over the texts; all chains of a slice advance in step.
 
-Results: ``und`` with score 0 for a null text, a text without a letter, or if there was nothing
+Rows that repeat id and text count once in training; every row gets its prediction, repeated ones
+the same; an empty table has no rows. Results: ``und`` with score 0 for a null text, a text without a letter, or if there was nothing
 to learn from. Ties go to the label that sorts first.
 """
 
@@ -22,15 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingmill.llm.base import held_out
 from ratingmill.llm.text import LETTER, Words, words
 
-#: Documents of each language that training takes at most, and characters of each.
+#: Documents of each language that training takes at most, and bytes of their whole texts (the last
+#: text may go beyond). Rows come in the order of a hash.
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 3000
+SAMPLE_BYTES = 1 << 20
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 LEXICON_LEAST = 4
@@ -216,15 +218,20 @@ def train(texts: list[str], langs: list[str], seed: int = 1) -> Model:
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> Model:
-    """A model from rows that have a language and aren't held out: about ``most`` documents of
-    each language at most, chosen by a hash of their ids."""
+    """A model from rows that have a language and aren't held out: at most ``most`` different documents of
+    each language, with whole texts of at most about ``SAMPLE_BYTES``, chosen by a hash of id and text."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("turn"))
+    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("turn").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in count.items():
-        share = F.when(F.col("lang") == lang, min(1.0, most / n)).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = picked.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most * max(1, len(count))).collect()
+        share = F.when(F.col("lang") == lang, min(1.0, 2.0 * most / n)).otherwise(share)
+    picked = known.where(F.pmod("turn", F.lit(1_000_000)) < share * 1_000_000).groupBy("lang", "turn").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("turn", F.lit(1_000_000)), "turn")
+    size = F.octet_length("text")
+    picked = picked.withColumn("nth", F.row_number().over(order)).withColumn("before", F.sum(size).over(order) - size)
+    rows = picked.where((F.col("nth") <= most) & (F.col("before") < SAMPLE_BYTES)).select("lang", "text", "turn").collect()
+    rows.sort(key=lambda r: (r["lang"], r["turn"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
