@@ -11,7 +11,9 @@ Results: null and empty texts have zero statistics and fail the base rule for fe
 language or source is a group of its own. Documents that fail the base take no part in the
 estimates. A group of fewer than ``LEAST`` documents is judged by the estimate over its language,
 and by that over all documents, however few, where the language has fewer too. Variances have
-floors, so that documents that all agree in a statistic don't reject one that differs a little.
+floors, so that documents that all agree in a statistic don't reject one that differs a little. Ties
+at a quantile are all in the core. Repeated rows each keep their row and each count. Results don't depend
+on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -46,6 +48,9 @@ CUTOFF = 52.0
 CONSISTENCY = 1.52
 #: Smallest standard deviations of the transformed values, in their order below.
 FLOORS = (0.5, 0.15, 0.03, 0.06, 0.08)
+#: Transformed values and logarithms of distances are whole multiples of 1 / GRID, so that quantiles
+#: have few candidates and sums don't depend on the order of rows.
+GRID = 10_000
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
@@ -107,13 +112,14 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
 def vector() -> list["F.Column"]:
     """The transformed values: length, word length, and square roots of shares."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return [
+    values = [
         F.log1p("n_words"),
         F.log1p(F.col("word_chars") / n),
         F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         F.sqrt(F.col("n_dup_lines") / n),
         F.sqrt(F.col("n_repeat_words") / n),
     ]
+    return [F.round(v * GRID).cast("long") / GRID for v in values]
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +163,22 @@ def pools(counts: DataFrame) -> DataFrame:
 def estimate(points: DataFrame) -> DataFrame:
     """``group, n, centre, inverse`` for the groups of ``points`` (``group``, ``x``)."""
     x = [F.col("x")[k] for k in range(DIMENSIONS)]
-    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
     near = lambda df: small(settle(df), BROADCAST_ROWS)
+    middle = lambda c: F.percentile(F.round(c * GRID), F.lit(0.5)) / GRID
     start = near(points.groupBy("group").agg(F.array(*[middle(c) for c in x]).alias("centre")))
-    spread = points.join(start, "group").select("group", "centre", *[F.abs(c - F.col("centre")[k]).alias(f"d{k}") for k, c in enumerate(x)])
-    spread = spread.groupBy("group").agg(F.first("centre").alias("centre"), F.array(*[middle(f"d{k}") for k in range(DIMENSIONS)]).alias("mad"))
+    spread = points.join(start, "group").select("group", *[F.abs(c - F.col("centre")[k]).alias(f"d{k}") for k, c in enumerate(x)])
+    spread = spread.groupBy("group").agg(F.array(*[middle(F.col(f"d{k}")) for k in range(DIMENSIONS)]).alias("mad"))
     scale = lambda k: 1 / (F.pow(1.4826 * F.col("mad")[k], F.lit(2.0)) + FLOORS[k] ** 2)
     cells = [scale(i) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)]
-    now = near(spread.select("group", "centre", F.array(*cells).alias("inverse")))
-    moments = [F.count("*").alias("n"), F.array(*[F.sum(c) for c in x]).alias("sums")]
-    moments.append(F.array(*[F.sum(x[i] * x[j]) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]).alias("products"))
+    now = near(spread.join(start, "group").select("group", "centre", F.array(*cells).alias("inverse")))
+    whole = [F.round(c * GRID).cast("long") for c in x]
+    moments = [F.count("*").alias("n"), F.array(*[F.sum(c) / GRID for c in whole]).alias("sums")]
+    products = [F.sum((whole[i] * whole[j]).cast("decimal(20,0)")).cast("double") / GRID**2 for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
+    moments.append(F.array(*products).alias("products"))
     for _ in range(STEPS):
-        far = points.join(now, "group").select("group", "x", distance(F.col("x"), F.col("centre"), F.col("inverse")).alias("far"))
-        edge = near(far.groupBy("group").agg(F.percentile_approx("far", CORE, 1000).alias("edge")))
+        away = distance(F.col("x"), F.col("centre"), F.col("inverse"))
+        far = points.join(now, "group").select("group", "x", F.round(F.log1p(F.greatest(away, F.lit(0.0))) * GRID).cast("long").alias("far"))
+        edge = near(far.groupBy("group").agg(F.percentile("far", F.lit(CORE)).alias("edge")))
         core = far.join(edge, "group").where("far <= edge").groupBy("group").agg(*moments)
         now = near(core.mapInArrow(_invert, "group string, n long, centre array<double>, inverse array<double>"))
     return now
@@ -186,7 +195,7 @@ def judge(docs: DataFrame) -> DataFrame:
     counts = measured.groupBy("group", "language").agg(F.count_if(~F.col("base_failed")).alias("many"))
     judged = small(settle(pools(counts)), BROADCAST_ROWS)
     points = measured.where("not base_failed").join(judged, "group").select(F.explode("pools").alias("group"), "x")
-    known = estimate(points).select(F.col("group").alias("own"), "centre", "inverse")
+    known = small(estimate(points).select(F.col("group").alias("own"), "centre", "inverse"), BROADCAST_ROWS)
     out = measured.join(judged.drop("pools"), "group", "left").join(known, "own", "left")
     out = out.withColumn("distance", distance(F.col("x"), F.col("centre"), F.col("inverse")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
