@@ -162,7 +162,7 @@ def test_sets_that_link_share_a_key(percent):
         gone = rng.random(len(a)) < rng.random() * (100 - percent) / 100
         b = np.unique(np.concatenate([a[~gone], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 10)), dtype=np.uint64)]))
         shared = len(np.intersect1d(a, b))
-        if shared and 100 * shared >= percent * (len(a) + len(b) - shared):
+        if shared and 100 * shared >= percent * (len(a) + len(b) - shared) and not np.array_equal(a, b):
             assert set(np.concatenate(jaccard.keys(a, len(a), percent, 0)).tolist()) & set(np.concatenate(jaccard.keys(b, len(b), percent, 0)).tolist())
 
 
@@ -270,6 +270,33 @@ def test_language_id(spark, sf_dir, odd):
     assert langid.predict(frame(spark, odd), ["doc_id"], langid.train([], [])).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_repeats_ties_and_empty_table(spark):
+    model = langid.train(["aa bb cc", "dd ee ff"], ["x", "y"])
+    rows = [(k, text, None, None, None) for k, text in enumerate(["aa bb", "aa bb", "zz 9", None, "   "])]
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(frame(spark, rows), ["doc_id"], model).collect()}
+    assert out[0] == out[1] and out[0][0] == "x" and out[3] == out[4] == ("und", 0.0)
+    assert langid.predict(frame(spark, rows).limit(0), ["doc_id"], model).count() == 0
+    assert langid.fit(frame(spark, rows).limit(0)).labels == []
+    # without any evidence the label that sorts first
+    none = langid.Model(["x", "y"], np.zeros((langid.BUCKETS, 2)), np.zeros((2, 2)), np.zeros(0, np.uint64))
+    assert none.predict(pa.array(["word"])) == (["x"], [0.5])
+    # a row repeated many times takes one place in training, and each language its own
+    many = frame(spark, [(2, "uno dos tres", "es", "s", 0)] * 50 + [(k, f"ein zwei drei {k}", "de", "s", 0) for k in range(9)])
+    assert langid.fit(many, most=5).labels == ["de", "es"]
+
+
+def test_language_id_code_switching():
+    rng = random.Random(9)
+    texts, langs = [], []
+    for lang, vocab in (("x", ["kata", "kito", "kuma", "kesi"]), ("y", ["blorn", "brint", "blast", "brusk"])):
+        for _ in range(40):
+            texts.append(" ".join(rng.choice(vocab) for _ in range(30)))
+            langs.append(lang)
+    model = langid.train(texts, langs)
+    names, scores = model.predict(pa.array(["kata kito kuma blorn", "blorn brint brusk kata " * 20]))
+    assert names == ["x", "y"] and 0.6 < scores[0] < 0.9 and 0.6 < scores[1] < 0.9
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     score, step = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
@@ -295,6 +322,28 @@ def test_quality_classifier(spark, odd):
     assert quality.fit(frame(spark, odd), labels).scores(pa.array(["x"]))[0] > 0.99
 
 
+def test_quality_repeats_ties_and_empty_table(spark):
+    rng = random.Random(6)
+    word = lambda kinds, n: " ".join(rng.choice(kinds) for _ in range(n))
+    rows = [(k, word(["alpha", "beta", "gamma"], 40) if k % 2 else word(["$$$", "BUY!!"], 40), "en", "s", 0) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(120)] + [(4, 0, 0), (5, 1, 0), (6, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame(spark, [*rows, *rows[:40]]), labels)
+    out = quality.score(frame(spark, [*rows, rows[0], (None, None, None, None, None)]), ["doc_id"], model).collect()
+    assert len(out) == 122 and len({(r.score, r.predicted) for r in out if r.doc_id == 0}) == 1
+    assert all(r.predicted == r.doc_id % 2 for r in out if r.doc_id is not None)
+    assert quality.score(frame(spark, rows).limit(0), ["doc_id"], model).count() == 0
+    assert quality.fit(frame(spark, rows).limit(0), labels.limit(0)).scores(pa.array(["x"]))[0] > 0.99
+    # the same documents in another order and other tasks give the same model
+    again = quality.fit(frame(spark, rows[::-1]).repartition(5), labels)
+    assert np.array_equal(quality.fit(frame(spark, rows), labels).entry, again.entry)
+
+
+def test_quality_held_out(spark, sf_dir):
+    out = queries.op7_quality_classifier(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null"), "doc_id").toPandas()
+    good, bad = out[out.quality == 1].score.to_numpy(), out[out.quality == 0].score.to_numpy()
+    assert (good[:, None] > bad[None]).mean() > 0.95 and (good >= 0.3).mean() > 0.97
+
+
 # rules
 
 
@@ -328,6 +377,53 @@ def test_rules_outliers(spark, odd):
     assert rules.judge(frame(spark, odd).limit(0)).count() == 0
 
 
+def robust(points, steps=4):
+    """Centre and covariance of one pool in plain numpy."""
+    grid = lambda v: np.round(np.asarray(v) * rules.GRID) / rules.GRID
+    centre = grid(np.quantile(points, 0.5, axis=0))
+    mad = grid(np.quantile(grid(np.abs(points - centre)), 0.5, axis=0))
+    inverse = np.diag(1 / ((1.4826 * mad) ** 2 + np.square(rules.FLOORS)))
+    for _ in range(steps):
+        away = np.einsum("ki,ij,kj->k", points - centre, inverse, points - centre)
+        far = np.round(np.log1p(np.maximum(away, 0)) * rules.GRID)
+        core = points[far <= np.quantile(far, rules.CORE)]
+        centre = core.mean(0)
+        inverse = np.linalg.inv(np.cov(core.T, bias=True) * rules.CONSISTENCY + np.diag(np.square(rules.FLOORS)))
+    return centre, inverse
+
+
+def test_rules_equal_plain_estimates(spark, sf_dir):
+    """Every verdict of the registered query against numpy over the same pools."""
+    rows = duckdb.sql(f"select doc_id, text, lang, source from read_parquet('{sf_dir}/documents.parquet')").fetchall()
+    stats = {r[0]: brute_statistics(r[1]) for r in rows}
+    failed = {d: s[0] < 20 or 100 * s[4] > 30 * s[0] for d, s in stats.items()}
+    point = lambda n, c, s, d, w: np.round(np.array([np.log1p(n), np.log1p(c / n), np.sqrt(s / max(c, 1)), np.sqrt(d / n), np.sqrt(w / n)]) * rules.GRID) / rules.GRID
+    points = {d: point(*s) for d, s in stats.items() if not failed[d]}
+    pools = {}
+    for d, _, lang, source in rows:
+        if d in points:
+            for pool in ((lang, source), lang, "all of them"):
+                pools.setdefault(pool, []).append(d)
+    made = {}
+    got = {r.doc_id: r for r in queries.op8_quality_rules(spark, sf_dir).collect()}
+    assert got.keys() == stats.keys()
+    for d, _, lang, source in rows:
+        if failed[d]:
+            assert got[d].base_failed and not got[d].kept
+            continue
+        pool = next((p for p in ((lang, source), lang) if len(pools[p]) >= rules.LEAST), "all of them")
+        if pool not in made:
+            made[pool] = robust(np.array([points[k] for k in pools[pool]]))
+        centre, inverse = made[pool]
+        away = (points[d] - centre) @ inverse @ (points[d] - centre)
+        assert got[d].distance == pytest.approx(away, abs=2e-3, rel=1e-3) and got[d].kept == (away <= rules.CUTOFF)
+
+
+def test_rules_do_not_depend_on_tasks(spark, docs):
+    one, many = (sorted(tuple(r) for r in rules.judge(spark.createDataFrame(docs, DOC).repartition(n)).collect()) for n in (1, 7))
+    assert one == many
+
+
 def test_rules_small_groups(spark):
     """An outlier in a group too small for an estimate of its own: its language's judges it, or that of all."""
     rng = random.Random(7)
