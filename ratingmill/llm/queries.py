@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.ORACLE_SQL}
+    return {"op3_sharding": sharding.ORACLE_SQL, "op4_url_filter": urls.oracle_sql()}

@@ -120,8 +120,45 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels of pages: a page whose path ends with a number (before an extension) shows the
     document of that number, and is bad if that is of low quality or toxic. Where ``page_id`` or ``doc_id``
-    repeats, one bad label makes the page bad."""
+    repeats, one bad label makes the page bad; a label of which one half is null counts by the other."""
     number = F.regexp_extract(path(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
     shown = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
-    bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return shown.join(bad, "doc_id").where("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    on = lambda c: F.coalesce(c, F.lit(False))
+    known = labels.where("quality is not null or toxic is not null")
+    bad = known.select("doc_id", (on(F.col("quality") == 0) | on(F.col("toxic") == 1)).alias("bad"))
+    return shown.join(bad, "doc_id").where("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+
+
+def oracle_sql(depth: int = 8) -> str:
+    """DuckDB SQL for the registered query, for paths of up to ``depth`` segments."""
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(what, own, prefix, f"(host = '{own}' or ends_with(host, '.{own}')) and starts_with(path, '{prefix}')") for what, own, prefix in rules]
+    case = lambda k: "case " + " ".join(f"when {f[3]} then '{f[0] if k else f[1] + f[2]}'" for f in fits) + " end"
+    steps, now = "", "select *, string_split(template, '/') as part, '' as final from counts"
+    for k in range(1, depth + 1):
+        steps += f"""
+n{k} as ({now}),
+k{k} as (select host, final, part[{k + 1}] as own, sum(n) as many from n{k} where len(part) > {k} group by 1, 2, 3),
+r{k} as (select host, final, own from (select *, count(*) over w as kids, sum(many) over w as total from k{k} window w as (partition by host, final)) where kids > {SIBLINGS} and many * {RARE} < total),"""
+        now = f"select n.* replace (case when len(part) > {k} then n.final || '/' || case when r.own is not null then '*' else part[{k + 1}] end else n.final end as final) from n{k} n left join r{k} r on r.host = n.host and r.final = n.final and r.own = part[{k + 1}]"
+    return f"""
+with u as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+base as (select *, {case(0)} as rule, {case(1)} as ruled, regexp_replace(regexp_replace(path, '[^/]*[0-9][^/]*', '*', 'g'), '/+$', '') as template from u),
+shown as (select page_id, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[a-z]+)?/?$', 1), '') as bigint) as doc_id from u where page_id is not null),
+l as (select page_id, max(coalesce(quality = 0, false) or coalesce(toxic = 1, false)) as bad from shown join labels using (doc_id) where quality is not null or toxic is not null group by 1),
+counts as (select host, template, count(*) as n, count(bad) as known, count(*) filter (bad) as bad from base left join l using (page_id) group by 1, 2),{steps}
+finals as ({now}),
+a as (select sum(known)::double as known, sum(bad)::double as bad from finals),
+ways as (
+  select host, final, known, bad, level, array_to_string(string_split(final, '/')[1:level + 1], '/') as node, case when level > 0 then array_to_string(string_split(final, '/')[1:level], '/') end as parent
+  from (select host, final, sum(known) as known, sum(bad) as bad, unnest(range(0, len(string_split(final, '/')))) as level from finals group by 1, 2)),
+nodes as (select host, level, node, parent, sum(known)::double as known, sum(bad)::double as bad from ways group by 1, 2, 3, 4),
+pairs as (select n.*, coalesce(p.known, a.known) as up, coalesce(p.bad, a.bad) / coalesce(p.known, a.known) as p, a.bad / a.known as common
+  from nodes n cross join a left join nodes p on p.host = n.host and p.level = n.level - 1 and p.node = n.parent),
+outs as (select host, level, node, (bad + {SMOOTHING} * common) / (known + {SMOOTHING}) as share from pairs where known > 0 and pow(bad / known - p, 2) * known > {DIFFERS} * p * (1 - p)),
+best as (select host, final, max_by(share, level) as share from ways join outs using (host, level, node) group by 1, 2),
+result as (select f.host, f.template, f.final, share from finals f left join best using (host, final))
+select page_id, host, path, rule, coalesce(ruled, case when coalesce(share, 0) >= {REJECT} then 'block' else 'allow' end) as verdict, final as template, round(share, 6) as bad_share
+from base join result using (host, template)"""

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from ratingmill.llm import bpe, decontam, jaccard, langid, lengths, pii, quality, queries, rules, sharding, urls
 from tests.compare import database, same
@@ -219,6 +220,43 @@ def test_url_tree(spark):
     assert urls.judge(pages.limit(0), labels).count() == 0
 
 
+def planted_pages():
+    """Hosts whose bad branches only the tree can tell, by labels of a part of their pages."""
+    rows = [(k, f"http://h.net/{'spam' if k % 2 else 'news'}/{k}") for k in range(200)]
+    rows += [(1000 + k, f"http://deep.net/a/b/c/{'casino' if k % 3 == 0 else 'tea'}/x/{1000 + k}.html") for k in range(150)]
+    rows += [(2000 + k, f"http://mixed.net/blog/{2000 + k}") for k in range(60)] + [(3000 + k, f"http://many.net/u/{'qwxyz'[k % 5] * (k // 5 + 1)}/z") for k in range(200)]
+    rows += [(1, "http://h.net/spam/1"), (1, "http://h.net/spam/1"), (None, "http://h.net/spam/77"), (4000, None), (4001, ""), (4002, "no scheme"), (4003, "http://h.net/" + "y" * 50_000), (4004, "http://H.NET//spam//5?q#z"), (4005, "http://x.com/de/5")]
+    labels = [(k, int(k % 2 == 0), 0) for k in range(0, 200) if k % 4 < 2] + [(1000 + k, 1, int(k % 3 == 0)) for k in range(100)] + [(2000 + k, int(k % 2), None) for k in range(30)] + [(5, 0, 0), (None, 0, 1), (7, None, None)]
+    return rows, labels
+
+
+def test_url_filter_planted(spark, tmp_path):
+    rows, labels = planted_pages()
+    spark.createDataFrame(rows, "page_id long, url string").withColumns({"html": F.lit(""), "host": F.lit("h"), "rule": F.lit(1)}).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op4_url_filter(spark, str(tmp_path))
+    out = {r.page_id: r for r in got.collect()}
+    assert got.count() == len(rows)
+    assert all(out[k].verdict == ("block" if k % 2 else "allow") for k in range(200)) and out[3].bad_share > 0.5
+    assert all(out[1000 + k].verdict == ("block" if k % 3 == 0 else "allow") for k in range(150))
+    assert {out[2000 + k].verdict for k in range(60)} == {out[3000 + k].verdict for k in range(200)} == {"allow"}
+    assert out[None].verdict == "block" and out[4005].rule == "com/de/" and out[4000].host == ""
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    same(got, con, urls.oracle_sql())
+
+
+def test_url_filter_without_labels(spark):
+    rows, _ = planted_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    none = urls.page_labels(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    out = urls.judge(pages, none).collect()
+    assert len(out) == len(rows) and {r.verdict for r in out if r.rule is None} == {"allow"}
+    deep = spark.createDataFrame([(k, "http://d.net" + "/s" * (k + 1)) for k in range(12)], "page_id long, url string")
+    assert {r.template for r in urls.judge(deep, none).collect()} == {"/s" * (k + 1) for k in range(12)}
+
+
 def test_url_tree_below_four_segments(spark):
     rows = [(k, f"http://h.net/a/b/c/d/{'spam' if k % 2 else 'news'}/e/{k}") for k in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
@@ -494,8 +532,6 @@ def test_length_histogram(spark):
 
 
 def test_token_counts_odd_rows(spark, odd, public):
-    from pyspark.sql import functions as F
-
     rows = frame(spark, odd).withColumns({c: F.lit(1) for c in ("n_tokens", "block", "n_docs")})
     counted = lengths.count_tokens(rows, [], *bpe.vocabulary())
     sizes = [len(public.encode_ordinary(o[1] or "")) for o in odd]
@@ -552,8 +588,6 @@ def test_pipeline_near_copies_odd_rows(spark, odd):
 
 
 def test_clashing_columns(spark, odd):
-    from pyspark.sql import functions as F
-
     names = "score predicted label node n_words hash bytes depth kept group x host bad count key spans n_tokens set chunk component_id".split()
     docs = frame(spark, odd).withColumns({c: F.lit(1) for c in names})
     pages = docs.select("*", F.col("doc_id").alias("page_id"), F.lit("http://a.b/c/1").alias("url"))
