@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOLD_OUT = 5
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -50,6 +52,15 @@ def drop(*kept: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow``, in Arrow batches of ``BATCH_BYTES`` where the session keeps Spark's limit of 64 MB,
+    copies of which fill an executor's memory beside the heap. The setting stays in the session."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "67108864b") in ("67108864b", "64m"):
+        conf.set(_BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def held_out(doc_id) -> "F.Column":
     """True for the rows that no classifier learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % HOLD_OUT == 0, F.lit(False))

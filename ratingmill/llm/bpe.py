@@ -28,13 +28,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ratingmill.llm.base import in_arrow
 from ratingmill.llm.text import hashed, slices, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BITS = 64
 #: Bytes of each of the two generations of a worker's memory of stretches, what one takes besides
 #: its text and ids, and the longest one remembered. They change speed, never results.
-REMEMBERED = 40 << 20
+REMEMBERED = 16 << 20
 ENTRY = 200
 LONGEST = 64
 #: Bytes of text that are encoded together; a longer text stands alone.
@@ -357,4 +358,4 @@ def encode(docs: DataFrame, keep: list[str], path: str, pattern: str, ids: bool
                     out.append(pa.LargeListArray.from_arrays(pa.array(at), pa.array(coded.view("<i4"))).cast(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens", "ids_sha256", *["decoded_sha256"] * decode, *["ids"] * ids])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(*keep, docs["text"].alias("__text")), run, schema)

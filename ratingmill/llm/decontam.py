@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratingmill.llm.base import in_arrow
 from ratingmill.llm.text import ALNUM, Words, mix, words
 
 WIDTH = 10
@@ -167,5 +168,5 @@ def search(docs: DataFrame, keep: list[str], benchmark: DataFrame, width: int =
     done = f"{types}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     for k, lot in enumerate(lots):
         last = k == len(lots) - 1
-        df = df.mapInArrow(step(lot, last), done if last else f"{types}, __text string, __hit array<int>, __items array<string>")
+        df = in_arrow(df, step(lot, last), done if last else f"{types}, __text string, __hit array<int>, __items array<string>")
     return df

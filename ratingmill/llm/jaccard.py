@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingmill.llm.base import drop, settle, small
+from ratingmill.llm.base import drop, in_arrow, settle, small
 from ratingmill.llm.text import SPACED, mix, runs, whole, words
 
 #: Documents in the sample that shows common shingles, and in how many of them these occur.
@@ -473,7 +473,7 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """Sorted names of shingles that many documents of a bounded sample hold."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    counts = picked.select("text").mapInArrow(_shingles(width), "shingle long").groupBy("shingle").count()
+    counts = in_arrow(picked.select("text"), _shingles(width), "shingle long").groupBy("shingle").count()
     rows = counts.where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "shingle").select("shingle").limit(COMMON_MOST).collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
@@ -494,7 +494,7 @@ def verified(docs: DataFrame, meet: DataFrame, sized: DataFrame, width: int, per
     nodes = settle(members.select(F.col("doc_id").alias("wanted"), "node", "label", chunk.alias("chunk"), F.col("chunks").isNotNull().alias("large")))
     # one document for each node that meets others
     texts = docs.join(small(nodes, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("wanted")))
-    held = texts.select("text", "node", "label", "chunk", "large").mapInArrow(_placed(width), "node long, label long, chunk long, large boolean, set binary")
+    held = in_arrow(texts.select("text", "node", "label", "chunk", "large"), _placed(width), "node long, label long, chunk long, large boolean, set binary")
 
     def solved(rows: DataFrame) -> DataFrame:
         rows = rows.select("label", "chunk", "node", "large", "set").repartition("label", "chunk").sortWithinPartitions("label", "chunk", "node")
@@ -534,11 +534,11 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 85, keep: tuple[str,
     types = "".join(f"keep_{k} {docs.schema[c].dataType.simpleString()}, " for k, c in enumerate(keep))
     docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *kept)
     spark = docs.sparkSession
-    profiles = settle(docs.mapInArrow(_profiles(width), f"doc_id long, {types}n_shingles long, node long, point binary"))
+    profiles = settle(in_arrow(docs, _profiles(width), f"doc_id long, {types}n_shingles long, node long, point binary"))
     sized = profiles.where("node is not null").groupBy("node")
     sized = settle(sized.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
-    rows = docs.select("text").mapInArrow(_signatures(width, percent, common), "key long, node long")
+    rows = in_arrow(docs.select("text"), _signatures(width, percent, common), "key long, node long")
     met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "meeting long, node long, head long")
     met = settle(met.distinct())
     shared = met.where("meeting is not null").join(sized.select("node", "n", "point"), "node").select("meeting", "node", "n", "point")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingmill.llm.base import held_out
+from ratingmill.llm.base import held_out, in_arrow
 from ratingmill.llm.text import LETTER, Words, words
 
 #: Documents of each language that training takes at most, and bytes of their whole texts (the last
@@ -246,4 +246,4 @@ def predict(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
             names, sure = held.value.predict(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, f"{types}, lang_pred string, score double")
+    return in_arrow(docs.select(*keep, docs["text"].alias("__text")), run, f"{types}, lang_pred string, score double")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingmill.llm import bpe
-from ratingmill.llm.base import settle
+from ratingmill.llm.base import in_arrow, settle
 
 #: Lengths in a block, and blocks in a zone.
 BLOCK = 512
@@ -37,7 +37,7 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str, pattern: str) -> D
             sizes = [np.diff(at) for *_, at in coder.encode(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))], [*keep, "n_tokens"])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, ", ".join(x for x in (types, "n_tokens long") if x))
+    return in_arrow(docs.select(*keep, docs["text"].alias("__text")), run, ", ".join(x for x in (types, "n_tokens long") if x))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

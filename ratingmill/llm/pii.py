@@ -24,6 +24,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ratingmill.llm.base import in_arrow
+
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = 4
 #: Words before an identifier, by the kind that they announce.
@@ -174,4 +176,4 @@ def find(docs: DataFrame, keep: list[str], redacted: str | None = None) -> DataF
                 out.append(pa.array(clean, pa.string()))
             yield pa.RecordBatch.from_arrays(out, [*keep, *names, "base_sha256", "spans", *([redacted] if redacted else [])])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(*keep, docs["text"].alias("__text")), run, schema)

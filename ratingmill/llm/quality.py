@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingmill.llm.base import held_out
+from ratingmill.llm.base import held_out, in_arrow
 from ratingmill.llm.text import SLICE, SPACED, mix, words
 
 #: Labelled documents of each class that training takes at most, and bytes of their whole texts (the
@@ -175,4 +175,4 @@ def score(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
             new = [pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, f"{types}, score double, predicted int")
+    return in_arrow(docs.select(*keep, docs["text"].alias("__text")), run, f"{types}, score double, predicted int")

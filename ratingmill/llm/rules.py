@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.base import settle, small
+from ratingmill.llm.base import in_arrow, settle, small
 from ratingmill.llm.text import SPACED, runs, words
 
 WINDOW = 8
@@ -106,7 +106,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
             new = [pa.array(x) for x in statistics(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *NAMES])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, types + "".join(f", {n} long" for n in NAMES))
+    return in_arrow(docs.select(*keep, docs["text"].alias("__text")), run, types + "".join(f", {n} long" for n in NAMES))
 
 
 def vector() -> list["F.Column"]:
