@@ -144,7 +144,7 @@ def search(docs: DataFrame, keep: list[str], benchmark: DataFrame, width: int =
         held = spark.sparkContext.broadcast(lot)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = tables(held.value, width)
+            found = built(held, width)
             for batch in batches:
                 text, hit_before, items_before = batch.columns[-3:]
                 n_words, hits, items = [], [set(x or ()) for x in hit_before.to_pylist()], [set(x or ()) for x in items_before.to_pylist()]

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -130,10 +132,22 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int
                 if sure:
                     done[kind] = m.end(1)
                     more.append((m.start(1), KINDS.index(kind), m.end(1)))
+    return sorted({*found, *apart(more, found)})
+
+
+def apart(more: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``more`` that overlap neither a base span nor one kept before."""
+    if not more:
+        return []
+    base = sorted(base)
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    kept: list[tuple[int, int, int]] = []
     for span in more:
-        if not any(span[0] < end and start < span[2] for start, _, end in found):
-            found.append(span)
-    return sorted(set(found))
+        k = bisect_left(starts, span[2])
+        at = bisect_left(kept, (span[2], -1, -1))
+        if (not k or ends[k - 1] <= span[0]) and (not at or kept[at - 1][2] <= span[0]):
+            kept.insert(at, span)
+    return kept
 
 
 def digest(found: list[tuple[int, int, int]]) -> str:
