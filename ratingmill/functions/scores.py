@@ -57,10 +57,10 @@ def capped_probability(p: Column, diff: Column) -> Column:
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
-    """Great-circle distance: radius 6371 for km, 3956 for miles."""
+    """Great-circle distance: radius 6371 for km, 3956 for miles; null where a place is unknown."""
     a1, a2 = F.radians(lat1), F.radians(lat2)
     a = F.pow(F.sin((a2 - a1) / 2), lit(2.0)) + F.cos(a1) * F.cos(a2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), lit(2.0))
-    return 2 * radius * F.asin(F.sqrt(F.least(a, lit(1.0))))
+    return F.when(a.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(a, lit(1.0)))))  # least() passes over nulls
 
 
 def travel_penalty(miles: Column, zones: Column, road_streak: Column) -> Column:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ratingmill.functions.parse import season_label, season_start
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcasting if a count shows at most ``rows`` rows; as it is otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def completed(games: DataFrame, rule: str = "any") -> DataFrame:
     """Games with a score: either side's (``any``) or both sides' (``both``)."""
     return games.where("home_score > 0 or away_score > 0" if rule == "any" else "home_score > 0 and away_score > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratingmill.functions import scores as S
 from ratingmill.operators import windows as W
-from ratingmill.operators.games import asof_ratings, to_long
+from ratingmill.operators.games import asof_ratings, small_side, to_long
 from ratingmill.operators.ratings import apply_concentration
 
 _BOTH = ("home", "away")
@@ -47,15 +47,14 @@ def predict_hybrid(schedule: DataFrame, hist: DataFrame, games: DataFrame, roste
     density, weighted results (less where ratings are close), and injuries. Toss-ups are drawn to one
     half by the blended ratings without home advantage. Upset probability, context, score follow."""
     gl = to_long(games)
-    team = W.games_before(W.welo(W.rest_fatigue(W.momentum(gl)), hist), "season")
-    team = team.join(W.travel_fatigue(gl, arenas), ["team_id", "game_id"])
-    cols = ["welo", "fatigue_rest", "b2b_penalty", "density_penalty", "travel_fatigue", "wins", "games", "games_before"]
+    # all features of a team and the figures of its roster beside its games, then one pivot to games
+    team = W.games_before(W.with_travel_fatigue(W.rest_fatigue(W.momentum(W.welo(gl, hist))), arenas), "season")
+    figures = roster_elos.select("team_id", "roster_elo").join(injuries.select("team_id", "injury_adjustment"), "team_id", "full_outer")
+    team = team.join(small_side(figures), "team_id", "left").fillna({"roster_elo": 1500.0, "injury_adjustment": 0.0}).withColumnsRenamed({"roster_elo": "roster", "injury_adjustment": "injury"})
+    cols = ["welo", "fatigue_rest", "b2b_penalty", "density_penalty", "travel_fatigue", "wins", "games", "games_before", "roster", "injury"]
     g = asof_ratings(schedule, hist).join(sides(team, cols), "game_id")
     g = g.join(W.h2h_recency(games).select("game_id", "h2h_recency"), "game_id")
     for s in _BOTH:
-        own = roster_elos.select(F.col("team_id").alias(f"{s}_team_id"), F.col("roster_elo").alias(f"{s}_roster"))
-        hurt = injuries.select(F.col("team_id").alias(f"{s}_team_id"), F.col("injury_adjustment").alias(f"{s}_injury"))
-        g = g.join(own, f"{s}_team_id", "left").join(hurt, f"{s}_team_id", "left").fillna(1500.0, [f"{s}_roster"]).fillna(0.0, [f"{s}_injury"])
         g = g.withColumn(f"{s}_hybrid", blend * F.col(f"{s}_rating") + (1 - blend) * F.col(f"{s}_roster"))
     raw = F.col("home_hybrid") - F.col("away_hybrid")
     more_home, more_away = W.rest_differential(F.col("home_fatigue_rest"), F.col("away_fatigue_rest"))

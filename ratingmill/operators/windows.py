@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingmill.functions.scores import haversine
+from ratingmill.operators.games import small_side
 
 def _team():
     return Window.partitionBy("team_id").orderBy("date", "game_id")
@@ -202,7 +203,8 @@ def pick_streak(pred: DataFrame) -> DataFrame:
 def travel(gl: DataFrame, arenas: DataFrame, long_km: float = 1500, mode: str = "reference") -> DataFrame:
     """Kilometres travelled to each game (W14). ``reference`` takes the previous opponent's arena as the
     start of a trip, and for away games as its end measured from home; ``itinerary`` follows the venues."""
-    place = lambda k: F.broadcast(arenas.select(F.col("team_id").alias(f"{k}_at"), F.col("latitude").alias(f"{k}_lat"), F.col("longitude").alias(f"{k}_lon")))
+    arenas = small_side(arenas.select("team_id", "latitude", "longitude"))
+    place = lambda k: arenas.select(F.col("team_id").alias(f"{k}_at"), F.col("latitude").alias(f"{k}_lat"), F.col("longitude").alias(f"{k}_lon"))
     venue = F.when(F.col("is_home"), F.col("team_id")).otherwise(F.col("opponent_id"))
     if mode == "itinerary":
         gl = gl.withColumn("to_at", venue).withColumn("from_at", F.lag(venue).over(_team()))
@@ -217,20 +219,28 @@ def travel(gl: DataFrame, arenas: DataFrame, long_km: float = 1500, mode: str =
 def travel_fatigue(gl: DataFrame, arenas: DataFrame, days: int = 7) -> DataFrame:
     """Penalty for the miles of the away games in the ``days`` days before a game, the first trip
     from home (W15): none below 1000 miles, up to -15 before 3000, -30 from there on."""
-    place = lambda k, c: F.broadcast(arenas.select(F.col("team_id").alias(c), F.col("latitude").alias(f"{k}_lat"), F.col("longitude").alias(f"{k}_lon")))
+    return with_travel_fatigue(gl, arenas, days).select("team_id", "game_id", "travel_miles", "travel_fatigue")
+
+
+def with_travel_fatigue(gl: DataFrame, arenas: DataFrame, days: int = 7) -> DataFrame:
+    """All columns of ``gl`` with ``travel_miles`` and ``travel_fatigue``; its windows are by team."""
+    arenas, kept = small_side(arenas.select("team_id", "latitude", "longitude")), gl.columns
+    place = lambda k: arenas.select(F.col("team_id").alias(f"_{k}"), F.col("latitude").alias(f"{k}_lat"), F.col("longitude").alias(f"{k}_lon"))
     miles = lambda a, b: haversine(F.col(f"{a}_lat"), F.col(f"{a}_lon"), F.col(f"{b}_lat"), F.col(f"{b}_lon"), 3956.0)
-    away = gl.where(~F.col("is_home")).withColumn("from_id", F.lag("opponent_id").over(_team()))
-    away = away.join(place("to", "opponent_id"), "opponent_id").join(place("home", "team_id"), "team_id").join(place("from", "from_id"), "from_id", "left")
-    hops = away.select("team_id", "game_id", "date", miles("home", "to").alias("base_hop"), F.coalesce(miles("from", "to"), F.lit(0.0)).alias("hop"))
+    away = ~F.col("is_home")
+    before = F.last(F.when(away, F.col("opponent_id")), ignorenulls=True).over(_team().rowsBetween(Window.unboundedPreceding, -1))
+    rows = gl.withColumn("_to", F.when(away, F.col("opponent_id"))).withColumn("_home", F.col("team_id")).withColumn("_from", F.when(away, before))
+    for k in ("to", "home", "from"):
+        rows = rows.join(place(k), f"_{k}", "left")
     # a frame's trips: its first away game from home, the others from the away game before
-    rows = gl.select("team_id", "game_id", "date").join(hops.select("team_id", "game_id", "base_hop", "hop"), ["team_id", "game_id"], "left").withColumn("day", _day())
-    w = Window.partitionBy("team_id").orderBy("day").rangeBetween(-days, -1)
-    first = F.min(F.when(F.col("base_hop").isNotNull(), F.struct("day", "game_id", "base_hop", "hop"))).over(w)
-    rows = rows.withColumn("f", first).withColumn("all", F.sum("hop").over(w))
-    total = F.when(F.col("f").isNull(), 0.0).otherwise(F.col("all") - F.col("f.hop") + F.col("f.base_hop"))
-    rows = rows.withColumn("travel_miles", total)
-    penalty = F.when(F.col("travel_miles") < 1000, 0.0).when(F.col("travel_miles") < 3000, -15.0 * (F.col("travel_miles") - 1000) / 2000).otherwise(-30.0)
-    return rows.select("team_id", "game_id", "travel_miles", penalty.alias("travel_fatigue"))
+    base = miles("home", "to")
+    rows = rows.withColumn("base_hop", base).withColumn("hop", F.when(base.isNotNull(), F.coalesce(miles("from", "to"), F.lit(0.0)))).withColumn("_day", _day())
+    w = Window.partitionBy("team_id").orderBy("_day").rangeBetween(-days, -1)
+    first = F.min(F.when(F.col("base_hop").isNotNull(), F.struct("_day", "game_id", "base_hop", "hop"))).over(w)
+    rows = rows.withColumn("_f", first).withColumn("_all", F.sum("hop").over(w))
+    total = F.when(F.col("_f").isNull(), 0.0).otherwise(F.col("_all") - F.col("_f.hop") + F.col("_f.base_hop"))
+    penalty = F.when(total < 1000, 0.0).when(total < 3000, -15.0 * (total - 1000) / 2000).otherwise(-30.0)
+    return rows.select(*kept, total.alias("travel_miles"), penalty.alias("travel_fatigue"))
 
 
 def road_streak(gl: DataFrame) -> DataFrame:

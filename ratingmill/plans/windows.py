@@ -10,7 +10,7 @@ from ratingmill.plans.base import AS_OF, DAY, SEASON, part, query, rounded
 
 _W5 = "(partition by team_id order by date, game_id rows between 5 preceding and 1 preceding)"
 _EARLIER = "partition by team_id order by date range between unbounded preceding and interval 1 day preceding"
-_DIST = "2 * {r} * asin(sqrt(least(1.0, pow(sin((radians({b}.latitude) - radians({a}.latitude)) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))"
+_DIST = "case when {a}.latitude is not null and {b}.latitude is not null then 2 * {r} * asin(sqrt(least(1.0, pow(sin((radians({b}.latitude) - radians({a}.latitude)) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2)))) end"
 
 query("w1_form", lambda f: rounded(W.form(f.long).select("game_id", "team_id", "form_games", "form_wins", "form", "streak_type"), "form"), "long", f"""
 , x as (select game_id, team_id, count(*) over w as n, coalesce(sum(cast(won as int)) over w, 0) as wins, coalesce(avg(margin) over w, 0) as m, max(margin) over w as top from long window w as {_W5}),

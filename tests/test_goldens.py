@@ -44,6 +44,14 @@ def test_travel_fatigue(spark, degrees, penalty):
     assert {r.game_id: round(r.travel_fatigue, 3) for r in W.travel_fatigue(gl, arenas).collect()}[2] == pytest.approx(penalty, abs=2e-3)
 
 
+def test_no_travel_to_a_first_game(spark):
+    arenas = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 30.0)], "team_id long, latitude double, longitude double")
+    gl = spark.createDataFrame([(1, 1, 2, False, DAY), (2, 1, 9, False, DAY + timedelta(1)), (3, 1, 2, True, DAY + timedelta(2))], "game_id long, team_id long, opponent_id long, is_home boolean, date date")
+    for mode in ("reference", "itinerary"):
+        out = {r.game_id: (r.travel_km, r.long_travel) for r in W.travel(gl, arenas, mode=mode).collect()}
+        assert out[1] == out[3] == (0.0, False)
+
+
 @pytest.mark.parametrize(
     "won,kind,sure",
     [("", "insufficient_data", "none"), ("WL", "insufficient_data", "low"), ("WWL", "balanced", "medium"), ("WWW", "moderate_dominance", "medium"), ("WWWL", "moderate_dominance", "medium"), ("WWWWL", "strong_dominance", "high"), ("LLLLW", "strong_dominance", "high"), ("WWWLL", "balanced", "high")],
