@@ -322,7 +322,11 @@ def featured(pred: DataFrame, n: int = 3) -> DataFrame:
 
 
 def upset_candidates(pred: DataFrame, lo: float = 0.5, hi: float = 0.65) -> DataFrame:
-    return pred.where(F.col("confidence").between(lo, hi)).orderBy("confidence", "game_id")
+    """Games with a favourite in this range, the closest first, with both sides and the potential."""
+    home = F.col("home_win_prob") > 0.5
+    sides = [F.when(home, F.col(f"{a}_team_id")).otherwise(F.col(f"{b}_team_id")) for a, b in (("home", "away"), ("away", "home"))]
+    close = pred.where(F.col("confidence").between(lo, hi))
+    return close.withColumns({"favorite": sides[0], "underdog": sides[1], "upset_potential": 100 - F.col("confidence") * 100}).orderBy("confidence", "game_id")
 
 
 def ranking(hist: DataFrame, as_of: date) -> DataFrame:

@@ -26,10 +26,11 @@ def form(gl: DataFrame, n: int = 5, weight: float = 0.1) -> DataFrame:
     """Mean margin of the ``n`` rows before, scaled; 1.2 times for an unbroken run of three or more."""
     w = _before(n)
     wins, games = F.sum(F.col("won").cast("int")).over(w), F.count("*").over(w)
-    beaten = F.coalesce(F.max("margin").over(w) < 0, F.lit(False))  # a tie breaks a run of losses
-    unbroken = (F.col("form_games") >= 3) & ((F.col("form_wins") == F.col("form_games")) | beaten)
+    # a tie breaks a run of either kind
+    beaten, won = (F.coalesce(c, F.lit(False)) for c in (F.max("margin").over(w) < 0, F.min("margin").over(w) > 0))
+    unbroken = (F.col("form_games") >= 3) & (won | beaten)
     out = gl.withColumn("form_games", games).withColumn("form_wins", F.coalesce(wins, F.lit(0))).withColumn("form_margin", F.coalesce(F.avg("margin").over(w), F.lit(0.0)))
-    kind = F.when(~unbroken, "mixed").when(F.col("form_wins") == 0, "losing").otherwise("winning")
+    kind = F.when(~unbroken, "mixed").when(beaten, "losing").otherwise("winning")
     return out.withColumn("form", F.col("form_margin") * weight * 50 * F.when(unbroken, 1.2).otherwise(1.0)).withColumn("streak_type", kind)
 
 
@@ -43,8 +44,8 @@ def _last_by_date(gl: DataFrame, n: int) -> DataFrame:
 
 
 def momentum(gl: DataFrame, n: int = 5, cap: float = 30) -> DataFrame:
-    """Points by wins in the last ``n`` games of earlier dates."""
-    out = _last_by_date(gl, n).withColumn("wins", F.size(F.filter("recent", lambda g: g.won))).withColumn("games", F.size("recent"))
+    """Points by wins in the last ``n`` games of earlier dates (W2); a tie is no win."""
+    out = _last_by_date(gl, n).withColumn("wins", F.size(F.filter("recent", lambda g: g.margin > 0))).withColumn("games", F.size("recent"))
     points = F.when(F.col("wins") >= 4, F.least((F.col("wins") - 3) * 15.0, F.lit(float(cap)))).when(F.col("wins") <= 1, F.greatest((F.col("wins") - 2) * 15.0, F.lit(-float(cap)))).otherwise(0.0)
     return out.withColumn("momentum", F.when(F.col("games") == 0, 0.0).otherwise(points)).drop("recent")
 

@@ -151,7 +151,7 @@ query("t7_featured", lambda f: A.featured(f.pred).select("game_id", "kind", "ran
 , s as (select game_id, round(abs(home_win_prob - 0.5), 9) as s from pred),
 k as (select game_id, s, case when s >= 0.30 then 'blowout' when s <= 0.10 then 'competitive' end as kind from s)
 select * from (select game_id, kind, row_number() over (partition by kind order by case when kind = 'blowout' then -s else s end, game_id) as rank from k where kind is not null) where rank <= 3""")
-query("t8_upsets", lambda f: A.upset_candidates(f.pred).select("game_id", "confidence"), "pred", "select game_id, confidence from pred where confidence between 0.5 and 0.65")
+query("t8_upsets", lambda f: rounded(A.upset_candidates(f.pred).select("game_id", "confidence", "favorite", "underdog", "upset_potential"), "upset_potential"), "pred", "select game_id, confidence, case when home_win_prob > 0.5 then home_team_id else away_team_id end as favorite, case when home_win_prob > 0.5 then away_team_id else home_team_id end as underdog, round(100 - confidence * 100, 6) as upset_potential from pred where confidence between 0.5 and 0.65")
 query("t9_current_top", lambda f: A.top_by(f.roster.join(G.recent_players(f.box, 60, AS_OF), ["player_id", "team_id"], "left_semi").join(f.ratings.select("player_id", "rating"), "player_id"), ["team_id"], 3).select("team_id", "player_id", "rank"), "box ratings", f"select * from (select r.team_id, r.player_id, row_number() over (partition by r.team_id order by rating desc, r.player_id) as rank from roster r join ratings x using (player_id) where (r.player_id, r.team_id) in (select player_id, team_id from box where date between {DAY} - 60 and {DAY})) where rank <= 3")
 query("t10_key_injuries", lambda f: A.key_injuries(f.injuries, f.ratings).select("team_id", "player_id", "status", "rank", "impact"), "injuries ratings", "select * from (select i.team_id, i.player_id, status, row_number() over (partition by i.team_id order by rating desc, i.player_id) as rank, case when rating > 1600 then 'star' when rating > 1400 then 'starter' else 'role' end as impact from injuries i join ratings using (player_id)) where rank <= 3")
 query("t11_ranking", lambda f: A.ranking(f.hist, AS_OF), "hist", f"select team_id, rating, row_number() over (order by rating desc, team_id) as rank from (select team_id, arg_max(rating_after, (date, game_id)) as rating from hist where date <= {DAY} group by 1)")

@@ -13,15 +13,15 @@ _EARLIER = "partition by team_id order by date range between unbounded preceding
 _DIST = "case when {a}.latitude is not null and {b}.latitude is not null then 2 * {r} * asin(sqrt(least(1.0, pow(sin((radians({b}.latitude) - radians({a}.latitude)) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2)))) end"
 
 query("w1_form", lambda f: rounded(W.form(f.long).select("game_id", "team_id", "form_games", "form_wins", "form", "streak_type"), "form"), "long", f"""
-, x as (select game_id, team_id, count(*) over w as n, coalesce(sum(cast(won as int)) over w, 0) as wins, coalesce(avg(margin) over w, 0) as m, max(margin) over w as top from long window w as {_W5}),
-y as (select *, n >= 3 and (wins = n or top < 0) as run from x)
-select game_id, team_id, n as form_games, cast(wins as bigint) as form_wins, round(m * 0.1 * 50 * case when run then 1.2 else 1 end, 6) as form, case when not run then 'mixed' when wins = 0 then 'losing' else 'winning' end as streak_type from y""")
+, x as (select game_id, team_id, count(*) over w as n, coalesce(sum(cast(won as int)) over w, 0) as wins, coalesce(avg(margin) over w, 0) as m, max(margin) over w as top, min(margin) over w as low from long window w as {_W5}),
+y as (select *, n >= 3 and (low > 0 or top < 0) as run from x)
+select game_id, team_id, n as form_games, cast(wins as bigint) as form_wins, round(m * 0.1 * 50 * case when run then 1.2 else 1 end, 6) as form, case when not run then 'mixed' when top < 0 then 'losing' else 'winning' end as streak_type from y""")
 _LAST_N = """
 , r as (select *, row_number() over (partition by team_id order by date, game_id) as rn from long),
 e as (select team_id, date, min(rn) as first from r group by 1, 2),
 x as (select g.game_id, g.team_id, p.won, p.margin, p.game_id as pg, p.opponent_id as po, e.first - p.rn as age from r g join e using (team_id, date) left join r p on p.team_id = g.team_id and p.rn between e.first - {n} and e.first - 1)"""
 query("w2_momentum", lambda f: W.momentum(f.long).select("game_id", "team_id", "wins", "games", "momentum"), "long", _LAST_N.format(n=5) + """
-, c as (select game_id, team_id, count(*) filter (won) as wins, count(pg) as games from x group by 1, 2)
+, c as (select game_id, team_id, count(*) filter (margin > 0) as wins, count(pg) as games from x group by 1, 2)
 select *, case when games = 0 then 0 when wins >= 4 then least((wins - 3) * 15.0, 30) when wins <= 1 then greatest((wins - 2) * 15.0, -30) else 0 end::double as momentum from c""")
 query("w3_momentum_tiers", lambda f: W.momentum_tiers(f.long).select("game_id", "team_id", "tier_points"), "long", f"""
 , x as (select game_id, team_id, count(*) over w as n, coalesce(sum(cast(won as int)) over w, 0) as wins, avg(margin) over w as m from long window w as {_W5})
