@@ -103,6 +103,7 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 1) -> M
     top, bias = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)
     moved = np.full(BUCKETS, 1e-8, np.float32)  # squared steps of each row so far, which slow it down
     batches = [_batch([docs[k] for k in part], y[part]) for part in np.array_split(rng.permutation(len(docs)), -(-len(docs) // BATCH))]
+    del docs  # held by the batches now
     steps = EPOCHS * len(batches)
     for step in range(steps):
         if step % len(batches) == 0:
@@ -134,10 +135,11 @@ def _batch(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> tupl
     """Rows of the table and shares of some documents in a row, where each document's begin and whose they
     are; the different rows with where each begins in the order ``turn``; and the labels."""
     size = np.array([len(ids) for ids, _ in docs])
-    of = np.repeat(np.arange(len(docs)), size)
+    of = np.repeat(np.arange(len(docs), dtype=np.uint8), size)  # BATCH is small
     ids, share = np.concatenate([x for x, _ in docs]), np.concatenate([x for _, x in docs])
     turn = np.argsort(ids, kind="stable").astype(np.int32)
-    return ids, share, (np.cumsum(size) - size)[size > 0], of, np.unique(ids[turn], return_index=True), turn, label
+    rows, begin = np.unique(ids[turn], return_index=True)
+    return ids, share, (np.cumsum(size) - size)[size > 0], of, (rows, begin.astype(np.int32)), turn, label
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Model:
