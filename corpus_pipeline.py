@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingmill.llm import bpe, decontam, jaccard, pii, quality
-from ratingmill.llm.base import settle, small, table
+from ratingmill.llm.base import drop, settle, small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: five-word shingles, similarity of 0.8 or more.
@@ -74,10 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result kept before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each stage's result kept until the next one's is."""
+    docs, kept = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settle(docs)
+            drop(*kept)
+            kept = [docs]
     return docs
