@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingmill.llm import bpe, decontam, jaccard, langid, lengths, pii, quality, rules, sharding, urls
+from ratingmill.llm import bpe, decontam, jaccard, langid, lengths, pii, quality, resample, rules, sharding, trie, urls, winnow
 from ratingmill.llm.base import held_out, table
 
 
@@ -56,10 +56,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], *bpe.vocabulary())
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.beside_next(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(table(spark, sf_dir, "conversations"), trie.borrowed).drop("path")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii, op2_ngram_jaccard, op3_sharding, op4_url_filter, op5_decontamination, op6_language_id, op7_quality_classifier, op8_quality_rules, op9_token_counts, op10_byte_bpe]
+    found = [op1_pii, op2_ngram_jaccard, op3_sharding, op4_url_filter, op5_decontamination, op6_language_id, op7_quality_classifier, op8_quality_rules, op9_token_counts, op10_byte_bpe, op11_fingerprints, op12_prefix_trie, op13_resampling]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.ORACLE_SQL, "op4_url_filter": urls.oracle_sql()}
+    return {"op3_sharding": sharding.ORACLE_SQL, "op4_url_filter": urls.oracle_sql(), "op12_prefix_trie": trie.ORACLE_SQL, "op13_resampling": resample.ORACLE_SQL}
