@@ -17,7 +17,6 @@ word is hit if any occurrence covers it. Repeated rows each keep their row.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingmill.llm.base import in_arrow
-from ratingmill.llm.text import ALNUM, Words, mix, words
+from ratingmill.llm.text import ALNUM, Words, mix, runs, words
 
 WIDTH = 10
 #: Words of a stretch that one search position walks through.
@@ -46,21 +45,27 @@ def blocks(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Patterns:
-    """Shift table and suffix buckets of the patterns of one length."""
+    """Shift table and suffix buckets of the windows of one length, as arrays: about seven bytes for each byte of benchmark.
 
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], list[str]], hashes: dict[tuple[bytes, ...], np.ndarray]):
-        self.length, self.block = length, min(2, length)
-        self.bits = int(np.clip(np.ceil(np.log2(len(windows) * length + 1)) + 4, 12, 24))
+    ``suffixes`` has the last block of each different window of an item, ascending, so that a bucket is a range of it;
+    ``at`` the window's first word."""
+
+    def __init__(self, length: int, at: np.ndarray, hashes: np.ndarray, text: "Benchmark"):
+        self.length, self.block, self.text = length, min(2, length), text
+        self.bits = int(np.clip(np.ceil(np.log2(len(at) + length)) + 3, 12, 26))
         most = length - self.block + 1
-        self.shift = np.full(1 << self.bits, most, np.int16)
-        self.buckets: dict[int, list[tuple[tuple[bytes, ...], list[str]]]] = defaultdict(list)
-        own = list(windows)
-        made = np.stack([blocks(hashes[w], self.block) for w in own])
+        self.shift = np.full(1 << self.bits, most, np.min_scalar_type(most))
+        made = blocks(hashes, self.block)
         for end in range(self.block - 1, length):
-            np.minimum.at(self.shift, self.slot(made[:, end]), length - 1 - end)
-        for w, name in zip(own, made[:, -1].tolist(), strict=True):
-            self.buckets[name].append((w, windows[w]))
-        self.suffixes = np.sort(np.array(list(self.buckets), np.uint64))
+            np.minimum.at(self.shift, self.slot(made[at + end]), np.array(length - 1 - end, self.shift.dtype))
+        whole_, item = runs(hashes, length)[at], text.item(at)
+        order = np.lexsort((item, whole_, made[at + length - 1]))
+        at, whole_, item = at[order], whole_[order], item[order]
+        # windows that an item repeats, by their bytes
+        again = np.flatnonzero((whole_[1:] == whole_[:-1]) & (item[1:] == item[:-1])) + 1
+        gone = [k for k in again.tolist() if text.window(at[k], length) == text.window(at[k - 1], length)]
+        self.at = np.delete(at, gone).astype(np.uint32)
+        self.suffixes = made[self.at + np.uint32(length - 1)]
 
     def slot(self, names: np.ndarray) -> np.ndarray:
         return (names >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -78,7 +83,7 @@ class Patterns:
         slots, shift = self.slot(names), self.shift
         hits = []
         while len(at):
-            move = shift[slots[at]]
+            move = shift[slots[at]].astype(np.int64)
             stuck = move == 0
             if stuck.any():
                 hits.append(np.stack([doc[stuck], at[stuck]]))
@@ -89,30 +94,55 @@ class Patterns:
         if not hits:
             return
         doc, at = np.concatenate(hits, axis=1)
-        suffix = self.suffixes[np.minimum(np.searchsorted(self.suffixes, names[at]), len(self.suffixes) - 1)] == names[at]
-        for d, end in zip(doc[suffix].tolist(), at[suffix].tolist(), strict=True):
+        low, high = (np.searchsorted(self.suffixes, names[at], side) for side in ("left", "right"))
+        there = low < high
+        for d, end, a, b in zip(*(x[there].tolist() for x in (doc, at, low, high)), strict=True):
             first = end - m + 1
-            own = tuple(w.data[a:b].tobytes() for a, b in zip(w.start[first : end + 1].tolist(), w.end[first : end + 1].tolist(), strict=True))
-            for pattern, items in self.buckets[int(names[end])]:
-                if pattern == own:
-                    yield d, first, items
+            own = b" ".join(w.data[x:y].tobytes() for x, y in zip(w.start[first : end + 1].tolist(), w.end[first : end + 1].tolist(), strict=True))
+            found = [k for k in self.at[a:b].tolist() if self.text.window(k, m) == own]
+            if found:
+                yield d, first, [self.text.ids[k] for k in self.text.item(np.array(found)).tolist()]
+
+
+class Benchmark:
+    """Words of the items, joined by single spaces, with where they begin and the first word of each item."""
+
+    def __init__(self, ids: list[str], texts: list[str]):
+        self.ids = ids
+        data, size, many, self.hashes = [], [], [], []
+        for w in words(pa.array(texts, pa.large_string()), ALNUM):
+            length = w.end - w.start
+            joined = np.full(int(length.sum()) + len(length), 32, np.uint8)
+            joined[np.arange(length.sum()) + np.repeat(np.arange(len(length)), length)] = w.data[ALNUM[w.data]]
+            data.append(joined)
+            size.append(length + 1)
+            many.append(np.diff(w.first))
+            self.hashes.append(w.hash)
+        none = np.zeros(0, np.int64)
+        self.data = np.concatenate([none.astype(np.uint8), *data]).tobytes()
+        self.start = np.concatenate([[0], np.cumsum(np.concatenate([none, *size]))]).astype(np.uint32)
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate([none, *many]))])
+
+    def item(self, at: np.ndarray) -> np.ndarray:
+        """The items that words are of."""
+        return np.searchsorted(self.first, at, "right") - 1
+
+    def window(self, at: int, length: int) -> bytes:
+        return self.data[self.start[at] : self.start[at + length] - 1]
 
 
 def tables(items: list[tuple[str, str]], width: int = WIDTH) -> list[Patterns]:
     """Search tables of the items (id, text), one for each length of windows."""
-    by: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    hashes = {}
-    if not items:
-        return []
-    for w in words(pa.array([t for _, t in items], pa.large_string()), ALNUM):
-        own = [w.data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-        for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-            m = min(width, b - a)
-            for at in range(a, b - m + 1) if m else ():
-                window = tuple(own[at : at + m])
-                by[m][window].add(items[w.low + k][0])
-                hashes[window] = w.hash[at : at + m]
-    return [Patterns(m, {x: sorted(ids) for x, ids in windows.items()}, hashes) for m, windows in sorted(by.items())]
+    text = Benchmark([x for x, _ in items], [t for _, t in items])
+    hashes = np.concatenate([np.zeros(0, np.uint64), *text.__dict__.pop("hashes")])
+    many = np.diff(text.first)
+    found = []
+    for m in sorted(set(np.minimum(many, width).tolist()) - {0}):
+        own = (many == m) if m < width else (many >= m)
+        count = many[own] - m + 1
+        at = np.repeat(text.first[:-1][own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        found.append(Patterns(m, at, hashes, text))
+    return found
 
 
 def parts(benchmark: DataFrame, most: int = TABLE_BYTES) -> Iterator[list[tuple[str, str]]]:
@@ -133,18 +163,18 @@ def search(docs: DataFrame, keep: list[str], benchmark: DataFrame, width: int =
     """The columns ``keep`` of ``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated``.
 
     One pass over the texts without a shuffle. The benchmark is broadcast in tables of a bounded
-    size; a second table and further ones are searched by further steps of the same pass."""
+    size, made once; a second table and further ones are searched by further steps of the same pass."""
     spark = docs.sparkSession
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     df = docs.select(*keep, docs["text"].alias("__text"), F.lit(None).cast("array<int>").alias("__hit"), F.lit(None).cast("array<string>").alias("__items"))
-    lots = list(parts(benchmark)) or [[]]
+    lots = parts(benchmark)
 
     def step(lot, last: bool):
-        held = spark.sparkContext.broadcast(lot)
+        held = spark.sparkContext.broadcast(tables(lot, width))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = tables(held.value, width)
+            found = held.value
             for batch in batches:
                 text, hit_before, items_before = batch.columns[-3:]
                 n_words, hits, items = [], [set(x or ()) for x in hit_before.to_pylist()], [set(x or ()) for x in items_before.to_pylist()]
@@ -166,7 +196,9 @@ def search(docs: DataFrame, keep: list[str], benchmark: DataFrame, width: int =
         return run
 
     done = f"{types}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    for k, lot in enumerate(lots):
-        last = k == len(lots) - 1
-        df = in_arrow(df, step(lot, last), done if last else f"{types}, __text string, __hit array<int>, __items array<string>")
+    lot = next(lots, [])
+    while lot is not None:  # one is in memory, and the tables of the one before
+        after = next(lots, None)
+        df = in_arrow(df, step(lot, after is None), done if after is None else f"{types}, __text string, __hit array<int>, __items array<string>")
+        lot = after
     return df

@@ -401,15 +401,17 @@ def _edges(found: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _placed(width: int):
-    """Rows ``text, node, label, chunk, large``; the set beside the others out, one row for each text
-    that is the node's."""
+    """Rows ``text, node, label, chunk, large``; the set beside the others out, one row for each node
+    of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             names = batch.column(1).to_pylist()
             picked, made, held = [], [], 0
             for k, s in enumerate(sets(batch.column(0), width)):
-                if len(s) and name(s) == names[k]:
+                if len(s) and names[k] not in sent and name(s) == names[k]:
+                    sent.add(names[k])
                     picked.append(k)
                     made.append(s.tobytes())
                     held += len(s)
@@ -478,6 +480,14 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
+def placed(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``nodes`` with their ``set``. A node's text is that of one row, which is found by its id and the hash of its
+    text, so that ids that repeat or are null bring no other rows; of equal rows each task sends one."""
+    same = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("mark") == F.col("row.mark"))
+    texts = docs.join(small(nodes, BROADCAST_ROWS), same)
+    return in_arrow(texts.select("text", "node", "label", "chunk", "large"), _placed(width), "node long, label long, chunk long, large boolean, set binary")
+
+
 def verified(docs: DataFrame, meet: DataFrame, sized: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges (``a``, ``b``) that connect what links connect among the sets of each label of ``meet``.
 
@@ -486,15 +496,13 @@ def verified(docs: DataFrame, meet: DataFrame, sized: DataFrame, width: int, per
     (its strays) is compared with all of its chunks. In a group of near copies strays are few,
     so that work follows the group's size."""
     meet = settle(meet)
-    members = meet.join(sized.select("node", "n", "doc_id"), "node")
+    members = meet.join(sized.select("node", "n", "row"), "node")
     large = members.groupBy("label").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks")).where("chunks > 1")
     large = settle(large)
     members = members.join(small(large, BROADCAST_ROWS), "label", "left")
     chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1)))
-    nodes = settle(members.select(F.col("doc_id").alias("wanted"), "node", "label", chunk.alias("chunk"), F.col("chunks").isNotNull().alias("large")))
-    # one document for each node that meets others
-    texts = docs.join(small(nodes, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("wanted")))
-    held = in_arrow(texts.select("text", "node", "label", "chunk", "large"), _placed(width), "node long, label long, chunk long, large boolean, set binary")
+    nodes = settle(members.select("row", "node", "label", chunk.alias("chunk"), F.col("chunks").isNotNull().alias("large")))
+    held = placed(docs, nodes, width)
 
     def solved(rows: DataFrame) -> DataFrame:
         rows = rows.select("label", "chunk", "node", "large", "set").repartition("label", "chunk").sortWithinPartitions("label", "chunk", "node")
@@ -532,11 +540,11 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 85, keep: tuple[str,
     ``percent`` times the union. ``group`` names what links connect, null for an empty set."""
     kept = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
     types = "".join(f"keep_{k} {docs.schema[c].dataType.simpleString()}, " for k, c in enumerate(keep))
-    docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *kept)
+    docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), *kept)
     spark = docs.sparkSession
-    profiles = settle(in_arrow(docs, _profiles(width), f"doc_id long, {types}n_shingles long, node long, point binary"))
+    profiles = settle(in_arrow(docs, _profiles(width), f"doc_id long, mark long, {types}n_shingles long, node long, point binary"))
     sized = profiles.where("node is not null").groupBy("node")
-    sized = settle(sized.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
+    sized = settle(sized.agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("doc_id", "mark")).alias("row"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     rows = in_arrow(docs.select("text"), _signatures(width, percent, common), "key long, node long")
     met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "meeting long, node long, head long")

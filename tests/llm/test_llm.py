@@ -154,6 +154,25 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard.join(frame(spark, odd).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k % 3 or None])
+def test_jaccard_shared_ids(spark, monkeypatch, ids):
+    """Rows that share an id, or have none, bring one text for each node to the blocks."""
+    rows = [(ids(k), f"{' '.join(f'g{k // 2}w{j}' for j in range(30))} t{k % 2}", "en", "s", 0) for k in range(800)]
+    rows += rows[:40]
+    seen, make = [], jaccard.placed
+
+    def counted(*args):
+        held = make(*args)
+        seen.append((args[1].count(), held.count()))
+        return held
+
+    monkeypatch.setattr(jaccard, "placed", counted)
+    out = sorted((tuple(r) for r in jaccard.join(frame(spark, rows)).collect()), key=repr)
+    assert out == brute_components(rows, 4, 85)
+    nodes, sets_ = seen[0]
+    assert nodes == 800 and nodes <= sets_ <= nodes + 40  # equal rows in several tasks
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_sets_that_link_share_a_key(percent):
     rng = np.random.default_rng(percent)
