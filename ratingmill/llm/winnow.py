@@ -67,14 +67,13 @@ def chosen(texts: list[str], width: int = WIDTH, window: int = WINDOW) -> tuple[
     last = np.minimum(np.arange(n) + width, np.repeat(first + sizes, sizes))
     name = mix((total[last] - total[:n]) * down[:n]) & _U(0xFFFFFFFF00000000)
     key = name | (_U(0xFFFFFFFF) - np.arange(n, dtype=_U))  # of equal hashes the rightmost is smaller
+    whole = grams >= window
     low, span = key, 1
-    while 2 * span <= window:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    if span < window and len(low) > window - span:
-        low = np.minimum(low[: len(low) - (window - span)], low[window - span :])
+    while whole.any() and span < window:
+        step = min(span, window - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
     there = np.zeros(n, bool)
-    whole = grams >= window
     count = np.where(whole, grams - window + 1, 0)
     starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
     place = lambda k: (_U(0xFFFFFFFF) - (k & _U(0xFFFFFFFF))).astype(np.int64)
@@ -143,7 +142,7 @@ def _ranges(docs: DataFrame) -> np.ndarray:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(RANGES, -(-size // RANGE_BYTES)))
     dealt = docs.select(_order()).repartitionByRange(n, "place")
-    return np.array(sorted(r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("place")).collect()), np.int64)
+    return np.array(sorted(r[1] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("place")).collect()), np.int64)
 
 
 def _order() -> "F.Column":
