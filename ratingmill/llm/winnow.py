@@ -35,7 +35,7 @@ from ratingmill.llm.text import mix
 
 WIDTH, WINDOW = 16, 48
 #: Text bytes of a range of ids, and the most ranges.
-RANGE_BYTES, RANGES = 1 << 20, 1 << 16
+RANGE_BYTES, RANGES = 1 << 22, 1 << 15
 #: Code points that are winnowed together.
 SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
