@@ -164,6 +164,10 @@ def injury_severity(status: Column, days: Column) -> Column:
     return base * F.when(days > 7, 0.9).otherwise(1.0)
 
 
+#: Upset probability beyond which a game is flagged.
+UPSET_ALERT = 0.30
+
+
 def upset_probability(diff: Column, p: Column, favourite_wins: Column, underdog_wins: Column, enough: Column) -> Column:
     base = _steps(F.abs(diff), [(50, 0.45), (100, 0.35), (150, 0.28), (200, 0.20)], 0.12)
     base = base + F.when(F.greatest(p, 1 - p) < 0.60, 0.10).otherwise(0.0)

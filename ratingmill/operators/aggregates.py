@@ -111,11 +111,14 @@ def recent_vs_all(pred: DataFrame, days: int = 5) -> DataFrame:
 
 
 def rest_impact(rested: DataFrame) -> DataFrame:
-    """Home win rate by which side plays the second of two days; from ``rest`` rows of both sides."""
+    """Home win rate where a side plays the second of two days, whatever the other does, and where both have rested
+    two days; without first games (A12). From ``rest`` rows of both sides."""
     pick = lambda at, c: F.max(F.when(F.col("is_home") == at, F.col(c)))
     g = rested.groupBy("game_id").agg(pick(True, "rest_days").alias("h"), pick(False, "rest_days").alias("a"), pick(True, "won").alias("home_won"))
-    case = F.when((F.col("h") == 0) & (F.col("a") != 0), "home_b2b").when((F.col("a") == 0) & (F.col("h") != 0), "away_b2b").when((F.col("h") > 0) & (F.col("a") > 0), "both_rested").otherwise("other")
-    return g.groupBy(case.alias("situation")).agg(F.count("*").alias("games"), F.avg(F.col("home_won").cast("double")).alias("home_win_rate"))
+    found = [("home_b2b", F.col("h") == 0), ("away_b2b", F.col("a") == 0), ("both_rested", (F.col("h") >= 2) & (F.col("a") >= 2))]
+    each = F.explode(F.array_compact(F.array(*[F.when(on, name) for name, on in found])))
+    g = g.where("h >= 0 and a >= 0").select(each.alias("situation"), "home_won")
+    return g.groupBy("situation").agg(F.count("*").alias("games"), F.avg(F.col("home_won").cast("double")).alias("home_win_rate"))
 
 
 def travel_bins(travelled: DataFrame, edges: tuple[float, ...] = (0, 500, 1000, 1500, 2000, 5000)) -> DataFrame:

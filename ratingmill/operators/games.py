@@ -137,7 +137,7 @@ def name_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 
 def map_codes(df: DataFrame, crosswalk: DataFrame, column: str = "code") -> DataFrame:
     """Rows with the team of their code; unknown codes go."""
-    return df.join(F.broadcast(crosswalk.select(F.col("code").alias(column), "team_id")), column)
+    return df.join(small_side(crosswalk.select(F.col("code").alias(column), "team_id")), column)
 
 
 def lookup_by_date(df: DataFrame, hist: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratingmill.functions import scores as S
 from ratingmill.operators import windows as W
 from ratingmill.operators.games import asof_ratings, small_side, to_long
-from ratingmill.operators.ratings import apply_concentration
+from ratingmill.operators.ratings import with_concentration
 
 _BOTH = ("home", "away")
 
@@ -30,14 +30,23 @@ def outcome(pred: DataFrame) -> DataFrame:
 
 
 def predict_team(schedule: DataFrame, hist: DataFrame, games: DataFrame, home_advantage: float = 20, metrics: DataFrame | None = None, inclusive: bool = False) -> DataFrame:
-    """Team predictions (R11): as-of rating, form and rest, then expectation, cap and concentration.
+    """Team predictions (R11): as-of rating, form and rest, with ``metrics`` (``concentration``) also what a team's best
+    players add, then expectation and cap. A pick whose team leans on one player loses confidence.
     ``schedule`` is a part of ``games``; features come from the games before each."""
     features = sides(W.rest(W.form(to_long(games))), ["form", "rest_penalty"])
     g = asof_ratings(schedule, hist, inclusive, None).join(features, "game_id")
     for s in _BOTH:
         g = g.withColumn(f"{s}_final", F.col(f"{s}_rating") + F.col(f"{s}_form") + F.col(f"{s}_rest_penalty"))
+    if metrics is not None:
+        g = with_concentration(g, metrics)
+        for s in _BOTH:
+            g = g.withColumn(f"{s}_final", F.col(f"{s}_final") + F.col(f"{s}_add"))
     g = outcome(g.withColumn("p", S.expected_score(F.col("home_final"), F.col("away_final"), home_advantage)))
-    return g if metrics is None else apply_concentration(g, metrics)
+    if metrics is not None:
+        risk = F.when(F.col("picked_home"), F.col("home_risk")).otherwise(F.col("away_risk"))
+        g = g.withColumn("confidence", F.col("confidence") * (1 - 0.2 * risk))
+        g = g.withColumn("home_win_prob", F.when(F.col("picked_home"), F.col("home_win_prob")).otherwise(1 - F.col("confidence"))).drop("home_add", "away_add")
+    return g
 
 
 def predict_hybrid(schedule: DataFrame, hist: DataFrame, games: DataFrame, roster_elos: DataFrame, injuries: DataFrame, arenas: DataFrame, blend: float = 0.75, home_advantage: float = 60) -> DataFrame:
@@ -51,7 +60,7 @@ def predict_hybrid(schedule: DataFrame, hist: DataFrame, games: DataFrame, roste
     team = W.games_before(W.with_travel_fatigue(W.rest_fatigue(W.momentum(W.welo(gl, hist))), arenas), "season")
     figures = roster_elos.select("team_id", "roster_elo").join(injuries.select("team_id", "injury_adjustment"), "team_id", "full_outer")
     team = team.join(small_side(figures), "team_id", "left").fillna({"roster_elo": 1500.0, "injury_adjustment": 0.0}).withColumnsRenamed({"roster_elo": "roster", "injury_adjustment": "injury"})
-    cols = ["welo", "fatigue_rest", "b2b_penalty", "density_penalty", "travel_fatigue", "wins", "games", "games_before", "roster", "injury"]
+    cols = ["welo", "fatigue_rest", "b2b_penalty", "density_penalty", "travel_fatigue", "late_wins", "late_games", "games_before", "roster", "injury"]
     g = asof_ratings(schedule, hist).join(sides(team, cols), "game_id")
     g = g.join(W.h2h_recency(games).select("game_id", "h2h_recency"), "game_id")
     for s in _BOTH:
@@ -60,17 +69,18 @@ def predict_hybrid(schedule: DataFrame, hist: DataFrame, games: DataFrame, roste
     more_home, more_away = W.rest_differential(F.col("home_fatigue_rest"), F.col("away_fatigue_rest"))
     damp = F.least(F.lit(1.0), F.abs("raw_diff") / 30)
     g = g.withColumn("raw_diff", raw)
-    for s, more, sign in (("home", more_home, 1), ("away", more_away, -1)):
-        close = F.when(F.abs("raw_diff") < 50, sign * 0.15 * F.col("h2h_recency") + F.col(f"{s}_travel_fatigue")).otherwise(0.0)
+    met = {"home": 0.15 * F.col("h2h_recency"), "away": F.lit(0.0)}  # meetings count for the home side only
+    for s, more in (("home", more_home), ("away", more_away)):
+        close = F.when(F.abs("raw_diff") < 50, met[s] + F.col(f"{s}_travel_fatigue")).otherwise(0.0)
         tired = F.col(f"{s}_b2b_penalty") + F.col(f"{s}_density_penalty") + more
         g = g.withColumn(f"{s}_final", F.col(f"{s}_hybrid") + close + tired + F.col(f"{s}_welo") * damp + F.col(f"{s}_injury"))
     g = g.withColumn("p", S.toss_up(S.expected_score(F.col("home_final"), F.col("away_final"), home_advantage), F.col("raw_diff")))
     diff = F.col("home_final") - F.col("away_final")
-    favourite = F.when(F.col("p") > 0.5, F.col("home_wins")).otherwise(F.col("away_wins"))
-    underdog = F.when(F.col("p") > 0.5, F.col("away_wins")).otherwise(F.col("home_wins"))
-    enough = (F.col("home_games") >= 3) & (F.col("away_games") >= 3)
+    favourite = F.when(F.col("p") > 0.5, F.col("home_late_wins")).otherwise(F.col("away_late_wins"))
+    underdog = F.when(F.col("p") > 0.5, F.col("away_late_wins")).otherwise(F.col("home_late_wins"))
+    enough = (F.col("home_late_games") >= 3) & (F.col("away_late_games") >= 3)
     context = S.game_context(F.col("date"), F.col("home_games_before"), F.col("away_games_before"))
-    g = g.withColumn("upset_probability", S.upset_probability(diff, F.col("p"), favourite, underdog, enough)).withColumn("context", context)
+    g = g.withColumn("upset_probability", S.upset_probability(diff, F.col("p"), favourite, underdog, enough)).withColumn("upset_alert", F.col("upset_probability") > S.UPSET_ALERT).withColumn("context", context)
     g = g.withColumn("confidence", S.calibrated_confidence(F.greatest(F.col("p"), 1 - F.col("p"))))
     score = S.confidence_score(diff, F.col("home_fatigue_rest"), F.col("away_fatigue_rest"), F.col("home_injury"), F.col("away_injury"), F.col("home_welo"), F.col("away_welo"), F.col("context.is_post_christmas"), F.col("context.is_season_opener"), F.col("context.is_playoff_push"))
     home, away = S.score_split(diff)
@@ -78,20 +88,20 @@ def predict_hybrid(schedule: DataFrame, hist: DataFrame, games: DataFrame, roste
 
 
 def predict_adaptive(g: DataFrame, close: float = 100) -> DataFrame:
-    """Weights by closeness (R13); ``g`` has team, roster, form and meeting figures of both sides."""
+    """Weights by closeness (R13); ``g`` has team, roster, form and rest figures of both sides, the last two as points."""
     diff = F.abs(F.col("home_rating") - F.col("away_rating"))
-    for s, sign in (("home", 1), ("away", -1)):
-        near = 0.5 * F.col(f"{s}_rating") + 0.2 * F.col(f"{s}_roster") + 0.2 * (1500 + F.col(f"{s}_form")) + 0.1 * (1500 + sign * F.col("h2h_adjustment"))
+    for s in _BOTH:
+        near = 0.5 * F.col(f"{s}_rating") + 0.2 * F.col(f"{s}_roster") + 0.2 * F.col(f"{s}_form") + 0.1 * F.col(f"{s}_rest_penalty")
         g = g.withColumn(f"{s}_final", F.when(diff < close, near).otherwise(0.7 * F.col(f"{s}_rating") + 0.3 * F.col(f"{s}_roster")))
-    return outcome(g.withColumn("p", S.expected_score(F.col("home_final"), F.col("away_final"), 60)))
+    return g.withColumn("home_win_prob", S.expected_score(F.col("home_final"), F.col("away_final"), 60)).withColumn("picked_home", F.col("home_win_prob") > 0.5)
 
 
 def predict_light(schedule: DataFrame, hist: DataFrame, games: DataFrame, h2h_w: float = 0.07, mom_w: float = 0.05, home_advantage: float = 60) -> DataFrame:
-    """As-of ratings, a little of the meetings and of the momentum."""
+    """As-of ratings, a little of the momentum, and for the home side of the meetings."""
     g = asof_ratings(schedule, hist).join(sides(W.momentum_tiers(to_long(games)), ["tier_points"]), "game_id")
     g = g.join(W.h2h_margin(games).select("game_id", "h2h_margin"), "game_id")
     home = F.col("home_rating") + h2h_w * F.col("h2h_margin") + mom_w * F.col("home_tier_points")
-    away = F.col("away_rating") - h2h_w * F.col("h2h_margin") + mom_w * F.col("away_tier_points")
+    away = F.col("away_rating") + mom_w * F.col("away_tier_points")
     g = g.withColumn("home_final", home).withColumn("away_final", away)
     return g.withColumn("home_win_prob", S.expected_score(F.col("home_final"), F.col("away_final"), home_advantage))
 
@@ -101,6 +111,16 @@ def backtest(pred: DataFrame) -> DataFrame:
     return pred.where("home_score > 0 or away_score > 0").withColumn("correct", (F.col("home_win_prob") > 0.5) == (F.col("home_score") > F.col("away_score")))
 
 
+def backtest_summary(models: dict[str, DataFrame]) -> DataFrame:
+    """Games, right picks, accuracy and mean squared error of several models' predictions of completed games."""
+    every = None
+    for name, pred in models.items():
+        rows = backtest(pred).select(F.lit(name).alias("model"), "correct", (F.col("home_win_prob") - (F.col("home_score") > F.col("away_score")).cast("int")).alias("off"))
+        every = rows if every is None else every.unionByName(rows)
+    on = every.groupBy("model").agg(F.count("*").alias("games"), F.count_if("correct").alias("right"), F.avg(F.pow("off", F.lit(2.0))).alias("brier"))
+    return on.withColumn("accuracy", F.col("right") / F.col("games"))
+
+
 def track(pred: DataFrame, stored: DataFrame, as_of: date, days: int = 7) -> DataFrame:
     """Outcomes of the last ``days`` days that the log doesn't hold yet."""
     new = backtest(pred.where(F.col("date").between(F.date_sub(F.lit(as_of), days), F.lit(as_of))))
@@ -134,6 +154,30 @@ def betting_report(pred: DataFrame) -> DataFrame:
     return p.withColumn("recommended", (c >= 0.60) & F.col("risk").isin("VERY LOW RISK", "LOW RISK"))
 
 
+def betting_summary(report: DataFrame, n: int = 5) -> DataFrame:
+    """Each day's counts by risk, its recommended games, mean confidence in whole percents, and its ``n``
+    surest games of the two lowest risks (R18)."""
+    rank = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("confidence"), "game_id"))
+    r = report.withColumn("_low", F.col("risk").isin("VERY LOW RISK", "LOW RISK")).withColumn("_rank", rank)  # risk follows confidence
+    top = F.array_sort(F.collect_list(F.when(F.col("_low") & (F.col("_rank") <= n), F.struct("_rank", "game_id"))))
+    counts = [F.count_if(F.col("risk") == k).alias(k.lower().replace(" risk", "").replace(" ", "_") + "_count") for k in ("VERY LOW RISK", "LOW RISK", "MODERATE RISK", "HIGH RISK")]
+    t = r.groupBy("date").agg(F.count("*").alias("total_games"), F.count_if("recommended").alias("total_recommended"), F.avg(F.floor(F.col("confidence") * 100)).alias("avg_confidence"), *counts, top.alias("_top"))
+    return t.withColumn("top_games", F.array_join(F.transform("_top", lambda x: x.game_id.cast("string")), ",")).drop("_top")
+
+
+def best_parlays(report: DataFrame, most: int = 3) -> DataFrame:
+    """Each day's two surest games of very low risk together, its three surest, and so on up to ``most`` (R18): joint probability,
+    its risk, and the American odds of the product of the legs' decimal odds, which follow their whole fair prices."""
+    sure = report.where("risk = 'VERY LOW RISK'").withColumn("_rank", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("confidence"), "game_id"))).where(F.col("_rank") <= most)
+    legs = sure.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("_rank", "game_id", "confidence", "fair_price"))).alias("_legs")).where(F.size("_legs") >= 2)
+    each = legs.withColumn("num_bets", F.explode(F.sequence(F.lit(2), F.size("_legs")))).withColumn("_legs", F.slice("_legs", F.lit(1), F.col("num_bets")))
+    odds = F.aggregate("_legs", F.lit(1.0), lambda a, x: a * S.american_to_decimal(x.fair_price.cast("double")))
+    each = each.withColumn("probability", S.parlay(F.transform("_legs", lambda x: x.confidence))).withColumn("decimal_odds", odds)
+    american = F.when(F.col("decimal_odds") >= 2, (F.col("decimal_odds") - 1) * 100).otherwise(-100 / (F.col("decimal_odds") - 1)).cast("int")
+    games = F.array_join(F.transform("_legs", lambda x: x.game_id.cast("string")), "+")
+    return each.select("date", "num_bets", games.alias("games"), "probability", S.risk_level(F.col("probability")).alias("risk"), "decimal_odds", american.alias("combined_odds"))
+
+
 def parlays(report: DataFrame, legs: int = 2, n: int = 5) -> DataFrame:
     """Joint probabilities of each day's ``n`` surest recommended games, ``legs`` at a time."""
     top = report.where("recommended").withColumn("rank", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("confidence"), "game_id"))).where(F.col("rank") <= n)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratingmill.operators.games import small_side
+
 BASE = 1500.0
 HISTORY = (
     "game_id long, pool long, date date, team_id long, opponent_id long, is_home boolean, team_score long, opponent_score long, won boolean, "
@@ -162,7 +164,7 @@ def player_ratings(history: DataFrame, multipliers: DataFrame | None = None, reg
     if multipliers is None:
         out = out.withColumn("position_multiplier", F.lit(1.0))
     else:
-        out = out.join(F.broadcast(multipliers.select("player_id", "position_multiplier")), "player_id", "left").fillna(1.0, ["position_multiplier"])
+        out = out.join(small_side(multipliers.select("player_id", "position_multiplier")), "player_id", "left").fillna(1.0, ["position_multiplier"])
     return out.withColumn("rating", F.col("raw_rating") * F.col("position_multiplier"))
 
 
@@ -231,11 +233,18 @@ def concentration(roster: DataFrame, ratings: DataFrame) -> DataFrame:
     return t.withColumn("construction_type", kind).withColumn("depth_rating", depth).drop("mean", "five")
 
 
+def with_concentration(pred: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Beside each game what bonus and depth add to either side, and its risk; 0 for unknown teams."""
+    for s in ("home", "away"):
+        m = metrics.select(F.col("team_id").alias(f"{s}_team_id"), (F.col("top_player_bonus") + 0.1 * F.col("top_5_depth")).alias(f"{s}_add"), F.col("concentration_risk").alias(f"{s}_risk"))
+        pred = pred.join(small_side(m), f"{s}_team_id", "left").fillna(0.0, [f"{s}_add", f"{s}_risk"])
+    return pred
+
+
 def apply_concentration(pred: DataFrame, metrics: DataFrame) -> DataFrame:
     """Ratings with bonus and depth of both teams, and the confidence that their risk leaves."""
+    pred = with_concentration(pred, metrics)
     for s in ("home", "away"):
-        m = metrics.select(F.col("team_id").alias(f"{s}_team_id"), (F.col("top_player_bonus") + 0.1 * F.col("top_5_depth")).alias(f"{s}_add"), F.col("concentration_risk").alias(f"{s}_risk"))
-        pred = pred.join(m, f"{s}_team_id", "left").fillna(0.0, [f"{s}_add", f"{s}_risk"])
         pred = pred.withColumn(f"{s}_adjusted", F.col(f"{s}_rating") + F.col(f"{s}_add"))
     risk = F.when(F.col("home_win_prob") > 0.5, F.col("home_risk")).otherwise(F.col("away_risk"))
     return pred.withColumn("adjusted_confidence", F.col("confidence") * (1 - 0.2 * risk)).drop("home_add", "away_add")

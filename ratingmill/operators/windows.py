@@ -23,14 +23,16 @@ def _day(column: str = "date"):
 
 
 def form(gl: DataFrame, n: int = 5, weight: float = 0.1) -> DataFrame:
-    """Mean margin of the ``n`` rows before, scaled; 1.2 times for an unbroken run of three or more."""
+    """Mean margin of the ``n`` rows before, scaled; 1.2 times for an unbroken run of three or more.
+    ``streak_type`` is ``none`` without games and ``insufficient_data`` below three."""
     w = _before(n)
     wins, games = F.sum(F.col("won").cast("int")).over(w), F.count("*").over(w)
     # a tie breaks a run of either kind
     beaten, won = (F.coalesce(c, F.lit(False)) for c in (F.max("margin").over(w) < 0, F.min("margin").over(w) > 0))
     unbroken = (F.col("form_games") >= 3) & (won | beaten)
     out = gl.withColumn("form_games", games).withColumn("form_wins", F.coalesce(wins, F.lit(0))).withColumn("form_margin", F.coalesce(F.avg("margin").over(w), F.lit(0.0)))
-    kind = F.when(~unbroken, "mixed").when(beaten, "losing").otherwise("winning")
+    few = F.when(F.col("form_games") == 0, "none").when(F.col("form_games") < 3, "insufficient_data")
+    kind = few.when(~unbroken, "mixed").when(beaten, "losing").otherwise("winning")
     return out.withColumn("form", F.col("form_margin") * weight * 50 * F.when(unbroken, 1.2).otherwise(1.0)).withColumn("streak_type", kind)
 
 
@@ -43,9 +45,12 @@ def _last_by_date(gl: DataFrame, n: int) -> DataFrame:
     return gl.withColumn("recent", F.coalesce(F.last("_seen").over(Window.partitionBy("team_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)), F.array().cast("array<struct<date:date,game_id:bigint,won:boolean,margin:bigint,opponent_id:bigint>>"))).drop("_seen", "day")
 
 
-def momentum(gl: DataFrame, n: int = 5, cap: float = 30) -> DataFrame:
-    """Points by wins in the last ``n`` games of earlier dates (W2); a tie is no win."""
-    out = _last_by_date(gl, n).withColumn("wins", F.size(F.filter("recent", lambda g: g.margin > 0))).withColumn("games", F.size("recent"))
+def momentum(gl: DataFrame, n: int = 5, cap: float = 30, days: int = 10) -> DataFrame:
+    """Points by wins in the last ``n`` games of earlier dates (W2); a tie is no win. ``late_wins`` and ``late_games``
+    count those of the last ``days`` days only."""
+    won, late = (lambda g: g.margin > 0), (lambda g: g.date >= F.date_sub("date", days))
+    out = _last_by_date(gl, n).withColumn("wins", F.size(F.filter("recent", won))).withColumn("games", F.size("recent"))
+    out = out.withColumn("late_wins", F.size(F.filter("recent", lambda g: won(g) & late(g)))).withColumn("late_games", F.size(F.filter("recent", late)))
     points = F.when(F.col("wins") >= 4, F.least((F.col("wins") - 3) * 15.0, F.lit(float(cap)))).when(F.col("wins") <= 1, F.greatest((F.col("wins") - 2) * 15.0, F.lit(-float(cap)))).otherwise(0.0)
     return out.withColumn("momentum", F.when(F.col("games") == 0, 0.0).otherwise(points)).drop("recent")
 
@@ -86,7 +91,7 @@ def rest(gl: DataFrame, b2b: float = 46, one_day: float = 15) -> DataFrame:
     gap = F.datediff("date", F.lag("date").over(_team()))
     days = F.when(gap.isNull(), -1).otherwise(F.greatest(F.lit(0), gap - 1))
     out = gl.withColumn("rest_days", days)
-    kind = F.when(F.col("rest_days") < 0, "first_game").when(F.col("rest_days") == 0, "back_to_back").when(F.col("rest_days") == 1, "one_day").otherwise("rested")
+    kind = F.when(F.col("rest_days") < 0, "first_game").when(F.col("rest_days") == 0, "back_to_back").when(F.col("rest_days") == 1, "one_day_rest").when(F.col("rest_days") <= 3, "normal_rest").otherwise("extended_rest")
     penalty = F.when(F.col("rest_days") == 0, -float(b2b)).when(F.col("rest_days") == 1, -float(one_day)).otherwise(0.0)
     return out.withColumn("rest_category", kind).withColumn("rest_penalty", penalty)
 
@@ -176,7 +181,7 @@ def h2h_games(games: DataFrame, n: int = 5) -> DataFrame:
 
 
 def recent_form(gl: DataFrame, n: int = 10) -> DataFrame:
-    """Each team's last ``n`` games: record, means, results as text (newest last), current streak."""
+    """Each team's last ``n`` games: record, means, results as text (newest first), current streak."""
     last = gl.withColumn("nth", F.row_number().over(Window.partitionBy("team_id").orderBy(F.desc("date"), F.desc("game_id")))).where(F.col("nth") <= n)
     t = last.groupBy("team_id").agg(
         F.count("*").alias("games"),
@@ -186,13 +191,33 @@ def recent_form(gl: DataFrame, n: int = 10) -> DataFrame:
         F.avg("margin").alias("avg_margin"),
         F.array_sort(F.collect_list(F.struct("nth", "won"))).alias("_r"),
     )
-    results = F.array_join(F.reverse(F.transform("_r", lambda x: F.when(x.won, "W").otherwise("L"))), "")
-    now = F.when(F.get("_r", F.lit(0))["won"], "W").otherwise("L")
-    t = t.withColumn("results", results).withColumn("streak_type", now)
-    length = F.length("results") - F.length(F.rtrim(F.col("results"), F.col("streak_type")))
+    t = t.withColumn("results", F.array_join(F.transform("_r", lambda x: F.when(x.won, "W").otherwise("L")), ""))
+    t = t.withColumn("streak_type", F.left("results", F.lit(1)))
+    length = F.length("results") - F.length(F.ltrim(F.col("results"), F.col("streak_type")))
     return t.withColumn("streak_length", length).withColumn("win_pct", F.col("wins") / F.col("games")).drop("_r")
 
 
+def compare_form(games: DataFrame, form: DataFrame) -> DataFrame:
+    """Games (``game_id, home_team_id, away_team_id``) whose sides both have ``recent_form``: who is in better form and by
+    how much, who scores more and who allows less, and whether each side is on the rise (W12)."""
+    side = lambda s: form.select(F.col("team_id").alias(f"{s}_team_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("win_pct", "streak_type", "avg_points", "avg_allowed")])
+    g = games.select("game_id", "home_team_id", "away_team_id").join(small_side(side("home")), "home_team_id").join(small_side(side("away")), "away_team_id")
+    home, away = F.col("home_win_pct"), F.col("away_win_pct")
+    ahead = lambda by: F.when(home > away + by, F.col("home_team_id")).when(away > home + by, F.col("away_team_id"))
+    text = F.when(ahead(0.15).isNotNull(), "significantly better").when(ahead(0.05).isNotNull(), "slightly better").otherwise("similar")
+    up = lambda s: F.when(F.col(f"{s}_streak_type") == "W", "up").otherwise("down")
+    better = lambda on: F.when(on, F.col("home_team_id")).otherwise(F.col("away_team_id"))
+    return g.select(
+        "game_id",
+        ahead(0.05).alias("form_advantage"),
+        text.alias("form_text"),
+        up("home").alias("home_momentum"),
+        up("away").alias("away_momentum"),
+        better(F.col("home_avg_points") > F.col("away_avg_points")).alias("scoring_advantage"),
+        better(F.col("home_avg_allowed") < F.col("away_avg_allowed")).alias("defense_advantage"),
+    )
+
+
 def pick_streak(pred: DataFrame) -> DataFrame:
     """How many of the latest predictions in a row were right (or wrong)."""
     at = F.struct("date", "game_id")
@@ -252,7 +277,7 @@ def road_streak(gl: DataFrame) -> DataFrame:
 
 
 def elo_change_games(hist: DataFrame, n: int = 5) -> DataFrame:
-    """Rating change over each team's last ``n`` games, and the record in them."""
+    """Rating change over each team's last ``n`` games, and the record in them, of teams of as many."""
     last = hist.withColumn("nth", F.row_number().over(Window.partitionBy("team_id").orderBy(F.desc("date"), F.desc("game_id")))).where(F.col("nth") <= n + 1)
     at = lambda k, c: F.max(F.when(F.col("nth") == k, F.col(c)))
     oldest = F.max_by("rating_before", "nth")
@@ -260,7 +285,8 @@ def elo_change_games(hist: DataFrame, n: int = 5) -> DataFrame:
         (at(1, "rating_after") - F.coalesce(at(n + 1, "rating_after"), oldest)).alias("change"),
         F.count_if((F.col("nth") <= n) & F.col("won")).alias("wins"),
         F.count_if((F.col("nth") <= n) & ~F.col("won")).alias("losses"),
-    )
+        F.count("*").alias("_games"),
+    ).where(F.col("_games") >= n).drop("_games")
 
 
 def elo_change_days(hist: DataFrame, as_of: date, days: int = 7, key: str = "team_id") -> DataFrame:

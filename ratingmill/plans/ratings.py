@@ -94,55 +94,79 @@ select game_id, round(1500 + elo_diff + coalesce(h.bonus + 0.1 * h.depth, 0), 6)
  round(confidence * (1 - 0.2 * coalesce(case when home_win_prob > 0.5 then h.risk else a.risk end, 0)), 6) as adjusted_confidence from pred p left join q h on h.team_id = home_team_id left join q a on a.team_id = away_team_id""")
 _CAP = "case when {p} > 0.5 then least({p}, {c}) else 1 - least(1 - {p}, {c}) end"
 _CAPS = "case when abs({d}) < 50 then 0.55 when abs({d}) < 100 then 0.65 when abs({d}) < 150 then 0.75 when abs({d}) < 200 then 0.82 else 0.9 end"
-query("r11_predict_team", lambda f: rounded(P.predict_team(f.done, f.hist, f.done).select("game_id", "home_final", "away_final", "home_win_prob", "confidence", "reason"), "home_final", "away_final", "home_win_prob", "confidence", digits=5, nudge=1e-8), "long hist", part("rated", "j3_asof_ratings", "coalesce(x.r, 1500)", "x.r") + part("form", "w1_form") + part("rest", "w5_rest") + f"""
-, t as (select d.game_id, home_rating + hf.form + hr.rest_penalty as h, away_rating + af.form + ar.rest_penalty as a from done d join rated using (game_id)
+_R11 = part("rated", "j3_asof_ratings", "coalesce(x.r, 1500)", "x.r") + part("form", "w1_form") + part("rest", "w5_rest") + """
+, t as (select d.game_id, home_team_id, away_team_id, home_rating + hf.form + hr.rest_penalty as h, away_rating + af.form + ar.rest_penalty as a from done d join rated using (game_id)
   join form hf on hf.game_id = d.game_id and hf.team_id = home_team_id join form af on af.game_id = d.game_id and af.team_id = away_team_id
-  join rest hr on hr.game_id = d.game_id and hr.team_id = home_team_id join rest ar on ar.game_id = d.game_id and ar.team_id = away_team_id),
+  join rest hr on hr.game_id = d.game_id and hr.team_id = home_team_id join rest ar on ar.game_id = d.game_id and ar.team_id = away_team_id)"""
+_R11_COLUMNS = ["game_id", "home_final", "away_final", "home_win_prob", "confidence", "reason"]
+query("r11_predict_team", lambda f: rounded(P.predict_team(f.done, f.hist, f.done).select(*_R11_COLUMNS), "home_final", "away_final", "home_win_prob", "confidence", digits=5, nudge=1e-8), "long hist", _R11 + f""",
 p as (select *, {EXP.format(a='h', b='a', ha=20)} as p, {_CAPS.format(d='(h - a)')} as c from t), q as (select *, case when p is not null then {_CAP.format(p='p', c='c')} end as w from p)
 select game_id, round(h + 1e-8, 5) as home_final, round(a + 1e-8, 5) as away_final, round(w + 1e-8, 5) as home_win_prob, case when w is not null then round(greatest(w, 1 - w) + 1e-8, 5) end as confidence, case when w is null then 'no rating' end as reason from q""")
+query("r11_with_concentration", lambda f: rounded(P.predict_team(f.done, f.hist, f.done, metrics=R.concentration(f.roster, f.ratings)).select(*_R11_COLUMNS), "home_final", "away_final", "home_win_prob", "confidence", digits=5, nudge=1e-8), "long hist ratings", _R11 + _CON.replace("\nq as", "\nlean as") + f""",
+u as (select t.game_id, t.h + coalesce(x.bonus + 0.1 * x.depth, 0) as h, t.a + coalesce(y.bonus + 0.1 * y.depth, 0) as a, coalesce(x.risk, 0) as hr, coalesce(y.risk, 0) as ar from t left join lean x on x.team_id = home_team_id left join lean y on y.team_id = away_team_id),
+p as (select *, {EXP.format(a='h', b='a', ha=20)} as p, {_CAPS.format(d='(h - a)')} as c from u), w as (select *, case when p is not null then {_CAP.format(p='p', c='c')} end as w from p),
+z as (select *, greatest(w, 1 - w) * (1 - 0.2 * case when w > 0.5 then hr else ar end) as k from w where w is not null)
+select w.game_id, round(w.h + 1e-8, 5) as home_final, round(w.a + 1e-8, 5) as away_final, round(case when w.w > 0.5 then w.w else 1 - k end + 1e-8, 5) as home_win_prob, round(k + 1e-8, 5) as confidence, case when w.w is null then 'no rating' end as reason from w left join z using (game_id)""")
 
 
 def _hybrid(f):
     return P.predict_hybrid(f.done, f.hist, f.done, R.roster_elo(f.roster, f.ratings, _out(f)), R.injury_adjustment(f.roster, f.ratings, _out(f)), f.arenas)
 
 
-query("r12_predict_hybrid", lambda f: rounded(_hybrid(f).select("game_id", "home_final", "away_final", "p", "confidence", "upset_probability", "pred_home_score", "pred_away_score", "context.confidence_penalty", "confidence_score.overall_confidence"), "home_final", "away_final", "p", "confidence", "overall_confidence", digits=5, nudge=1e-8), "long hist ratings injuries arenas", part("rated", "j3_asof_ratings") + part("welo", "w4_welo") + part("tired", "w7_rest_fatigue") + part("trip", "w15_travel_fatigue") + part("mom", "w2_momentum") + part("played", "w20_games_before") + part("relo", "r5_roster_elo") + part("hurt", "r7_injury_adjustment") + part("meet", "w9_h2h_recency") + f"""
-, s as (select l.game_id, l.team_id, is_home, welo, fatigue_rest as r, b2b_penalty + density_penalty as tired, travel_fatigue as trip, wins, games, games_before as n, coalesce(roster_elo, 1500) as e, coalesce(injury_adjustment, 0) as i
+query("r12_predict_hybrid", lambda f: rounded(_hybrid(f).select("game_id", "home_final", "away_final", "p", "confidence", "upset_probability", "upset_alert", "pred_home_score", "pred_away_score", "context.confidence_penalty", "confidence_score.overall_confidence"), "home_final", "away_final", "p", "confidence", "overall_confidence", digits=5, nudge=1e-8), "long hist ratings injuries arenas", part("rated", "j3_asof_ratings") + part("welo", "w4_welo") + part("tired", "w7_rest_fatigue") + part("trip", "w15_travel_fatigue") + part("mom", "w2_momentum") + part("played", "w20_games_before") + part("relo", "r5_roster_elo") + part("hurt", "r7_injury_adjustment") + part("meet", "w9_h2h_recency") + f"""
+, s as (select l.game_id, l.team_id, is_home, welo, fatigue_rest as r, b2b_penalty + density_penalty as tired, travel_fatigue as trip, late_wins as wins, late_games as games, games_before as n, coalesce(roster_elo, 1500) as e, coalesce(injury_adjustment, 0) as i
   from long l join welo using (game_id, team_id) join tired using (game_id, team_id) join trip using (game_id, team_id) join mom using (game_id, team_id) join played using (game_id, team_id) left join relo on relo.team_id = l.team_id left join hurt on hurt.team_id = l.team_id),
 g as (select d.game_id, d.date, h2h_recency as m, 0.75 * home_rating + 0.25 * h.e as hh, 0.75 * away_rating + 0.25 * a.e as ah, h.welo as hw, a.welo as aw, h.r as hr, a.r as ar, h.tired as ht, a.tired as at_, h.trip as htr, a.trip as atr, h.i as hi, a.i as ai, h.wins as hwins, a.wins as awins, h.games as hg, a.games as ag, h.n as hn, a.n as an
   from done d join rated using (game_id) join meet using (game_id) join s h on h.game_id = d.game_id and h.is_home join s a on a.game_id = d.game_id and not a.is_home),
 m as (select *, hh - ah as raw, case when hr >= 3 and ar <= 1 then 30 when hr >= 2 and ar = 0 then 15 else 0 end as mh, case when ar >= 3 and hr <= 1 then 30 when ar >= 2 and hr = 0 then 15 else 0 end as ma from g),
-t as (select *, hh + case when abs(raw) < 50 then 0.15 * m + htr else 0 end + ht + mh + hw * least(1, abs(raw) / 30) + hi as h, ah + case when abs(raw) < 50 then -0.15 * m + atr else 0 end + at_ + case when mh > 0 then 0 else ma end + aw * least(1, abs(raw) / 30) + ai as a from m),
+t as (select *, hh + case when abs(raw) < 50 then 0.15 * m + htr else 0 end + ht + mh + hw * least(1, abs(raw) / 30) + hi as h, ah + case when abs(raw) < 50 then atr else 0 end + at_ + case when mh > 0 then 0 else ma end + aw * least(1, abs(raw) / 30) + ai as a from m),
 e as (select *, {EXP.format(a='h', b='a', ha=60)} as x, h - a as d from t),
 p as (select *, case when abs(raw) < 30 then 0.5 + (x - 0.5) * abs(raw) / 30 else x end as p, date_diff('day', make_date(year(date), 12, 25), date) between 1 and 3 as c1, hn < 5 or an < 5 as c4, 82 - greatest(hn, an) <= 15 as c5 from e),
-k as (select *, greatest(p, 1 - p) as c, case when p > 0.5 then hwins else awins end as fw, case when p > 0.5 then awins else hwins end as uw from p)
+k as (select *, greatest(p, 1 - p) as c, case when p > 0.5 then hwins else awins end as fw, case when p > 0.5 then awins else hwins end as uw from p),
+v as (select *, least(0.55, case when abs(d) < 50 then 0.45::double when abs(d) < 100 then 0.35 when abs(d) < 150 then 0.28 when abs(d) < 200 then 0.2 else 0.12 end + case when c < 0.6 then 0.1::double else 0 end + case when hg >= 3 and ag >= 3 and fw <= 2 and uw >= 4 then 0.15::double when hg >= 3 and ag >= 3 and fw <= 2 and uw >= 3 then 0.1 else 0 end) as u from k)
 select game_id, round(h + 1e-8, 5) as home_final, round(a + 1e-8, 5) as away_final, round(p + 1e-8, 5) as p, round(case when c >= 0.7 and c < 0.8 then c * 0.9 when c < 0.6 then least(c * 1.05, 0.65) else c end + 1e-8, 5) as confidence,
- least(0.55, case when abs(d) < 50 then 0.45::double when abs(d) < 100 then 0.35 when abs(d) < 150 then 0.28 when abs(d) < 200 then 0.2 else 0.12 end + case when c < 0.6 then 0.1::double else 0 end + case when hg >= 3 and ag >= 3 and fw <= 2 and uw >= 4 then 0.15::double when hg >= 3 and ag >= 3 and fw <= 2 and uw >= 3 then 0.1 else 0 end) as upset_probability,
+ u as upset_probability, u > 0.3::double as upset_alert,
  cast(greatest(70, round_even(114.15 + (2.8437 + 0.034507 * d) / 2, 0)) as int) as pred_home_score, cast(greatest(70, round_even(114.15 - (2.8437 + 0.034507 * d) / 2, 0)) as int) as pred_away_score,
  least(50, case when c1 then 30 else 0 end + case when month(date) = 2 and day(date) between 20 and 23 then 15 else 0 end + case when date_diff('day', make_date(year(date), 11, 28), date) between 1 and 3 then 10 else 0 end + case when c4 then 20 else 0 end + case when c5 then 10 else 0 end)::double as confidence_penalty,
  round(0.35 * least(100, 50 + 40 * (1 - exp(-abs(d) / 75)) / (1 + exp(-abs(d) / 75))) + 0.15 * case abs(hr - ar) when 0 then 100 when 1 then 85 when 2 then 70 else 60 end + 0.25 * case when abs(hi) + abs(ai) = 0 then 100 when abs(hi) + abs(ai) <= 30 then 85 when abs(hi) + abs(ai) <= 60 then 70 when abs(hi) + abs(ai) <= 100 then 60 else 50 end
-  + 0.15 * case when abs(hw) + abs(aw) <= 20 then 95 when abs(hw) + abs(aw) <= 40 then 80 when abs(hw) + abs(aw) <= 60 then 65 else 50 end + 0.1 * greatest(40, 100 - case when c1 then 30 else 0 end - case when c4 then 20 else 0 end - case when c5 then 10 else 0 end) + 1e-8, 5) as overall_confidence from k""")
+  + 0.15 * case when abs(hw) + abs(aw) <= 20 then 95 when abs(hw) + abs(aw) <= 40 then 80 when abs(hw) + abs(aw) <= 60 then 65 else 50 end + 0.1 * greatest(40, 100 - case when c1 then 30 else 0 end - case when c4 then 20 else 0 end - case when c5 then 10 else 0 end) + 1e-8, 5) as overall_confidence from v""")
 
 
-def _adaptive(f):
-    g = G.asof_ratings(f.done, f.hist).join(P.sides(W.form(f.long), ["form"]), "game_id").join(W.h2h(f.done).select("game_id", "h2h_adjustment"), "game_id")
+def _rostered(f):
+    """As-of ratings with form and rest points and roster ratings of both sides."""
+    g = G.asof_ratings(f.done, f.hist).join(P.sides(W.rest(W.form(f.long)), ["form", "rest_penalty"]), "game_id")
     for s in ("home", "away"):
         g = g.join(R.roster_elo(f.roster, f.ratings).select(F.col("team_id").alias(f"{s}_team_id"), F.col("roster_elo").alias(f"{s}_roster")), f"{s}_team_id", "left").fillna(1500.0, [f"{s}_roster"])
-    return rounded(P.predict_adaptive(g).select("game_id", "home_final", "away_final", "home_win_prob"), "home_final", "away_final", "home_win_prob", digits=5, nudge=1e-8)
+    return g
 
 
-query("r13_predict_adaptive", _adaptive, "long hist ratings", part("rated", "j3_asof_ratings") + part("form", "w1_form") + part("meet", "w8_h2h") + _RANKED + f""", relo as ({_ROSTER_ELO.format(w='')})
-, g as (select d.game_id, home_rating as hr, away_rating as ar, coalesce(h.e, 1500) as he, coalesce(a.e, 1500) as ae, hf.form as hf, af.form as af, h2h_adjustment as m from done d join rated using (game_id) join meet using (game_id)
+_ADAPTIVE = part("rated", "j3_asof_ratings") + part("form", "w1_form") + part("rest", "w5_rest") + _RANKED + f""", relo as ({_ROSTER_ELO.format(w='')})
+, g as (select d.game_id, d.home_score > d.away_score as hwon, home_rating as hr, away_rating as ar, coalesce(h.e, 1500) as he, coalesce(a.e, 1500) as ae, hf.form as hf, af.form as af, hq.rest_penalty as hp, aq.rest_penalty as ap from done d join rated using (game_id)
+  join rest hq on hq.game_id = d.game_id and hq.team_id = home_team_id join rest aq on aq.game_id = d.game_id and aq.team_id = away_team_id
   join form hf on hf.game_id = d.game_id and hf.team_id = home_team_id join form af on af.game_id = d.game_id and af.team_id = away_team_id left join relo h on h.team_id = home_team_id left join relo a on a.team_id = away_team_id),
-t as (select game_id, case when abs(hr - ar) < 100 then 0.5 * hr + 0.2 * he + 0.2 * (1500 + hf) + 0.1 * (1500 + m) else 0.7 * hr + 0.3 * he end as h, case when abs(hr - ar) < 100 then 0.5 * ar + 0.2 * ae + 0.2 * (1500 + af) + 0.1 * (1500 - m) else 0.7 * ar + 0.3 * ae end as a from g),
-p as (select *, {EXP.format(a='h', b='a', ha=60)} as p, {_CAPS.format(d='(h - a)')} as c from t)
-select game_id, round(h + 1e-8, 5) as home_final, round(a + 1e-8, 5) as away_final, round({_CAP.format(p='p', c='c')} + 1e-8, 5) as home_win_prob from p""")
+ta as (select *, case when abs(hr - ar) < 100 then 0.5 * hr + 0.2 * he + 0.2 * hf + 0.1 * hp else 0.7 * hr + 0.3 * he end as h, case when abs(hr - ar) < 100 then 0.5 * ar + 0.2 * ae + 0.2 * af + 0.1 * ap else 0.7 * ar + 0.3 * ae end as a from g),
+pa as (select *, {EXP.format(a='h', b='a', ha=60)} as p from ta)
+"""
+query("r13_predict_adaptive", lambda f: rounded(P.predict_adaptive(_rostered(f)).select("game_id", "home_final", "away_final", "home_win_prob"), "home_final", "away_final", "home_win_prob", digits=5, nudge=1e-8), "long hist ratings", _ADAPTIVE + "select game_id, round(h + 1e-8, 5) as home_final, round(a + 1e-8, 5) as away_final, round(p + 1e-8, 5) as home_win_prob from pa")
 _LIGHT = part("rated", "j3_asof_ratings") + part("tier", "w3_momentum_tiers") + part("meet", "w10_h2h_margin") + f"""
-, t as (select d.game_id, home_score > away_score as hw, home_rating + 0.07 * h2h_margin + 0.05 * h.tier_points as h, away_rating - 0.07 * h2h_margin + 0.05 * a.tier_points as a from done d join rated using (game_id) join meet using (game_id)
+, t as (select d.game_id, home_score > away_score as hw, home_rating + 0.07 * h2h_margin + 0.05 * h.tier_points as h, away_rating + 0.05 * a.tier_points as a from done d join rated using (game_id) join meet using (game_id)
   join tier h on h.game_id = d.game_id and h.team_id = home_team_id join tier a on a.game_id = d.game_id and a.team_id = away_team_id), p as (select *, {EXP.format(a='h', b='a', ha=60)} as p from t)
 """
 query("r14_predict_light", lambda f: rounded(P.predict_light(f.done, f.hist, f.done).select("game_id", "home_final", "home_win_prob"), "home_final", "home_win_prob", digits=5, nudge=1e-8), "long hist", _LIGHT + "select game_id, round(h + 1e-8, 5) as home_final, round(p + 1e-8, 5) as home_win_prob from p")
 query("r15_backtest", lambda f: P.backtest(P.predict_light(f.done, f.hist, f.done)).agg(F.count("*").alias("games"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy")), "long hist", _LIGHT + "select count(*) as games, round(avg(cast((p > 0.5) = hw as int)), 6) as accuracy from p")
+
+
+def _backtests(f):
+    """The team, hybrid, adaptive and light models over all completed games."""
+    hybrid = _hybrid(f).withColumn("home_win_prob", F.col("p"))
+    models = {"team": P.predict_team(f.done, f.hist, f.done).where("home_win_prob is not null"), "hybrid": hybrid, "adaptive": P.predict_adaptive(_rostered(f)), "light": P.predict_light(f.done, f.hist, f.done)}
+    return rounded(P.backtest_summary(models), "brier", "accuracy")
+
+
+_MODEL = " union all select '{m}', p, w from (select {p} - 1e-8 as p, home_score > away_score as w from {t} join done using (game_id) where {p} is not null)"
+query("r15_backtests", _backtests, "long hist ratings injuries arenas", part("mt", "r11_predict_team") + part("mh", "r12_predict_hybrid") + part("ma", "r13_predict_adaptive") + part("ml", "r14_predict_light") + """
+, x as (select 'x' as model, 0.0::double as p, true as w where false""" + "".join(_MODEL.format(m=m, p=p, t=t) for m, p, t in (("team", "home_win_prob", "mt"), ("hybrid", "p", "mh"), ("adaptive", "home_win_prob", "ma"), ("light", "home_win_prob", "ml"))) + """)
+select model, count(*) as games, count(*) filter ((p > 0.5) = w) as right, round(avg(pow(p - cast(w as int), 2)), 6) as brier, round(avg(cast((p > 0.5) = w as int)), 6) as accuracy from x group by 1""")
 query("r16_track", lambda f: P.track(f.pred.drop("correct"), f.pred.where("game_id % 3 = 0"), AS_OF, 30).select("game_id", "correct"), "pred", f"select game_id, (home_win_prob > 0.5) = (home_score > away_score) as correct from pred where game_id % 3 <> 0 and date between {DAY} - 30 and {DAY}")
 
 
@@ -163,6 +187,15 @@ query("r18_betting", lambda f: P.betting_report(f.pred).select("game_id", "risk"
 select game_id, case when confidence >= 0.75 then 'VERY LOW RISK' when confidence >= 0.65 then 'LOW RISK' when confidence >= 0.55 then 'MODERATE RISK' else 'HIGH RISK' end as risk,
  cast(trunc(case when confidence >= 0.5 then -(confidence / (1 - confidence)) * 100 else (1 - confidence) / confidence * 100 end) as int) as fair_price,
  case when confidence >= 0.80 then 'Blowout' when confidence >= 0.70 then 'Strong Favorite' when confidence >= 0.60 then 'Moderate Favorite' when confidence >= 0.55 then 'Slight Favorite' else 'Toss-up' end as category, confidence >= 0.65 as recommended from pred""")
+_FAIR = "cast(trunc(case when confidence >= 0.5 then -(confidence / (1 - confidence)) * 100 else (1 - confidence) / confidence * 100 end) as int)"
+query("r18_summary", lambda f: rounded(P.betting_summary(P.betting_report(f.pred)), "avg_confidence"), "pred", """
+, r as (select *, row_number() over (partition by date order by confidence desc, game_id) as k from pred)
+select date, count(*) as total_games, count(*) filter (confidence >= 0.65) as total_recommended, round(avg(floor(confidence * 100)), 6) as avg_confidence, count(*) filter (confidence >= 0.75) as very_low_count, count(*) filter (confidence >= 0.65 and confidence < 0.75) as low_count,
+ count(*) filter (confidence >= 0.55 and confidence < 0.65) as moderate_count, count(*) filter (confidence < 0.55) as high_count, coalesce(string_agg(cast(game_id as varchar), ',' order by k) filter (confidence >= 0.65 and k <= 5), '') as top_games from r group by 1""")
+query("r18_best_parlays", lambda f: rounded(P.best_parlays(P.betting_report(f.pred)), "probability", "decimal_odds"), "pred", f"""
+, t as (select * from (select date, game_id, confidence as c, 1 + 100.0::double / abs({_FAIR}) as d, row_number() over (partition by date order by confidence desc, game_id) as k from pred where confidence >= 0.75) where k <= 3),
+l as (select date, n as num_bets, string_agg(cast(game_id as varchar), '+' order by k) as games, product(c) as p, product(d) as d from t, (select unnest([2, 3]) as n) where k <= n group by 1, 2 having count(*) = n)
+select date, num_bets, games, round(p, 6) as probability, case when p >= 0.75 then 'VERY LOW RISK' when p >= 0.65 then 'LOW RISK' when p >= 0.55 then 'MODERATE RISK' else 'HIGH RISK' end as risk, round(d, 6) as decimal_odds, cast(trunc(case when d >= 2 then (d - 1) * 100 else -100 / (d - 1) end) as int) as combined_odds from l""")
 query("r18_parlays", lambda f: rounded(P.parlays(P.betting_report(f.pred)), "probability", "decimal_odds"), "pred", """
 , t as (select * from (select date, game_id, confidence as c, row_number() over (partition by date order by confidence desc, game_id) as k from pred where confidence >= 0.65) where k <= 5)
 select x.date, x.game_id || '+' || y.game_id as games, round(x.c * y.c, 6) as probability, round(1 / (x.c * y.c), 6) as decimal_odds from t x join t y on x.date = y.date and x.k < y.k""")
@@ -246,18 +279,19 @@ query("f17_severity", _severity, "box injuries", f"""
 , l as (select player_id, date_diff('day', max(date), {DAY}) as days from box where not didNotPlay group by 1)
 select i.player_id, round(case status when 'out' then 1 when 'doubtful' then 0.8 when 'questionable' then 0.5 when 'probable' then 0.2 when 'available' then 0 else 0.5 end * case when coalesce(days, 0) > 7 then 0.9 else 1 end, 6)::double as severity from injuries i left join l using (player_id)""")
 def _upset(f):
-    won = P.sides(W.momentum(f.long), ["wins", "games"])
+    won = P.sides(W.momentum(f.long), ["late_wins", "late_games"])
     home = F.col("home_win_prob") > 0.5
-    wins = [F.when(home, F.col(f"{a}_wins")).otherwise(F.col(f"{b}_wins")) for a, b in (("home", "away"), ("away", "home"))]
-    enough = (F.col("home_games") >= 3) & (F.col("away_games") >= 3)
+    wins = [F.when(home, F.col(f"{a}_late_wins")).otherwise(F.col(f"{b}_late_wins")) for a, b in (("home", "away"), ("away", "home"))]
+    enough = (F.col("home_late_games") >= 3) & (F.col("away_late_games") >= 3)
     upset = S.upset_probability(F.col("elo_diff"), F.col("home_win_prob"), *wins, enough)
-    return rounded(f.pred.join(won, "game_id").select("game_id", upset.alias("upset"), S.calibrated_confidence(F.col("confidence")).alias("c"), S.toss_up(F.col("home_win_prob"), F.col("elo_diff")).alias("t")), "upset", "c", "t")
+    return rounded(f.pred.join(won, "game_id").select("game_id", upset.alias("upset"), (upset > S.UPSET_ALERT).alias("upset_alert"), S.calibrated_confidence(F.col("confidence")).alias("c"), S.toss_up(F.col("home_win_prob"), F.col("elo_diff")).alias("t")), "upset", "c", "t")
 
 
 query("f18_f19_upset", _upset, "pred long", part("mom", "w2_momentum") + """
-, x as (select p.*, h.games >= 3 and a.games >= 3 as enough, case when home_win_prob > 0.5 then h.wins else a.wins end as fw, case when home_win_prob > 0.5 then a.wins else h.wins end as uw from pred p join mom h on h.game_id = p.game_id and h.team_id = home_team_id join mom a on a.game_id = p.game_id and a.team_id = away_team_id)
-select game_id, round(least(0.55, case when abs(elo_diff) < 50 then 0.45 when abs(elo_diff) < 100 then 0.35 when abs(elo_diff) < 150 then 0.28 when abs(elo_diff) < 200 then 0.2 else 0.12 end + case when greatest(home_win_prob, 1 - home_win_prob) < 0.6 then 0.1 else 0 end + case when enough and fw <= 2 and uw >= 4 then 0.15 when enough and fw <= 2 and uw >= 3 then 0.1 else 0 end), 6)::double as upset,
- round(case when confidence >= 0.7 and confidence < 0.8 then confidence * 0.9 when confidence < 0.6 then least(confidence * 1.05, 0.65) else confidence end, 6) as c, round(case when abs(elo_diff) < 30 then 0.5 + (home_win_prob - 0.5) * abs(elo_diff) / 30 else home_win_prob end, 6) as t from x""")
+, x as (select p.*, h.late_games >= 3 and a.late_games >= 3 as enough, case when home_win_prob > 0.5 then h.late_wins else a.late_wins end as fw, case when home_win_prob > 0.5 then a.late_wins else h.late_wins end as uw from pred p join mom h on h.game_id = p.game_id and h.team_id = home_team_id join mom a on a.game_id = p.game_id and a.team_id = away_team_id),
+y as (select *, (least(0.55::double, case when abs(elo_diff) < 50 then 0.45::double when abs(elo_diff) < 100 then 0.35 when abs(elo_diff) < 150 then 0.28 when abs(elo_diff) < 200 then 0.2 else 0.12 end + case when greatest(home_win_prob, 1 - home_win_prob) < 0.6 then 0.1::double else 0 end + case when enough and fw <= 2 and uw >= 4 then 0.15::double when enough and fw <= 2 and uw >= 3 then 0.1 else 0 end))::double as u from x)
+select game_id, round(u, 6) as upset, u > 0.3::double as upset_alert,
+ round(case when confidence >= 0.7 and confidence < 0.8 then confidence * 0.9 when confidence < 0.6 then least(confidence * 1.05, 0.65) else confidence end, 6) as c, round(case when abs(elo_diff) < 30 then 0.5 + (home_win_prob - 0.5) * abs(elo_diff) / 30 else home_win_prob end, 6) as t from y""")
 
 
 def _pace(f):

@@ -15,13 +15,13 @@ _DIST = "case when {a}.latitude is not null and {b}.latitude is not null then 2
 query("w1_form", lambda f: rounded(W.form(f.long).select("game_id", "team_id", "form_games", "form_wins", "form", "streak_type"), "form"), "long", f"""
 , x as (select game_id, team_id, count(*) over w as n, coalesce(sum(cast(won as int)) over w, 0) as wins, coalesce(avg(margin) over w, 0) as m, max(margin) over w as top, min(margin) over w as low from long window w as {_W5}),
 y as (select *, n >= 3 and (low > 0 or top < 0) as run from x)
-select game_id, team_id, n as form_games, cast(wins as bigint) as form_wins, round(m * 0.1 * 50 * case when run then 1.2 else 1 end, 6) as form, case when not run then 'mixed' when top < 0 then 'losing' else 'winning' end as streak_type from y""")
+select game_id, team_id, n as form_games, cast(wins as bigint) as form_wins, round(m * 0.1 * 50 * case when run then 1.2 else 1 end, 6) as form, case when n = 0 then 'none' when n < 3 then 'insufficient_data' when not run then 'mixed' when top < 0 then 'losing' else 'winning' end as streak_type from y""")
 _LAST_N = """
 , r as (select *, row_number() over (partition by team_id order by date, game_id) as rn from long),
 e as (select team_id, date, min(rn) as first from r group by 1, 2),
-x as (select g.game_id, g.team_id, p.won, p.margin, p.game_id as pg, p.opponent_id as po, e.first - p.rn as age from r g join e using (team_id, date) left join r p on p.team_id = g.team_id and p.rn between e.first - {n} and e.first - 1)"""
-query("w2_momentum", lambda f: W.momentum(f.long).select("game_id", "team_id", "wins", "games", "momentum"), "long", _LAST_N.format(n=5) + """
-, c as (select game_id, team_id, count(*) filter (margin > 0) as wins, count(pg) as games from x group by 1, 2)
+x as (select g.game_id, g.team_id, p.won, p.margin, p.date >= g.date - 10 as late, p.game_id as pg, p.opponent_id as po, e.first - p.rn as age from r g join e using (team_id, date) left join r p on p.team_id = g.team_id and p.rn between e.first - {n} and e.first - 1)"""
+query("w2_momentum", lambda f: W.momentum(f.long).select("game_id", "team_id", "wins", "games", "late_wins", "late_games", "momentum"), "long", _LAST_N.format(n=5) + """
+, c as (select game_id, team_id, count(*) filter (margin > 0) as wins, count(pg) as games, count(*) filter (margin > 0 and late) as late_wins, count(*) filter (late) as late_games from x group by 1, 2)
 select *, case when games = 0 then 0 when wins >= 4 then least((wins - 3) * 15.0, 30) when wins <= 1 then greatest((wins - 2) * 15.0, -30) else 0 end::double as momentum from c""")
 query("w3_momentum_tiers", lambda f: W.momentum_tiers(f.long).select("game_id", "team_id", "tier_points"), "long", f"""
 , x as (select game_id, team_id, count(*) over w as n, coalesce(sum(cast(won as int)) over w, 0) as wins, avg(margin) over w as m from long window w as {_W5})
@@ -31,7 +31,7 @@ query("w4_welo", lambda f: rounded(W.welo(f.long, f.hist).select("game_id", "tea
 select game_id, team_id, coalesce(round(30 * sum(case when won then wt else -wt end) filter (pg is not null) / sum(wt) filter (pg is not null), 6), 0) as welo, count(*) filter (won) || '-' || count(*) filter (not won) as welo_record from s group by 1, 2""")
 query("w5_rest", lambda f: W.rest(f.long).select("game_id", "team_id", "rest_days", "rest_category", "rest_penalty"), "long", """
 , x as (select game_id, team_id, coalesce(greatest(0, date_diff('day', lag(date) over (partition by team_id order by date, game_id), date) - 1), -1) as d, lag(date) over (partition by team_id order by date, game_id) is null as f from long)
-select game_id, team_id, case when f then -1 else d end as rest_days, case when f then 'first_game' when d = 0 then 'back_to_back' when d = 1 then 'one_day' else 'rested' end as rest_category, case when f then 0 when d = 0 then -46 when d = 1 then -15 else 0 end::double as rest_penalty from x""")
+select game_id, team_id, case when f then -1 else d end as rest_days, case when f then 'first_game' when d = 0 then 'back_to_back' when d = 1 then 'one_day_rest' when d <= 3 then 'normal_rest' else 'extended_rest' end as rest_category, case when f then 0 when d = 0 then -46 when d = 1 then -15 else 0 end::double as rest_penalty from x""")
 query("w6_back_to_back", lambda f: W.back_to_back(f.long).select("game_id", "team_id"), "long", "select game_id, team_id from (select *, lag(date) over (partition by team_id order by date, game_id) as p from long) where date_diff('day', p, date) <= 1")
 query("w7_rest_fatigue", lambda f: W.rest_fatigue(f.long).select("game_id", "team_id", "fatigue_rest", "in_4", "in_5", "b2b_penalty", "density_penalty"), "long", f"""
 , x as (select game_id, team_id, date, max(date) over ({_EARLIER}) as p,
@@ -61,8 +61,14 @@ select * from (select least(home_team_id, away_team_id) as team_a, greatest(home
  case when home_team_id < away_team_id then home_score - away_score else away_score - home_score end as margin_a from done) where nth <= 5""")
 query("w12_recent_form", lambda f: rounded(W.recent_form(f.long), "avg_points", "avg_allowed", "avg_margin", "win_pct"), "long", """
 , x as (select *, row_number() over (partition by team_id order by date desc, game_id desc) as nth from long), l as (select * from x where nth <= 10),
-s as (select team_id, string_agg(case when won then 'W' else 'L' end, '' order by nth desc) as results, count(*) as games, count(*) filter (won) as wins, round(avg(team_score), 6) as avg_points, round(avg(opponent_score), 6) as avg_allowed, round(avg(margin), 6) as avg_margin from l group by 1)
-select *, right(results, 1) as streak_type, length(results) - length(rtrim(results, right(results, 1))) as streak_length, round(wins / games, 6) as win_pct from s""")
+s as (select team_id, string_agg(case when won then 'W' else 'L' end, '' order by nth) as results, count(*) as games, count(*) filter (won) as wins, round(avg(team_score), 6) as avg_points, round(avg(opponent_score), 6) as avg_allowed, round(avg(margin), 6) as avg_margin from l group by 1)
+select *, left(results, 1) as streak_type, length(results) - length(ltrim(results, left(results, 1))) as streak_length, round(wins / games, 6) as win_pct from s""")
+query("w12_compare_form", lambda f: W.compare_form(f.games.where("home_score = 0 and away_score = 0"), W.recent_form(f.long)), "long", part("form", "w12_recent_form") + """
+, g as (select g.*, h.win_pct as hw, a.win_pct as aw, h.streak_type as hs, a.streak_type as as_, h.avg_points > a.avg_points as more, h.avg_allowed < a.avg_allowed as less
+  from games g join form h on h.team_id = home_team_id join form a on a.team_id = away_team_id where home_score = 0 and away_score = 0)
+select game_id, case when hw > aw + 0.05::double then home_team_id when aw > hw + 0.05::double then away_team_id end as form_advantage,
+ case when hw > aw + 0.15::double or aw > hw + 0.15::double then 'significantly better' when hw > aw + 0.05::double or aw > hw + 0.05::double then 'slightly better' else 'similar' end as form_text,
+ case when hs = 'W' then 'up' else 'down' end as home_momentum, case when as_ = 'W' then 'up' else 'down' end as away_momentum, case when more then home_team_id else away_team_id end as scoring_advantage, case when less then home_team_id else away_team_id end as defense_advantage from g""")
 query("w13_pick_streak", lambda f: W.pick_streak(f.pred), "pred", """
 , x as (select *, row_number() over (order by date desc, game_id desc) as n from pred), l as (select correct from x where n = 1)
 select l.correct, count(*) as streak from x, l where n < coalesce((select min(n) from x, l where x.correct <> l.correct), 1e18) group by 1""")
@@ -83,7 +89,7 @@ query("w16_road_streak", lambda f: W.road_streak(f.long).select("game_id", "team
 select game_id, team_id, row_number() over (partition by team_id, is_home, island order by date, game_id) as venue_streak from x""")
 query("w17_elo_change_games", lambda f: W.elo_change_games(f.hist), "hist", """
 , x as (select *, row_number() over (partition by team_id order by date desc, game_id desc) as n from hist)
-select team_id, max(rating_after) filter (n = 1) - coalesce(max(rating_after) filter (n = 6), arg_max(rating_before, n)) as change, count(*) filter (n <= 5 and won) as wins, count(*) filter (n <= 5 and not won) as losses from x where n <= 6 group by 1""")
+select team_id, max(rating_after) filter (n = 1) - coalesce(max(rating_after) filter (n = 6), arg_max(rating_before, n)) as change, count(*) filter (n <= 5 and won) as wins, count(*) filter (n <= 5 and not won) as losses from x where n <= 6 group by 1 having count(*) >= 5""")
 query("w18_elo_change_days", lambda f: W.elo_change_days(f.hist, AS_OF), "hist", f"""
 , n as (select team_id, arg_max(rating_after, (date, game_id)) as now from hist where date <= {DAY} group by 1), t as (select team_id, arg_max(rating_after, (date, game_id)) as "then" from hist where date <= {DAY} - 7 group by 1)
 select team_id, now, "then", now - "then" as change from n join t using (team_id)""")
@@ -98,7 +104,7 @@ query("a12_rest_impact", lambda f: rounded(A.rest_impact(W.rest(f.long)), "home_
 , x as (select game_id, is_home, won, coalesce(greatest(0, date_diff('day', p, date) - 1), -1) as d, p from (select *, lag(date) over (partition by team_id order by date, game_id) as p from long)),
 y as (select game_id, is_home, won, case when p is null then -1 else d end as d from x),
 g as (select h.won, h.d as h, a.d as a from y h join y a on a.game_id = h.game_id and h.is_home and not a.is_home)
-select case when h = 0 and a <> 0 then 'home_b2b' when a = 0 and h <> 0 then 'away_b2b' when h > 0 and a > 0 then 'both_rested' else 'other' end as situation, count(*) as games, round(avg(cast(won as int)), 6) as home_win_rate from g group by 1""")
+select situation, count(*) as games, round(avg(cast(won as int)), 6) as home_win_rate from (select 'home_b2b' as situation, won from g where h = 0 and a >= 0 union all select 'away_b2b', won from g where a = 0 and h >= 0 union all select 'both_rested', won from g where h >= 2 and a >= 2) group by 1""")
 _TRAVELLED = f"""
 , x as (select *, lag(opponent_id) over (partition by team_id order by date, game_id) as p from long), t as (select x.won, h.rating_change, coalesce({_DIST.format(r='6371', a='a', b='b')}, 0) as km from x join hist h using (game_id, team_id) left join arenas a on a.team_id = p left join arenas b on b.team_id = x.team_id)"""
 query("a13_travel_bins", lambda f: rounded(A.travel_bins(W.travel(f.long, f.arenas).join(f.hist.select("game_id", "team_id", "rating_change"), ["game_id", "team_id"])), "win_rate", "avg_change"), "long hist arenas", _TRAVELLED + """
@@ -106,5 +112,5 @@ select case when km <= 500 then '0-500' when km <= 1000 then '500-1000' when km
 query("a14_travel_corr", lambda f: rounded(A.travel_corr(W.travel(f.long, f.arenas).join(f.hist.select("game_id", "team_id", "rating_change"), ["game_id", "team_id"])), "correlation"), "long hist arenas", _TRAVELLED + " select round(corr(km, rating_change), 6) as correlation, count(*) as games from t")
 query("t5_hot_cold", lambda f: A.hot_cold(W.elo_change_games(f.hist).select("team_id", "change")), "hist", """
 , x as (select *, row_number() over (partition by team_id order by date desc, game_id desc) as n from hist),
-c as (select team_id, max(rating_after) filter (n = 1) - coalesce(max(rating_after) filter (n = 6), arg_max(rating_before, n)) as change from x where n <= 6 group by 1)
+c as (select team_id, max(rating_after) filter (n = 1) - coalesce(max(rating_after) filter (n = 6), arg_max(rating_before, n)) as change from x where n <= 6 group by 1 having count(*) >= 5)
 select * from (select team_id, change, 'hot' as kind from c order by change desc, team_id limit 5) union all select * from (select team_id, change, 'cold' from c order by change, team_id limit 5)""")

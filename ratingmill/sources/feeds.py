@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingmill.functions.parse import made_attempted, minutes
+from ratingmill.operators.games import small_side
 from ratingmill.sources import schemas as S
 
 
@@ -67,7 +68,7 @@ def parse_schedule(raw: DataFrame, crosswalk: DataFrame, start: str, end: str) -
     d = _json(raw, S.SCHEDULE_FEED).select(F.explode("j.gameDates").alias("d"))
     g = d.select(F.to_date(F.substring("d.gameDate", 1, 10), "MM/dd/yyyy").alias("date"), F.explode("d.games").alias("g"))
     g = g.where((F.col("g.gameStatus") == 3) & F.col("date").between(start, end)).where("not (g.homeTeam.score = 0 and g.awayTeam.score = 0)")
-    team = lambda s: F.broadcast(crosswalk.select(F.col("code").alias(f"{s}_code"), F.col("team_id").alias(f"{s}_team_id")))
+    team = lambda s: small_side(crosswalk.select(F.col("code").alias(f"{s}_code"), F.col("team_id").alias(f"{s}_team_id")))
     g = g.select("date", F.col("g.gameId").alias("game_id"), F.col("g.homeTeam.teamTricode").alias("home_code"), F.col("g.awayTeam.teamTricode").alias("away_code"), F.col("g.homeTeam.score").alias("home_score"), F.col("g.awayTeam.score").alias("away_score"))
     return g.join(team("home"), "home_code").join(team("away"), "away_code").select(
         "game_id", "date", "home_team_id", "away_team_id", "home_score", "away_score",

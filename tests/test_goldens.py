@@ -182,3 +182,126 @@ def test_player_head_to_head_needs_two_known_players(spark):
 def test_players_who_did_not_play(spark):
     box = spark.createDataFrame([(1, 5, 9, True), (1, 5, 8, True), (1, 5, 7, False), (1, 6, 1, False)], "game_id long, team_id long, player_id long, didNotPlay boolean")
     assert [(r.game_id, r.team_id, r.did_not_play) for r in A.did_not_play(box).collect()] == [(1, 5, [8, 9])]
+
+
+# predictions
+
+
+def _two_games(spark):
+    """A past game of teams 1 and 2, and one between them with what the models take."""
+    rows = [(9, DAY, 1, 2, 1520.0, 1490.0, 12.0, 1600.0, 1400.0, 10.0, -5.0, -46.0, 0.0)]
+    return spark.createDataFrame(rows, "game_id long, date date, home_team_id long, away_team_id long, home_rating double, away_rating double, h2h_adjustment double, home_roster double, away_roster double, home_form double, away_form double, home_rest_penalty double, away_rest_penalty double")
+
+
+def test_adaptive_weights(spark):
+    """Close games: half team, fifths of roster and form points, a tenth of rest points; no cap."""
+    out = P.predict_adaptive(_two_games(spark)).first()
+    home = 0.5 * 1520 + 0.2 * 1600 + 0.2 * 10 + 0.1 * -46
+    away = 0.5 * 1490 + 0.2 * 1400 + 0.2 * -5
+    assert (out.home_final, out.away_final) == (pytest.approx(home), pytest.approx(away))
+    assert out.home_win_prob == pytest.approx(1 / (1 + 10 ** ((away - home - 60) / 400)))
+    far = P.predict_adaptive(_two_games(spark).withColumn("away_rating", F.lit(1300.0))).first()
+    assert far.home_final == pytest.approx(0.7 * 1520 + 0.3 * 1600)
+
+
+GAMES = "game_id long, date date, home_team_id long, away_team_id long, home_score long, away_score long"
+HIST = "game_id long, date date, team_id long, rating_before double, rating_after double"
+
+
+def _met(spark, scores=((120, 100), (118, 100), (119, 100))):
+    """Games of 1 at home against 2, months apart, and one more; ratings of both."""
+    days = [DAY - timedelta(100 * (len(scores) - k)) for k in range(len(scores))]
+    games = [(k, d, 1, 2, *s) for k, (d, s) in enumerate(zip(days, scores, strict=True))] + [(99, DAY, 1, 2, 100, 90)]
+    hist = [(k, d, t, 1500.0, 1510.0 if t == 1 else 1490.0) for k, d in enumerate(days) for t in (1, 2)] + [(99, DAY, t, 1500.0, 1500.0) for t in (1, 2)]
+    return spark.createDataFrame(games, GAMES), spark.createDataFrame(hist, HIST)
+
+
+def test_meetings_count_for_the_home_side_only(spark):
+    games, hist = _met(spark)
+    last = games.where("game_id = 99")
+    light = P.predict_light(last, hist, games).first()
+    met = W.h2h_margin(games).where("game_id = 99").first().h2h_margin
+    assert met == 50 and light.home_final == pytest.approx(1510 + 0.07 * met + 0.05 * light.home_tier_points)
+    assert light.away_final == pytest.approx(1490 + 0.05 * light.away_tier_points)
+    none = spark.createDataFrame([], "team_id long, roster_elo double")
+    hurt, arenas = spark.createDataFrame([], "team_id long, injury_adjustment double"), spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0)], "team_id long, latitude double, longitude double")
+    out = P.predict_hybrid(last, hist, games, none, hurt, arenas).first()
+    rest = lambda s: out[f"{s}_b2b_penalty"] + out[f"{s}_density_penalty"] + out[f"{s}_welo"] * min(1, abs(out.raw_diff) / 30) + out[f"{s}_injury"] + out[f"{s}_travel_fatigue"]
+    assert out.home_final == pytest.approx(out.home_hybrid + rest("home") + 0.15 * out.h2h_recency) and out.h2h_recency == 15
+    assert out.away_final == pytest.approx(out.away_hybrid + rest("away"))
+
+
+def test_concentration_moves_ratings_before_the_cap(spark):
+    games, hist = _met(spark)
+    metrics = spark.createDataFrame([(1, 80.0, 100.0, 0.9), (2, 0.0, 0.0, 0.1)], "team_id long, top_player_bonus double, top_5_depth double, concentration_risk double")
+    plain = P.predict_team(games.where("game_id = 99"), hist, games).first()
+    out = P.predict_team(games.where("game_id = 99"), hist, games, metrics=metrics).first()
+    assert out.home_final == pytest.approx(plain.home_final + 90) and out.away_final == pytest.approx(plain.away_final)
+    diff = out.home_final - out.away_final
+    p = 1 / (1 + 10 ** ((-diff - 20) / 400))
+    cap = next((c for edge, c in ((50, 0.55), (100, 0.65), (150, 0.75), (200, 0.82)) if abs(diff) < edge), 0.9)
+    assert out.home_win_prob == pytest.approx(min(p, cap)) and out.confidence == pytest.approx(min(p, cap) * (1 - 0.2 * 0.9))
+
+
+def test_upset_form_is_of_ten_days(spark):
+    days = [30, 20, 10, 4, 2]
+    rows = [(k, 1, DAY - timedelta(d), 5, True) for k, d in enumerate(days)] + [(9, 1, DAY, 0, False)]
+    gl = spark.createDataFrame([(g, t, d, m, w, 2) for g, t, d, m, w in rows], "game_id long, team_id long, date date, margin long, won boolean, opponent_id long")
+    out = W.momentum(gl).where("game_id = 9").first()
+    assert (out.wins, out.games, out.late_wins, out.late_games) == (5, 5, 3, 3)
+
+
+def test_rest_impact(spark):
+    """Back-to-backs count whatever the other side has; first games are out; two days make rested."""
+    sides = [(1, 0, 0, True), (2, 0, 3, False), (3, 2, 2, True), (4, 1, 2, True), (5, -1, 0, True), (6, 3, 0, True)]
+    rows = [(g, True, h, won) for g, h, _, won in sides] + [(g, False, a, not won) for g, _, a, won in sides]
+    out = {r.situation: (r.games, r.home_win_rate) for r in A.rest_impact(spark.createDataFrame(rows, "game_id long, is_home boolean, rest_days int, won boolean")).collect()}
+    assert out == {"home_b2b": (2, 0.5), "away_b2b": (2, 1.0), "both_rested": (1, 1.0)}
+
+
+def test_rest_categories(spark):
+    at = [0, 1, 3, 6, 10, 15]
+    gl = spark.createDataFrame([(k, 1, DAY + timedelta(d)) for k, d in enumerate(at)], "game_id long, team_id long, date date")
+    assert [r.rest_category for r in W.rest(gl).orderBy("game_id").collect()] == ["first_game", "back_to_back", "one_day_rest", "normal_rest", "normal_rest", "extended_rest"]
+
+
+def test_form_of_few_games(spark):
+    rows = [(k, 1, DAY + timedelta(k), 5, True) for k in range(5)]
+    out = W.form(spark.createDataFrame(rows, "game_id long, team_id long, date date, margin long, won boolean")).orderBy("game_id")
+    assert [r.streak_type for r in out.collect()] == ["none", "insufficient_data", "insufficient_data", "winning", "winning"]
+
+
+def _forms(spark):
+    rows = [(k, t, DAY + timedelta(k), won, 110 if won else 90, 100, 10 if won else -10) for t, text in ((1, "LLWWW"), (2, "WWWLL"), (3, "WWLWW")) for k, won in enumerate(c == "W" for c in text)]
+    return W.recent_form(spark.createDataFrame(rows, "game_id long, team_id long, date date, won boolean, team_score long, opponent_score long, margin long"))
+
+
+def test_recent_results_are_newest_first(spark):
+    out = {r.team_id: (r.results, r.streak_type, r.streak_length) for r in _forms(spark).collect()}
+    assert out == {1: ("WWWLL", "W", 3), 2: ("LLWWW", "L", 2), 3: ("WWLWW", "W", 2)}
+
+
+def test_compare_form(spark):
+    games = spark.createDataFrame([(1, 1, 2), (2, 3, 2), (3, 1, 7)], "game_id long, home_team_id long, away_team_id long")
+    out = {r.game_id: r for r in W.compare_form(games, _forms(spark)).collect()}
+    assert sorted(out) == [1, 2]
+    assert (out[1].form_advantage, out[1].form_text, out[1].home_momentum, out[1].away_momentum) == (None, "similar", "up", "down")
+    assert (out[2].form_advantage, out[2].form_text, out[2].scoring_advantage) == (3, "significantly better", 3)
+
+
+def test_change_needs_five_games(spark):
+    rows = [(k, t, DAY + timedelta(k), 1500.0 + k, 1501.0 + k, True) for t, n in ((1, 4), (2, 5), (3, 9)) for k in range(n)]
+    out = {r.team_id: (r.change, r.wins) for r in W.elo_change_games(spark.createDataFrame(rows, "game_id long, team_id long, date date, rating_before double, rating_after double, won boolean")).collect()}
+    assert out == {2: (5.0, 5), 3: (5.0, 5)}
+
+
+def test_parlays_of_very_low_risk(spark):
+    pred = spark.createDataFrame([(1, DAY, 0.9), (2, DAY, 0.8), (3, DAY, 0.76), (4, DAY, 0.7), (5, DAY + timedelta(1), 0.8)], "game_id long, date date, confidence double")
+    report = P.betting_report(pred)
+    out = {r.num_bets: r for r in P.best_parlays(report).collect()}
+    fair = [int(-(p / (1 - p)) * 100) for p in (0.9, 0.8, 0.76)]
+    two = (1 + 100 / -fair[0]) * (1 + 100 / -fair[1])
+    assert sorted(out) == [2, 3] and out[2].games == "1+2" and out[2].probability == pytest.approx(0.72) and out[2].risk == "LOW RISK"
+    assert out[2].decimal_odds == pytest.approx(two) and out[2].combined_odds == int(-100 / (two - 1))
+    day = P.betting_summary(report).orderBy("date").first()
+    assert (day.total_games, day.total_recommended, day.very_low_count, day.low_count, day.top_games) == (4, 4, 3, 1, "1,2,3,4")
