@@ -294,7 +294,8 @@ class Encoder:
             name = stretch_names(part, start, size)
             short = np.flatnonzero(size <= LONGEST)
             _, pick, back = np.unique(name[short], return_index=True, return_inverse=True)
-            long = np.flatnonzero(size > LONGEST)
+            # stretches that share a name with others but not their bytes stand alone, like long ones
+            long = np.concatenate([np.flatnonzero(size > LONGEST), short[unlike(part, start, size, short, short[pick][back])]])
             shown = np.concatenate([short[pick], long])
             raw = part.tobytes()
             ids = self.look_up([raw[a:b] for a, b in zip(start[shown].tolist(), (start + size)[shown].tolist(), strict=True)])
@@ -319,6 +320,21 @@ def stretch_names(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: i
     return np.concatenate(out)
 
 
+def unlike(data: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray, other: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Places of those stretches of ``own`` whose bytes aren't those of the stretch beside them in ``other``."""
+    found = [np.zeros(0, np.int64)]
+    for k in range(0, len(own), step):
+        pair = k + np.flatnonzero(own[k : k + step] != other[k : k + step])
+        a, b = own[pair], other[pair]
+        bad = size[a] != size[b]
+        same = np.flatnonzero(~bad)
+        off = data[ragged(start[a[same]], size[a[same]])] != data[ragged(start[b[same]], size[b[same]])]
+        if off.any():
+            bad[np.repeat(same, size[a[same]])[off]] = True
+        found.append(pair[bad])
+    return np.concatenate(found)
+
+
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 

@@ -10,8 +10,8 @@ All of it is SQL. Pages are reduced to counts for each host and template, with p
 before the tree is built; the result is joined back by host and template.
 
 Results: a null url, or one without ``://``, has an empty host and path, matches no rule and is
-judged like any other host without segments. Templates are as deep as their paths, and each level
-of the deepest one takes a round of jobs. Repeated rows each keep their row and each count.
+judged like any other host without segments. Templates are as deep as their paths; a level takes a round of
+jobs only where over ``SIBLINGS`` templates lie below one node. Repeated rows each keep their row and each count.
 """
 
 from __future__ import annotations
@@ -64,19 +64,26 @@ def basic(path_) -> "F.Column":
 
 
 def generalise(counts: DataFrame) -> DataFrame:
-    """``host, template`` with its ``final`` form, in which rare segments are wildcards too."""
-    now = counts.withColumn("part", F.split("template", "/")).withColumn("final", F.lit(""))
-    deepest = counts.agg(F.max(F.size(F.split("template", "/")))).first()[0] or 1
-    for k in range(1, deepest):
-        has = F.size("part") > k
-        now = now.withColumn("own", F.when(has, F.get("part", F.lit(k))))
-        kids = now.where(has).groupBy("host", "final", "own").agg(F.sum("n").alias("many"))
+    """``host, template`` with its ``final`` form, in which rare segments are wildcards too.
+
+    A node has no more children than templates below it, so that those of a node with at most ``SIBLINGS`` are finished
+    at once; only the others take a round for each level."""
+    now, done, k = counts.withColumn("part", F.split("template", "/")).withColumn("final", F.lit("")), None, 1
+    while True:
+        many = now.groupBy("host", "final").agg(F.count("*").alias("below")).where(F.col("below") > SIBLINGS)
+        now = settle(now.join(many, ["host", "final"], "left").withColumn("open", F.col("below").isNotNull() & (F.size("part") > k)).drop("below"))
+        rest = F.concat("final", F.lit("/"), F.array_join(F.slice("part", F.lit(k + 1), F.greatest(F.size("part") - k, F.lit(0))), "/"))
+        ended = now.where("not open").select("host", "template", F.when(F.size("part") > k, rest).otherwise(F.col("final")).alias("final"))
+        done = ended if done is None else done.unionByName(ended)
+        now = now.where("open").drop("open").withColumn("own", F.get("part", F.lit(k)))
+        if now.isEmpty():
+            return done
+        kids = now.groupBy("host", "final", "own").agg(F.sum("n").alias("many"))
         nodes = kids.groupBy("host", "final").agg(F.count("*").alias("kids"), F.sum("many").alias("total"))
         rare = kids.join(nodes.where(F.col("kids") > SIBLINGS), ["host", "final"]).where(F.col("many") * RARE < F.col("total")).select("host", "final", "own", F.lit(True).alias("rare"))
-        now = now.join(rare, ["host", "final", "own"], "left")
         step = F.concat("final", F.lit("/"), F.when(F.col("rare"), F.lit("*")).otherwise(F.col("own")))
-        now = settle(now.withColumn("final", F.when(has, step).otherwise(F.col("final"))).drop("rare"))
-    return now.select("host", "template", "final")
+        now = now.join(rare, ["host", "final", "own"], "left").withColumn("final", step).drop("rare", "own")
+        k += 1
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
@@ -97,10 +104,10 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     common = all_bad / all_known if all_known else 0.0
     # nodes on the way from the root: the host itself is level 0
     by = finals.groupBy("host", "final").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-    levels = F.explode(F.sequence(F.lit(0), F.size(F.split("final", "/")) - 1)).alias("level")
-    node = F.array_join(F.slice(F.split("final", "/"), 1, F.col("level") + 1), "/")
-    parent = F.when(F.col("level") > 0, F.array_join(F.slice(F.split("final", "/"), 1, F.col("level")), "/"))
-    ways = by.select("host", "final", "known", "bad", levels).select("*", node.alias("node"), parent.alias("parent"))
+    # a node is the digest of its parent's and its segment, so that deep paths aren't written once for each level
+    chain = F.aggregate(F.split("final", "/"), F.array(F.lit("")), lambda way, x: F.array_append(way, F.md5(F.concat(F.element_at(way, -1), F.lit("/"), x))))
+    ways = by.select("host", "final", "known", "bad", chain.alias("way")).select("*", F.posexplode(F.slice("way", F.lit(2), F.size("way") - 1)).alias("level", "node"))
+    ways = ways.withColumn("parent", F.when(F.col("level") > 0, F.get("way", F.col("level")))).drop("way")
     nodes = settle(ways.groupBy("host", "level", "node", "parent").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")))
     up = nodes.select("host", F.col("node").alias("parent"), (F.col("level") + 1).alias("level"), F.col("known").alias("up_known"), F.col("bad").alias("up_bad"))
     against = nodes.join(up, ["host", "parent", "level"], "left")

@@ -285,6 +285,21 @@ def test_url_tree_below_four_segments(spark):
     assert out[1].template == "/a/b/c/d/spam/e/*" and out[2].template == "/a/b/c/d/news/e/*"
 
 
+def test_url_tree_deep_url_takes_no_more_rounds(spark, monkeypatch):
+    """A path of 2,000 segments, alone below its first one, costs no rounds, nor does it write all its prefixes."""
+    rows = [(k, f"http://h.net/{'spam' if k % 2 else 'news'}/{'abcdefghij'[k % 10]}{'x' * (k // 10 % 5)}") for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2 == 1) for k in range(100)], "page_id long, bad boolean")
+    rounds, settle = [], urls.settle
+    monkeypatch.setattr(urls, "settle", lambda df: rounds.append(1) or settle(df))
+    counts = []
+    for more in ([], [(900, "http://h.net" + "/seg" * 2000), (901, "http://deep.net" + "/seg" * 2000)]):
+        rounds.clear()
+        out = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows + more, "page_id long, url string"), labels).collect()}
+        assert all(out[k].verdict == ("block" if k % 2 else "allow") for k in range(200))
+        counts.append(len(rounds))
+    assert counts[0] == counts[1] and out[901].template == "/seg" * 2000
+
+
 # decontamination
 
 
@@ -529,6 +544,15 @@ def test_bpe_long_pre_tokens(coder, public, monkeypatch, many):
             assert ids[at[k] : at[k + 1]].tolist() == public.encode_ordinary(texts[low + k])
 
 
+def test_bpe_names_that_collide(coder, public, docs, monkeypatch):
+    """Stretches are told apart by their bytes: names that only know a stretch's size give the same ids."""
+    monkeypatch.setattr(bpe, "stretch_names", lambda data, start, size: size.astype(np.uint64) // np.uint64(3))
+    texts = [d[1] for d in docs[:40]]
+    for low, high, ids, at in coder.encode(pa.array(texts, pa.string())):
+        for k in range(low, high):
+            assert ids[at[k - low] : at[k - low + 1]].tolist() == public.encode(texts[k] or "", disallowed_special=())
+
+
 def test_bpe_rows(spark, public, odd, monkeypatch):
     out = bpe.encode(frame(spark, odd), ["doc_id"], *bpe.vocabulary(), ids=True).collect()
     by = {r[0]: r[1] or "" for r in odd}
