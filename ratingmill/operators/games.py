@@ -187,13 +187,45 @@ def roster_diff(old: DataFrame, new: DataFrame, key: str = "player_id", team: st
     return both.withColumn("change", change).where("change is not null")
 
 
-def match_odds(games: DataFrame, odds: DataFrame) -> DataFrame:
-    """Odds of games by team names that contain each other, case aside. Only odds of the game's date
-    are compared, so the name test isn't a cross join."""
-    like = lambda x, y: F.contains(F.lower(x), F.lower(y)) | F.contains(F.lower(y), F.lower(x))
-    o = odds.withColumnRenamed("date", "odds_date").withColumnRenamed("home_team", "odds_home").withColumnRenamed("away_team", "odds_away")
-    on = (F.col("date") == F.col("odds_date")) & like(F.col("home_team_name"), F.col("odds_home")) & like(F.col("away_team_name"), F.col("odds_away"))
-    return games.join(o, on).drop("odds_date")
+def containing_names(names: DataFrame, others: DataFrame, q: int = 3) -> DataFrame:
+    """``name, other``: names of which one contains the other, case aside. Both sides have one column of that name.
+
+    A name that lies in another has all its runs of ``q`` characters there, so it is looked up by its rarest one alone in an
+    inverted index of the longer names, and then compared. Shorter names have one run, of their own
+    length; an empty name lies in every one."""
+    a, b = (df.select(F.col(c), F.lower(c).alias(f"_{c}")).where(F.col(c).isNotNull()).distinct() for df, c in ((names, "name"), (others, "other")))
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda k: F.substring(c, k, n))
+
+    def index(df: DataFrame, c: str) -> DataFrame:
+        """All runs of up to ``q`` characters, with the number of names that have them."""
+        every = F.array_distinct(F.concat(*[F.when(F.length(c) >= n, runs(F.col(c), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(q + 1)]))
+        return df.select("*", F.explode(every).alias("gram"))
+
+    def found(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        table = index(long, f"_{t}")
+        often = table.groupBy("gram").agg(F.count("*").alias("n"))
+        own = short.select("*", F.explode(F.array_distinct(runs(F.col(f"_{s}"), F.least(F.lit(q), F.length(f"_{s}"))))).alias("gram"))
+        rarest = own.join(often, "gram").groupBy(s, f"_{s}").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        return rarest.join(table, "gram").where(F.contains(f"_{t}", f"_{s}")).select("name", "other")
+
+    return found(b, "other", a, "name").unionByName(found(a, "name", b, "other")).distinct()
+
+
+def match_odds(games: DataFrame, odds: DataFrame, by_date: bool = True) -> DataFrame:
+    """Odds of games by team names that contain each other, case aside: of the game's date, or with ``by_date=False`` of any.
+    Pairs of names are found once for all games (``containing_names``); the rest are joins on equal keys."""
+    o = odds.withColumnsRenamed({"date": "odds_date", "home_team": "odds_home", "away_team": "odds_away"})
+    both = lambda df, home, away, c: df.select(F.col(home).alias(c)).union(df.select(F.col(away).alias(c)))
+    pairs = containing_names(both(games, "home_team_name", "away_team_name", "name"), both(odds, "home_team", "away_team", "other"))
+    side = lambda s: pairs.toDF(f"{s}_team_name", f"odds_{s}")
+    g = games.join(side("home"), "home_team_name").join(side("away"), "away_team_name")
+    keys = ["odds_home", "odds_away"]
+    if by_date:
+        out = g.withColumn("odds_date", F.col("date")).join(o, ["odds_date", *keys])
+    else:
+        out = g.join(o, keys)
+    rest = [c for c in o.columns if c not in (*keys, "odds_date")]
+    return out.select(*games.columns, *keys, *([] if by_date else ["odds_date"]), *rest)
 
 
 def count_in_days(gl: DataFrame, n: int) -> DataFrame:

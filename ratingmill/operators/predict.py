@@ -54,12 +54,15 @@ def predict_hybrid(schedule: DataFrame, hist: DataFrame, games: DataFrame, roste
 
     Team and roster rating are blended; a close game adds meetings and travel; then come rest and
     density, weighted results (less where ratings are close), and injuries. Toss-ups are drawn to one
-    half by the blended ratings without home advantage. Upset probability, context, score follow."""
+    half by the blended ratings without home advantage. Upset probability, context, score follow.
+    ``roster_elos`` and ``injuries`` are figures of teams, or with a ``game_id`` of each team's games (``roster_figures``)."""
     gl = to_long(games)
     # all features of a team and the figures of its roster beside its games, then one pivot to games
     team = W.games_before(W.with_travel_fatigue(W.rest_fatigue(W.momentum(W.welo(gl, hist))), arenas), "season")
-    figures = roster_elos.select("team_id", "roster_elo").join(injuries.select("team_id", "injury_adjustment"), "team_id", "full_outer")
-    team = team.join(small_side(figures), "team_id", "left").fillna({"roster_elo": 1500.0, "injury_adjustment": 0.0}).withColumnsRenamed({"roster_elo": "roster", "injury_adjustment": "injury"})
+    keys = ["game_id", "team_id"] if "game_id" in roster_elos.columns else ["team_id"]
+    figures = roster_elos if roster_elos is injuries else roster_elos.select(*keys, "roster_elo").join(injuries.select(*keys, "injury_adjustment"), keys, "full_outer")
+    figures = figures.select(*keys, "roster_elo", "injury_adjustment")
+    team = team.join(figures if len(keys) > 1 else small_side(figures), keys, "left").fillna({"roster_elo": 1500.0, "injury_adjustment": 0.0}).withColumnsRenamed({"roster_elo": "roster", "injury_adjustment": "injury"})
     cols = ["welo", "fatigue_rest", "b2b_penalty", "density_penalty", "travel_fatigue", "late_wins", "late_games", "games_before", "roster", "injury"]
     g = asof_ratings(schedule, hist).join(sides(team, cols), "game_id")
     g = g.join(W.h2h_recency(games).select("game_id", "h2h_recency"), "game_id")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
 from ratingmill.functions import parse
 from ratingmill.plans import ratings as _ratings  # noqa: F401  its SQL is used below
-from ratingmill.plans.base import AS_OF, BODIES, query, rounded
-from ratingmill.sources import feeds, schemas, tables
+from ratingmill.plans.base import AS_OF, BODIES, part, query, rounded
+from ratingmill.operators import pools, replay
+from ratingmill.operators import ratings as R
+from ratingmill.sources import feeds, landing, ledger, schemas, tables
+from ratingmill.sources.shared import shared_folder
 from ratingmill.streaming import streams
 
 
@@ -87,17 +88,6 @@ query("k2_trailing_accuracy", lambda f: rounded(streams.stream_accuracy(_stream_
 query("k2_daily_accuracy", lambda f: rounded(streams.stream_accuracy(_stream_rows(f), "1 day", None), "accuracy"), "", _SLIDES.format(w="1 day", d="1 day", n=1))
 
 
-def _shared(spark) -> str:
-    """A new folder beside the checkpoints, which every executor reaches."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or tempfile.gettempdir()).rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 def _drained(stream, path: str):
     """What a stream has written when it has read all that there is."""
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
@@ -115,7 +105,7 @@ def parse_season(games):
 
 
 def _round_trip(f):
-    path = _shared(f.spark)
+    path = shared_folder(f.spark)
     for fmt in ("parquet", "csv"):
         tables.write_table(f.games.select([c.name for c in schemas.GAMES if c.name in f.games.columns]), f"{path}/{fmt}", fmt=fmt)
     kept = [c for c in schemas.GAMES if c.name in f.games.columns]
@@ -124,7 +114,7 @@ def _round_trip(f):
 
 
 def _appended(f):
-    path = _shared(f.spark)
+    path = shared_folder(f.spark)
     for part in ("game_id % 2 = 0", "true"):  # known games are not appended again
         tables.append_predictions(f.pred.where(part).select("game_id", "home_win_prob"), path)
     return f.spark.read.parquet(path)
@@ -135,7 +125,7 @@ query("io10_append", _appended, "pred", "select game_id, home_win_prob from pred
 
 
 def _once(f):
-    path = _shared(f.spark)
+    path = shared_folder(f.spark)
     rows = f.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     rows.unionAll(rows.where("event_id % 3 = 0")).write.parquet(f"{path}/in")
     stream = f.spark.readStream.schema(rows.schema).parquet(f"{path}/in")
@@ -143,13 +133,13 @@ def _once(f):
 
 
 def _stream_ratings(f):
-    path = _shared(f.spark)
+    path = shared_folder(f.spark)
     out = _drained(streams.stream_ratings(_written_games(f, path)), path)
     return rounded(out.where("not late").select("game_id", "team_id", "rating_before", "rating_after"), "rating_before", "rating_after", digits=4)
 
 
 def _upserted(f):
-    path = _shared(f.spark)
+    path = shared_folder(f.spark)
     stream = _written_games(f, path).select("game_id", "pool")
     for _ in range(2):
         stream.writeStream.foreachBatch(streams.upsert_predictions(f"{path}/log")).trigger(availableNow=True).start().awaitTermination()
@@ -159,3 +149,88 @@ def _upserted(f):
 query("k1_stream_once", _once, "", "select distinct event_id from events")
 query("k3_stream_ratings", _stream_ratings, "done", BODIES["r1_team_elo"])
 query("k4_upsert", _upserted, "games", "select game_id, pool from games")
+
+
+_LATE = "date >= '1997-10-01' and game_id % 7 = 0 and pool % 3 = 0"
+
+
+def _replayed(f):
+    """Games in two parts, some with a wrong score, then late ones and corrections."""
+    store = replay.RatingStore(f.spark, shared_folder(f.spark))
+    wrong = f.games.withColumn("home_score", F.when((F.col("game_id") % 41 == 0) & (F.col("home_score") > 0), F.col("home_score") + 9).otherwise(F.col("home_score")))
+    for part in (f"date < '1996-01-01' and not ({_LATE})", f"date >= '1996-01-01' and not ({_LATE})"):
+        store.add(wrong.where(part))
+    store.add(f.games.where(f"game_id % 41 = 0 or ({_LATE})"))
+    return rounded(store.history().select("game_id", "team_id", "rating_before", "rating_after"), "rating_before", "rating_after", digits=4)
+
+
+def _rated_stream(f):
+    """A stream whose files come in no order of dates."""
+    path = shared_folder(f.spark)
+    games = f.games.select("game_id", "pool", "date", "home_team_id", "away_team_id", "home_score", "away_score").withColumn("slot", F.pmod(F.xxhash64("game_id"), F.lit(3)))
+    tables.write_table(games.repartition(1), f"{path}/in", ["slot"])
+    stream = f.spark.readStream.schema(games.drop("slot").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(streams.rate_games(f"{path}/store")).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return rounded(replay.RatingStore(f.spark, f"{path}/store").history().select("game_id", "team_id", "rating_after"), "rating_after", digits=4)
+
+
+def _found_pools(f):
+    games = pools.find_pools(f.games.drop("pool"))
+    return rounded(R.team_elo(games).select("game_id", "team_id", "rating_before", "rating_after"), "rating_before", "rating_after", digits=4)
+
+
+def _merged(f):
+    """Predictions, then outcomes (twice the same batch), then corrections and a game that moves."""
+    path = shared_folder(f.spark)
+    p = f.pred.select("game_id", "date", "home_win_prob", F.lit(None).cast("boolean").alias("correct"))
+    outcomes = f.pred.where("game_id % 2 = 0").select("game_id", "date", F.lit(None).cast("double").alias("home_win_prob"), "correct")
+    moved = p.where("game_id % 10 = 0").withColumn("home_win_prob", F.lit(0.5)).withColumn("date", F.date_add("date", 1))
+    for n, batch in ((0, p), (1, outcomes), (1, outcomes), (2, moved)):
+        ledger.merge_batch(batch, path, "plan", n)
+    return f.spark.read.schema(p.schema).parquet(f"{path}/log")
+
+
+def _landed(f):
+    """Games as JSON lines, some of them broken, in two files; good games and counts of reasons."""
+    path = shared_folder(f.spark)
+    fields = ["game_id", "date", "home_team_id", "away_team_id", "home_score", "away_score", "season_type"]
+    text = lambda c: F.col(c).cast("string").alias(c)
+    bad = {"date": F.when(F.col("game_id") % 19 == 0, "soon").otherwise(F.col("date").cast("string")), "away_team_id": F.when(F.col("game_id") % 23 == 0, F.col("home_team_id")).otherwise(F.col("away_team_id"))}
+    line = F.to_json(F.struct(*[bad[c].cast("string").alias(c) if c in bad else text(c) for c in fields]))
+    f.games.select(F.when(F.col("game_id") % 17 == 0, F.substring(line, 1, 30)).otherwise(line)).repartition(2).write.text(f"{path}/in")
+    for _ in range(2):
+        landing.ingest(f.spark, f"{path}/in", path, 1)
+    good = f.spark.read.parquet(f"{path}/games").groupBy("season").agg(F.count("*").alias("n")).select(F.concat(F.lit("season "), "season").alias("what"), "n")
+    return good.unionByName(f.spark.read.parquet(f"{path}/quarantine").groupBy("reason").agg(F.count("*").alias("n")).select(F.col("reason").alias("what"), "n"))
+
+
+def _streamed_accuracy(f):
+    """Thirty days, sliding by a day, in a stream: windows come out when the watermark has passed them."""
+    path = shared_folder(f.spark)
+    _stream_rows(f).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{path}/in")
+    rows = f.spark.readStream.schema("ts timestamp, correct boolean").parquet(f"{path}/in")
+    return rounded(_drained(streams.stream_accuracy(rows, "30 days"), path), "accuracy")
+
+
+query("k3_late_replay", _replayed, "done", BODIES["r1_team_elo"])
+query("k3_stream_late", _rated_stream, "done", part("x", "r1_team_elo") + "select game_id, team_id, round(rating_after, 4) as rating_after from x")
+query("r1_found_pools", _found_pools, "done", BODIES["r1_team_elo"])
+query("k4_merge_log", _merged, "pred", "select game_id, case when game_id % 10 = 0 then date + 1 else date end::date as date, case when game_id % 10 = 0 then 0.5 else home_win_prob end as home_win_prob, case when game_id % 2 = 0 then correct end as correct from pred")
+query("io11_file_stream", _landed, "games", """
+, g as (select *, case when game_id % 17 = 0 then 'no JSON' when game_id % 19 = 0 then 'bad date' when game_id % 23 = 0 then 'one team' else 'season ' || case when month(date) >= 10 then year(date) else year(date) - 1 end end as what from games)
+select what, count(*) as n from g group by 1""")
+query("k2_stream_30_days", _streamed_accuracy, "", "select * from (" + _SLIDES.format(w="30 days", d="1 day", n=30) + """) where "end" <= (select max(ts)::timestamp from events) - interval 7 days""")
+
+
+def _in_place(f):
+    """A table by dates, some of whose dates come again with other scores."""
+    path = shared_folder(f.spark)
+    late = f.games.select("game_id", "home_score", "date").where("date >= '1998-01-01'")
+    tables.write_table(late.repartition("date"), path, ["date"])
+    tables.overwrite_dates(late.where("day(date) = 3 and game_id % 2 = 0").withColumn("home_score", F.col("home_score") + 1), path)
+    return f.spark.read.schema(late.schema).parquet(path)
+
+
+query("s2_in_place", _in_place, "games", """
+, d as (select distinct date from games where day(date) = 3 and game_id % 2 = 0)
+select game_id, home_score + case when date in (select date from d) then 1 else 0 end as home_score, date from games where date >= date '1998-01-01' and (date not in (select date from d) or game_id % 2 = 0)""")

@@ -70,6 +70,13 @@ query("j12_match_odds", lambda f: G.match_odds(
     f.done.select("game_id", "date", F.concat(F.lit("Team "), F.col("home_team_id"), F.lit(" Stars")).alias("home_team_name"), F.concat(F.lit("Team "), F.col("away_team_id"), F.lit(" Stars")).alias("away_team_name")),
     f.done.select("date", F.concat(F.lit("TEAM "), F.col("home_team_id"), F.lit(" ")).alias("home_team"), F.concat(F.lit("team "), F.col("away_team_id"), F.lit(" ")).alias("away_team"), F.col("game_id").alias("odds_id"))).select("game_id", "odds_id"), "done",
     "select g.game_id, o.game_id as odds_id from done g join done o on g.date = o.date and g.home_team_id = o.home_team_id and g.away_team_id = o.away_team_id")
+query("j12_match_any_date", lambda f: G.match_odds(
+    f.done.select("game_id", "date", F.concat(F.lit("Team "), F.col("home_team_id")).alias("home_team_name"), F.concat(F.lit("Team "), F.col("away_team_id"), F.lit(" Stars")).alias("away_team_name")),
+    f.done.select("date", F.concat(F.lit("the TEAM "), F.col("home_team_id"), F.lit(" of 9")).alias("home_team"), F.concat(F.lit("team "), F.col("away_team_id"), F.lit(" ")).alias("away_team")).distinct().withColumn("odds_id", F.xxhash64("date", "home_team", "away_team") % 1000), by_date=False).groupBy("game_id").agg(F.count("*").alias("n")), "done", """
+, o as (select distinct date, home_team_id as h, away_team_id as a from done),
+c as (select 'team ' || n.h as name, 'the team ' || o.h || ' of 9' as other, n.h as nh, o.h as oh from (select distinct h from o) n, (select distinct h from o) o where contains('the team ' || o.h || ' of 9', 'team ' || n.h)),
+k as (select c.nh, o.a, count(*) as n from c join o on o.h = c.oh group by 1, 2)
+select game_id, n from done join k on k.nh = home_team_id and k.a = away_team_id""")
 query("j13_games_in_days", lambda f: G.count_in_days(f.long, 10).select("game_id", "team_id", "games_in_10"), "long", "select game_id, team_id, count(*) over (partition by team_id order by date range between interval 10 days preceding and interval 1 day preceding) as games_in_10 from long")
 query("j14_coverage", lambda f: rounded(G.coverage(f.box, f.games), "share"), "box", "select (select count(*) from done) as n_games, (select count(distinct game_id) from box) as n_covered, round((select count(distinct game_id) from box) / (select count(*) from done), 6) as share")
 

@@ -14,7 +14,8 @@ from ratingmill.operators import windows as W
 from ratingmill.operators.aggregates import BPM_TIERS, tier_counts
 from ratingmill.plans import games as _games  # noqa: F401  its SQL is used below
 from ratingmill.plans import windows as _windows  # noqa: F401
-from ratingmill.plans.base import AS_OF, DAY, EXP, SEASON, part, query, rounded
+from ratingmill.operators.rosters import roster_figures
+from ratingmill.plans.base import AS_OF, BODIES, DAY, EXP, SEASON, part, query, rounded
 
 _INJURED = "(select player_name from injuries where status in ('out', 'doubtful'))"
 
@@ -132,6 +133,40 @@ select game_id, round(h + 1e-8, 5) as home_final, round(a + 1e-8, 5) as away_fin
   + 0.15 * case when abs(hw) + abs(aw) <= 20 then 95 when abs(hw) + abs(aw) <= 40 then 80 when abs(hw) + abs(aw) <= 60 then 65 else 50 end + 0.1 * greatest(40, 100 - case when c1 then 30 else 0 end - case when c4 then 20 else 0 end - case when c5 then 10 else 0 end) + 1e-8, 5) as overall_confidence from v""")
 
 
+_DATED = part("rated_p", "r3_player_elo") + """
+, asked as (select game_id, date, home_team_id as team_id from done union all select game_id, date, away_team_id from done),
+moves as (select player_id, b.team_id, b.date, b.game_id, rating_after - 1e-8 as rating_after from rated_p join box b using (game_id, player_id)),
+last_ as (select player_id, date, arg_max(team_id, game_id) as on_, arg_max(rating_after, game_id) as r from moves group by 1, 2),
+member as (select q.*, player_id from asked q join (select distinct team_id, player_id from moves) using (team_id)),
+now as (select m.game_id, m.team_id, m.date, m.player_id, l.r from member m asof join last_ l on l.player_id = m.player_id and m.date > l.date where l.on_ = m.team_id),
+away as (select n.*, exists (select 1 from absences a where a.player_id = n.player_id and a.team_id = n.team_id and a.start_date <= n.date and (a.end_date is null or a.end_date > n.date)) as out_,
+  row_number() over (partition by game_id, team_id order by r desc, player_id) as rk from now n),
+there as (select *, row_number() over (partition by game_id, team_id order by rk) as k from away where not out_),
+ros as (select game_id, team_id, sum(r * (1 - 0.05 * (k - 1))) / sum(1 - 0.05 * (k - 1)) as e from there where k <= 10 group by 1, 2),
+top_ as (select game_id, team_id, avg(r) as m from away where rk <= 10 group by 1, 2),
+inj as (select game_id, team_id, greatest(-150, sum(greatest(-80, -(r - m) / 10 * case when rk <= 3 then 1.5 when rk <= 7 then 1 when rk <= 10 then 0.5 else 0.25 end))) as i from away join top_ using (game_id, team_id) where out_ group by 1, 2),
+dated as (select q.game_id, q.team_id, coalesce(e, 1500) as roster_elo, coalesce(i, 0) as injury_adjustment from asked q left join ros using (game_id, team_id) left join inj using (game_id, team_id))
+"""
+
+
+def _dated(f):
+    """Roster and injury figures as of each game."""
+    return roster_figures(f.done, R.player_elo(f.box).select("player_id", "team_id", "date", "game_id", "rating_after"), f.absences)
+
+
+query("r5_r7_dated", lambda f: rounded(_dated(f), "roster_elo", "injury_adjustment", digits=4, nudge=1e-7), "box absences", _DATED + "select game_id, team_id, round(roster_elo + 1e-7, 4) as roster_elo, round(injury_adjustment + 1e-7, 4) as injury_adjustment from dated")
+
+
+def _hybrid_dated(f):
+    figures = _dated(f)
+    return P.predict_hybrid(f.done, f.hist, f.done, figures, figures, f.arenas)
+
+
+_HYBRID_COLUMNS = ["game_id", "home_final", "away_final", "p", "confidence", "upset_probability", "upset_alert", "pred_home_score", "pred_away_score", "context.confidence_penalty", "confidence_score.overall_confidence"]
+_DATED_HYBRID = BODIES["r12_predict_hybrid"].replace(part("relo", "r5_roster_elo"), _DATED).replace(part("hurt", "r7_injury_adjustment"), "").replace("left join relo on relo.team_id = l.team_id left join hurt on hurt.team_id = l.team_id", "left join dated on dated.team_id = l.team_id and dated.game_id = l.game_id")
+query("r12_dated_rosters", lambda f: rounded(_hybrid_dated(f).select(*_HYBRID_COLUMNS), "home_final", "away_final", "p", "confidence", "overall_confidence", digits=4, nudge=1e-7), "long hist box absences arenas", _DATED_HYBRID.replace("1e-8, 5)", "1e-7, 4)"))
+
+
 def _rostered(f):
     """As-of ratings with form and rest points and roster ratings of both sides."""
     g = G.asof_ratings(f.done, f.hist).join(P.sides(W.rest(W.form(f.long)), ["form", "rest_penalty"]), "game_id")
@@ -157,15 +192,15 @@ query("r15_backtest", lambda f: P.backtest(P.predict_light(f.done, f.hist, f.don
 
 
 def _backtests(f):
-    """The team, hybrid, adaptive and light models over all completed games."""
-    hybrid = _hybrid(f).withColumn("home_win_prob", F.col("p"))
+    """The team, hybrid, adaptive and light models over all completed games; the hybrid one with rosters of the day."""
+    hybrid = _hybrid_dated(f).withColumn("home_win_prob", F.col("p"))
     models = {"team": P.predict_team(f.done, f.hist, f.done).where("home_win_prob is not null"), "hybrid": hybrid, "adaptive": P.predict_adaptive(_rostered(f)), "light": P.predict_light(f.done, f.hist, f.done)}
     return rounded(P.backtest_summary(models), "brier", "accuracy")
 
 
-_MODEL = " union all select '{m}', p, w from (select {p} - 1e-8 as p, home_score > away_score as w from {t} join done using (game_id) where {p} is not null)"
-query("r15_backtests", _backtests, "long hist ratings injuries arenas", part("mt", "r11_predict_team") + part("mh", "r12_predict_hybrid") + part("ma", "r13_predict_adaptive") + part("ml", "r14_predict_light") + """
-, x as (select 'x' as model, 0.0::double as p, true as w where false""" + "".join(_MODEL.format(m=m, p=p, t=t) for m, p, t in (("team", "home_win_prob", "mt"), ("hybrid", "p", "mh"), ("adaptive", "home_win_prob", "ma"), ("light", "home_win_prob", "ml"))) + """)
+_MODEL = " union all select '{m}', p, w from (select {p} - {e} as p, home_score > away_score as w from {t} join done using (game_id) where {p} is not null)"
+query("r15_backtests", _backtests, "long hist ratings box absences arenas", part("mt", "r11_predict_team") + part("mh", "r12_dated_rosters") + part("ma", "r13_predict_adaptive") + part("ml", "r14_predict_light") + """
+, x as (select 'x' as model, 0.0::double as p, true as w where false""" + "".join(_MODEL.format(m=m, p=p, t=t, e="1e-7" if m == "hybrid" else "1e-8") for m, p, t in (("team", "home_win_prob", "mt"), ("hybrid", "p", "mh"), ("adaptive", "home_win_prob", "ma"), ("light", "home_win_prob", "ml"))) + """)
 select model, count(*) as games, count(*) filter ((p > 0.5) = w) as right, round(avg(pow(p - cast(w as int), 2)), 6) as brier, round(avg(cast((p > 0.5) = w as int)), 6) as accuracy from x group by 1""")
 query("r16_track", lambda f: P.track(f.pred.drop("correct"), f.pred.where("game_id % 3 = 0"), AS_OF, 30).select("game_id", "correct"), "pred", f"select game_id, (home_win_prob > 0.5) = (home_score > away_score) as correct from pred where game_id % 3 <> 0 and date between {DAY} - 30 and {DAY}")
 

@@ -76,6 +76,10 @@ RECIPES = {
         select player_id, team_id, player_name,
                case player_id % 5 when 0 then 'out' when 1 then 'doubtful' when 2 then 'questionable' when 3 then 'probable' else 'returning' end as status
         from roster where player_id % 17 = 0""",
+    "absences": """
+        select player_id, team_id, date_add(date '1993-01-01', cast(player_id * 37 % 1500 as int)) as start_date,
+               case when player_id % 9 = 0 then null else date_add(date '1993-01-01', cast(player_id * 37 % 1500 + 40 + player_id % 400 as int)) end as end_date
+        from roster where player_id % 4 = 0""",
     "pred": """
         select game_id, pool, date, season_type, home_team_id, away_team_id, home_score, away_score,
                (20 + (game_id * 7919) % 61) / 100.0e0 as home_win_prob,
@@ -101,6 +105,7 @@ NEEDS = {
     "quarters": ("long",),
     "odds": ("done",),
     "injuries": ("roster",),
+    "absences": ("roster",),
     "pred": ("done",),
     "names": ("documents",),
 }

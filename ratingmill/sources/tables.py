@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ratingmill.sources.shared import replace_partitions
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """A stored table under an explicit schema; Spark fails if the path is missing."""
@@ -53,6 +55,12 @@ def replace_dates(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("date").distinct(), "date", "left_anti").unionByName(new)
 
 
+def overwrite_dates(new: DataFrame, path: str) -> None:
+    """``replace_dates`` in place, in a table that is partitioned by ``date``: the partitions of ``new`` are written over,
+    no other file is touched (S2)."""
+    replace_partitions(new, path, ["date"])
+
+
 def id_diff(a: DataFrame, b: DataFrame, key: str = "game_id") -> DataFrame:
     """Ids of only one side: ``side`` is ``missing`` (in a, not in b) or ``extra``."""
     left, right = a.select(key).distinct(), b.select(key).distinct()

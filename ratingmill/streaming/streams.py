@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ratingmill.operators.ratings import HISTORY, Fold, _fold_games, _usable
+from ratingmill.operators.replay import RatingStore
+from ratingmill.sources.ledger import merge_batch
 from ratingmill.sources.tables import append_predictions
 
 
@@ -32,7 +34,7 @@ _STATE = "teams array<long>, ratings array<double>, games array<long>, season lo
 def stream_ratings(stream: DataFrame, k: float = 20, home_advantage: float = 20, use_mov: bool = True, reversion: float = 0.75, base: float = 1500.0) -> DataFrame:
     """Team ratings with one state for each pool (K3). Games of one batch are folded in order. A game that
     isn't later than the pool's last date would need a replay; its rows come out as ``late``, without
-    ratings (in batch: ``late_games``)."""
+    ratings (in batch: ``late_games``). ``rate_games`` replays them."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fold, last = Fold(k, home_advantage, use_mov, reversion, base), None
@@ -56,6 +58,24 @@ def stream_ratings(stream: DataFrame, k: float = 20, home_advantage: float = 20,
     return _usable(stream).groupBy("pool").applyInPandasWithState(run, f"{HISTORY}, late boolean", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def rate_games(path: str):
+    """A ``foreachBatch`` function that takes a batch of games into the rating store at ``path``, late ones too (K3)."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        RatingStore(batch.sparkSession, path).add(batch)
+
+    return write
+
+
+def merge_predictions(path: str, writer: str):
+    """A ``foreachBatch`` function that completes and corrects the log at ``path``, each batch of ``writer`` once (K4)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(batch, path, writer, batch_id)
+
+    return write
+
+
 def upsert_predictions(path: str):
     """A ``foreachBatch`` function that adds a batch's unknown games to the log at ``path`` (K4)."""
 
