@@ -174,6 +174,24 @@ def _rated_stream(f):
     return rounded(replay.RatingStore(f.spark, f"{path}/store").history().select("game_id", "team_id", "rating_after"), "rating_after", digits=4)
 
 
+def _team_states(f):
+    """Ratings up to a day in batch, from there on in a stream that is stopped in between and taken up again."""
+    path, key = shared_folder(f.spark), "spark.sql.streaming.stateStore.providerClass"
+    early = R.team_elo(f.games.where(F.col("date") <= F.lit(AS_OF)))
+    rest = f.games.where(F.col("date") > F.lit(AS_OF)).select("game_id", "pool", "date", "home_team_id", "away_team_id", "home_score", "away_score")
+    cut = F.add_months(F.lit(AS_OF), 6)
+    held = f.spark.conf.get(key)
+    f.spark.conf.set(key, streams.ROCKS)
+    try:
+        for part_ in (F.col("date") <= cut, F.col("date") > cut):
+            rest.where(part_).write.mode("append").parquet(f"{path}/in")
+            rows = streams.stream_team_states(f.spark.readStream.schema(rest.schema).parquet(f"{path}/in"), initial=streams.initial_states(early))
+            out = _drained(rows, path)
+    finally:
+        f.spark.conf.set(key, held)
+    return rounded(out.where("not late").select("game_id", "team_id", "rating_after"), "rating_after", digits=4)
+
+
 def _found_pools(f):
     games = pools.find_pools(f.games.drop("pool"))
     return rounded(R.team_elo(games).select("game_id", "team_id", "rating_before", "rating_after"), "rating_before", "rating_after", digits=4)
@@ -214,6 +232,7 @@ def _streamed_accuracy(f):
 
 query("k3_late_replay", _replayed, "done", BODIES["r1_team_elo"])
 query("k3_stream_late", _rated_stream, "done", part("x", "r1_team_elo") + "select game_id, team_id, round(rating_after, 4) as rating_after from x")
+query("k3_team_states", _team_states, "done", part("x", "r1_team_elo") + f"select x.game_id, team_id, round(rating_after, 4) as rating_after from x join done d on d.game_id = x.game_id and d.date > date '{AS_OF}'")
 query("r1_found_pools", _found_pools, "done", BODIES["r1_team_elo"])
 query("k4_merge_log", _merged, "pred", "select game_id, case when game_id % 10 = 0 then date + 1 else date end::date as date, case when game_id % 10 = 0 then 0.5 else home_win_prob end as home_win_prob, case when game_id % 2 = 0 then correct end as correct from pred")
 query("io11_file_stream", _landed, "games", """

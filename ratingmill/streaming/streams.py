@@ -6,12 +6,13 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ratingmill.operators.ratings import HISTORY, Fold, _fold_games, _usable
-from ratingmill.operators.replay import RatingStore
+from ratingmill.operators.ratings import HISTORY, Fold, _fold_games, _usable, state_of
+from ratingmill.operators.replay import Rating, RatingStore
 from ratingmill.sources.ledger import merge_batch
 from ratingmill.sources.tables import append_predictions
 
@@ -58,6 +59,78 @@ def stream_ratings(stream: DataFrame, k: float = 20, home_advantage: float = 20,
     return _usable(stream).groupBy("pool").applyInPandasWithState(run, f"{HISTORY}, late boolean", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: State of a pool and of each of its teams; ``seasons`` counts the pool's seasons up to then.
+POOL_STATE, TEAM_STATE = "season long, seasons long, last_date date", "rating double, games long, seasons long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class PoolRatings(StatefulProcessor):
+    """Ratings of a pool with a map from teams to their state: a batch reads and writes the teams that play in it, no others.
+
+    What a season's start takes from the ratings of teams that don't play is caught up with when they do: a team's state
+    says at which of the pool's seasons it stands, and the step towards the base is applied as often as it has missed."""
+
+    def __init__(self, rating: Rating):
+        self.rating = rating
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.teams = handle.getMapState("teams", "team_id long", TEAM_STATE)
+        self.pool = handle.getValueState("pool", POOL_STATE)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803  Spark's names
+        """Rows of ``initial_states``."""
+        for r in initialState.itertuples():
+            self.teams.updateValue((int(r.team_id),), (float(r.rating), int(r.games), int(r.team_seasons)))
+        self.pool.update((int(r.season), int(r.seasons), r.last_date))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new, fold = pd.concat(list(rows)), self.rating.fold()
+        season, seasons, last = self.pool.get() if self.pool.exists() else (None, 0, None)
+        days = pd.to_datetime(new["date"])
+        if last is not None:
+            late, new = new[days <= pd.Timestamp(last)], new[days > pd.Timestamp(last)]
+            if len(late):
+                none = ["rating_before", "rating_after", "rating_change", "expected_score"]
+                yield _fold_games(self.rating.fold(), late).assign(**dict.fromkeys(none, math.nan), late=True)
+        if not len(new):
+            return
+        for team in set(new["home_team_id"].tolist()) | set(new["away_team_id"].tolist()):
+            if self.teams.containsKey((team,)):
+                value, games, then = self.teams.getValue((team,))
+                fold.rating[team] = self.rating.base + (value - self.rating.base) * self.rating.reversion ** (seasons - then)
+                fold.games[team] = games
+        fold.season = season
+        out = _fold_games(fold, new)
+        days = pd.to_datetime(new["date"])
+        seasons += len(set((days.dt.year - (days.dt.month < 10)).tolist()) - {season})
+        for team, value in fold.rating.items():
+            self.teams.updateValue((int(team),), (float(value), int(fold.games[team]), int(seasons)))
+        self.pool.update((int(fold.season), int(seasons), days.max().date()))
+        yield out.assign(late=False)
+
+    def close(self) -> None:
+        pass
+
+
+def initial_states(history: DataFrame) -> DataFrame:
+    """What a stream starts from after a history: each team's last state (``state_of``), with the number of the pool's seasons
+    up to it (``team_seasons``) and up to now."""
+    season = F.year("date") - F.when(F.month("date") < 10, 1).otherwise(0)
+    known = history.select("pool", season.cast("long").alias("own_season")).distinct()
+    known = known.withColumn("team_seasons", F.row_number().over(Window.partitionBy("pool").orderBy("own_season")).cast("long"))
+    every = known.groupBy("pool").agg(F.max("team_seasons").alias("seasons"))
+    state = state_of(history).withColumnRenamed("last_season", "season")
+    return state.join(known, ["pool", "own_season"]).join(every, "pool").select("pool", "team_id", "rating", "games", "team_seasons", "season", "seasons", "last_date")
+
+
+def stream_team_states(stream: DataFrame, rating: Rating = Rating(), initial: DataFrame | None = None) -> DataFrame:  # noqa: B008  frozen
+    """Team ratings with a keyed state for each team (K3), from ``initial`` (``initial_states``) on. Rows and late games as in
+    ``stream_ratings``. Needs the state store ``ROCKS`` in ``spark.sql.streaming.stateStore.providerClass`` when it starts."""
+    grouped = None if initial is None else initial.groupBy("pool")
+    schema = stream.sparkSession.createDataFrame([], f"{HISTORY}, late boolean").schema
+    return _usable(stream).groupBy("pool").transformWithStateInPandas(PoolRatings(rating), schema, "Append", "None", grouped)
+
+
 def rate_games(path: str):
     """A ``foreachBatch`` function that takes a batch of games into the rating store at ``path``, late ones too (K3)."""
 
