@@ -36,7 +36,6 @@ SAMPLE_BYTES = 1 << 20
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 LEXICON_LEAST = 4
-LEXICON_MOST = 50_000
 CHAIN = 64
 EPOCHS = 4
 RATE = 0.2
@@ -178,8 +177,7 @@ def train(texts: list[str], langs: list[str], seed: int = 1) -> Model:
     parts = list(words(pa.array(texts, pa.large_string()), LETTER))
     names, many = np.unique(np.concatenate([w.hash for w in parts]), return_counts=True)
     often = many >= LEXICON_LEAST
-    names = names[often][np.argsort(-many[often], kind="stable")][:LEXICON_MOST]
-    lexicon = np.sort(names)
+    lexicon = names[often]  # ascending; the sample bounds them
     weights = np.zeros((BUCKETS + len(lexicon), len(labels)))
     square, steps, square_steps = np.full_like(weights, 1e-8), np.eye(len(labels)), np.full((len(labels),) * 2, 1e-8)
     rng = np.random.default_rng(seed)

@@ -9,8 +9,9 @@ others. Documents beyond ``CUTOFF`` in squared Mahalanobis distance are rejected
 
 Results: null and empty texts have zero statistics and fail the base rule for few words. A null
 language or source is a group of its own. Documents that fail the base take no part in the
-estimates. A group of fewer than ``LEAST`` documents is judged by the estimate over its language,
-and by that over all documents, however few, where the language has fewer too. Variances have
+estimates. A group's centre and covariance are drawn towards those of its language, and these towards those of
+all documents, with a weight that falls as the core grows: ``PRIOR`` documents of the wider pool stand beside the group's own.
+So a group of a few documents is judged by what its language does, one of thousands by itself. Variances have
 floors, so that documents that all agree in a statistic don't reject one that differs a little. Ties
 at a quantile are all in the core. Repeated rows each keep their row and each count. Results don't depend
 on how rows are dealt to tasks.
@@ -36,8 +37,8 @@ SYMBOLS = b"#*$%&|<>"
 DIMENSIONS = 5
 CORE = 0.75
 STEPS = 4
-#: Documents from which a group or a language has an estimate of its own.
-LEAST = 50
+#: Documents that the wider pool's estimate counts for beside a pool's own.
+PRIOR = 200
 #: The pool of all documents; names of other pools start with their kind and end in JSON.
 ALL = "all"
 #: Groups up to which their tables are broadcast.
@@ -149,15 +150,31 @@ def distance(x: "F.Column", centre: "F.Column", inverse: "F.Column") -> "F.Colum
 
 
 def pools(counts: DataFrame) -> DataFrame:
-    """``group``, the ``own`` pool whose estimate judges it, and the ``pools`` it is part of, for the groups
-    of ``counts`` (``group, language, many``): the group, its language or ``ALL``."""
-    language = counts.groupBy("language").agg(F.sum("many").alias("of_language"))
-    own = F.when(F.col("many") >= LEAST, F.col("group")).when(F.col("of_language") >= LEAST, F.col("language")).otherwise(F.lit(ALL))
-    named = counts.join(language, "language").select("group", own.alias("own"), F.array("group", "language", F.lit(ALL)).alias("pools"))
-    # pools that judge no group need no estimate
-    used = named.select("own").distinct()
-    parts = named.select("group", F.explode("pools").alias("pool")).join(used, F.col("pool") == F.col("own"), "left_semi")
-    return named.drop("pools").join(parts.groupBy("group").agg(F.collect_list("pool").alias("pools")), "group", "left")
+    """``group`` and the ``pools`` that it is part of, widest first."""
+    return counts.select("group", F.array(F.lit(ALL), "language", "group").alias("pools"))
+
+
+def shrunk(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """``group, centre, inverse``: each group's estimate, drawn towards those of its wider pools. Rows are groups."""
+    rows = groups.select("group", F.posexplode("pools").alias("nth", "pool"))
+    rows = rows.join(known.withColumnRenamed("group", "pool"), "pool")
+    rows = rows.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("nth", "n", "centre", "inverse"))).alias("wider"))  # three at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
+        for batch in batches:
+            centres, inverses = [], []
+            for wider in batch.column(1).to_pylist():
+                centre, cov = None, None
+                for e in wider:
+                    own, spread = np.array(e["centre"]), np.linalg.inv(np.array(e["inverse"]).reshape(DIMENSIONS, DIMENSIONS))
+                    w = 1.0 if centre is None else e["n"] / (e["n"] + PRIOR)
+                    centre, cov = (own, spread) if w == 1.0 else (w * own + (1 - w) * centre, w * spread + (1 - w) * cov)
+                centres.append(centre.tolist())
+                inverses.append(np.linalg.inv(cov).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centres, kind), pa.array(inverses, kind)], ["group", "centre", "inverse"])
+
+    return rows.mapInArrow(run, "group string, centre array<double>, inverse array<double>")
 
 
 def estimate(points: DataFrame) -> DataFrame:
@@ -192,11 +209,11 @@ def judge(docs: DataFrame) -> DataFrame:
     group = F.concat(F.lit("group "), F.to_json(F.struct("lang", "source"))).alias("group")
     language = F.concat(F.lit("language "), F.to_json(F.struct("lang"))).alias("language")
     measured = measured.select("doc_id", *NAMES, failed.alias("base_failed"), group, language, F.array(*vector()).alias("x"))
-    counts = measured.groupBy("group", "language").agg(F.count_if(~F.col("base_failed")).alias("many"))
-    judged = small(settle(pools(counts)), BROADCAST_ROWS)
-    points = measured.where("not base_failed").join(judged, "group").select(F.explode("pools").alias("group"), "x")
-    known = small(estimate(points).select(F.col("group").alias("own"), "centre", "inverse"), BROADCAST_ROWS)
-    out = measured.join(judged.drop("pools"), "group", "left").join(known, "own", "left")
+    counts = measured.select("group", "language").distinct()
+    groups = settle(pools(counts))
+    points = measured.where("not base_failed").join(small(groups, BROADCAST_ROWS), "group").select(F.explode("pools").alias("group"), "x")
+    known = small(settle(shrunk(groups, estimate(points))), BROADCAST_ROWS)
+    out = measured.join(known, "group", "left")
     out = out.withColumn("distance", distance(F.col("x"), F.col("centre"), F.col("inverse")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return out.select("doc_id", *NAMES, "base_failed", kept.alias("kept"), F.round("distance", 3).alias("distance"))

@@ -451,9 +451,9 @@ def test_rules_outliers(spark, odd):
 
 def robust(points, steps=4):
     """Centre and covariance of one pool in plain numpy."""
-    grid = lambda v: np.round(np.asarray(v) * rules.GRID) / rules.GRID
-    centre = grid(np.quantile(points, 0.5, axis=0))
-    mad = grid(np.quantile(grid(np.abs(points - centre)), 0.5, axis=0))
+    middle = lambda v: np.quantile(np.round(v * rules.GRID), 0.5, axis=0) / rules.GRID
+    centre = middle(points)
+    mad = middle(np.abs(points - centre))
     inverse = np.diag(1 / ((1.4826 * mad) ** 2 + np.square(rules.FLOORS)))
     for _ in range(steps):
         away = np.einsum("ki,ij,kj->k", points - centre, inverse, points - centre)
@@ -461,7 +461,7 @@ def robust(points, steps=4):
         core = points[far <= np.quantile(far, rules.CORE)]
         centre = core.mean(0)
         inverse = np.linalg.inv(np.cov(core.T, bias=True) * rules.CONSISTENCY + np.diag(np.square(rules.FLOORS)))
-    return centre, inverse
+    return len(core), centre, np.linalg.inv(inverse)
 
 
 def test_rules_equal_plain_estimates(spark, sf_dir):
@@ -483,11 +483,14 @@ def test_rules_equal_plain_estimates(spark, sf_dir):
         if failed[d]:
             assert got[d].base_failed and not got[d].kept
             continue
-        pool = next((p for p in ((lang, source), lang) if len(pools[p]) >= rules.LEAST), "all of them")
-        if pool not in made:
-            made[pool] = robust(np.array([points[k] for k in pools[pool]]))
-        centre, inverse = made[pool]
-        away = (points[d] - centre) @ inverse @ (points[d] - centre)
+        centre = None
+        for pool in ("all of them", lang, (lang, source)):
+            if pool not in made:
+                made[pool] = robust(np.array([points[k] for k in pools[pool]]))
+            n, own, cov = made[pool]
+            w = 1 if centre is None else n / (n + rules.PRIOR)
+            centre, spread = (own, cov) if w == 1 else (w * own + (1 - w) * centre, w * cov + (1 - w) * spread)
+        away = (points[d] - centre) @ np.linalg.inv(spread) @ (points[d] - centre)
         assert got[d].distance == pytest.approx(away, abs=2e-3, rel=1e-3) and got[d].kept == (away <= rules.CUTOFF)
 
 
@@ -497,7 +500,7 @@ def test_rules_do_not_depend_on_tasks(spark, docs):
 
 
 def test_rules_small_groups(spark):
-    """An outlier in a group too small for an estimate of its own: its language's judges it, or that of all."""
+    """An outlier in a group of a few: its language's estimate judges it, or that of all."""
     rng = random.Random(7)
     text = lambda n, sym: " ".join(rng.choice(["tree", "river", "mountain", "of", "the"]) + str(rng.random())[2:4] + ("#" * sym) for _ in range(n))
     rows = [(k, text(rng.randint(60, 200), 0), "en", f"s{k % 12}", 0) for k in range(120)]
