@@ -63,6 +63,20 @@ def date_range(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumn("date", F.explode(F.sequence(start, end)))
 
 
+#: Holidays with month, day (of two the reports take a day that is near) and penalty; days after them that count. Fixed values.
+HOLIDAYS = (("Christmas", 12, 25, 30.0), ("Thanksgiving", 11, 23, 10.0), ("All-Star Break", 2, 18, 15.0))
+POST_HOLIDAY_DAYS = 3
+
+
+def holiday_schedule(year: Column) -> Column:
+    """The year's holidays as an array of structs: name, date, first and last day after it that count, penalty (F16)."""
+    def row(name: str, month: int, day: int, penalty: float) -> Column:
+        at = F.make_date(year, F.lit(month), F.lit(day))
+        return F.struct(F.lit(name).alias("name"), at.alias("date"), F.date_add(at, 1).alias("post_period_start"), F.date_add(at, POST_HOLIDAY_DAYS).alias("post_period_end"), F.lit(penalty).alias("penalty"))
+
+    return F.array(*[row(*h) for h in HOLIDAYS])
+
+
 def feed_id(game_id: Column) -> Column:
     """Game id padded to ten digits."""
     return F.lpad(game_id.cast("string"), 10, "0")

@@ -49,22 +49,34 @@ def predict_team(schedule: DataFrame, hist: DataFrame, games: DataFrame, home_ad
     return g
 
 
+def with_ratings(gl: DataFrame, hist: DataFrame, default: float = 1500.0) -> DataFrame:
+    """Team rows with the opponent's rating before the game (``opp_rating``) and the team's own after the games of earlier dates
+    (``rating``), from the history of the same games: one row for each game is joined, then all is in the team's windows."""
+    pick = lambda at, c: F.max(F.when(F.col("is_home") == at, F.col(c)))
+    both = hist.groupBy("game_id").agg(pick(True, "rating_before").alias("_home"), pick(False, "rating_before").alias("_away"), pick(True, "rating_after").alias("_h"), pick(False, "rating_after").alias("_a"))
+    out = gl.join(both, "game_id", "left").withColumn("opp_rating", F.coalesce(F.when(F.col("is_home"), F.col("_away")).otherwise(F.col("_home")), F.lit(default)))
+    out = out.withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date"))).withColumn("_after", F.when(F.col("is_home"), F.col("_h")).otherwise(F.col("_a")))
+    earlier = Window.partitionBy("team_id").orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("_after").isNotNull(), F.struct("_day", "game_id", "_after"))).over(earlier)
+    return out.withColumn("rating", F.coalesce(last["_after"], F.lit(default))).drop("_home", "_away", "_h", "_a", "_day", "_after")
+
+
 def predict_hybrid(schedule: DataFrame, hist: DataFrame, games: DataFrame, roster_elos: DataFrame, injuries: DataFrame, arenas: DataFrame, blend: float = 0.75, home_advantage: float = 60) -> DataFrame:
-    """Hybrid predictions (R12), all adjustments in one select after the as-of joins.
+    """Hybrid predictions (R12), all adjustments in one select. ``schedule`` is a part of ``games``, which ``hist`` rates.
 
     Team and roster rating are blended; a close game adds meetings and travel; then come rest and
     density, weighted results (less where ratings are close), and injuries. Toss-ups are drawn to one
     half by the blended ratings without home advantage. Upset probability, context, score follow.
     ``roster_elos`` and ``injuries`` are figures of teams, or with a ``game_id`` of each team's games (``roster_figures``)."""
-    gl = to_long(games)
+    gl = with_ratings(to_long(games), hist)
     # all features of a team and the figures of its roster beside its games, then one pivot to games
-    team = W.games_before(W.with_travel_fatigue(W.rest_fatigue(W.momentum(W.welo(gl, hist))), arenas), "season")
+    team = W.games_before(W.with_travel_fatigue(W.rest_fatigue(W.momentum(W.welo(gl))), arenas), "season")
     keys = ["game_id", "team_id"] if "game_id" in roster_elos.columns else ["team_id"]
     figures = roster_elos if roster_elos is injuries else roster_elos.select(*keys, "roster_elo").join(injuries.select(*keys, "injury_adjustment"), keys, "full_outer")
     figures = figures.select(*keys, "roster_elo", "injury_adjustment")
     team = team.join(figures if len(keys) > 1 else small_side(figures), keys, "left").fillna({"roster_elo": 1500.0, "injury_adjustment": 0.0}).withColumnsRenamed({"roster_elo": "roster", "injury_adjustment": "injury"})
-    cols = ["welo", "fatigue_rest", "b2b_penalty", "density_penalty", "travel_fatigue", "late_wins", "late_games", "games_before", "roster", "injury"]
-    g = asof_ratings(schedule, hist).join(sides(team, cols), "game_id")
+    cols = ["rating", "welo", "fatigue_rest", "b2b_penalty", "density_penalty", "travel_fatigue", "late_wins", "late_games", "games_before", "roster", "injury"]
+    g = schedule.join(sides(team, cols), "game_id")
     g = g.join(W.h2h_recency(games).select("game_id", "h2h_recency"), "game_id")
     for s in _BOTH:
         g = g.withColumn(f"{s}_hybrid", blend * F.col(f"{s}_rating") + (1 - blend) * F.col(f"{s}_roster"))

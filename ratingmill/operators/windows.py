@@ -68,9 +68,9 @@ def momentum_tiers(gl: DataFrame, n: int = 5) -> DataFrame:
 
 def welo(gl: DataFrame, ratings: DataFrame | None = None, n: int = 4, decay: float = 0.5, cap: float = 30) -> DataFrame:
     """Recency- and opponent-weighted results of the last ``n`` games of earlier dates.
-    ``ratings`` (``game_id, team_id, rating_before``) rates the opponents; 1500 without."""
+    ``ratings`` (``game_id, team_id, rating_before``) rates the opponents; without, a column ``opp_rating``, or 1500."""
     if ratings is None:
-        gl = gl.withColumn("opp_rating", F.lit(1500.0))
+        gl = gl if "opp_rating" in gl.columns else gl.withColumn("opp_rating", F.lit(1500.0))
     else:
         gl = gl.join(ratings.select("game_id", F.col("team_id").alias("opponent_id"), F.col("rating_before").alias("opp_rating")), ["game_id", "opponent_id"], "left").fillna(1500.0, ["opp_rating"])
     seen = F.collect_list(F.struct("won", "opp_rating")).over(_team().rowsBetween(-n + 1, 0))

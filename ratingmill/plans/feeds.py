@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ratingmill.functions import parse
 from ratingmill.plans import ratings as _ratings  # noqa: F401  its SQL is used below
 from ratingmill.plans.base import AS_OF, BODIES, part, query, rounded
-from ratingmill.operators import pools, replay
+from ratingmill.operators import pools, replay, summaries
 from ratingmill.operators import ratings as R
 from ratingmill.sources import feeds, landing, ledger, schemas, tables
 from ratingmill.sources.shared import shared_folder
@@ -47,7 +47,7 @@ def _schedule(f):
     game = F.struct(F.col("game_id").cast("string").alias("gameId"), F.when(F.col("game_id") % 7 == 0, 1).otherwise(3).alias("gameStatus"), side("home").alias("homeTeam"), side("away").alias("awayTeam"))
     days = f.games.groupBy("date").agg(F.collect_list(game).alias("games"))
     day = F.struct(F.date_format("date", "MM/dd/yyyy HH:mm:ss").alias("gameDate"), "games")
-    return days.groupBy(F.year("date")).agg(F.collect_list(day).alias("gameDates")).select(F.to_json(F.struct("gameDates")).alias("value"))
+    return days.select(F.to_json(F.struct(F.array(day).alias("gameDates"))).alias("value"))
 
 
 query("io5_schedule", lambda f: feeds.parse_schedule(_schedule(f), f.arenas.where("team_id % 10 <> 3").select(F.concat(F.lit("T"), "team_id").alias("code"), "team_id"), "1999-10-01", str(AS_OF)).select(F.col("game_id").cast("long"), "date", "home_team_id", "away_team_id", "winner_team_id"), "done", f"select game_id, date, home_team_id, away_team_id, case when home_score > away_score then home_team_id when away_score > home_score then away_team_id end as winner_team_id from done where date between date '1999-10-01' and date '{AS_OF}' and game_id % 7 <> 0 and home_team_id % 10 <> 3 and away_team_id % 10 <> 3")
@@ -253,3 +253,21 @@ def _in_place(f):
 query("s2_in_place", _in_place, "games", """
 , d as (select distinct date from games where day(date) = 3 and game_id % 2 = 0)
 select game_id, home_score + case when date in (select date from d) then 1 else 0 end as home_score, date from games where date >= date '1998-01-01' and (date not in (select date from d) or game_id % 2 = 0)""")
+
+
+def _sketched(f):
+    """Players and ratings by season from kept sketches, one season of them added later, against the exact figures."""
+    path = shared_folder(f.spark)
+    on = f.box.select("player_id", "points", parse.season_start(F.col("date")).alias("season"))
+    for part_ in ("season < 1998", "season >= 1998"):
+        summaries.keep_sketches(summaries.season_sketches(on.where(part_), F.col("season"), "player_id", "points"), path)
+    like = summaries.season_sketches(on, F.col("season"), "player_id", "points")
+    got = summaries.merged(summaries.kept_sketches(like, path))
+    q = F.col("quantiles")
+    ranks = [((F.count_if(F.col("points") < q[k]) / F.count("*") <= r + summaries.KLL_ERROR) & (F.count_if(F.col("points") <= q[k]) / F.count("*") >= r - summaries.KLL_ERROR)).alias(f"q{k}") for k, r in enumerate((0.25, 0.5, 0.75))]
+    exact = on.crossJoin(F.broadcast(got)).groupBy("rows", "entities", "quantiles").agg(F.count("*").alias("n"), F.count_distinct("player_id").alias("players"), *ranks)  # one row
+    near = F.abs(F.col("entities") - F.col("players")) <= summaries.HLL_ERROR * F.col("players")
+    return exact.select("n", "players", (F.col("rows") == F.col("n")).alias("all_rows"), near.alias("players_near"), (F.col("q0") & F.col("q1") & F.col("q2")).alias("quantiles_near"))
+
+
+query("a15_a17_sketches", _sketched, "box", "select count(*) as n, count(distinct player_id) as players, true as all_rows, true as players_near, true as quantiles_near from box")

@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 from ratingmill.functions import parse
 from ratingmill.operators import aggregates as A
 from ratingmill.operators import games as G
+from ratingmill.operators import summaries as U
 from ratingmill.plans.base import AS_OF, DAY, EXP, SEASON, query, rounded
 from ratingmill.sources import tables as T
 
+
+def _quarter_moments(f):
+    """Lines of each quarter's home margin before a day, from moments by day and quarter."""
+    q = f.quarters.select("game_id", "date", "is_home", F.posexplode(F.array("q1", "q2", "q3", "q4")).alias("k", "points"))
+    margin = q.groupBy("game_id", "date", "k").agg(F.sum(F.when(F.col("is_home"), F.col("points")).otherwise(-F.col("points"))).alias("margin"))
+    diff = f.hist.groupBy("game_id").agg(F.sum(F.when(F.col("is_home"), F.col("rating_before")).otherwise(-F.col("rating_before"))).alias("diff"))
+    rows = margin.join(diff, "game_id").withColumn("quarter", F.col("k") + 1)
+    by = ("date", "quarter")
+    old, new = (U.daily_moments(rows.where(on), "diff", "margin", by) for on in ("game_id % 2 = 0", "game_id % 2 = 1"))
+    return U.fit_moments(U.add_moments(old, new, by), U.before(AS_OF), ("quarter",)).select("quarter", "slope", "intercept", "train_r2", "train_n")
+
+
 # P: projections and filters
 query("p1_completed", lambda f: G.completed(f.games).select("game_id", "home_score", "away_score"), "done", "select game_id, home_score, away_score from done")
 query("p1_completed_both", lambda f: G.completed(f.games, "both").agg(F.count("*").alias("n")), "games", "select count(*) as n from games where home_score > 0 and away_score > 0")
@@ -114,6 +127,15 @@ e as (select y, y - s * x - i as err, date < {DAY} as early from t, m)
 select (select round(s, 5) from m) as slope, (select round(i, 5) from m) as intercept,
  round(1 - sum(err * err) filter (early) / (var_pop(y) filter (early) * count(*) filter (early)), 5) as train_r2, round(avg(abs(err)) filter (early), 5) as train_mae, count(*) filter (early) as train_n,
  round(1 - sum(err * err) filter (not early) / (var_pop(y) filter (not early) * count(*) filter (not early)), 5) as holdout_r2, round(avg(abs(err)) filter (not early), 5) as holdout_mae, count(*) filter (not early) as holdout_n from e""")
+query("a19_from_moments", lambda f: rounded(U.fit_moments(U.daily_moments(G.elo_training_set(f.done, f.hist).join(f.done.select("game_id", F.col("date").alias("day")), "game_id").withColumn("date", F.col("day")), "elo_diff", "actual_margin"), U.before(AS_OF)), "slope", "intercept", "train_r2", "holdout_r2", digits=5), "hist", f"""
+, t as (select h.date, h.rating_before - a.rating_before as x, cast(h.team_score - a.team_score as double) as y from hist h join hist a on a.game_id = h.game_id and h.is_home and not a.is_home),
+m as (select regr_slope(y, x) as s, regr_intercept(y, x) as i from t where date < {DAY}), e as (select y, y - s * x - i as err, date < {DAY} as early from t, m)
+select (select round(s, 5) from m) as slope, (select round(i, 5) from m) as intercept, round(1 - sum(err * err) filter (early) / (var_pop(y) filter (early) * count(*) filter (early)), 5) as train_r2, count(*) filter (early) as train_n,
+ round(1 - sum(err * err) filter (not early) / (var_pop(y) filter (not early) * count(*) filter (not early)), 5) as holdout_r2, count(*) filter (not early) as holdout_n from e""")
+query("a20_from_moments", lambda f: rounded(_quarter_moments(f), "slope", "intercept", "train_r2", digits=5), "quarters hist", f"""
+, q as (select game_id, is_home, date, unnest([1, 2, 3, 4]) as quarter, unnest([q1, q2, q3, q4]) as points from quarters),
+t as (select h.quarter, r.rating_before - s.rating_before as x, cast(h.points - a.points as double) as y from q h join q a on a.game_id = h.game_id and a.quarter = h.quarter and h.is_home and not a.is_home join hist r on r.game_id = h.game_id and r.is_home join hist s on s.game_id = h.game_id and not s.is_home where h.date < {DAY})
+select quarter, round(regr_slope(y, x), 5) as slope, round(regr_intercept(y, x), 5) as intercept, round(regr_r2(y, x), 5) as train_r2, count(*) as train_n from t group by 1""")
 query("a20_quarter_models", lambda f: rounded(A.fit_quarter_models(f.quarters, f.hist), "slope", "intercept", "r2", "league_average", digits=5), "quarters hist", """
 , q as (select game_id, team_id, is_home, unnest([1, 2, 3, 4]) as quarter, unnest([q1, q2, q3, q4]) as points from quarters),
 g as (select quarter, q.game_id, cast(max(points) filter (q.is_home) - max(points) filter (not q.is_home) as double) as y, max(rating_before) filter (q.is_home) - max(rating_before) filter (not q.is_home) as x, avg(points) as mean
@@ -189,4 +211,12 @@ query("q7_extent", lambda f: A.extent(f.done, f.box), "box", "select first_a, la
 query("q8_plausible", lambda f: rounded(A.plausible(f.games), "plausible_share"), "games", "select count(*) as games, count(*) filter (home_score is null or away_score is null) as null_scores, round(avg(cast(home_score > 50 and away_score > 50 as int)), 6) as plausible_share from games")
 query("f1_names", lambda f: parse.normalized_names(f.names).where("name_key is not null").select("player_name", "name_key"), "names", r"select player_name, trim(regexp_replace(regexp_replace(strip_accents(lower(player_name)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) as name_key from names")
 query("f16_dates", lambda f: f.games.select("game_id", parse.parse_date(F.date_format("date", "yyyyMMdd")).alias("a"), parse.parse_date(F.date_format("date", "MM/dd/yyyy HH:mm:ss")).alias("b"), parse.parse_date(F.lit("oops")).alias("c"), parse.days_between(F.col("date"), F.lit(AS_OF)).alias("days")), "games", f"select game_id, date as a, date as b, cast(null as date) as c, date_diff('day', date, {DAY}) as days from games")
+query("f16_date_range", lambda f: parse.date_range(f.games.groupBy("pool").agg(F.min("date").alias("first"), F.date_add(F.min("date"), 40).alias("last")), "first", "last").groupBy(F.month("date").alias("month")).agg(F.count("*").alias("days")), "games", """
+, r as (select unnest(generate_series(first, first + interval 40 days, interval 1 day)) as d from (select pool, min(date) as first from games group by 1))
+select cast(month(d) as int) as month, count(*) as days from r group by 1""")
+query("f16_holidays", lambda f: f.games.select(F.year("date").alias("year")).distinct().select("year", F.explode(parse.holiday_schedule(F.col("year"))).alias("h")).join(f.games, F.col("date").between(F.col("h.post_period_start"), F.col("h.post_period_end"))).groupBy("year", "h.name", "h.penalty").agg(F.count("*").alias("games_after")), "games", """
+, y as (select distinct cast(year(date) as int) as year from games),
+h as (select year, name, penalty, make_date(year, m, d) as day from y, (values ('Christmas', 12, 25, 30.0::double), ('Thanksgiving', 11, 23, 10.0), ('All-Star Break', 2, 18, 15.0)) as t(name, m, d, penalty))
+select year, name, penalty, count(*) as games_after from h join games on date between day + 1 and day + 3 group by 1, 2, 3""")
+query("f22_matchups", lambda f: f.done.withColumn("m", F.when(F.col("game_id") % 2 == 0, F.concat(F.lit("H"), "home_team_id", F.lit(" vs. A"), "away_team_id")).otherwise(F.concat(F.lit("A"), "away_team_id", F.lit("  @ H"), "home_team_id"))).select("game_id", parse.matchup_teams(F.col("m"))[0].alias("home"), parse.matchup_teams(F.col("m"))[1].alias("away")), "done", "select game_id, 'H' || home_team_id as home, 'A' || away_team_id as away from done")
 query("f22_keys", lambda f: f.done.select("game_id", parse.feed_id(F.col("game_id")).alias("feed_id"), parse.game_key(F.col("date"), F.col("home_team_id"), F.col("away_team_id")).alias("key")), "done", "select game_id, lpad(cast(game_id as varchar), 10, '0') as feed_id, strftime(date, '%Y%m%d') || '_' || home_team_id || '_' || away_team_id as key from done")

@@ -78,7 +78,7 @@ select case when bpm >= 8 then 'Elite' when bpm >= 5 then 'Excellent' when bpm >
 _RANKED = ", k as (select r.*, x.rating, row_number() over (partition by r.team_id order by x.rating desc, r.player_id) as rk from roster r join ratings x using (player_id))"
 _ROSTER_ELO = "select team_id, sum(rating * (1 - 0.05 * (rk - 1))) / sum(1 - 0.05 * (rk - 1)) as e from (select team_id, rating, row_number() over (partition by team_id order by rating desc, player_id) as rk from k {w}) where rk <= 10 group by 1"
 query("r5_roster_elo", lambda f: rounded(R.roster_elo(f.roster, f.ratings, _out(f)), "roster_elo"), "ratings injuries", _RANKED + f", e as ({_ROSTER_ELO.format(w=f'where player_name not in {_INJURED}')}) select t.team_id, round(coalesce(e, 1500), 6) as roster_elo from (select distinct team_id from roster) t left join e using (team_id)")
-query("r6_hybrid_rating", lambda f: rounded(R.hybrid_rating(f.hist.groupBy("team_id").agg(F.max("rating_after").alias("rating")), R.roster_elo(f.roster, f.ratings)).select("team_id", "hybrid"), "hybrid"), "hist ratings", _RANKED + f", e as ({_ROSTER_ELO.format(w='')}) select t.team_id, round(0.75 * r + 0.25 * coalesce(e, 1500), 6) as hybrid from (select team_id, max(rating_after) as r from hist group by 1) t left join e using (team_id)")
+query("r6_hybrid_rating", lambda f: rounded(R.hybrid_rating(f.hist.groupBy("team_id").agg(F.max_by("rating_after", F.struct("date", "game_id")).alias("rating")), R.roster_elo(f.roster, f.ratings)).select("team_id", "hybrid"), "hybrid"), "hist ratings", _RANKED + f", e as ({_ROSTER_ELO.format(w='')}) select t.team_id, round(0.75 * r + 0.25 * coalesce(e, 1500), 6) as hybrid from (select team_id, arg_max(rating_after, (date, game_id)) as r from hist group by 1) t left join e using (team_id)")
 _INJ = _RANKED + f""", m as (select team_id, avg(rating) as m from k where rk <= 10 group by 1),
 j as (select k.team_id, rk, greatest(-80, -(rating - m) / 10 * case when rk <= 3 then 1.5 when rk <= 7 then 1 when rk <= 10 then 0.5 else 0.25 end) as v from k join m using (team_id) where player_name in {_INJURED}),
 s as (select team_id, greatest(-150, sum(v)) as adj, count(*) filter (rk <= 3) as a, count(*) filter (rk between 4 and 7) as b, count(*) filter (rk between 8 and 10) as c, count(*) filter (rk > 10) as d from j group by 1)"""

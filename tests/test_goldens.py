@@ -205,14 +205,14 @@ def test_adaptive_weights(spark):
 
 
 GAMES = "game_id long, date date, home_team_id long, away_team_id long, home_score long, away_score long"
-HIST = "game_id long, date date, team_id long, rating_before double, rating_after double"
+HIST = "game_id long, date date, team_id long, rating_before double, rating_after double, is_home boolean"
 
 
 def _met(spark, scores=((120, 100), (118, 100), (119, 100))):
     """Games of 1 at home against 2, months apart, and one more; ratings of both."""
     days = [DAY - timedelta(100 * (len(scores) - k)) for k in range(len(scores))]
     games = [(k, d, 1, 2, *s) for k, (d, s) in enumerate(zip(days, scores, strict=True))] + [(99, DAY, 1, 2, 100, 90)]
-    hist = [(k, d, t, 1500.0, 1510.0 if t == 1 else 1490.0) for k, d in enumerate(days) for t in (1, 2)] + [(99, DAY, t, 1500.0, 1500.0) for t in (1, 2)]
+    hist = [(k, d, t, 1500.0, 1510.0 if t == 1 else 1490.0, t == 1) for k, d in enumerate(days) for t in (1, 2)] + [(99, DAY, t, 1500.0, 1500.0, t == 1) for t in (1, 2)]
     return spark.createDataFrame(games, GAMES), spark.createDataFrame(hist, HIST)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ratingmill.functions import parse
 from ratingmill.functions import scores as S
 from ratingmill.operators import games as G
+from ratingmill.operators import predict as P
 from ratingmill.operators import ratings as R
 from ratingmill.operators import windows as W
 from ratingmill.sources import feeds, tables
@@ -100,6 +101,18 @@ def test_one_exchange_for_all_team_features(frames):
     assert plan.count("Exchange hashpartitioning(team_id") == 1
 
 
+def test_hybrid_prediction_has_few_exchanges(spark, frames, tmp_path):
+    """One join brings ratings to the team rows, one exchange serves all team windows, one pivot leads back to games."""
+    kept = {}
+    for name in ("done", "hist", "arenas"):  # without the exchanges of the derived tables
+        getattr(frames, name).write.parquet(str(tmp_path / name))
+        kept[name] = spark.read.parquet(str(tmp_path / name))
+    team = spark.createDataFrame([(1, 1500.0, 0.0)], "team_id long, roster_elo double, injury_adjustment double")
+    plan = P.predict_hybrid(kept["done"], kept["hist"], kept["done"], team, team, kept["arenas"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(team_id") == 1
+    assert plan.count("Exchange hashpartitioning(") <= 8 and "Cartesian" not in plan
+
+
 def test_worked_examples(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x

@@ -3,12 +3,14 @@
 import os
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ratingmill.operators import games as G
 from ratingmill.operators import pools, replay
 from ratingmill.operators import ratings as R
+from ratingmill.operators import summaries as U
 from ratingmill.operators.rosters import figures, roster_figures
 from ratingmill.sources import landing, ledger, tables
 
@@ -184,3 +186,30 @@ def test_figures():
     assert figures(ranked, 10) == (pytest.approx((1800 + 0.95 * 1600) / 1.95), 0.0)
     assert figures([(2400.0, True)] + [(1400.0, False)] * 9, 10)[1] == pytest.approx(-80)
     assert figures([], 10) == (1500.0, 0.0)
+
+
+def test_summaries_add_up(spark, tmp_path):
+    rows = [(DAY + timedelta(k % 7), float(k * 37 % 101), float(k * 11 % 53) if k % 9 else None, k % 7) for k in range(200)]
+    df = spark.createDataFrame(rows, "date date, a double, b double, part int")
+    old, new = (U.daily_moments(df.where(on), "a", "b") for on in ("part < 3", "part >= 2"))
+    whole = U.fit_moments(U.add_moments(old, U.daily_moments(df.where("part >= 3"), "a", "b")), U.before(DAY + timedelta(4))).first()
+    on = [(a, b) for d, a, b, _ in rows if b is not None and d < DAY + timedelta(4)]
+    off = [(a, b) for d, a, b, _ in rows if b is not None and d >= DAY + timedelta(4)]
+    slope, intercept = np.polyfit(*zip(*on, strict=True), 1)
+    share = lambda x: 1 - sum((b - slope * a - intercept) ** 2 for a, b in x) / (np.var([b for _, b in x]) * len(x))
+    assert (whole.slope, whole.intercept, whole.train_r2, whole.holdout_r2) == tuple(pytest.approx(v) for v in (slope, intercept, share(on), share(off)))
+    assert (whole.train_n, whole.holdout_n) == (len(on), len(off)) and new.count() == 5
+    flat = U.fit_moments(U.daily_moments(df.withColumn("a", F.lit(1.0)), "a", "b"), U.before(DAY)).first()
+    assert flat.slope is None and flat.train_n == 0
+
+
+def test_new_seasons_leave_other_sketches_alone(spark, tmp_path):
+    path = str(tmp_path / "s")
+    df = spark.createDataFrame([(1990 + k % 4, k % 700, float(k % 50)) for k in range(4000)], "season int, player long, points double")
+    make = lambda on: U.season_sketches(df.where(on), F.col("season"), "player", "points")
+    U.keep_sketches(make("season < 1993"), path)
+    before = files(path)
+    U.keep_sketches(make("season = 1993"), path)
+    assert before.items() <= files(path).items()
+    got = U.merged(U.kept_sketches(make("true"), path)).first()
+    assert got.rows == 4000 and abs(got.entities - 700) <= U.HLL_ERROR * 700 and all(abs(q - w) <= 50 * U.KLL_ERROR + 1 for q, w in zip(got.quantiles, (12, 25, 37), strict=True))
