@@ -162,7 +162,7 @@ def player_pairs(box: DataFrame, players: DataFrame | None = None) -> DataFrame:
     self-join, whose output is bounded by the square of a game's players, not of a player's games."""
     on = box.where("minutes > 0 and not didNotPlay")
     if players is not None:
-        on = on.join(players.select("player_id").distinct(), "player_id", "left_semi")
+        on = on.join(small_side(players.select("player_id").distinct()), "player_id", "left_semi")
     side = lambda k: on.select("game_id", F.col("date").alias(f"date{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("player_id", "team_id", "plus_minus", "points")])
     pairs = side(1).join(side(2).drop("date2"), "game_id").where("team_id1 <> team_id2 and player_id1 < player_id2")
     return pairs.withColumnRenamed("date1", "date")

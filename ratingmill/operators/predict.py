@@ -11,6 +11,7 @@ from ratingmill.functions import scores as S
 from ratingmill.operators import windows as W
 from ratingmill.operators.games import asof_ratings, small_side, to_long
 from ratingmill.operators.ratings import with_concentration
+from ratingmill.sources.shared import shared_folder, stage
 
 _BOTH = ("home", "away")
 
@@ -148,13 +149,13 @@ def player_h2h(games: DataFrame, box: DataFrame, tops: DataFrame, n: int = 10, c
     from ratingmill.operators.games import player_pairs
 
     tops = tops.withColumn("known", F.count("*").over(Window.partitionBy("team_id"))).where("known >= 2").drop("known")
-
+    tops = stage(tops.select("player_id", "team_id", "rating"), shared_folder(tops.sparkSession))  # read four times, a few rows a team
     pairs = player_pairs(box, tops)
     w = Window.partitionBy("player_id1", "player_id2").orderBy(F.desc("game_id"))
     last = pairs.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
     met = last.groupBy("player_id1", "player_id2").agg(F.count("*").alias("met"), F.avg((F.col("plus_minus1") - F.col("plus_minus2")).cast("double")).alias("diff")).where(F.col("met") >= least)
     t = lambda k: tops.select(F.col("player_id").alias(f"player_id{k}"), F.col("team_id").alias(f"team{k}"), F.col("rating").alias(f"r{k}"))
-    both = met.join(t(1), "player_id1").join(t(2), "player_id2").where("team1 <> team2")
+    both = met.join(small_side(t(1)), "player_id1").join(small_side(t(2)), "player_id2").where("team1 <> team2")
     first = F.col("team1") < F.col("team2")
     weight = (F.col("r1") + F.col("r2")) / 4000
     value = F.when(first, 1).otherwise(-1) * F.col("diff") / 5 * 10
