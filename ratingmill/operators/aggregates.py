@@ -80,8 +80,13 @@ def performance_summary(pred: DataFrame, start: date | None = None, end: date |
     return pred.agg(*aggs, F.avg(c).alias("avg_confidence"), F.count_if(~F.col("correct")).alias("upsets"), _share(~F.col("correct")).alias("upset_rate"))
 
 
-def daily_stats(pred: DataFrame) -> DataFrame:
-    return pred.groupBy("date").agg(F.count("*").alias("games"), F.count_if("correct").alias("correct"), _share(F.col("correct")).alias("accuracy"), F.avg("confidence").alias("avg_confidence"))
+def daily_stats(pred: DataFrame, close: float = 100) -> DataFrame:
+    """Each day's predictions, those with an outcome (``correct`` isn't null) and how many of these are right, close games and
+    enhanced predictions (A7)."""
+    return pred.groupBy("date").agg(
+        F.count("*").alias("games"), F.count("correct").alias("completed"), F.count_if("correct").alias("correct"), _share(F.col("correct")).alias("accuracy"),
+        F.count_if(F.abs("elo_diff") < close).alias("close_games"), F.count_if("enhanced").alias("enhanced_games"), F.avg("confidence").alias("avg_confidence"),
+    )
 
 
 def by_confidence(pred: DataFrame, edges: list[float], right_closed: bool = False) -> DataFrame:
@@ -188,18 +193,21 @@ def quarters_long(quarters: DataFrame) -> DataFrame:
 
 
 def fit_quarter_models(quarters: DataFrame, hist: DataFrame) -> DataFrame:
-    """A line for each quarter: home margin on rating difference; and the mean points."""
+    """A line for each quarter: home margin on rating difference, its mean error on the games it is fitted to, and
+    the mean points (A20)."""
     q = quarters_long(quarters).join(hist.select("game_id", "team_id", "rating_before"), ["game_id", "team_id"])
     pick = lambda at, c: F.max(F.when(F.col("is_home") == at, F.col(c)))
     g = q.groupBy("game_id", "quarter").agg((pick(True, "points") - pick(False, "points")).cast("double").alias("y"), (pick(True, "rating_before") - pick(False, "rating_before")).alias("x"), F.avg("points").alias("mean"))
-    return g.groupBy("quarter").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.avg("mean").alias("league_average"), F.count("*").alias("games"))
+    lines = g.groupBy("quarter").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.avg("mean").alias("league_average"), F.count("*").alias("games"))
+    off = g.join(F.broadcast(lines), "quarter").groupBy("quarter").agg(F.avg(F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))).alias("mae"))  # four rows
+    return lines.join(F.broadcast(off), "quarter")
 
 
 def league_average(games: DataFrame, holdout_start: date, least: int = 50) -> DataFrame:
-    """Mean points of a side since ``holdout_start`` if there are enough games, else of three years before."""
-    done = completed(games).withColumn("points", (F.col("home_score") + F.col("away_score")) / 2)
+    """Mean points of a side in regular games since ``holdout_start`` if there are enough, else since three years before."""
+    done = games.where("season_type = 'regular' and home_score > 0").withColumn("points", (F.col("home_score") + F.col("away_score")) / 2)
     new = F.col("date") >= F.lit(holdout_start)
-    old = ~new & (F.col("date") >= F.add_months(F.lit(holdout_start), -36))
+    old = F.col("date") >= F.add_months(F.lit(holdout_start), -36)
     t = done.agg(F.count_if(new).alias("n"), F.avg(F.when(new, F.col("points"))).alias("a"), F.avg(F.when(old, F.col("points"))).alias("b"))
     return t.select(F.when(F.col("n") >= least, F.col("a")).otherwise(F.col("b")).alias("league_average"), (F.col("n") >= least).alias("from_holdout"))
 
@@ -211,6 +219,13 @@ def quarter_distribution(quarters: DataFrame) -> DataFrame:
     return q.agg(F.count("*").alias("n"), F.avg("points").alias("mean"), F.stddev_samp("points").alias("std"), F.min("points").alias("low"), F.max("points").alias("high"))
 
 
+def quarter_averages(quarters: DataFrame) -> DataFrame:
+    """Mean and deviation of a game's points of a side in each quarter, and how much the fourth is above the first."""
+    g = quarters.groupBy("game_id").agg(*[F.avg(f"q{k}").alias(f"q{k}") for k in range(1, 5)])
+    t = g.agg(*[f(f"q{k}").alias(f"{n}_q{k}") for k in range(1, 5) for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    return t.withColumn("late_delta", F.col("mean_q4") - F.col("mean_q1"))
+
+
 def odds_consensus(odds: DataFrame) -> DataFrame:
     """Mean probability and price of each game and side over the books, and all probabilities."""
     from ratingmill.functions.scores import american_to_probability

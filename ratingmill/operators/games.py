@@ -89,6 +89,12 @@ def past_predictions(pred: DataFrame, as_of: date | None = None, days: int | Non
     return out.orderBy(F.desc("date"), F.desc("game_id"))
 
 
+def past_summary(pred: DataFrame, as_of: date | None = None, days: int | None = None) -> DataFrame:
+    """Games, right picks and accuracy of ``past_predictions`` (P10)."""
+    on = past_predictions(pred, as_of, days)
+    return on.agg(F.count("correct").alias("games"), F.count_if("correct").alias("right"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.max("date").alias("last_date"))
+
+
 def elo_training_set(games: DataFrame, hist: DataFrame) -> DataFrame:
     """Rating difference and margin of each game, from its two history rows by one pivot."""
     pick = lambda at, c: F.max(F.when(F.col("is_home") == at, F.col(c)))

@@ -43,6 +43,8 @@ select game_id, date, rating_after, date_diff('day', lag(date) over w, date) - 1
 from hist where team_id = 100 window w as (order by date, game_id)""")
 query("p10_past_predictions", lambda f: G.past_predictions(f.pred, AS_OF, 14).select("game_id", "date", "home_win_prob", "correct"), "pred", f"select game_id, date, home_win_prob, correct from pred where date between {DAY} - 14 and {DAY}")
 
+query("p10_summary", lambda f: rounded(G.past_summary(f.pred, AS_OF, 14), "accuracy"), "pred", f"select count(correct) as games, count(*) filter (correct) as right, round(avg(cast(correct as int)), 6) as accuracy, max(date) as last_date from pred where date between {DAY} - 14 and {DAY}")
+
 # J: joins
 query("j1_training_set", lambda f: G.elo_training_set(f.done, f.hist).select("game_id", "elo_diff", "actual_margin"), "hist", "select h.game_id, h.rating_before - a.rating_before as elo_diff, h.team_score - a.team_score as actual_margin from hist h join hist a on a.game_id = h.game_id and h.is_home and not a.is_home")
 query("j2_left_default", lambda f: G.left_default(f.roster, f.ratings.where("player_id % 3 <> 0")).select("player_id", "rating"), "ratings", "select r.player_id, coalesce(x.rating, 1500) as rating from roster r left join ratings x on x.player_id = r.player_id and x.player_id % 3 <> 0")
@@ -106,7 +108,7 @@ _CUTS = {"overall": "true", "home_pick": "picked_home", "away_pick": "not picked
 query("a6_performance", lambda f: rounded(A.performance_summary(f.pred, end=AS_OF, as_of=AS_OF), *[f"{k}_accuracy" for k in _CUTS], "home_win_rate", "avg_confidence", "upset_rate"), "pred", "select " + ", ".join(f"count(*) filter ({c}) as {k}_games, case when count(*) filter ({c}) >= {1 if k in ('overall', 'large', 'recent') else 10} then round(avg(cast(correct as int)) filter ({c}), 6) end as {k}_accuracy" for k, c in _CUTS.items()) + f""",
  round(avg(cast(home_score > away_score as int)), 6) as home_win_rate, count(*) filter (picked_home and home_score > away_score) as home_predicted_correct, count(*) filter (not picked_home and home_score <= away_score) as away_predicted_correct,
  round(avg(confidence), 6) as avg_confidence, count(*) filter (not correct) as upsets, round(avg(cast(not correct as int)), 6) as upset_rate from pred where date <= {DAY}""")
-query("a7_daily", lambda f: rounded(A.daily_stats(f.pred), "accuracy", "avg_confidence"), "pred", "select date, count(*) as games, count(*) filter (correct) as correct, round(avg(cast(correct as int)), 6) as accuracy, round(avg(confidence), 6) as avg_confidence from pred group by 1")
+query("a7_daily", lambda f: rounded(A.daily_stats(f.pred), "accuracy", "avg_confidence"), "pred", "select date, count(*) as games, count(correct) as completed, count(*) filter (correct) as correct, round(avg(cast(correct as int)), 6) as accuracy, count(*) filter (abs(elo_diff) < 100) as close_games, count(*) filter (enhanced) as enhanced_games, round(avg(confidence), 6) as avg_confidence from pred group by 1")
 query("a8_by_confidence", lambda f: rounded(A.by_confidence(f.pred, [0.5, 0.55, 0.6, 0.7, 0.8, 1.0]), "accuracy", "avg_confidence"), "pred", "select case when confidence < 0.55 then 0.5 when confidence < 0.6 then 0.55 when confidence < 0.7 then 0.6 when confidence < 0.8 then 0.7 else 0.8 end::double as bin, count(*) as games, round(avg(cast(correct as int)), 6) as accuracy, round(avg(confidence), 6) as avg_confidence from pred where confidence < 1 group by 1")
 query("a8_by_confidence_closed", lambda f: rounded(A.by_confidence(f.pred, [k / 20 for k in range(10, 21)], True), "accuracy", "avg_confidence"), "pred", """
 select greatest(0.5, (cast(ceil(round(confidence * 100) / 5) as int) - 1) * 5 / 100)::double as bin, count(*) as games, round(avg(cast(correct as int)), 6) as accuracy, round(avg(confidence), 6) as avg_confidence from pred group by 1""")
@@ -136,12 +138,21 @@ query("a20_from_moments", lambda f: rounded(_quarter_moments(f), "slope", "inter
 , q as (select game_id, is_home, date, unnest([1, 2, 3, 4]) as quarter, unnest([q1, q2, q3, q4]) as points from quarters),
 t as (select h.quarter, r.rating_before - s.rating_before as x, cast(h.points - a.points as double) as y from q h join q a on a.game_id = h.game_id and a.quarter = h.quarter and h.is_home and not a.is_home join hist r on r.game_id = h.game_id and r.is_home join hist s on s.game_id = h.game_id and not s.is_home where h.date < {DAY})
 select quarter, round(regr_slope(y, x), 5) as slope, round(regr_intercept(y, x), 5) as intercept, round(regr_r2(y, x), 5) as train_r2, count(*) as train_n from t group by 1""")
-query("a20_quarter_models", lambda f: rounded(A.fit_quarter_models(f.quarters, f.hist), "slope", "intercept", "r2", "league_average", digits=5), "quarters hist", """
+query("a20_quarter_models", lambda f: rounded(A.fit_quarter_models(f.quarters, f.hist), "slope", "intercept", "r2", "league_average", "mae", digits=5), "quarters hist", """
 , q as (select game_id, team_id, is_home, unnest([1, 2, 3, 4]) as quarter, unnest([q1, q2, q3, q4]) as points from quarters),
 g as (select quarter, q.game_id, cast(max(points) filter (q.is_home) - max(points) filter (not q.is_home) as double) as y, max(rating_before) filter (q.is_home) - max(rating_before) filter (not q.is_home) as x, avg(points) as mean
- from q join hist using (game_id, team_id) group by 1, 2)
-select quarter, round(regr_slope(y, x), 5) as slope, round(regr_intercept(y, x), 5) as intercept, round(regr_r2(y, x), 5) as r2, round(avg(mean), 5) as league_average, count(*) as games from g group by 1""")
-query("a21_league_average", lambda f: rounded(A.league_average(f.games, AS_OF), "league_average"), "done", f"select round(avg((home_score + away_score) / 2), 6) as league_average, true as from_holdout from done where date >= {DAY}")
+ from q join hist using (game_id, team_id) group by 1, 2),
+l as (select quarter, regr_slope(y, x) as s, regr_intercept(y, x) as i from g group by 1)
+select quarter, round(any_value(s), 5) as slope, round(any_value(i), 5) as intercept, round(regr_r2(y, x), 5) as r2, round(avg(mean), 5) as league_average, count(*) as games, round(avg(abs(y - s * x - i)), 5) as mae from g join l using (quarter) group by 1""")
+query("a21_league_average", lambda f: rounded(A.league_average(f.games, AS_OF), "league_average"), "done", f"""
+, r as (select date, (home_score + away_score) / 2 as p from done where season_type = 'regular' and home_score > 0)
+select round(case when count(*) filter (date >= {DAY}) >= 50 then avg(p) filter (date >= {DAY}) else avg(p) filter (date >= {DAY} - interval 36 months) end, 6) as league_average, count(*) filter (date >= {DAY}) >= 50 as from_holdout from r""")
+query("a21_sparse", lambda f: rounded(A.league_average(f.games, date(2005, 1, 1), 10**9).drop("from_holdout"), "league_average").unionByName(rounded(A.league_average(f.games, AS_OF, 10**9).drop("from_holdout"), "league_average")), "done", f"""
+, r as (select date, (home_score + away_score) / 2 as p from done where season_type = 'regular' and home_score > 0)
+select round(avg(p), 6) as league_average from r where date >= date '2002-01-01' union all select round(avg(p), 6) from r where date >= {DAY} - interval 36 months""")
+query("a22_quarter_averages", lambda f: rounded(A.quarter_averages(f.quarters), *[f"{n}_q{k}" for n in ("mean", "std") for k in range(1, 5)], "late_delta"), "quarters", """
+, g as (select game_id, avg(q1) as q1, avg(q2) as q2, avg(q3) as q3, avg(q4) as q4 from quarters group by 1)
+select """ + ", ".join(f"round(avg(q{k}), 6) as mean_q{k}, round(stddev_samp(q{k}), 6) as std_q{k}" for k in range(1, 5)) + ", round(avg(q4) - avg(q1), 6) as late_delta from g")
 query("a22_quarter_distribution", lambda f: rounded(A.quarter_distribution(f.quarters), "mean", "std"), "quarters", """
 , q as (select case when is_home then 'home' else 'away' end as side, unnest([1, 2, 3, 4]) as quarter, unnest([q1, q2, q3, q4]) as points from quarters)
 select side, quarter, count(*) as n, round(avg(points), 6) as mean, round(stddev_samp(points), 6) as std, min(points) as low, max(points) as high from q group by grouping sets ((side, quarter), (quarter), ())""")

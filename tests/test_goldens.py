@@ -305,3 +305,23 @@ def test_parlays_of_very_low_risk(spark):
     assert out[2].decimal_odds == pytest.approx(two) and out[2].combined_odds == int(-100 / (two - 1))
     day = P.betting_summary(report).orderBy("date").first()
     assert (day.total_games, day.total_recommended, day.very_low_count, day.low_count, day.top_games) == (4, 4, 3, 1, "1,2,3,4")
+
+
+def test_league_average(spark):
+    """Regular games with home points only; too few since the start, then all since three years before it."""
+    rows = [(date(2024, 11, 1), "regular", 110, 100), (date(2024, 11, 2), "playoff", 150, 150), (date(2024, 11, 3), "regular", 0, 20), (date(2022, 1, 1), "regular", 90, 80), (date(2021, 1, 1), "regular", 10, 10)]
+    games = spark.createDataFrame(rows, "date date, season_type string, home_score long, away_score long")
+    few, enough = (A.league_average(games, date(2024, 10, 1), n).first() for n in (2, 1))
+    assert (few.league_average, few.from_holdout) == (95.0, False) and (enough.league_average, enough.from_holdout) == (105.0, True)
+
+
+def test_daily_statistics(spark):
+    rows = [(DAY, True, 99.0, True, 0.6), (DAY, False, -100.0, False, 0.7), (DAY, None, -5.0, True, 0.8)]
+    out = A.daily_stats(spark.createDataFrame(rows, "date date, correct boolean, elo_diff double, enhanced boolean, confidence double")).first()
+    assert (out.games, out.completed, out.correct, out.accuracy, out.close_games, out.enhanced_games, out.avg_confidence) == (3, 2, 1, 0.5, 2, 2, pytest.approx(0.7))
+
+
+def test_quarter_averages(spark):
+    rows = [(1, 20, 25, 25, 30), (1, 30, 25, 25, 30), (2, 20, 25, 27, 24), (2, 20, 25, 27, 24)]
+    out = A.quarter_averages(spark.createDataFrame(rows, "game_id long, q1 int, q2 int, q3 int, q4 int")).first()
+    assert (out.mean_q1, out.std_q1, out.mean_q4, out.late_delta) == (22.5, pytest.approx(12.5**0.5), 27.0, 4.5)
