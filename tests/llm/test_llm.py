@@ -324,7 +324,7 @@ def test_decontamination(spark, sf_dir, docs, odd, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(((r[0], *brute_hits(r[1], items)) for r in rows), key=repr)
     assert sorted((tuple(r) for r in decontam.search(frame(spark, rows), ["doc_id"], benchmark).collect()), key=repr) == want
-    monkeypatch.setattr(decontam.parts, "__defaults__", (2000,))  # several tables
+    monkeypatch.setattr(decontam, "TABLE_BYTES", 2000)  # a benchmark too large for tables
     assert sorted((tuple(r) for r in decontam.search(frame(spark, rows), ["doc_id"], benchmark).collect()), key=repr) == want
     assert not any(r.contaminated for r in decontam.search(frame(spark, docs), ["doc_id"], benchmark.limit(0)).collect())
 
