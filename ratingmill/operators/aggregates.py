@@ -419,6 +419,8 @@ def extent(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def plausible(games: DataFrame, least: int = 50) -> DataFrame:
-    fine = (F.col("home_score") > least) & (F.col("away_score") > least)
+    """Games without a score, and shares of games with more than ``least`` points of the home side, the visitor, and both (Q8)."""
+    home, away = F.coalesce(F.col("home_score") > least, F.lit(False)), F.coalesce(F.col("away_score") > least, F.lit(False))
+    shares = [F.avg(on.cast("double")).alias(f"{name}_share") for name, on in (("home", home), ("away", away), ("plausible", home & away))]
     missing = F.col("home_score").isNull() | F.col("away_score").isNull()
-    return games.agg(F.count("*").alias("games"), F.count_if(missing).alias("null_scores"), F.avg(fine.cast("double")).alias("plausible_share"))
+    return games.agg(F.count("*").alias("games"), F.count_if(missing).alias("null_scores"), *shares)

@@ -50,8 +50,8 @@ def _schedule(f):
     return days.select(F.to_json(F.struct(F.array(day).alias("gameDates"))).alias("value"))
 
 
-query("io5_schedule", lambda f: feeds.parse_schedule(_schedule(f), f.arenas.where("team_id % 10 <> 3").select(F.concat(F.lit("T"), "team_id").alias("code"), "team_id"), "1999-10-01", str(AS_OF)).select(F.col("game_id").cast("long"), "date", "home_team_id", "away_team_id", "winner_team_id"), "done", f"select game_id, date, home_team_id, away_team_id, case when home_score > away_score then home_team_id when away_score > home_score then away_team_id end as winner_team_id from done where date between date '1999-10-01' and date '{AS_OF}' and game_id % 7 <> 0 and home_team_id % 10 <> 3 and away_team_id % 10 <> 3")
-query("io6_team_rows", lambda f: feeds.pair_team_rows(f.long.where("not (game_id % 8 = 0 and is_home)").select("game_id", "date", "team_id", F.when(F.col("is_home"), "AAA vs. BBB").otherwise("BBB @ AAA").alias("matchup"), F.col("team_score").alias("points"))), "done", "select game_id, date, home_team_id, away_team_id, home_score, away_score from done where game_id % 8 <> 0")
+query("io5_schedule", lambda f: feeds.parse_schedule(_schedule(f), f.arenas.where("team_id % 10 <> 3").select(F.concat(F.lit("T"), "team_id").alias("code"), "team_id"), "1999-10-01", str(AS_OF)).select(F.col("game_id").cast("long"), "date", "home_team_id", "away_team_id", "winner_team_id"), "done", f"select game_id, date, home_team_id, away_team_id, case when home_score > away_score then home_team_id else away_team_id end as winner_team_id from done where date between date '1999-10-01' and date '{AS_OF}' and game_id % 7 <> 0 and home_team_id % 10 <> 3 and away_team_id % 10 <> 3")
+query("io6_team_rows", lambda f: feeds.pair_team_rows(f.long.where("not (game_id % 8 = 0 and is_home)").select("game_id", "date", "team_id", F.when(F.col("is_home"), "AAA vs. BBB").otherwise("BBB @ AAA").alias("matchup"), F.col("team_score").alias("points"))), "done", "select game_id, date, home_team_id, away_team_id, home_score, away_score, case when home_score > away_score then home_team_id else away_team_id end as winner_team_id from done where game_id % 8 <> 0")
 
 
 def _injury_feed(f):

@@ -219,7 +219,7 @@ x as (select (select count(*) from done) as n_games, (select count(distinct game
 select n_games, n_covered, round(n_covered / n_games, 6) as share, round(m, 6) as mean_minutes, 0::bigint as missing, case when n_covered / n_games >= 0.95 and m between 235 and 245 then 'EXCELLENT' when n_covered / n_games >= 0.9 and m between 230 and 250 then 'GOOD' else 'NEEDS ATTENTION' end as verdict from x""")
 query("q6_freshness", lambda f: A.freshness({"games": f.done, "box": f.box}, date(2001, 8, 3)), "box", "select *, age > 3 as stale from (select 'games' as \"table\", max(date) as last_date, date_diff('day', max(date), date '2001-08-03') as age from done union all select 'box', max(date), date_diff('day', max(date), date '2001-08-03') from box)")
 query("q7_extent", lambda f: A.extent(f.done, f.box), "box", "select first_a, last_a, first_b, last_b, first_a = first_b and last_a = last_b as same from (select min(date) as first_a, max(date) as last_a from done), (select min(date) as first_b, max(date) as last_b from box)")
-query("q8_plausible", lambda f: rounded(A.plausible(f.games), "plausible_share"), "games", "select count(*) as games, count(*) filter (home_score is null or away_score is null) as null_scores, round(avg(cast(home_score > 50 and away_score > 50 as int)), 6) as plausible_share from games")
+query("q8_plausible", lambda f: rounded(A.plausible(f.games), "plausible_share", "home_share", "away_share"), "games", "select round(avg(cast(home_score > 50 as int)), 6) as home_share, round(avg(cast(away_score > 50 as int)), 6) as away_share, count(*) as games, count(*) filter (home_score is null or away_score is null) as null_scores, round(avg(cast(home_score > 50 and away_score > 50 as int)), 6) as plausible_share from games")
 query("f1_names", lambda f: parse.normalized_names(f.names).where("name_key is not null").select("player_name", "name_key"), "names", r"select player_name, trim(regexp_replace(regexp_replace(strip_accents(lower(player_name)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) as name_key from names")
 query("f16_dates", lambda f: f.games.select("game_id", parse.parse_date(F.date_format("date", "yyyyMMdd")).alias("a"), parse.parse_date(F.date_format("date", "MM/dd/yyyy HH:mm:ss")).alias("b"), parse.parse_date(F.lit("oops")).alias("c"), parse.days_between(F.col("date"), F.lit(AS_OF)).alias("days")), "games", f"select game_id, date as a, date as b, cast(null as date) as c, date_diff('day', date, {DAY}) as days from games")
 query("f16_date_range", lambda f: parse.date_range(f.games.groupBy("pool").agg(F.min("date").alias("first"), F.date_add(F.min("date"), 40).alias("last")), "first", "last").groupBy(F.month("date").alias("month")).agg(F.count("*").alias("days")), "games", """

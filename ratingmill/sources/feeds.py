@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.functions.parse import made_attempted, minutes
+from ratingmill.functions.parse import game_key, made_attempted, minutes
 from ratingmill.operators.games import small_side
 from ratingmill.sources import schemas as S
 
@@ -64,21 +64,22 @@ def parse_boxscore(raw: DataFrame) -> DataFrame:
 
 
 def parse_schedule(raw: DataFrame, crosswalk: DataFrame, start: str, end: str) -> DataFrame:
-    """Finished games (status 3) of a date range between teams that ``crosswalk`` (``code``, ``team_id``) knows."""
+    """Finished games (status 3) of a date range between teams that ``crosswalk`` (``code``, ``team_id``) knows. The visitor wins
+    a game that the home side doesn't; a game without an id is named by date and teams."""
     d = _json(raw, S.SCHEDULE_FEED).select(F.explode("j.gameDates").alias("d"))
     g = d.select(F.to_date(F.substring("d.gameDate", 1, 10), "MM/dd/yyyy").alias("date"), F.explode("d.games").alias("g"))
     g = g.where((F.col("g.gameStatus") == 3) & F.col("date").between(start, end)).where("not (g.homeTeam.score = 0 and g.awayTeam.score = 0)")
     team = lambda s: small_side(crosswalk.select(F.col("code").alias(f"{s}_code"), F.col("team_id").alias(f"{s}_team_id")))
     g = g.select("date", F.col("g.gameId").alias("game_id"), F.col("g.homeTeam.teamTricode").alias("home_code"), F.col("g.awayTeam.teamTricode").alias("away_code"), F.col("g.homeTeam.score").alias("home_score"), F.col("g.awayTeam.score").alias("away_score"))
     return g.join(team("home"), "home_code").join(team("away"), "away_code").select(
-        "game_id", "date", "home_team_id", "away_team_id", "home_score", "away_score",
-        F.when(F.col("home_score") > F.col("away_score"), F.col("home_team_id")).when(F.col("away_score") > F.col("home_score"), F.col("away_team_id")).alias("winner_team_id"),
+        F.coalesce("game_id", game_key(F.col("date"), F.col("home_team_id"), F.col("away_team_id"))).alias("game_id"), "date", "home_team_id", "away_team_id", "home_score", "away_score",
+        F.when(F.col("home_score") > F.col("away_score"), F.col("home_team_id")).otherwise(F.col("away_team_id")).alias("winner_team_id"),
     )
 
 
 def pair_team_rows(rows: DataFrame) -> DataFrame:
     """Two team rows (``game_id, date, team_id, matchup, points``) to one game; ``@`` marks the visitor.
-    Games that lack a side are dropped."""
+    Games that lack a side are dropped; the visitor wins a game that the home side doesn't."""
     away = F.contains("matchup", F.lit("@"))
     pick = lambda at, c: F.max(F.when(away if at else ~away, F.col(c)))
     games = rows.groupBy("game_id").agg(
@@ -88,7 +89,8 @@ def pair_team_rows(rows: DataFrame) -> DataFrame:
         pick(False, "points").alias("home_score"),
         pick(True, "points").alias("away_score"),
     )
-    return games.dropna(subset=["home_team_id", "away_team_id", "home_score", "away_score"])
+    games = games.dropna(subset=["home_team_id", "away_team_id", "home_score", "away_score"])
+    return games.withColumn("winner_team_id", F.when(F.col("home_score") > F.col("away_score"), F.col("home_team_id")).otherwise(F.col("away_team_id")))
 
 
 def parse_injuries(raw: DataFrame, include_questionable: bool = False) -> DataFrame:
