@@ -13,6 +13,7 @@ from ratingmill.operators import ratings as R
 from ratingmill.operators import summaries as U
 from ratingmill.operators.rosters import figures, roster_figures
 from ratingmill.sources import landing, ledger, tables
+from ratingmill.streaming import streams
 
 DAY = date(2000, 1, 31)
 GAMES = "game_id long, pool long, date date, home_team_id long, away_team_id long, home_score long, away_score long"
@@ -213,3 +214,23 @@ def test_new_seasons_leave_other_sketches_alone(spark, tmp_path):
     assert before.items() <= files(path).items()
     got = U.merged(U.kept_sketches(make("true"), path)).first()
     assert got.rows == 4000 and abs(got.entities - 700) <= U.HLL_ERROR * 700 and all(abs(q - w) <= 50 * U.KLL_ERROR + 1 for q, w in zip(got.quantiles, (12, 25, 37), strict=True))
+
+
+def test_team_states_take_up_a_stream(spark, tmp_path):
+    """A stream that is stopped and taken up again; a game that comes late has no rating and changes none."""
+    rows = league(1)
+    late, rows = rows[5], [r for r in rows if r != rows[5]]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(key)
+    spark.conf.set(key, streams.ROCKS)
+    try:
+        for n, part in enumerate((rows[:12], [*rows[12:], late])):
+            spark.createDataFrame(part, GAMES).write.parquet(f"{tmp_path}/in/{n}")
+            stream = spark.readStream.schema(GAMES).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+            streams.stream_team_states(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, held)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    want = {(r.game_id, r.team_id): r.rating_after for r in R.team_elo(spark.createDataFrame(rows, GAMES)).collect()}
+    assert {(r.game_id, r.team_id): pytest.approx(r.rating_after) for r in got if not r.late} == want
+    assert {r.game_id for r in got if r.late} == {late[0]} and all(r.rating_after is None for r in got if r.late)
