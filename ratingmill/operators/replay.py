@@ -144,4 +144,4 @@ class RatingStore:
         replace_partitions(ends, f"{self.path}/states", _KEYS)
         rows = out.where("game_id is not null").drop("games", "last_date")
         replace_partitions(rows.join(replayed, "pool", "left_semi"), f"{self.path}/history", _KEYS)
-        rows.join(replayed, "pool", "left_anti").write.mode("append").partitionBy(*_KEYS).parquet(f"{self.path}/history")
+        rows.join(replayed, "pool", "left_anti").hint("rebalance", *[F.col(c) for c in _KEYS]).write.mode("append").partitionBy(*_KEYS).parquet(f"{self.path}/history")

@@ -25,18 +25,18 @@ RANKS, ONE, ALL = ((3, 1.5), (7, 1.0), (10, 0.5)), -80.0, -150.0
 
 
 def events(ratings: DataFrame, absences: DataFrame) -> DataFrame:
-    """``team_id, date, turn, player_id, rating, away``: changes of rosters. ``ratings`` has a row for each game of
+    """``team_id, date, turn, nth, player_id, rating, away``: changes of rosters; ``nth`` orders those of one date. ``ratings`` has a row for each game of
     a player (``player_id, team_id, date, game_id, rating_after``), ``absences`` has ``player_id, team_id, start_date, end_date``
     (the first day back; null if open)."""
     none = lambda kind: F.lit(None).cast(kind)
     order = Window.partitionBy("player_id").orderBy("date", "game_id")
     rated = ratings.withColumn("before", F.lag("team_id").over(order))
-    side = lambda df, team, date, turn, rating, away: df.select(team.alias("team_id"), date.alias("date"), F.lit(turn).alias("turn"), "player_id", rating.alias("rating"), away.alias("away"))
-    out = side(rated, F.col("team_id"), F.col("date"), CHANGE, F.col("rating_after"), none("int"))
+    side = lambda df, team, date, turn, nth, rating, away: df.select(team.alias("team_id"), date.alias("date"), F.lit(turn).alias("turn"), nth.alias("nth"), "player_id", rating.alias("rating"), away.alias("away"))
+    out = side(rated, F.col("team_id"), F.col("date"), CHANGE, F.col("game_id"), F.col("rating_after"), none("int"))
     left = rated.where("before <> team_id")
-    out = out.unionByName(side(left, F.col("before"), F.col("date"), CHANGE, none("double"), none("int")))
+    out = out.unionByName(side(left, F.col("before"), F.col("date"), CHANGE, F.col("game_id"), none("double"), none("int")))
     for column, step in (("start_date", 1), ("end_date", -1)):
-        out = out.unionByName(side(absences.where(F.col(column).isNotNull()), F.col("team_id"), F.col(column), ABSENCE, none("double"), F.lit(step)))
+        out = out.unionByName(side(absences.where(F.col(column).isNotNull()), F.col("team_id"), F.col(column), ABSENCE, none("long"), none("double"), F.lit(step)))
     return out
 
 
@@ -50,17 +50,17 @@ def figures(ranked: list[tuple[float, bool]], n: int) -> tuple[float, float]:
     for rank, (r, away) in enumerate(ranked, 1):
         if away:
             cost += max(ONE, -(r - mean) / 10 * next((f for edge, f in RANKS if rank <= edge), 0.25))
-    return elo, max(ALL, cost)
+    return elo, round(max(ALL, cost), 7)  # players at the mean cost nothing
 
 
 def roster_figures(games: DataFrame, ratings: DataFrame, absences: DataFrame, n: int = 10) -> DataFrame:
     """``game_id, team_id, roster_elo, injury_adjustment`` for both teams of each of ``games``. Players are on the team of their latest
     game before; equal ratings go by player id. A team without players has the base rating."""
     asks = games.select("game_id", "date", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
-    asks = asks.select("team_id", "date", F.lit(GAME).alias("turn"), "game_id", *[F.lit(None).cast(t).alias(c) for c, t in (("player_id", "long"), ("rating", "double"), ("away", "int"))])
+    asks = asks.select("team_id", "date", F.lit(GAME).alias("turn"), "game_id", *[F.lit(None).cast(t).alias(c) for c, t in (("nth", "long"), ("player_id", "long"), ("rating", "double"), ("away", "int"))])
     rows = events(ratings, absences).withColumn("game_id", F.lit(None).cast("long")).unionByName(asks)
-    # of a player's changes on one date a departure comes first
-    rows = rows.repartition("team_id").sortWithinPartitions("team_id", "date", "turn", F.col("rating").asc_nulls_first(), "player_id")
+    # a date's changes in the order of its games
+    rows = rows.repartition("team_id").sortWithinPartitions("team_id", "date", "turn", "nth", F.col("rating").asc_nulls_first(), "player_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:

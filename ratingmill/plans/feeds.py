@@ -198,14 +198,14 @@ def _found_pools(f):
 
 
 def _merged(f):
-    """Predictions, then outcomes (twice the same batch), then corrections and a game that moves."""
+    """Predictions, then outcomes (twice the same batch), then corrections with games that move. Parts of the log are months."""
     path = shared_folder(f.spark)
     p = f.pred.select("game_id", "date", "home_win_prob", F.lit(None).cast("boolean").alias("correct"))
     outcomes = f.pred.where("game_id % 2 = 0").select("game_id", "date", F.lit(None).cast("double").alias("home_win_prob"), "correct")
     moved = p.where("game_id % 10 = 0").withColumn("home_win_prob", F.lit(0.5)).withColumn("date", F.date_add("date", 1))
     for n, batch in ((0, p), (1, outcomes), (1, outcomes), (2, moved)):
-        ledger.merge_batch(batch, path, "plan", n)
-    return f.spark.read.schema(p.schema).parquet(f"{path}/log")
+        ledger.merge_batch(batch.withColumn("month", F.trunc("date", "month")), path, "plan", n, part="month")
+    return f.spark.read.parquet(f"{path}/log").select("game_id", "date", "home_win_prob", "correct")
 
 
 def _landed(f):
@@ -242,17 +242,18 @@ query("k2_stream_30_days", _streamed_accuracy, "", "select * from (" + _SLIDES.f
 
 
 def _in_place(f):
-    """A table by dates, some of whose dates come again with other scores."""
+    """A table by months, some of which come again with other scores."""
     path = shared_folder(f.spark)
-    late = f.games.select("game_id", "home_score", "date").where("date >= '1998-01-01'")
-    tables.write_table(late.repartition("date"), path, ["date"])
-    tables.overwrite_dates(late.where("day(date) = 3 and game_id % 2 = 0").withColumn("home_score", F.col("home_score") + 1), path)
-    return f.spark.read.schema(late.schema).parquet(path)
+    games = f.games.select("game_id", "home_score", F.trunc("date", "month").alias("date"))
+    tables.write_table(games.repartition("date"), path, ["date"])
+    tables.overwrite_dates(games.where("month(date) = 3 and game_id % 2 = 0").withColumn("home_score", F.col("home_score") + 1), path)
+    return f.spark.read.schema(games.schema).parquet(path)
 
 
 query("s2_in_place", _in_place, "games", """
-, d as (select distinct date from games where day(date) = 3 and game_id % 2 = 0)
-select game_id, home_score + case when date in (select date from d) then 1 else 0 end as home_score, date from games where date >= date '1998-01-01' and (date not in (select date from d) or game_id % 2 = 0)""")
+, g as (select game_id, home_score, cast(date_trunc('month', date) as date) as date from games),
+d as (select distinct date from g where month(date) = 3 and game_id % 2 = 0)
+select game_id, home_score + case when date in (select date from d) then 1 else 0 end as home_score, date from g where date not in (select date from d) or game_id % 2 = 0""")
 
 
 def _sketched(f):

@@ -144,7 +144,7 @@ away as (select n.*, exists (select 1 from absences a where a.player_id = n.play
 there as (select *, row_number() over (partition by game_id, team_id order by rk) as k from away where not out_),
 ros as (select game_id, team_id, sum(r * (1 - 0.05 * (k - 1))) / sum(1 - 0.05 * (k - 1)) as e from there where k <= 10 group by 1, 2),
 top_ as (select game_id, team_id, avg(r) as m from away where rk <= 10 group by 1, 2),
-inj as (select game_id, team_id, greatest(-150, sum(greatest(-80, -(r - m) / 10 * case when rk <= 3 then 1.5 when rk <= 7 then 1 when rk <= 10 then 0.5 else 0.25 end))) as i from away join top_ using (game_id, team_id) where out_ group by 1, 2),
+inj as (select game_id, team_id, round(greatest(-150, sum(greatest(-80, -(r - m) / 10 * case when rk <= 3 then 1.5 when rk <= 7 then 1 when rk <= 10 then 0.5 else 0.25 end))), 7) as i from away join top_ using (game_id, team_id) where out_ group by 1, 2),
 dated as (select q.game_id, q.team_id, coalesce(e, 1500) as roster_elo, coalesce(i, 0) as injury_adjustment from asked q left join ros using (game_id, team_id) left join inj using (game_id, team_id))
 """
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,5 +40,6 @@ def stage(df: DataFrame, folder: str) -> DataFrame:
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Writes ``df`` over those partitions of the table at ``path`` that it has rows of; the files of all others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    """Writes ``df`` over those partitions of the table at ``path`` that it has rows of; the files of all others stay. Rows are
+    dealt by partition first, large ones split, so that tasks don't write a file to each."""
+    df.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
