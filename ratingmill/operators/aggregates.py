@@ -127,12 +127,22 @@ def rest_impact(rested: DataFrame) -> DataFrame:
 
 
 def travel_bins(travelled: DataFrame, edges: tuple[float, ...] = (0, 500, 1000, 1500, 2000, 5000)) -> DataFrame:
-    """Wins and rating changes by distance, right-closed bins; no distance, no bin."""
+    """Wins, rating changes and expected scores by distance, right-closed bins; no distance, no bin."""
     km, bin_ = F.col("travel_km"), None
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         on, name = (km > lo) & (km <= hi), f"{lo}-{hi}"
         bin_ = F.when(on, name) if bin_ is None else bin_.when(on, name)
-    return travelled.withColumn("bin", bin_).where("bin is not null").groupBy("bin").agg(F.count("*").alias("games"), F.avg(F.col("won").cast("double")).alias("win_rate"), F.avg("rating_change").alias("avg_change"))
+    means = [F.avg(F.col("won").cast("double")).alias("win_rate"), F.avg("rating_change").alias("avg_change"), F.avg("expected_score").alias("avg_expected")]
+    return travelled.withColumn("bin", bin_).where("bin is not null").groupBy("bin").agg(F.count("*").alias("games"), *means)
+
+
+def travel_impact(travelled: DataFrame) -> DataFrame:
+    """Win rates after long trips and after others, what the long ones cost, mean distance, and how distance goes
+    with the change of the rating (A13, A14)."""
+    won = F.col("won").cast("double")
+    rate = lambda on, name: F.avg(F.when(on, won)).alias(name)
+    out = travelled.agg(rate(F.col("long_travel"), "long_win_rate"), rate(~F.col("long_travel"), "normal_win_rate"), F.count_if("long_travel").alias("long_games"), F.avg("travel_km").alias("avg_km"), F.corr("travel_km", "rating_change").alias("correlation"))
+    return out.withColumn("impact", F.col("long_win_rate") - F.col("normal_win_rate"))
 
 
 def travel_corr(travelled: DataFrame) -> DataFrame:
@@ -170,8 +180,10 @@ def entity_counts(box: DataFrame, approximate: bool = False) -> DataFrame:
     return box.agg(F.count("*").alias("rows"), *[count(F.col(f"{c}_id")).alias(f"{c}s") for c in ("game", "player", "team")])
 
 
-def minutes_check(box: DataFrame, lo: float = 200, hi: float = 280) -> DataFrame:
-    per = box.groupBy("game_id", "team_id").agg(F.sum("minutes").alias("m"))
+def minutes_check(box: DataFrame, lo: float = 200, hi: float = 280, by: tuple[str, ...] = ("game_id", "team_id")) -> DataFrame:
+    """How many sums of minutes are low or high, and whether their mean is plausible (A18). Sums are of a team in a
+    game, or of a whole game (``by`` game alone) where box scores hold one side only."""
+    per = box.groupBy(*by).agg(F.sum("minutes").alias("m"))
     return per.agg(F.count("*").alias("team_games"), F.avg("m").alias("mean_minutes"), F.count_if(F.col("m") < lo).alias("low"), F.count_if(F.col("m") > hi).alias("high"), F.avg("m").between(235, 245).alias("plausible"))
 
 
@@ -358,6 +370,17 @@ def slate(pred: DataFrame) -> DataFrame:
     return pred.withColumn("status", status).orderBy("date", "status", F.desc(F.abs(F.col("home_win_prob") - 0.5)), "game_id")
 
 
+def slate_places(pred: DataFrame) -> DataFrame:
+    """Each game's place among its date's games (T12): in the summary by ``tipoff`` and then the most lopsided, on the
+    page by ``status_code`` (1 scheduled, 2 live, 3 final; unknown as 1) and then ``tipoff``. A missing probability counts as 0.5,
+    a missing tip-off as the earliest; ties go to the smaller id."""
+    day = Window.partitionBy("date")
+    status = F.when(F.col("status_code").isin(1, 2, 3), F.col("status_code")).otherwise(1)
+    lopsided = F.abs(F.coalesce("home_win_prob", F.lit(0.5)) - 0.5)
+    by = lambda *keys: F.row_number().over(day.orderBy(*keys, "game_id"))
+    return pred.withColumn("summary_place", by(F.asc_nulls_first("tipoff"), F.desc(lopsided))).withColumn("page_place", by(status, F.asc_nulls_first("tipoff")))
+
+
 # data quality
 
 
@@ -405,11 +428,13 @@ def verdict(box: DataFrame, games: DataFrame) -> DataFrame:
 
 
 def freshness(tables: dict[str, DataFrame], as_of: date, days: int = 3) -> DataFrame:
+    """Age of each table's last date, and whether it is OK, a WARNING after ``days`` days, or MISSING without rows (Q6)."""
     out = None
     for name, df in tables.items():
         t = df.agg(F.max("date").alias("last_date")).select(F.lit(name).alias("table"), "last_date", F.datediff(F.lit(as_of), "last_date").alias("age"))
         out = t if out is None else out.unionByName(t)
-    return out.withColumn("stale", F.coalesce(F.col("age") > days, F.lit(True)))
+    status = F.when(F.col("age").isNull(), "MISSING").when(F.col("age") > days, "WARNING").otherwise("OK")
+    return out.withColumn("stale", F.coalesce(F.col("age") > days, F.lit(True))).withColumn("status", status)
 
 
 def extent(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -79,6 +79,12 @@ def history_of(hist: DataFrame, team_id: int, season: int | None = None) -> Data
     return (own if season is None else own.where(season_start(F.col("date")) == season)).orderBy("date", "game_id")
 
 
+def player_history(hist: DataFrame, player_id: int, season: int | None = None) -> DataFrame:
+    """A player's rating rows with minutes and plus-minus, in order of date."""
+    own = hist.where(F.col("player_id") == player_id).select("game_id", "date", "rating_after", "minutes", "plus_minus")
+    return (own if season is None else own.where(season_start(F.col("date")) == season)).orderBy("date", "game_id")
+
+
 def past_predictions(pred: DataFrame, as_of: date | None = None, days: int | None = None) -> DataFrame:
     """Predictions of the last ``days`` days up to ``as_of``, or of the latest date, newest first."""
     if days is not None:

@@ -154,6 +154,29 @@ def player_elo(box: DataFrame, k: float = 20, regression: float = 0.33, metric:
     return on.select("game_id", "date", "player_id", "team_id", "minutes", "plus_minus", "year", "c", (after - F.col("delta")).alias("rating_before"), after.alias("rating_after"), F.col("delta").alias("rating_change"))
 
 
+# Names whose ratings box scores overstate (rim protectors) or understate (shot creators), and by how much.
+RIM_PROTECTORS = [
+    "Rudy Gobert", "Jarrett Allen", "Ivica Zubac", "Brook Lopez", "Mitchell Robinson", "Clint Capela", "Walker Kessler", "Mark Williams",
+    "Isaiah Hartenstein", "Onyeka Okongwu", "Robert Williams III", "Precious Achiuwa", "Bismack Biyombo", "Nerlens Noel",
+]
+RIM_PROTECTOR_MULTIPLIER = 0.90
+SHOT_CREATORS = ["Stephen Curry", "Steph Curry", "James Harden", "Damian Lillard", "Trae Young", "De'Aaron Fox", "Tyrese Haliburton", "LaMelo Ball"]
+SHOT_CREATOR_MULTIPLIER = 1.08
+
+
+def name_multipliers(players: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``player_id, position_multiplier`` of the ``players`` (``player_id, player_name``) whose name, letters of either case,
+    is one of ``names`` (``player_name, position_multiplier``; of a repeated name the largest), by default the fixed ones (R4)."""
+    if names is None:
+        key = F.lower("player_name")
+        fixed = F.when(key.isin([n.lower() for n in SHOT_CREATORS]), SHOT_CREATOR_MULTIPLIER).when(key.isin([n.lower() for n in RIM_PROTECTORS]), RIM_PROTECTOR_MULTIPLIER)
+        found = players.select("player_id", fixed.alias("position_multiplier")).where("position_multiplier is not null")
+    else:
+        names = names.groupBy(F.lower("player_name").alias("name_key")).agg(F.max("position_multiplier").alias("position_multiplier"))
+        found = players.select("player_id", F.lower("player_name").alias("name_key")).join(names, "name_key").drop("name_key")
+    return found.groupBy("player_id").agg(F.max("position_multiplier").alias("position_multiplier"))
+
+
 def player_ratings(history: DataFrame, multipliers: DataFrame | None = None, regression: float = 0.33, base: float = BASE) -> DataFrame:
     """Each player's rating as of the last year (R4), with the position's multiplier by name."""
     now = history.agg(F.max("c").alias("now"))

@@ -122,6 +122,7 @@ query("a16_experience_tiers", lambda f: rounded(A.tier_counts(f.box.groupBy("pla
 select case when n >= 600 then 'Veterans' when n >= 300 then 'Prime' when n >= 100 then 'Developing' else 'Rookies/Young' end as tier, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from g group by 1""")
 query("a17_entities", lambda f: A.entity_counts(f.box), "box", "select count(*) as rows, count(distinct game_id) as games, count(distinct player_id) as players, count(distinct team_id) as teams from box")
 query("a18_minutes", lambda f: rounded(A.minutes_check(f.box), "mean_minutes"), "box", "select count(*) as team_games, round(avg(m), 6) as mean_minutes, count(*) filter (m < 200) as low, count(*) filter (m > 280) as high, avg(m) between 235 and 245 as plausible from (select sum(minutes) as m from box group by game_id, team_id)")
+query("a18_minutes_by_game", lambda f: rounded(A.minutes_check(f.box, by=("game_id",)), "mean_minutes"), "box", "select count(*) as team_games, round(avg(m), 6) as mean_minutes, count(*) filter (m < 200) as low, count(*) filter (m > 280) as high, avg(m) between 235 and 245 as plausible from (select sum(minutes) as m from box group by game_id)")
 query("a19_score_model", lambda f: rounded(A.fit_score_model(G.elo_training_set(f.done, f.hist), AS_OF), "slope", "intercept", "train_r2", "train_mae", "holdout_r2", "holdout_mae", digits=5), "hist", f"""
 , t as (select h.date, h.rating_before - a.rating_before as x, cast(h.team_score - a.team_score as double) as y from hist h join hist a on a.game_id = h.game_id and h.is_home and not a.is_home),
 m as (select regr_slope(y, x) as s, regr_intercept(y, x) as i from t where date < {DAY}),
@@ -197,6 +198,11 @@ query("t10_key_injuries", lambda f: A.key_injuries(f.injuries, f.ratings).select
 query("t11_ranking", lambda f: A.ranking(f.hist, AS_OF), "hist", f"select team_id, rating, row_number() over (order by rating desc, team_id) as rank from (select team_id, arg_max(rating_after, (date, game_id)) as rating from hist where date <= {DAY} group by 1)")
 query("t12_slate", lambda f: A.slate(f.pred.where(F.col("date") == F.lit(date(2000, 1, 15)))).select("game_id", "status"), "pred", "select game_id, 2 as status from pred where date = date '2000-01-15'")
 
+_CODED = {"status_code": f"case when date < {DAY} then 3 when date = {DAY} then 2 when game_id % 10 > 0 then 1 end", "tipoff": "case when game_id % 9 > 0 then 12 + game_id % 9 end"}
+query("t12_slate_places", lambda f: A.slate_places(f.pred.withColumns({k: F.expr(v) for k, v in _CODED.items()})).select("date", "game_id", "summary_place", "page_place"), "pred", f"""
+, c as (select *, {_CODED["status_code"]} as status_code, {_CODED["tipoff"]} as tipoff from pred)
+select date, game_id, row_number() over (partition by date order by tipoff nulls first, abs(home_win_prob - 0.5) desc, game_id) as summary_place, row_number() over (partition by date order by coalesce(status_code, 1), tipoff nulls first, game_id) as page_place from c""")
+
 # S: set operations
 query("s1_merge_games", lambda f: T.merge_games(f.games.where("game_id % 3 <> 0"), f.games.where("game_id % 2 = 0").withColumn("home_score", F.lit(0).cast("bigint"))).select("game_id", "home_score"), "games", "select game_id, case when game_id % 3 <> 0 then home_score else 0 end as home_score from games where game_id % 3 <> 0 or game_id % 2 = 0")
 query("s2_replace_dates", lambda f: T.replace_dates(f.games, f.games.where("day(date) = 5 and game_id % 2 = 0")).groupBy("date").agg(F.count("*").alias("n")), "games", "select date, count(*) as n from games where not (date in (select date from games where day(date) = 5 and game_id % 2 = 0) and game_id % 2 <> 0) group by 1")
@@ -217,7 +223,7 @@ query("q5_verdict", lambda f: rounded(A.verdict(f.box, f.games), "share", "mean_
 , m as (select avg(m) as m from (select sum(minutes) as m from box group by game_id, team_id)),
 x as (select (select count(*) from done) as n_games, (select count(distinct game_id) from box) as n_covered, m from m)
 select n_games, n_covered, round(n_covered / n_games, 6) as share, round(m, 6) as mean_minutes, 0::bigint as missing, case when n_covered / n_games >= 0.95 and m between 235 and 245 then 'EXCELLENT' when n_covered / n_games >= 0.9 and m between 230 and 250 then 'GOOD' else 'NEEDS ATTENTION' end as verdict from x""")
-query("q6_freshness", lambda f: A.freshness({"games": f.done, "box": f.box}, date(2001, 8, 3)), "box", "select *, age > 3 as stale from (select 'games' as \"table\", max(date) as last_date, date_diff('day', max(date), date '2001-08-03') as age from done union all select 'box', max(date), date_diff('day', max(date), date '2001-08-03') from box)")
+query("q6_freshness", lambda f: A.freshness({"games": f.done, "box": f.box}, date(2001, 8, 3)), "box", "select *, age > 3 as stale, case when age > 3 then 'WARNING' else 'OK' end as status from (select 'games' as \"table\", max(date) as last_date, date_diff('day', max(date), date '2001-08-03') as age from done union all select 'box', max(date), date_diff('day', max(date), date '2001-08-03') from box)")
 query("q7_extent", lambda f: A.extent(f.done, f.box), "box", "select first_a, last_a, first_b, last_b, first_a = first_b and last_a = last_b as same from (select min(date) as first_a, max(date) as last_a from done), (select min(date) as first_b, max(date) as last_b from box)")
 query("q8_plausible", lambda f: rounded(A.plausible(f.games), "plausible_share", "home_share", "away_share"), "games", "select round(avg(cast(home_score > 50 as int)), 6) as home_share, round(avg(cast(away_score > 50 as int)), 6) as away_share, count(*) as games, count(*) filter (home_score is null or away_score is null) as null_scores, round(avg(cast(home_score > 50 and away_score > 50 as int)), 6) as plausible_share from games")
 query("f1_names", lambda f: parse.normalized_names(f.names).where("name_key is not null").select("player_name", "name_key"), "names", r"select player_name, trim(regexp_replace(regexp_replace(strip_accents(lower(player_name)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) as name_key from names")

@@ -65,6 +65,10 @@ select player_id, round(1500 + (r - 1500) * pow(0.67, (select max(c) from p) - c
 query("r4_player_ratings", lambda f: rounded(R.player_ratings(R.player_elo(f.box), f.roster.where("position = 'C'").select("player_id", F.lit(1.08).alias("position_multiplier"))).select("player_id", "raw_rating", "rating", "last_season"), "raw_rating", "rating", digits=5), "box roster", _R3 + """
 , l as (select player_id, arg_max(after, (date, game_id)) as r, arg_max(c, (date, game_id)) as c, arg_max(yr, (date, game_id)) as last_season from p group by 1), x as (select player_id, 1500 + (r - 1500) * pow(0.67, (select max(c) from p) - c) as raw, last_season from l)
 select player_id, round(raw, 5) as raw_rating, round(raw * case when player_id in (select player_id from roster where position = 'C') then 1.08 else 1 end, 5) as rating, last_season from x""")
+query("r4_ratings_by_name", lambda f: rounded(R.player_ratings(R.player_elo(f.box), R.name_multipliers(f.roster, f.roster.where("position <> 'F'").select(F.upper("player_name").alias("player_name"), F.when(F.col("position") == "C", R.RIM_PROTECTOR_MULTIPLIER).otherwise(R.SHOT_CREATOR_MULTIPLIER).alias("position_multiplier")))).select("player_id", "rating", "position_multiplier", "games_played"), "rating", digits=5), "box roster", _R3 + """
+, l as (select player_id, arg_max(after, (date, game_id)) as r, arg_max(c, (date, game_id)) as c, count(*) as games_played from p group by 1), m as (select player_id, max(case position when 'C' then 0.9 when 'G' then 1.08 else 1 end)::double as m from roster group by 1)
+select player_id, round((1500 + (r - 1500) * pow(0.67, (select max(c) from p) - c)) * m, 5) as rating, m as position_multiplier, games_played from l join m using (player_id)""")
+query("p9_player_history", lambda f: rounded(G.player_history(R.player_elo(f.box), 1001), "rating_after", nudge=1e-8), "box", _R3 + " select game_id, date, round(after + 1e-8, 6) as rating_after, minutes, plus_minus from p where player_id = 1001")
 query("w18_player_change_days", lambda f: rounded(W.elo_change_days(R.player_elo(f.box), AS_OF, 30, "player_id"), "now", "then", "change", nudge=1e-8), "box", _R3 + f"""
 , n as (select player_id, arg_max(after, (date, game_id)) as n from p where date <= {DAY} group by 1), t as (select player_id, arg_max(after, (date, game_id)) as t from p where date <= {DAY} - 30 group by 1)
 select player_id, round(n + 1e-8, 6) as now, round(t + 1e-8, 6) as "then", round(n - t + 1e-8, 6) as change from n join t using (player_id)""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratingmill.operators import aggregates as A
@@ -106,10 +107,23 @@ y as (select game_id, is_home, won, case when p is null then -1 else d end as d
 g as (select h.won, h.d as h, a.d as a from y h join y a on a.game_id = h.game_id and h.is_home and not a.is_home)
 select situation, count(*) as games, round(avg(cast(won as int)), 6) as home_win_rate from (select 'home_b2b' as situation, won from g where h = 0 and a >= 0 union all select 'away_b2b', won from g where a = 0 and h >= 0 union all select 'both_rested', won from g where h >= 2 and a >= 2) group by 1""")
 _TRAVELLED = f"""
-, x as (select *, lag(opponent_id) over (partition by team_id order by date, game_id) as p from long), t as (select x.won, h.rating_change, coalesce({_DIST.format(r='6371', a='a', b='b')}, 0) as km from x join hist h using (game_id, team_id) left join arenas a on a.team_id = p left join arenas b on b.team_id = x.team_id)"""
-query("a13_travel_bins", lambda f: rounded(A.travel_bins(W.travel(f.long, f.arenas).join(f.hist.select("game_id", "team_id", "rating_change"), ["game_id", "team_id"])), "win_rate", "avg_change"), "long hist arenas", _TRAVELLED + """
-select case when km <= 500 then '0-500' when km <= 1000 then '500-1000' when km <= 1500 then '1000-1500' when km <= 2000 then '1500-2000' else '2000-5000' end as bin, count(*) as games, round(avg(cast(won as int)), 6) as win_rate, round(avg(rating_change), 6) as avg_change from t where km > 0 and km <= 5000 group by 1""")
-query("a14_travel_corr", lambda f: rounded(A.travel_corr(W.travel(f.long, f.arenas).join(f.hist.select("game_id", "team_id", "rating_change"), ["game_id", "team_id"])), "correlation"), "long hist arenas", _TRAVELLED + " select round(corr(km, rating_change), 6) as correlation, count(*) as games from t")
+, x as (select *, lag(opponent_id) over (partition by team_id order by date, game_id) as p from long), e as (select game_id, team_id, rating_change, 1 / (1 + pow(10.0, (sum(rating_before) over (partition by game_id) - 2 * rating_before - case when is_home then 20 else -20 end) / 400)) as expected from hist), t as (select x.won, h.rating_change, h.expected, coalesce({_DIST.format(r='6371', a='a', b='b')}, 0) as km from x join e h using (game_id, team_id) left join arenas a on a.team_id = p left join arenas b on b.team_id = x.team_id)"""
+
+
+def _travelled(f):
+    """Team rows with their trips, changes of the rating, and expected scores from both sides' ratings before the game."""
+    both = F.sum("rating_before").over(Window.partitionBy("game_id"))
+    ahead = 2 * F.col("rating_before") - both + F.when(F.col("is_home"), 20).otherwise(-20)
+    rated = f.hist.select("game_id", "team_id", "rating_change", (1 / (1 + F.pow(F.lit(10.0), -ahead / 400))).alias("expected_score"))
+    return W.travel(f.long, f.arenas).join(rated, ["game_id", "team_id"])
+
+
+query("a13_travel_bins", lambda f: rounded(A.travel_bins(_travelled(f)), "win_rate", "avg_change", "avg_expected"), "long hist arenas", _TRAVELLED + """
+select case when km <= 500 then '0-500' when km <= 1000 then '500-1000' when km <= 1500 then '1000-1500' when km <= 2000 then '1500-2000' else '2000-5000' end as bin, count(*) as games, round(avg(cast(won as int)), 6) as win_rate, round(avg(rating_change), 6) as avg_change, round(avg(expected), 6) as avg_expected from t where km > 0 and km <= 5000 group by 1""")
+query("a13_travel_impact", lambda f: rounded(A.travel_impact(_travelled(f)), "long_win_rate", "normal_win_rate", "avg_km", "correlation", "impact"), "long hist arenas", _TRAVELLED + """
+, r as (select avg(cast(won as int)) filter (km > 1500) as a, avg(cast(won as int)) filter (km <= 1500) as b, count(*) filter (km > 1500) as long_games, avg(km) as k, corr(km, rating_change) as c from t)
+select round(a, 6) as long_win_rate, round(b, 6) as normal_win_rate, long_games, round(k, 6) as avg_km, round(c, 6) as correlation, round(a - b, 6) as impact from r""")
+query("a14_travel_corr", lambda f: rounded(A.travel_corr(_travelled(f)), "correlation"), "long hist arenas", _TRAVELLED + " select round(corr(km, rating_change), 6) as correlation, count(*) as games from t")
 query("t5_hot_cold", lambda f: A.hot_cold(W.elo_change_games(f.hist).select("team_id", "change")), "hist", """
 , x as (select *, row_number() over (partition by team_id order by date desc, game_id desc) as n from hist),
 c as (select team_id, max(rating_after) filter (n = 1) - coalesce(max(rating_after) filter (n = 6), arg_max(rating_before, n)) as change from x where n <= 6 group by 1 having count(*) >= 5)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ratingmill.functions import scores as S
 from ratingmill.operators import aggregates as A
+from ratingmill.operators import games as G
 from ratingmill.operators import predict as P
+from ratingmill.operators import ratings as R
 from ratingmill.operators import windows as W
 
 DAY = date(2020, 1, 31)
@@ -325,3 +327,48 @@ def test_quarter_averages(spark):
     rows = [(1, 20, 25, 25, 30), (1, 30, 25, 25, 30), (2, 20, 25, 27, 24), (2, 20, 25, 27, 24)]
     out = A.quarter_averages(spark.createDataFrame(rows, "game_id long, q1 int, q2 int, q3 int, q4 int")).first()
     assert (out.mean_q1, out.std_q1, out.mean_q4, out.late_delta) == (22.5, pytest.approx(12.5**0.5), 27.0, 4.5)
+
+
+def test_travel_impact(spark):
+    rows = [(0.0, False, True, 5.0, 0.5), (400.0, False, False, -5.0, 0.4), (1600.0, True, False, -10.0, 0.3), (1700.0, True, True, 10.0, 0.7)]
+    t = spark.createDataFrame(rows, "travel_km double, long_travel boolean, won boolean, rating_change double, expected_score double")
+    bins = {r.bin: (r.games, r.win_rate, r.avg_change, round(r.avg_expected, 9)) for r in A.travel_bins(t).collect()}
+    assert bins == {"0-500": (1, 0.0, -5.0, 0.4), "1500-2000": (2, 0.5, 0.0, 0.5)}  # no trip, no bin
+    got = A.travel_impact(t).first()
+    assert (got.long_win_rate, got.normal_win_rate, got.impact, got.long_games, got.avg_km) == (0.5, 0.5, 0.0, 2, 925.0)
+    assert A.travel_impact(t.limit(0)).first().impact is None
+
+
+def test_minutes_of_whole_games(spark):
+    box = spark.createDataFrame([(1, 1, 150.0), (1, 2, 95.0), (2, 1, 300.0)], "game_id long, team_id long, minutes double")
+    assert A.minutes_check(box, by=("game_id",)).first()[:] == (2, 272.5, 0, 1, False)
+    assert A.minutes_check(box).first()[:2] == (3, 545 / 3)
+
+
+def test_slate_places(spark):
+    """Page: scheduled, live, final, each by time. Summary: time, then the most lopsided."""
+    rows = [(1, 3, "19:00", 0.5), (2, 1, "20:00", 0.6), (3, 1, "20:00", 0.2), (4, 2, "19:00", 0.9), (5, None, None, None), (6, 9, "18:00", 0.6)]
+    g = spark.createDataFrame(rows, "game_id long, status_code int, tipoff string, home_win_prob double").withColumn("date", F.lit("2000-01-01").cast("date"))
+    got = A.slate_places(g).collect()
+    assert [r.game_id for r in sorted(got, key=lambda r: r.page_place)] == [5, 6, 2, 3, 4, 1]
+    assert [r.game_id for r in sorted(got, key=lambda r: r.summary_place)] == [5, 6, 4, 1, 3, 2]
+
+
+def test_multipliers_by_name(spark):
+    players = spark.createDataFrame([(1, "RUDY GOBERT"), (2, "Steph Curry"), (3, "De'Aaron Fox"), (4, "Rudy Gobert Jr"), (5, None), (1, "Rudy Gobert")], "player_id long, player_name string")
+    assert {r.player_id: r.position_multiplier for r in R.name_multipliers(players).collect()} == {1: 0.9, 2: 1.08, 3: 1.08}
+    names = spark.createDataFrame([("rudy gobert jr", 0.5), ("Rudy Gobert JR", 0.7), (None, 2.0)], "player_name string, position_multiplier double")
+    assert [tuple(r) for r in R.name_multipliers(players, names).collect()] == [(4, 0.7)]
+
+
+def test_missing_tables_are_stale(spark):
+    days = spark.sql("select date '2001-08-01' as date")
+    got = A.freshness({"a": days, "b": days.limit(0)}, date(2001, 8, 4)), A.freshness({"a": days}, date(2001, 8, 5))
+    assert [(r.table, r.stale, r.status) for df in got for r in df.collect()] == [("a", False, "OK"), ("b", True, "MISSING"), ("a", True, "WARNING")]
+
+
+def test_history_of_a_player_in_a_season(spark):
+    rows = [(1, 7, "2000-04-01"), (3, 7, "2000-11-02"), (2, 7, "2000-11-01"), (4, 8, "2000-11-01")]
+    h = spark.createDataFrame(rows, "game_id long, player_id long, date string").withColumn("date", F.to_date("date")).withColumns({"rating_after": F.lit(1.0), "minutes": F.lit(2.0), "plus_minus": F.lit(3)})
+    assert [r.game_id for r in G.player_history(h, 7, 2000).collect()] == [2, 3]
+    assert [r.game_id for r in G.player_history(h, 7).collect()] == [1, 2, 3]
