@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from ratingmill.llm import bpe, decontam, jaccard, langid, lengths, pii, quality, queries, rules, sharding, urls
+from ratingmill.llm import bpe, decontam, jaccard, langid, lengths, pii, quality, queries, resample, rules, sharding, trie, urls, winnow
 from tests.compare import database, same
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -633,6 +633,28 @@ def test_pipeline_near_copies_odd_rows(spark, odd):
     assert c.near_copies_stage(spark, frame(spark, rows).limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("rows", [0, 3])
+def test_pipeline_small_and_clashing(spark, odd, tmp_path, rows):
+    """No documents, and columns whose names the stages use themselves; null, wordless and repeated rows."""
+    import corpus_pipeline as c
+
+    docs = frame(spark, [*odd, *[(k, f"number {k} is a text of its own", "en", "s", 30) for k in range(20, 20 + rows)]]).limit(100 * rows)
+    clashing = {name: F.lit(1) for name in "score predicted mark group node gone_id contaminated ids n_tokens row late".split()}
+    docs.withColumns(clashing).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = docs.select("doc_id", F.lit(1).cast("long").alias("quality"), F.lit(0).cast("long").alias("toxic"))
+    labels.where("doc_id is not null").withColumns(clashing).write.parquet(f"{tmp_path}/labels.parquet")
+    items = docs.select(F.lit(1).alias("item_id"), F.lit("Number 21, is a text of its own").alias("text")).limit(1)
+    items.withColumns(clashing).write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = c.run(spark, str(tmp_path)).collect()
+    if not rows:
+        assert out == []
+        return
+    # one of equal texts stays; the item lies in one text; a row without words stays
+    found = sorted((r.doc_id for r in out), key=repr)
+    assert found == sorted([1, 2, 3, 4, 6, 9, 10, 20, 22], key=repr)
+    assert all(r.ids == [] for r in out if r.doc_id in (1, 2))
+
+
 def test_clashing_columns(spark, odd):
     names = "score predicted label node n_words hash bytes depth kept group x host bad count key spans n_tokens set chunk component_id".split()
     docs = frame(spark, odd).withColumns({c: F.lit(1) for c in names})
@@ -649,5 +671,9 @@ def test_clashing_columns(spark, odd):
         quality.score(docs, ["doc_id"], quality.fit(docs, labels)),
         rules.judge(docs),
         bpe.encode(docs, ["doc_id"], *bpe.vocabulary()),
+        winnow.beside_next(docs),
+        resample.resample(docs, benchmark),
     ]
     assert [r.count() for r in results] == [len(odd)] * len(results)
+    turns = docs.select(F.lit(7).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text", *names)
+    assert trie.build(turns).agg(F.max("depth")).first()[0] == len(odd)
