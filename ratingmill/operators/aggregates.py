@@ -160,11 +160,12 @@ BPM_TIERS = {"Elite": 8, "Excellent": 5, "Good": 2, "Average": -2, "Below": -5}
 EXPERIENCE_TIERS = {"Veterans": 600, "Prime": 300, "Developing": 100}
 
 
-def tier_counts(df: DataFrame, edges: dict[str, float], column: str = "rating", below: str = "below") -> DataFrame:
-    """Rows by the highest tier whose edge they reach, with their share; ``edges`` from high to low."""
-    tier = F.lit(below)
+def tier_counts(df: DataFrame, edges: dict[str, float], column: str = "rating", below: str = "below", nudge: float = 0.0) -> DataFrame:
+    """Rows by the highest tier whose edge they reach, with their share; ``edges`` from high to low (A16). ``nudge`` lifts
+    values that are computed a last bit short of an edge onto it."""
+    tier, value = F.lit(below), F.round(F.col(column) + nudge, 12) if nudge else F.col(column)
     for name, edge in sorted(edges.items(), key=lambda x: x[1]):
-        tier = F.when(F.col(column) >= edge, name).otherwise(tier)
+        tier = F.when(value >= edge, name).otherwise(tier)
     t = df.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
     return t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # a row for each tier
 

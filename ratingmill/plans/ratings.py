@@ -77,7 +77,7 @@ query("f21_bpm", lambda f: rounded(S.bpm(f.box).select("game_id", "player_id", "
 d as (select *, (steals / minutes * 36 - 1.2) * 1.2 + (blocks / minutes * 36 - 0.8) + (defensive_rebounds / minutes * 36 - 5) * 0.2 + (plus_minus / minutes * 36 - o) * 0.3 as d from o)
 select game_id, player_id, round(greatest(-12, least(15, o + d)) + 1e-8, 5) as bpm, round(greatest(-10, least(12, o)) + 1e-8, 5) as obpm, round(greatest(-8, least(8, d)) + 1e-8, 5) as dbpm from d""")
 query("r3_by_bpm", lambda f: rounded(R.player_elo(S.bpm(f.box), metric="bpm").groupBy("player_id").agg(F.sum("rating_change").alias("total"), F.count("*").alias("games")), "total", digits=4, nudge=1e-7), "box", part("m", "f21_bpm").replace("1e-8", "0") + "select player_id, round(sum(20 * least(1, minutes / 48) * ((greatest(-10, least(10, m.bpm)) + 10) / 20 - 0.5)) + 1e-7, 4) as total, count(*) as games from box join m using (game_id, player_id) where minutes > 0 and not didNotPlay group by 1")
-query("a16_bpm_tiers", lambda f: rounded(tier_counts(S.bpm(f.box).where("minutes >= 10"), BPM_TIERS, "bpm", "Poor"), "share"), "box", part("b", "f21_bpm").rstrip() + """, t as (select b.bpm from b join box using (game_id, player_id) where minutes >= 10)
+query("a16_bpm_tiers", lambda f: rounded(tier_counts(S.bpm(f.box).where("minutes >= 10"), BPM_TIERS, "bpm", "Poor", nudge=1e-8), "share"), "box", part("b", "f21_bpm").rstrip() + """, t as (select b.bpm from b join box using (game_id, player_id) where minutes >= 10)
 select case when bpm >= 8 then 'Elite' when bpm >= 5 then 'Excellent' when bpm >= 2 then 'Good' when bpm >= -2 then 'Average' when bpm >= -5 then 'Below' else 'Poor' end as tier, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from t group by 1""")
 _RANKED = ", k as (select r.*, x.rating, row_number() over (partition by r.team_id order by x.rating desc, r.player_id) as rk from roster r join ratings x using (player_id))"
 _ROSTER_ELO = "select team_id, sum(rating * (1 - 0.05 * (rk - 1))) / sum(1 - 0.05 * (rk - 1)) as e from (select team_id, rating, row_number() over (partition by team_id order by rating desc, player_id) as rk from k {w}) where rk <= 10 group by 1"

@@ -127,6 +127,13 @@ def test_tiers(spark):
     assert {r.tier: r.n for r in A.tier_counts(games, A.EXPERIENCE_TIERS, "n", "Rookies/Young").collect()} == {"Rookies/Young": 1, "Developing": 2, "Prime": 1, "Veterans": 1}
 
 
+def test_bpm_on_an_edge(spark):
+    """-5 and -2 but for the last bit."""
+    names = "minutes points fg_attempted ft_attempted assists rebounds turnovers steals blocks defensive_rebounds plus_minus".split()
+    box = spark.createDataFrame([(40.0, 0, 15, 4, 6, 1, 3, 0, 0, 0, 22), (25.0, 25, 10, 0, 6, 5, 2, 0, 1, 3, -28)], names)
+    assert {r.tier: r.n for r in A.tier_counts(S.bpm(box), A.BPM_TIERS, "bpm", "Poor", nudge=1e-8).collect()} == {"Below": 1, "Average": 1}
+
+
 def test_eras(spark):
     rows = [(k, 1500.0 + k, 100 if k % 4 else 99, (2005, 2009, 2030, 2020)[k % 4]) for k in range(80)]
     out = A.top_by_era(spark.createDataFrame(rows, "player_id long, rating double, games_played int, last_season int")).collect()
