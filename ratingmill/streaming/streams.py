@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ratingmill.operators.ratings import HISTORY, Fold, _fold_games, _usable, state_of
+from ratingmill.operators.ratings import HISTORY, Fold, _fold_games, _usable, held_in_order, some_at_a_time, state_of
 from ratingmill.operators.replay import Rating, RatingStore
 from ratingmill.sources.ledger import merge_batch
 from ratingmill.sources.tables import append_predictions
@@ -42,19 +42,17 @@ def stream_ratings(stream: DataFrame, k: float = 20, home_advantage: float = 20,
         if state.exists:
             teams, ratings, games, season, last = state.get
             fold.rating, fold.games, fold.season = dict(zip(teams, ratings, strict=True)), dict(zip(teams, games, strict=True)), season
-        new = pd.concat(list(batches))
-        days = pd.to_datetime(new["date"])
+        new = held_in_order(batches)
         if last is not None:
-            late = new[days <= pd.Timestamp(last)]
-            new, days = new[days > pd.Timestamp(last)], days[days > pd.Timestamp(last)]
-            if len(late):
-                none = ["rating_before", "rating_after", "rating_change", "expected_score"]
-                yield _fold_games(Fold(k, home_advantage, use_mov, reversion, base), late).assign(**dict.fromkeys(none, math.nan), late=True)
+            late, new = new[new["date"] <= pd.Timestamp(last)], new[new["date"] > pd.Timestamp(last)]
+            none = dict.fromkeys(["rating_before", "rating_after", "rating_change", "expected_score"], math.nan)
+            for part in some_at_a_time(late):
+                yield _fold_games(Fold(k, home_advantage, use_mov, reversion, base), part).assign(**none, late=True)
+        for part in some_at_a_time(new):
+            yield _fold_games(fold, part).assign(late=False)
         if len(new):
-            out = _fold_games(fold, new).assign(late=False)
             teams = list(fold.rating)
-            state.update(([int(t) for t in teams], [float(fold.rating[t]) for t in teams], [int(fold.games[t]) for t in teams], int(fold.season), days.max().date()))
-            yield out
+            state.update(([int(t) for t in teams], [float(fold.rating[t]) for t in teams], [int(fold.games[t]) for t in teams], int(fold.season), new["date"].max().date()))
 
     return _usable(stream).groupBy("pool").applyInPandasWithState(run, f"{HISTORY}, late boolean", _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -84,29 +82,28 @@ class PoolRatings(StatefulProcessor):
         self.pool.update((int(r.season), int(r.seasons), r.last_date))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new, fold = pd.concat(list(rows)), self.rating.fold()
+        new, fold = held_in_order(rows), self.rating.fold()
         season, seasons, last = self.pool.get() if self.pool.exists() else (None, 0, None)
-        days = pd.to_datetime(new["date"])
         if last is not None:
-            late, new = new[days <= pd.Timestamp(last)], new[days > pd.Timestamp(last)]
-            if len(late):
-                none = ["rating_before", "rating_after", "rating_change", "expected_score"]
-                yield _fold_games(self.rating.fold(), late).assign(**dict.fromkeys(none, math.nan), late=True)
+            late, new = new[new["date"] <= pd.Timestamp(last)], new[new["date"] > pd.Timestamp(last)]
+            none = dict.fromkeys(["rating_before", "rating_after", "rating_change", "expected_score"], math.nan)
+            for part in some_at_a_time(late):
+                yield _fold_games(self.rating.fold(), part).assign(**none, late=True)
         if not len(new):
             return
-        for team in set(new["home_team_id"].tolist()) | set(new["away_team_id"].tolist()):
+        for team in set(new["home_team_id"].unique().tolist()) | set(new["away_team_id"].unique().tolist()):
             if self.teams.containsKey((team,)):
                 value, games, then = self.teams.getValue((team,))
                 fold.rating[team] = self.rating.base + (value - self.rating.base) * self.rating.reversion ** (seasons - then)
                 fold.games[team] = games
         fold.season = season
-        out = _fold_games(fold, new)
-        days = pd.to_datetime(new["date"])
-        seasons += len(set((days.dt.year - (days.dt.month < 10)).tolist()) - {season})
+        for part in some_at_a_time(new):
+            yield _fold_games(fold, part).assign(late=False)
+        days = new["date"]
+        seasons += len(set((days.dt.year - (days.dt.month < 10)).unique().tolist()) - {season})
         for team, value in fold.rating.items():
             self.teams.updateValue((int(team),), (float(value), int(fold.games[team]), int(seasons)))
         self.pool.update((int(fold.season), int(seasons), days.max().date()))
-        yield out.assign(late=False)
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ratingmill.functions import scores as S
 from ratingmill.operators import games as G
 from ratingmill.operators import predict as P
 from ratingmill.operators import ratings as R
+from ratingmill.operators import replay
 from ratingmill.operators import windows as W
 from ratingmill.sources import feeds, tables
 from ratingmill.sources.fixtures import Frames
@@ -192,6 +194,20 @@ def test_streams(spark, frames, tmp_path):
     assert spark.read.parquet(log).count() == 2
 
 
+def test_stream_folds_slices_as_one():
+    """A pool's batch is held as plain numbers; history rows are made of slices, with the ratings of one fold over all."""
+    rows = [(k * 7 % 100, 0, datetime.date(2000, 9, 1) + datetime.timedelta(days=k * 7 % 100), k % 5, k % 5 + 1, 80 + k % 9, 84) for k in range(100)]
+    games = pd.DataFrame(rows, columns=["game_id", "pool", "date", "home_team_id", "away_team_id", "home_score", "away_score"])
+    held = R.held_in_order(iter([games.iloc[:30], games.iloc[30:]]))
+    assert not [c for c in held if held[c].dtype == object] and held["game_id"].tolist() == list(range(100))
+    parts, fold = list(R.some_at_a_time(held, 32)), replay.Rating().fold()
+    assert [len(p) for p in parts] == [32, 32, 32, 4]
+    got = pd.concat([R._fold_games(fold, p) for p in parts])
+    want = R._fold_games(replay.Rating().fold(), games)
+    by = ["game_id", "team_id"]
+    pd.testing.assert_frame_equal(got.sort_values(by).reset_index(drop=True), want.sort_values(by).reset_index(drop=True))
+
+
 def test_stream_gives_late_games(spark, tmp_path):
     path = str(tmp_path / "in")
     rows = [game(1, "2000-01-01", 1, 2, 100, 90), game(2, "2000-01-05", 1, 2, 90, 100)]
