@@ -234,3 +234,16 @@ def test_team_states_take_up_a_stream(spark, tmp_path):
     want = {(r.game_id, r.team_id): r.rating_after for r in R.team_elo(spark.createDataFrame(rows, GAMES)).collect()}
     assert {(r.game_id, r.team_id): pytest.approx(r.rating_after) for r in got if not r.late} == want
     assert {r.game_id for r in got if r.late} == {late[0]} and all(r.rating_after is None for r in got if r.late)
+
+
+def test_streams_land_in_many_files(spark, sf_dir, tmp_path, monkeypatch):
+    """No task writes or reads all games that a stream takes in."""
+    from ratingmill.plans import feeds as plans
+    from ratingmill.sources.fixtures import Frames
+
+    for run, reader in ((plans._rated_stream, spark.read.parquet), (plans._landed, spark.read.text)):
+        path = str(tmp_path / run.__name__)
+        monkeypatch.setattr(plans, "shared_folder", lambda _, path=path: path)
+        run(Frames(spark, sf_dir))
+        sizes = [r["count"] for r in reader(f"{path}/in").groupBy(F.input_file_name()).count().collect()]
+        assert max(sizes) * 8 < sum(sizes)
