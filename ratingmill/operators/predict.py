@@ -57,9 +57,11 @@ def with_ratings(gl: DataFrame, hist: DataFrame, default: float = 1500.0) -> Dat
     both = hist.groupBy("game_id").agg(pick(True, "rating_before").alias("_home"), pick(False, "rating_before").alias("_away"), pick(True, "rating_after").alias("_h"), pick(False, "rating_after").alias("_a"))
     out = gl.join(both, "game_id", "left").withColumn("opp_rating", F.coalesce(F.when(F.col("is_home"), F.col("_away")).otherwise(F.col("_home")), F.lit(default)))
     out = out.withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date"))).withColumn("_after", F.when(F.col("is_home"), F.col("_h")).otherwise(F.col("_a")))
-    earlier = Window.partitionBy("team_id").orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("_after").isNotNull(), F.struct("_day", "game_id", "_after"))).over(earlier)
-    return out.withColumn("rating", F.coalesce(last["_after"], F.lit(default))).drop("_home", "_away", "_h", "_a", "_day", "_after")
+    out = out.withColumn("_last", F.when(F.col("_after").isNotNull(), F.struct("_day", "game_id", "_after")))
+    # one sort for this and the team's other windows
+    out = out.repartition("team_id").sortWithinPartitions("team_id", "date", "game_id")
+    last = W.over_days("max(_last)", None)
+    return out.withColumn("rating", F.coalesce(last["_after"], F.lit(default))).drop("_home", "_away", "_h", "_a", "_day", "_after", "_last")
 
 
 def predict_hybrid(schedule: DataFrame, hist: DataFrame, games: DataFrame, roster_elos: DataFrame, injuries: DataFrame, arenas: DataFrame, blend: float = 0.75, home_advantage: float = 60) -> DataFrame:

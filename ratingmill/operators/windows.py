@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingmill.functions.scores import haversine
@@ -22,6 +22,13 @@ def _day(column: str = "date"):
     return F.datediff(column, F.lit("1970-01-01").cast("date"))
 
 
+def over_days(aggregate: str, start: int | None, end: int = -1) -> Column:
+    """An SQL ``aggregate`` over a team's rows of the days from ``start`` (null: all before) to ``end``, counted from the row's own. Its order
+    is the date, so that rows in the order of the team's other windows need no sort of their own, as they would by a day number."""
+    first = "unbounded preceding" if start is None else f"{-start} preceding"
+    return F.expr(f"{aggregate} over (partition by team_id order by date range between {first} and {-end} preceding)")
+
+
 def form(gl: DataFrame, n: int = 5, weight: float = 0.1) -> DataFrame:
     """Mean margin of the ``n`` rows before, scaled; 1.2 times for an unbroken run of three or more.
     ``streak_type`` is ``none`` without games and ``insufficient_data`` below three."""
@@ -41,8 +48,8 @@ def _last_by_date(gl: DataFrame, n: int) -> DataFrame:
 
     Each date takes the array that the last row of the dates before it has seen."""
     seen = F.collect_list(F.struct("date", "game_id", "won", "margin", "opponent_id")).over(_team().rowsBetween(-n + 1, 0))
-    gl = gl.withColumn("day", _day()).withColumn("_seen", seen)
-    return gl.withColumn("recent", F.coalesce(F.last("_seen").over(Window.partitionBy("team_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)), F.array().cast("array<struct<date:date,game_id:bigint,won:boolean,margin:bigint,opponent_id:bigint>>"))).drop("_seen", "day")
+    gl = gl.withColumn("_seen", seen)
+    return gl.withColumn("recent", F.coalesce(over_days("last(_seen)", None), F.array().cast("array<struct<date:date,game_id:bigint,won:boolean,margin:bigint,opponent_id:bigint>>"))).drop("_seen")
 
 
 def momentum(gl: DataFrame, n: int = 5, cap: float = 30, days: int = 10) -> DataFrame:
@@ -74,16 +81,15 @@ def welo(gl: DataFrame, ratings: DataFrame | None = None, n: int = 4, decay: flo
     else:
         gl = gl.join(ratings.select("game_id", F.col("team_id").alias("opponent_id"), F.col("rating_before").alias("opp_rating")), ["game_id", "opponent_id"], "left").fillna(1500.0, ["opp_rating"])
     seen = F.collect_list(F.struct("won", "opp_rating")).over(_team().rowsBetween(-n + 1, 0))
-    gl = gl.withColumn("day", _day()).withColumn("_seen", seen)
-    earlier = Window.partitionBy("team_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    gl = gl.withColumn("_r", F.reverse(F.last("_seen").over(earlier)))
+    gl = gl.withColumn("_seen", seen)
+    gl = gl.withColumn("_r", F.reverse(over_days("last(_seen)", None)))
     weight = lambda g, i: F.pow(F.lit(decay), i) * g.opp_rating / 1500
     total = lambda f: F.aggregate(F.transform("_r", f), F.lit(0.0), lambda a, x: a + x)
     score = total(lambda g, i: F.when(g.won, 1.0).otherwise(-1.0) * weight(g, i)) / total(weight)
     gl = gl.withColumn("welo_score", F.coalesce(score, F.lit(0.0))).withColumn("welo", F.col("welo_score") * cap)
     wins = F.size(F.filter("_r", lambda g: g.won))
     record = F.when(F.col("_r").isNull(), "0-0").otherwise(F.concat_ws("-", wins.cast("string"), (F.size("_r") - wins).cast("string")))
-    return gl.withColumn("welo_record", record).drop("_seen", "_r", "day")
+    return gl.withColumn("welo_record", record).drop("_seen", "_r")
 
 
 def rest(gl: DataFrame, b2b: float = 46, one_day: float = 15) -> DataFrame:
@@ -102,14 +108,12 @@ def back_to_back(gl: DataFrame) -> DataFrame:
 
 def rest_fatigue(gl: DataFrame) -> DataFrame:
     """Back-to-back, schedule density and days of rest by earlier dates."""
-    by_day = Window.partitionBy("team_id").orderBy("day")
-    out = gl.withColumn("day", _day())
-    last = F.max("day").over(by_day.rangeBetween(Window.unboundedPreceding, -1))
-    out = out.withColumn("fatigue_rest", F.when(last.isNull(), 7).otherwise(F.greatest(F.lit(0), F.col("day") - last - 1)))
+    last = over_days("max(date)", None)
+    out = gl.withColumn("fatigue_rest", F.when(last.isNull(), 7).otherwise(F.greatest(F.lit(0), F.datediff("date", last) - 1)))
     for n in (1, 4, 5):
-        out = out.withColumn(f"in_{n}", F.count("*").over(by_day.rangeBetween(-n, -1)))
+        out = out.withColumn(f"in_{n}", over_days("count(*)", -n))
     density = F.when(F.col("in_4") >= 3, -30.0).when(F.col("in_5") >= 4, -40.0).when(F.col("in_5") + 1 >= 4, -20.0).otherwise(0.0)
-    return out.withColumn("b2b_penalty", F.when(F.col("in_1") > 0, -50.0).otherwise(0.0)).withColumn("density_penalty", density).drop("day", "in_1")
+    return out.withColumn("b2b_penalty", F.when(F.col("in_1") > 0, -50.0).otherwise(0.0)).withColumn("density_penalty", density).drop("in_1")
 
 
 def rest_differential(home, away):
@@ -261,9 +265,8 @@ def with_travel_fatigue(gl: DataFrame, arenas: DataFrame, days: int = 7) -> Data
     # a frame's trips: its first away game from home, the others from the away game before
     base = miles("home", "to")
     rows = rows.withColumn("base_hop", base).withColumn("hop", F.when(base.isNotNull(), F.coalesce(miles("from", "to"), F.lit(0.0)))).withColumn("_day", _day())
-    w = Window.partitionBy("team_id").orderBy("_day").rangeBetween(-days, -1)
-    first = F.min(F.when(F.col("base_hop").isNotNull(), F.struct("_day", "game_id", "base_hop", "hop"))).over(w)
-    rows = rows.withColumn("_f", first).withColumn("_all", F.sum("hop").over(w))
+    rows = rows.withColumn("_trip", F.when(F.col("base_hop").isNotNull(), F.struct("_day", "game_id", "base_hop", "hop")))
+    rows = rows.withColumn("_f", over_days("min(_trip)", -days)).withColumn("_all", over_days("sum(hop)", -days))
     total = F.when(F.col("_f").isNull(), 0.0).otherwise(F.col("_all") - F.col("_f.hop") + F.col("_f.base_hop"))
     penalty = F.when(total < 1000, 0.0).when(total < 3000, -15.0 * (total - 1000) / 2000).otherwise(-30.0)
     return rows.select(*kept, total.alias("travel_miles"), penalty.alias("travel_fatigue"))

@@ -115,6 +115,14 @@ def test_hybrid_prediction_has_few_exchanges(spark, frames, tmp_path):
     assert plan.count("Exchange hashpartitioning(") <= 8 and "Cartesian" not in plan
 
 
+def test_team_windows_of_the_hybrid_share_a_sort(spark, frames):
+    """By date for all of a team's windows, and once more by season: each sort holds a task's rows anew."""
+    team = spark.createDataFrame([(1, 1500.0, 0.0)], "team_id long, roster_elo double, injury_adjustment double")
+    plan = P.predict_hybrid(frames.done, frames.hist, frames.done, team, team, frames.arenas)._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [team_id" in line and ("date" in line or "day" in line)]
+    assert len(sorts) == 2
+
+
 def test_worked_examples(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x
