@@ -208,9 +208,12 @@ def quarters_long(quarters: DataFrame) -> DataFrame:
 def fit_quarter_models(quarters: DataFrame, hist: DataFrame) -> DataFrame:
     """A line for each quarter: home margin on rating difference, its mean error on the games it is fitted to, and
     the mean points (A20)."""
-    q = quarters_long(quarters).join(hist.select("game_id", "team_id", "rating_before"), ["game_id", "team_id"])
+    q = quarters.join(hist.select("game_id", "team_id", "rating_before"), ["game_id", "team_id"])
     pick = lambda at, c: F.max(F.when(F.col("is_home") == at, F.col(c)))
-    g = q.groupBy("game_id", "quarter").agg((pick(True, "points") - pick(False, "points")).cast("double").alias("y"), (pick(True, "rating_before") - pick(False, "rating_before")).alias("x"), F.avg("points").alias("mean"))
+    ks = range(1, 5)
+    # a row for each game through the exchanges, its quarters apart only after them
+    g = q.groupBy("game_id").agg((pick(True, "rating_before") - pick(False, "rating_before")).alias("x"), *[(pick(True, f"q{k}") - pick(False, f"q{k}")).cast("double").alias(f"y{k}") for k in ks], *[F.avg(f"q{k}").alias(f"mean{k}") for k in ks])
+    g = g.select("game_id", "x", F.explode(F.array(*[F.struct(F.lit(k).alias("quarter"), F.col(f"y{k}").alias("y"), F.col(f"mean{k}").alias("mean")) for k in ks])).alias("s")).select("game_id", "x", "s.*")
     lines = g.groupBy("quarter").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.avg("mean").alias("league_average"), F.count("*").alias("games"))
     off = g.join(F.broadcast(lines), "quarter").groupBy("quarter").agg(F.avg(F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))).alias("mae"))  # four rows
     return lines.join(F.broadcast(off), "quarter")

@@ -134,6 +134,17 @@ def test_bpm_on_an_edge(spark):
     assert {r.tier: r.n for r in A.tier_counts(S.bpm(box), A.BPM_TIERS, "bpm", "Poor", nudge=1e-8).collect()} == {"Below": 1, "Average": 1}
 
 
+def test_quarters_come_apart_after_the_exchanges(spark):
+    q = spark.createDataFrame([(g, DAY, 2 * g + h, h == 0, 20 + g, 21, 22 + h, 23 + g * h) for g in range(9) for h in (0, 1)], "game_id long, date date, team_id long, is_home boolean, q1 long, q2 long, q3 long, q4 long")
+    hist = q.select("game_id", "team_id", (1500.0 + F.col("team_id") % 5).alias("rating_before"))
+    out = A.fit_quarter_models(q, hist)
+    assert {r.quarter: (r.games, r.league_average) for r in out.collect()} == {1: (9, 24.0), 2: (9, 21.0), 3: (9, 22.5), 4: (9, 25.0)}
+    plan = A.fit_quarter_models(q, hist)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(game_id" in plan
+    for line in (x for x in plan.splitlines() if "hashpartitioning(game_id" in x):
+        assert "quarter" not in line.split("hashpartitioning")[1]
+
+
 def test_eras(spark):
     rows = [(k, 1500.0 + k, 100 if k % 4 else 99, (2005, 2009, 2030, 2020)[k % 4]) for k in range(80)]
     out = A.top_by_era(spark.createDataFrame(rows, "player_id long, rating double, games_played int, last_season int")).collect()
